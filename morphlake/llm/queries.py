@@ -28,6 +28,21 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from morphlake.llm.language_id import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    held = lambda c: F.crc32(c.cast("string").cast("binary")) % 4 == 2
+    model = fit(docs, most=400, train=lambda c: ~held(c))
+    return identify(docs, model).select("doc_id", held(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+def op9_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from morphlake.llm.pii import find_pii
+
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 OP3_SQL = r"""
 WITH r AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256
@@ -40,6 +55,8 @@ FROM r WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 QUERIES = {
     "op1_pack_sequences": op1_pack_sequences,
     "op3_exact_dedup": op3_exact_dedup,
+    "op7_language_id": op7_language_id,
+    "op9_find_pii": op9_find_pii,
 }
 ORACLES = {
     "op3_exact_dedup": OP3_SQL,
