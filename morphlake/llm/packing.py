@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -18,28 +19,44 @@ class _Words(dict):
     def __init__(self, path: str, most: int):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.mark = self.tokenizer.token_to_id("<|startoftext|>")
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[k for token, k in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
     def ids(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
-        """Encodes many words in one call, set apart by a special token, which the tokenizer never joins to its surroundings."""
-        if len(self) + len(words) > self.most:
-            self.clear()
-        plain = [w for w in words if "<|" not in w]
-        for at in range(0, len(plain), 5000):
-            part = plain[at : at + 5000]
-            ids = np.asarray(self.tokenizer.encode("<|startoftext|>".join(part), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark).tolist()
-            if len(cuts) != len(part) - 1:
-                self.update((w, self.ids(w)) for w in part)
-                continue
-            raw = ids.tobytes()
-            starts, ends = [0, *(4 * c + 4 for c in cuts)], [*(4 * c for c in cuts), len(raw)]
-            self.update(zip(part, (raw[a:b] for a, b in zip(starts, ends)), strict=True))
-        self.update((w, self.ids(w)) for w in words if "<|" in w)
+        """Encodes words many at a time.
+
+        A word of letters alone, or with one full stop or comma behind, is one or two of the
+        tokenizer's own words, each of which ends with a token that is marked so. That tells where in a
+        common encoding each word ends. All others are encoded one by one.
+        """
+        one, two, rest = [], [], []
+        for w in words:
+            if w.isalpha() and (w.isascii() or w.lower().isalpha()):
+                one.append(w)
+            elif w[-1] in ".," and (v := w[:-1]).isalpha() and (v.isascii() or v.lower().isalpha()):
+                two.append(w)
+            else:
+                rest.append(w)
+        for group, ends in ((one, 1), (two, 2)):
+            parts = [group[at : at + 1000] for at in range(0, len(group), 1000)]
+            for part, found in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+                ids = np.asarray(found.ids, "<u4")
+                cuts = (4 * (np.flatnonzero(self.last[ids]) + 1))[ends - 1 :: ends].tolist()
+                if len(cuts) != len(part) or cuts[-1] != 4 * len(ids):
+                    self.update((w, self.ids(w)) for w in part)
+                    continue
+                raw = ids.tobytes()
+                self.update(zip(part, map(raw.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
+        self.update(zip(rest, (np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
+
+
+#: Fixed value: characters at which Python splits but the tokenizer doesn't.
+NOT_SPACES = "\x1c\x1d\x1e\x1f"
 
 
 def encoder(path: str, most: int = 1_000_000):
@@ -51,17 +68,30 @@ def encoder(path: str, most: int = 1_000_000):
     words = _Words(path, most)
 
     def encode(texts: list[str | None]) -> list[bytes]:
-        split = [t.split() if t else [] for t in texts]
-        new: set[str] = set()
-        for s in split:
-            new.update(s)
-        new.difference_update(words)
+        out: list = []
+        wait, new = [], set()
+        for text in texts:
+            if not text:
+                out.append(b"")
+            elif any(c in text for c in NOT_SPACES):
+                out.append(words.ids(text))
+            else:
+                own = text.split()
+                got = list(map(words.get, own))
+                if None in got:
+                    new.update(w for w, ids in zip(own, got, strict=True) if ids is None)
+                    wait.append((len(out), own))
+                    out.append(b"")
+                else:
+                    out.append(b"".join(got))
         if new:
             if len(words) + len(new) > words.most:
-                new = set().union(*split)
+                words.clear()
+                new = {w for _, own in wait for w in own}
             words.learn(new)
-        get = words.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+            for k, own in wait:
+                out[k] = b"".join(map(words.__getitem__, own))
+        return out
 
     return encode
 
