@@ -43,6 +43,12 @@ def op9_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from morphlake.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), length=200)
+
+
 OP3_SQL = r"""
 WITH r AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256
@@ -57,6 +63,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op7_language_id": op7_language_id,
     "op9_find_pii": op9_find_pii,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLES = {
     "op3_exact_dedup": OP3_SQL,
