@@ -28,6 +28,12 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from morphlake.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from morphlake.llm.language_id import fit, identify
 
@@ -61,6 +67,7 @@ FROM r WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 QUERIES = {
     "op1_pack_sequences": op1_pack_sequences,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_jaccard_join": op5_jaccard_join,
     "op7_language_id": op7_language_id,
     "op9_find_pii": op9_find_pii,
     "op10_suffix_dedup": op10_suffix_dedup,
