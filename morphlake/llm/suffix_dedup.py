@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from morphlake.llm.common import BASE, MIX_1, batch_bytes, mixed, powers, small_batches, written
 
-#: Windows that one fragment holds at most.
-LONGEST = 256
 #: Distinct fragments of one bucket key beyond which its windows are compared by hash and count.
 HOT = 2000
 #: Bytes of fragments that one transform holds.
@@ -82,9 +80,9 @@ def fragments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nd
     new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
     begin = np.flatnonzero(new)
     count = np.diff(np.append(begin, total))
-    if (count > LONGEST).any():
-        parts = -(-count // LONGEST)
-        begin = np.repeat(begin, parts) + LONGEST * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+    if (count > span).any():  # no more windows than hold one place of the seed, so that all fragments are about as long
+        parts = -(-count // span)
+        begin = np.repeat(begin, parts) + span * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
         count = np.diff(np.append(begin, total))
     doc, at, value, where = doc[begin], at[begin], value[begin], where[begin]
     again = _seed_repeats(h, least, where, count, value, span, offsets, length)
@@ -204,6 +202,28 @@ def repeats(bodies: list[bytes], length: int) -> list[np.ndarray]:
     return out
 
 
+def partnered(bodies: list[bytes], keys: np.ndarray, length: int) -> np.ndarray:
+    """False for strings none of whose windows can stand elsewhere in the collection.
+
+    A window holds its seed and `length` minus the seed's width bytes more, half of them on one side at least.
+    So equal windows have equal halves in front of or behind equal seeds.
+    """
+    sizes = np.array([len(b) for b in bodies])
+    flat, ends = np.frombuffer(b"".join(bodies), np.uint8), np.cumsum(sizes)
+    width = seed_width(length)
+    side = (length - width) // 2
+    if not side:
+        return np.ones(len(bodies), bool)
+    place = np.flatnonzero(seeds(flat, width) == np.repeat(keys.view(np.uint64), sizes))
+    own = np.searchsorted(ends, place, side="right")
+    around, out = seeds(flat, side), np.zeros(len(bodies), bool)
+    for start, inside in ((place - side, place - side >= ends[own] - sizes[own]), (place + width, place + width + side <= ends[own])):
+        name = keys.view(np.uint64)[own[inside]] + mixed(around[start[inside]])
+        _, which, times = np.unique(name, return_inverse=True, return_counts=True)
+        out[own[inside][times[which] > 1]] = True
+    return out
+
+
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, end) of each run of true flags."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
@@ -250,17 +270,17 @@ def _cut_out(rows: DataFrame, places: DataFrame, length: int, groups: int) -> Da
                     {
                         "part": [p["mkey"] % groups for p in parts],
                         "k": batch.column(0)[:1].to_pylist() * len(parts),
-                        **{c: [p[c] for p in parts] for c in ("start", "c", "d")},
+                        **{c: [p[c] for p in parts] for c in ("mkey", "start", "c", "d")},
                         "body": [raw[p["start"] : p["start"] + p["n"] - 1 + length] for p in parts],
                     },
-                    pa.schema([("part", pa.int64()), ("k", pa.int64()), ("start", pa.int32()), ("c", pa.int64()), ("d", pa.int64()), ("body", pa.binary())]),
+                    pa.schema([("part", pa.int64()), ("k", pa.int64()), ("mkey", pa.int64()), ("start", pa.int32()), ("c", pa.int64()), ("d", pa.int64()), ("body", pa.binary())]),
                 )
 
     def one_by_one(batches):
         for batch in batches:
             yield from run(batch.slice(i, 1) for i in range(batch.num_rows))
 
-    return rows.select("k", "text").join(lists, "k").select("k", "text", "parts").mapInArrow(one_by_one, "part long, k long, start int, c long, d long, body binary")
+    return rows.select("k", "text").join(lists, "k").select("k", "text", "parts").mapInArrow(one_by_one, "part long, k long, mkey long, start int, c long, d long, body binary")
 
 
 def _transformed(bodies: DataFrame, length: int) -> DataFrame:
@@ -268,6 +288,7 @@ def _transformed(bodies: DataFrame, length: int) -> DataFrame:
 
     def judge(pdf):
         pdf = pdf.drop_duplicates(["k", "start"])
+        pdf = pdf[partnered(pdf["body"].tolist(), pdf["mkey"].to_numpy(np.int64), length)]
         out = {"k": [], "lo": [], "hi": []}
         for flags, k, start, c in zip(repeats(pdf["body"].tolist(), length), pdf["k"], pdf["start"], pdf["c"], strict=True):
             if c == 1 and flags.any():
