@@ -79,18 +79,20 @@ def encoder(path: str, most: int = 1_000_000):
                 own = text.split()
                 got = list(map(words.get, own))
                 if None in got:
-                    new.update(w for w, ids in zip(own, got, strict=True) if ids is None)
-                    wait.append((len(out), own))
+                    gaps = [i for i, ids in enumerate(got) if ids is None]
+                    new.update(map(own.__getitem__, gaps))
+                    wait.append((len(out), own, got, gaps))
                     out.append(b"")
                 else:
                     out.append(b"".join(got))
         if new:
             if len(words) + len(new) > words.most:
                 words.clear()
-                new = {w for _, own in wait for w in own}
             words.learn(new)
-            for k, own in wait:
-                out[k] = b"".join(map(words.__getitem__, own))
+            for k, own, got, gaps in wait:
+                for i in gaps:
+                    got[i] = words[own[i]]
+                out[k] = b"".join(got)
         return out
 
     return encode
