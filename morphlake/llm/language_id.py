@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from morphlake.llm.common import batch_bytes
+
 #: Order of the longest context.
 ORDER = 3
 
@@ -146,6 +148,29 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return build(grams(docs, id_col, text_col, lang_col, most, train or (lambda _: F.lit(True))).toPandas())
 
 
+#: Bytes that are ASCII letters.
+LETTER = np.zeros(256, np.uint8)
+LETTER[[*range(65, 91), *range(97, 123)]] = 1
+
+
+def judged(model: Model, texts) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(language, score, bits a byte) of each text of an Arrow column."""
+    data, offsets = batch_bytes(texts)
+    n, lengths = len(offsets) - 1, np.diff(offsets)
+    letters = np.zeros(n, bool)
+    full = np.flatnonzero(lengths)
+    if len(full):
+        letters[full] = np.maximum.reduceat(LETTER[data], offsets[:-1][full]) > 0
+    for k in np.flatnonzero((lengths > 0) & ~letters):
+        letters[k] = any(c.isalpha() for c in texts[int(k)].as_py())
+    if not model.languages:
+        return ["und"] * n, np.zeros(n), np.zeros(n)
+    bits = code_lengths(model, data, offsets)
+    nats = (bits - bits.min(1, keepdims=True)) * np.log(2)
+    pred = [model.languages[b] if known else "und" for b, known in zip(bits.argmin(1), letters, strict=True)]
+    return pred, np.where(letters, 1 / np.exp(-nats).sum(1), 0.0), bits.min(1) / np.maximum(lengths, 1)
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, bits_per_byte for each row: the language of the shortest code.
 
@@ -160,30 +185,27 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        from morphlake.llm.common import batch_bytes, small_batches
+        from morphlake.llm.common import small_batches
 
-        model = shared.value
-        ascii_letter = np.zeros(256, np.uint8)
-        ascii_letter[[*range(65, 91), *range(97, 123)]] = 1
         for batch in small_batches(batches, 2 << 20):
-            data, offsets = batch_bytes(batch.column(1))
-            n = batch.num_rows
-            bits = code_lengths(model, data, offsets)
-            lengths = np.diff(offsets)
-            letters = np.zeros(n, bool)
-            full = np.flatnonzero(lengths)
-            if len(full):
-                letters[full] = np.maximum.reduceat(ascii_letter[data], offsets[:-1][full]) > 0
-            for k in np.flatnonzero((lengths > 0) & ~letters):
-                letters[k] = any(c.isalpha() for c in batch.column(1)[int(k)].as_py())
-            if model.languages:
-                best = bits.argmin(1)
-                nats = (bits - bits.min(1, keepdims=True)) * np.log(2)
-                score = np.where(letters, 1 / np.exp(-nats).sum(1), 0.0)
-                pred = [model.languages[b] if known else "und" for b, known in zip(best, letters, strict=True)]
-                rate = bits.min(1) / np.maximum(lengths, 1)
-            else:
-                pred, score, rate = ["und"] * n, np.zeros(n), np.zeros(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score), pa.array(rate.astype(float))], ["doc_id", "lang_pred", "score", "bits_per_byte"])
+            pred, score, rate = judged(shared.value, batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score), pa.array(rate)], ["doc_id", "lang_pred", "score", "bits_per_byte"])
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+
+
+def keep_known(docs: DataFrame, model: Model, least: float = 0.5, languages: list[str] | None = None, text_col: str = "text") -> DataFrame:
+    """docs without the rows that identification rejects: texts that are `und`, whose score is under `least`, or whose language isn't wanted. All columns as they were."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        from morphlake.llm.common import small_batches
+
+        for batch in small_batches(batches, 2 << 20):
+            pred, score, _ = judged(shared.value, batch.column(at))
+            yield batch.filter(pa.array([p != "und" and s >= least and (languages is None or p in languages) for p, s in zip(pred, score, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -22,6 +22,12 @@ def op1_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), size=4096, segments=256, end_id=2)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from morphlake.llm.line_dedup import line_report
+
+    return line_report(table(spark, sf_dir, "documents"), run=3)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from morphlake.llm.exact_dedup import exact_dedup
 
@@ -34,6 +40,12 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from morphlake.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), rate=0.5, rounds=12)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from morphlake.llm.language_id import fit, identify
 
@@ -64,14 +76,60 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM r WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 """
 
+OP2_SQL = r"""
+WITH l AS (
+  SELECT doc_id, pos, line, trim(line, E' \t\r') AS bare
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), E'\n')) AS line, generate_subscripts(string_split(coalesce(text, ''), E'\n'), 1) AS pos FROM documents)),
+w AS (
+  SELECT doc_id, pos, lead(pos, 2) OVER o AS last, bare || E'\n' || lead(bare, 1) OVER o || E'\n' || lead(bare, 2) OVER o AS lines
+  FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+later AS (
+  SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY lines ORDER BY doc_id, pos) AS k FROM w WHERE last IS NOT NULL) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, pos + i AS pos FROM later, unnest([0, 1, 2]) AS t(i))
+SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_deleted,
+       sha256(coalesce(string_agg(l.line, E'\n' ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos
+GROUP BY l.doc_id
+"""
+
+
+def _mixing_sql(rate: float, rounds: int) -> str:
+    """The same steps over the same cells, one common table expression for each."""
+    powers = {"source": 0.5, "lang": 0.5, "topic": 0.75}
+    count = lambda pattern: f"len(regexp_extract_all(coalesce(text, ''), '{pattern}'))"
+    parts = [
+        f"""d AS (SELECT doc_id, coalesce(source, 'none') AS source, coalesce(lang, 'none') AS lang,
+          {count(r"[^\x20\x09-\x0D]+")} AS n_tokens, {count(chr(92) + "n")} + 1 AS n_lines, {count("[|]")} AS bars FROM documents)""",
+        """r AS (SELECT *, CASE WHEN bars >= 2 * n_lines THEN 'table' WHEN n_lines >= 8 AND n_tokens < 12 * n_lines THEN 'notes'
+          WHEN n_tokens >= 1000 THEN 'long' ELSE 'prose' END AS topic FROM d)""",
+        "c AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS t FROM r GROUP BY ALL)",
+    ]
+    parts += [f"s_{d} AS (SELECT {d}, pow(sum(t), {p}) / sum(pow(sum(t), {p})) OVER () AS share FROM c WHERE t > 0 GROUP BY {d})" for d, p in powers.items()]
+    parts.append("x0 AS (SELECT c.*, s_source.share AS a_source, s_lang.share AS a_lang, s_topic.share AS a_topic, 1.0::DOUBLE AS w FROM c JOIN s_source USING (source) JOIN s_lang USING (lang) JOIN s_topic USING (topic) WHERE t > 0)")
+    k = 0
+    for _ in range(rounds):
+        for d in powers:
+            parts.append(f"x{k + 1} AS MATERIALIZED (SELECT * REPLACE (w * a_{d} / sum(t * w) OVER (PARTITION BY {d}) AS w) FROM x{k})")
+            k += 1
+    parts.append(f"f AS (SELECT r.doc_id, r.source, r.lang, r.topic, r.n_tokens, round(coalesce(w * (SELECT sum(t) FROM c), 0), 6) AS weight FROM r LEFT JOIN x{k} USING (source, lang, topic))")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT doc_id, source, lang, topic, n_tokens, weight,
+       (floor(weight * {rate}) + CASE WHEN ('0x' || substr(md5('mix' || doc_id), 1, 8))::BIGINT / 4294967296.0 < weight * {rate} - floor(weight * {rate}) THEN 1 ELSE 0 END)::BIGINT AS copies
+FROM f"""
+
+
 QUERIES = {
     "op1_pack_sequences": op1_pack_sequences,
+    "op2_line_dedup": op2_line_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_mixing": op6_mixing,
     "op7_language_id": op7_language_id,
     "op9_find_pii": op9_find_pii,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLES = {
+    "op2_line_dedup": OP2_SQL,
+    "op6_mixing": _mixing_sql(0.5, 12),
     "op3_exact_dedup": OP3_SQL,
 }
