@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -173,18 +172,70 @@ def _dealt(members: DataFrame, percent: int) -> DataFrame:
     return small.select(names).unionByName(large.select(names))
 
 
+def _few(members: list[tuple], percent: int):
+    """What survivors gives, for a group so small that a tree has nothing to save."""
+    for i in range(1, len(members)):
+        n, bits, inside, group, side = members[i]
+        for j in range(i):
+            n2, bits2, inside2, group2, side2 = members[j]
+            if 100 * min(n, n2) < percent * max(n, n2) or group == group2 or (side and side == side2):
+                continue
+            a, b = int.from_bytes(bits, "little"), int.from_bytes(bits2, "little")
+            width = 8 * min(len(bits), len(bits2))
+            if width < 8 * len(bits):
+                a = (a >> width) | (a & ((1 << width) - 1))
+            elif width < 8 * len(bits2):
+                b = (b >> width) | (b & ((1 << width) - 1))
+            common = (a & b).bit_count() + min(inside - a.bit_count(), inside2 - b.bit_count())
+            if min(n - inside, n2 - inside2) + min(common, inside, inside2) >= needed(n, n2, percent):
+                yield j, i
+
+
 def _candidates(dealt: DataFrame, percent: int, most: int | None) -> DataFrame:
     """(a, b): sets that a traversal leaves over, a < b."""
+    keys = ["token", "band", "i", "j"]
+    columns = ["n", "bits", "inside", "g", "side", "s", "late"]
+
+    def pairs(rows: list[tuple]) -> set:
+        members = [r[:5] for r in rows]
+        if len(rows) <= 12:
+            found = _few(members, percent)
+        else:
+            found = survivors([(n, int.from_bytes(bits, "little"), *rest) for n, bits, *rest in members], percent, most)
+        out = set()
+        for i, j in found:
+            a, b = rows[i][5], rows[j][5]
+            if a != b and not (rows[i][6] and rows[j][6]):
+                out.add((a, b) if a < b else (b, a))
+        return out
+
+    def run(batches):
+        rows, key, found = [], None, set()
+        for batch in batches:
+            names = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in keys])
+            cuts = [0, *(np.flatnonzero((names[:, 1:] != names[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            own = list(zip(*(batch.column(c).to_pylist() for c in columns), strict=True))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                this = tuple(names[:, a].tolist()) if a == 0 else None
+                if a or this != key:
+                    found |= pairs(rows) if len(rows) > 1 else set()
+                    rows = []
+                rows = rows + own[a:b] if rows else own[a:b]
+            key = tuple(names[:, -1].tolist()) if batch.num_rows else key
+            if len(found) > 20000:
+                yield table(found)
+                found = set()
+        found |= pairs(rows) if len(rows) > 1 else set()
+        yield table(found)
+
+    def table(found):
+        import pyarrow as pa
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = pdf["s"].tolist()
-        members = list(zip(pdf["n"].tolist(), (int.from_bytes(x, "little") for x in pdf["bits"]), pdf["inside"].tolist(), pdf["g"].tolist(), pdf["side"].tolist(), strict=True))
-        role = pdf["late"].tolist()
-        found = {(min(s[i], s[j]), max(s[i], s[j])) for i, j in survivors(members, percent, most) if s[i] != s[j] and not (role[i] and role[j])}
         a, b = zip(*found, strict=True) if found else ((), ())
-        return pd.DataFrame({"a": pd.Series(a, dtype="int64"), "b": pd.Series(b, dtype="int64")})
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return dealt.groupBy("token", "band", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    together = dealt.repartition(*keys).sortWithinPartitions(*keys).select(*keys, *columns)
+    return together.mapInArrow(run, "a long, b long").distinct()
 
 
 def _linked(pairs: DataFrame, shingled: DataFrame, percent: int) -> DataFrame:
