@@ -205,22 +205,38 @@ def repeats(bodies: list[bytes], length: int) -> list[np.ndarray]:
 def partnered(bodies: list[bytes], keys: np.ndarray, length: int) -> np.ndarray:
     """False for strings none of whose windows can stand elsewhere in the collection.
 
-    A window holds its seed and `length` minus the seed's width bytes more, half of them on one side at least.
-    So equal windows have equal halves in front of or behind equal seeds.
+    Equal windows hold equal seeds at equal places, so what they share in front of the seed and behind it adds
+    up to all the rest of a window. For each seed the longest stretches on either side that
+    another place of the same seed has too are found, in steps; if even the next steps don't add up, no window fits.
     """
     sizes = np.array([len(b) for b in bodies])
     flat, ends = np.frombuffer(b"".join(bodies), np.uint8), np.cumsum(sizes)
     width = seed_width(length)
-    side = (length - width) // 2
-    if not side:
-        return np.ones(len(bodies), bool)
+    rest = length - width
+    step = max(1, rest // 8)
     place = np.flatnonzero(seeds(flat, width) == np.repeat(keys.view(np.uint64), sizes))
     own = np.searchsorted(ends, place, side="right")
-    around, out = seeds(flat, side), np.zeros(len(bodies), bool)
-    for start, inside in ((place - side, place - side >= ends[own] - sizes[own]), (place + width, place + width + side <= ends[own])):
-        name = keys.view(np.uint64)[own[inside]] + mixed(around[start[inside]])
-        _, which, times = np.unique(name, return_inverse=True, return_counts=True)
-        out[own[inside][times[which] > 1]] = True
+    begin, end, key = ends[own] - sizes[own], ends[own], keys.view(np.uint64)[own]
+    power, inverse = _powers(len(flat))
+    sums = np.zeros(len(flat) + 1, np.uint64)
+    np.cumsum(_table(2)[flat] * power[: len(flat)], out=sums[1:])
+    reach = []
+    for front in (True, False):
+        longest = np.full(len(place), step - 1)
+        alive = np.arange(len(place))
+        for n in range(step, rest + step, step):
+            n = min(n, rest)
+            a = place[alive] - n if front else place[alive] + width
+            fits = (a >= begin[alive]) & (a + n <= end[alive])
+            alive, a = alive[fits], a[fits]
+            _, which, times = np.unique(key[alive] + mixed((sums[a + n] - sums[a]) * inverse[a]), return_inverse=True, return_counts=True)
+            alive = alive[times[which] > 1]
+            longest[alive] = min(n + step - 1, rest)
+            if not len(alive):
+                break
+        reach.append(longest)
+    out = np.zeros(len(bodies), bool)
+    out[own[reach[0] + reach[1] >= rest]] = True
     return out
 
 
@@ -236,24 +252,17 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.xxhash64(F.col(id_col), text).alias("k"), F.col(id_col).cast("bigint").alias("doc_id"), text)
 
 
-def _fragments(rows: DataFrame, length: int, full: bool) -> DataFrame:
-    schema = "mkey long, n int, f long, k long, start int, self boolean" if full else "mkey long, weight int"
-
+def _fragments(rows: DataFrame, length: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in small_batches(batches, 1 << 20):
+        for batch in small_batches(batches, 1 << 17):
             data, offsets = batch_bytes(batch.column(1))
             doc, at, count, value, body, again = fragments(data, offsets, length)
-            if full:
-                keys = batch.column(0).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(count.astype(np.int32)), pa.array(body), pa.array(keys[doc]), pa.array(at.astype(np.int32)), pa.array(again)], ["mkey", "n", "f", "k", "start", "self"])
-            else:
-                found, first, times = np.unique(value, return_index=True, return_counts=True)
-                own = np.bincount(np.searchsorted(found, value), again, minlength=len(found)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(times.astype(np.int32) + own)], ["mkey", "weight"])
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(count.astype(np.int32)), pa.array(body), pa.array(keys[doc]), pa.array(at.astype(np.int32)), pa.array(again)], ["mkey", "n", "f", "k", "start", "self"])
 
-    return rows.select("k", "text").mapInArrow(run, schema)
+    return rows.select("k", "text").mapInArrow(run, "mkey long, n int, f long, k long, start int, self boolean")
 
 
 def _cut_out(rows: DataFrame, places: DataFrame, length: int, groups: int) -> DataFrame:
@@ -327,8 +336,9 @@ def repeated_ranges(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
     """(k, lo, hi): byte ranges made of strings of `length` bytes that start elsewhere too, for rows keyed by _keyed."""
     spark = docs.sparkSession
     rows = _keyed(docs, id_col, text_col)
-    keys = _fragments(rows, length, full=False).groupBy("mkey").agg(F.sum("weight").alias("w")).where("w > 1").select("mkey")
-    found = written(_fragments(rows, length, full=True).join(keys, "mkey", "left_semi"), "fragments")
+    every = written(_fragments(rows, length), "fragments")
+    keys = every.groupBy("mkey").agg(F.sum(F.lit(1) + F.col("self").cast("int")).alias("w")).where("w > 1").select("mkey")
+    found = written(every.join(keys, "mkey", "left_semi"), "shared")
     kinds = written(found.groupBy("mkey", "f").agg(F.count("*").alias("c"), F.min("k").alias("k"), F.min_by("start", "k").alias("start"), F.min("n").alias("n"), F.max("self").alias("self")), "kinds")
     whole = found.join(kinds.where("c > 1").select("mkey", "f"), ["mkey", "f"], "left_semi").select("k", F.col("start").alias("lo"), (F.col("start") + F.col("n") - 1 + length).cast("int").alias("hi"))
     keyed = kinds.groupBy("mkey").agg(F.count("*").alias("d"), F.min("c").alias("least"), F.max("self").alias("again")).where("least = 1 and (d > 1 or again)")
