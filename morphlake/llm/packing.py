@@ -30,31 +30,54 @@ class _Words(dict):
     def learn(self, words: set[str]) -> None:
         """Encodes words many at a time.
 
-        A word of letters alone, or with one full stop or comma behind, is one or two of the
-        tokenizer's own words, each of which ends with a token that is marked so. That tells where in a
-        common encoding each word ends. All others are encoded one by one.
+        A word of letters alone is one of the tokenizer's own words, whose last token is marked so, which tells
+        where in a common encoding each word ends. A mark behind such a word is a word of its own. All others are encoded one by one.
         """
-        one, two, rest = [], [], []
+        one, two, rest = set(), [], []
         for w in words:
             if w.isalpha() and (w.isascii() or w.lower().isalpha()):
-                one.append(w)
-            elif w[-1] in ".," and (v := w[:-1]).isalpha() and (v.isascii() or v.lower().isalpha()):
-                two.append(w)
+                one.add(w)
+            elif w[-1] in ".,":
+                v = w[:-1]
+                if v in self:
+                    two.append(w)
+                elif v.isalpha() and (v.isascii() or v.lower().isalpha()):
+                    one.add(v)
+                    two.append(w)
+                else:
+                    rest.append(w)
+            else:
+                rest.append(w)
+        one = list(one)
+        parts = [one[at : at + 1000] for at in range(0, len(one), 1000)]
+        for part, found in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.asarray(found.ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(cuts) != len(part) or cuts[-1] != 4 * len(ids):
+                self.update((w, self.ids(w)) for w in part)
+                continue
+            raw = ids.tobytes()
+            self.update(zip(part, map(raw.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
+        marks = {m: self.ids(m) for m in ".,"}
+        for w in two:
+            if w[:-1].isalpha():
+                self[w] = self[w[:-1]] + marks[w[-1]]
             else:
                 rest.append(w)
-        for group, ends in ((one, 1), (two, 2)):
-            parts = [group[at : at + 1000] for at in range(0, len(group), 1000)]
-            for part, found in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
-                ids = np.asarray(found.ids, "<u4")
-                cuts = (4 * (np.flatnonzero(self.last[ids]) + 1))[ends - 1 :: ends].tolist()
-                if len(cuts) != len(part) or cuts[-1] != 4 * len(ids):
-                    self.update((w, self.ids(w)) for w in part)
-                    continue
-                raw = ids.tobytes()
-                self.update(zip(part, map(raw.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
         self.update(zip(rest, (np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
 
 
+def _small(text: str) -> str:
+    """text in lower case, as the tokenizer takes it anyway, where that is plain: all characters up to U+00FF, and nothing like a special token, which only matches as it is."""
+    if "<|" in text:
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 #: Fixed value: characters at which Python splits but the tokenizer doesn't.
 NOT_SPACES = "\x1c\x1d\x1e\x1f"
 
@@ -76,7 +99,7 @@ def encoder(path: str, most: int = 1_000_000):
             elif any(c in text for c in NOT_SPACES):
                 out.append(words.ids(text))
             else:
-                own = text.split()
+                own = _small(text).split()
                 got = list(map(words.get, own))
                 if None in got:
                     gaps = [i for i, ids in enumerate(got) if ids is None]
