@@ -34,6 +34,12 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from morphlake.llm.substring_dedup import passages
+
+    return passages(table(spark, sf_dir, "documents"), least_words=50, words=5, percent=80)
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from morphlake.llm.jaccard_join import jaccard_components
 
@@ -55,6 +61,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model).select("doc_id", held(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from morphlake.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), top=20, every=20)
+
+
 def op9_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from morphlake.llm.pii import find_pii
 
@@ -122,9 +134,11 @@ QUERIES = {
     "op1_pack_sequences": op1_pack_sequences,
     "op2_line_dedup": op2_line_dedup,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_mixing": op6_mixing,
     "op7_language_id": op7_language_id,
+    "op8_nearest": op8_nearest,
     "op9_find_pii": op9_find_pii,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
