@@ -22,3 +22,13 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(scope="session")
+def grammar(tmp_path_factory):
+    sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+    from grammar_fixture import write
+
+    from morphlake.sources.grammar import load_grammar
+
+    return load_grammar(write(tmp_path_factory.mktemp("spanish")))
