@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from morphlake.functions.patterns import EMPTY, Node, Patterns, alphabet, expression, mirrored, singles, strings
+from morphlake.functions.patterns import EMPTY, Node, Patterns, alphabet, expression, literal, mirrored, singles, strings
 
 #: Placeholders of a simultaneous replacement lie here.
 HELD = 0x100000
@@ -90,7 +90,9 @@ class Rule:
 
 
 def make_rule(patterns: Patterns, pairs: list[tuple[str | None, str | None]], left: str | None = None, right: str | None = None, direction: str = "ltr", name: str = "", tests: list | None = None) -> Rule:
-    return Rule([(patterns.parse(a), strings(patterns.parse(b))) for a, b in pairs], patterns.parse(left), patterns.parse(right), direction or "ltr", name, tests or [])
+    """A rule from pattern strings; a right context that is # alone is the end of the word."""
+    after = literal(patterns.symbols.eow) if (right or "").strip() == "#" else patterns.parse(right)
+    return Rule([(patterns.parse(a), strings(patterns.parse(b))) for a, b in pairs], patterns.parse(left), after, direction or "ltr", name, tests or [])
 
 
 def rewritten(rules: list[Rule], codes: Column) -> Column:

@@ -1,4 +1,447 @@
-"""Queries over the driver's tables and the SQL that gives the same rows."""
+"""Queries over the driver's tables, one or more for each operator, and the SQL that gives the same rows.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Part names serve as roots (a space becomes the boundary `_`), brands as glosses, documents' words as forms to parse.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from morphlake.functions.rules import make_rule, rewritten
+from morphlake.functions.symbols import decoded, encoded, feature_key, feature_key_column
+from morphlake.operators import edit, paradigm, reports, resolution
+from morphlake.sources import lexicon as lex
+from morphlake.sources.grammar import Grammar
+
+VOWELS = "aeiou"
+CONSONANTS = "bcdfghjklmnpqrstvwxyz"
+LETTERS = VOWELS + CONSONANTS
+
+
+def demo_grammar() -> Grammar:
+    """Nouns with number and case over plain letters: a rule in the plural, and a contingent genitive plural."""
+    suffix = lambda v, stage="suffix": {"kind": "suffix", "value": v, "stage": stage}
+    files = {
+        "Inventory": {"letters": {"kind": "Inventory", "data": [{"ref": "<V>", "phones": list(VOWELS)}, {"ref": "<C>", "phones": list(CONSONANTS)}]}},
+        "Patterns": {"shapes": {"kind": "Patterns", "patterns": [{"ref": "<Short>", "pattern": "<C><V><C>_<Sigma>*"}, {"ref": "<Open>", "pattern": "<Sigma>*<V>#"}]}},
+        "Rules": {"rules": {"kind": "Rules", "rules": [
+            {"name": "raise", "input_pattern": "o", "output_pattern": "ue", "right_context": "<C>*#"},
+            {"name": "swap", "string_map": [["a", "e"], ["e", "a"], ["i", "o"]], "right_context": "<C>"},
+            {"name": "drop", "input_pattern": "l", "output_pattern": None, "right_context": "l|d"},
+            {"name": "insert", "input_pattern": None, "output_pattern": "e", "left_context": "t", "right_context": "#"},
+            {"name": "chain", "rule_sequence": ["$drop", "$raise"]},
+        ]}},
+        "PartOfSpeech": {"noun": {"kind": "PartOfSpeech", "name": "noun", "features": ["number", "case"], "lexical_features": ["p_type"], "principal_parts": []}},
+        "FeatureDefinitions": {"noun": {"kind": "FeatureDefinitions", "features": {"number": ["sg", "pl"], "case": ["nom", "gen"]}}},
+        "FeatureMarkers": {
+            "number": {"kind": "FeatureMarkers", "feature": "number", "markers": {"sg": None, "pl": [suffix("-s"), {"kind": "rule", "value": "$raise", "stage": "vowels"}]}},
+            "case": {"kind": "FeatureMarkers", "feature": "case", "markers": {"nom": None, "gen": [suffix("-n", "outer")]}},
+        },
+        "ContingentFeatureMarkers": {"gen_pl": {"kind": "ContingentFeatureMarkers", "features": ["number", "case"], "markers": [{"features": {"number": "pl", "case": "gen"}, "realization": [suffix("-n")]}]}},
+        "Paradigm": {"noun": {"kind": "Paradigm", "part_of_speech": "$noun", "feature_markers": {"number": "$number", "case": "$case"}, "stage_order": ["vowels", "suffix", "outer"], "contingent_markers": ["$gen_pl"]}},
+    }
+    return Grammar("", files)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """root, gloss, p_type, p_partkey of all parts."""
+    return table(spark, sf_dir, "part").select(F.translate("p_name", " ", "_").alias("root"), F.col("p_brand").alias("gloss"), "p_type", "p_partkey")
+
+
+def roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words(spark, sf_dir).select("root").distinct()
+
+
+ROOTS_SQL = "SELECT DISTINCT replace(p_name, ' ', '_') AS root FROM part"
+
+
+def lexicon_roots(spark, sf_dir):
+    return words(spark, sf_dir).select("root", "gloss").distinct()
+
+
+def gloss_roots(spark, sf_dir):
+    return lex.with_gloss(words(spark, sf_dir), "Brand#7").groupBy("root").agg(F.count("*").alias("n"))
+
+
+def lexical_feature_filter(spark, sf_dir):
+    return lex.with_features(table(spark, sf_dir, "part"), {"p_type": "PROMO", "p_brand": "Brand#3"}).select("p_partkey", "p_name")
+
+
+def first_row_lookup(spark, sf_dir):
+    return lex.first_rows(words(spark, sf_dir), "p_partkey").select("root", "gloss", "p_type")
+
+
+def principal_part_fallback(spark, sf_dir):
+    blank = words(spark, sf_dir).withColumn("stem", F.when(F.col("p_partkey") % 3 == 0, "").when(F.col("p_partkey") % 3 == 1, F.lower("gloss")))
+    return lex.principal_part(blank, "stem").groupBy("root", "stem").agg(F.count("*").alias("n"))
+
+
+def paradigm_roots(spark, sf_dir):
+    g = demo_grammar()
+    g.files["Paradigm"]["noun"]["filter"] = {"lexical_features": {"p_type": "SMALL"}, "pattern": "<C>+<V><C>_<Sigma>*"}
+    return paradigm.Paradigm(g, "noun").roots(words(spark, sf_dir)).groupBy("root").agg(F.count("*").alias("n"))
+
+
+def pattern_filter(spark, sf_dir):
+    g = demo_grammar()
+    pattern = "(<C>?<C>|{^aeiou_}<Phone>)<V>+<C>*_{bgrw}<Sigma>*"
+    return roots(spark, sf_dir).where(g.patterns.matches(encoded(g.symbols, F.col("root")), pattern))
+
+
+def pattern_test(spark, sf_dir):
+    g = demo_grammar()
+    own = roots(spark, sf_dir)
+    cases = own.select(F.lit("<Short>").alias("ref"), F.col("root").alias("string"), F.when(F.substring("root", 4, 1) == "_", "include").otherwise("exclude").alias("test_kind"))
+    cases = cases.unionByName(own.select(F.lit("<Open>").alias("ref"), F.col("root").alias("string"), F.lit("exclude").alias("test_kind")))
+    return reports.test_patterns(g, cases).groupBy("ref").agg(F.every("pass").alias("all_pass"), F.count_if("pass").alias("n_pass"), F.count("*").alias("n"))
+
+
+def _ruled(name):
+    def run(spark, sf_dir):
+        g = demo_grammar()
+        s = g.symbols
+        rows = roots(spark, sf_dir).withColumn("code", F.concat(F.lit(s.bow), encoded(s, F.col("root")), F.lit(s.eow)))
+        return rows.select("root", F.explode(rewritten(g.rules(name), F.col("code"))).alias("code")).select("root", decoded(s, F.col("code")).alias("form"))
+
+    return run
+
+
+def rewrite_many(spark, sf_dir):
+    """A rule with two outputs, by the general procedure."""
+    g = demo_grammar()
+    s = g.symbols
+    rule = make_rule(g.patterns, [("g", "{gk}")], None, "<V>")
+    rows = roots(spark, sf_dir).withColumn("code", F.concat(F.lit(s.bow), encoded(s, F.col("root")), F.lit(s.eow)))
+    return rows.select("root", F.explode(rewritten([rule], F.col("code"))).alias("code")).select("root", decoded(s, F.col("code")).alias("form"))
+
+
+def rule_test(spark, sf_dir):
+    cases = roots(spark, sf_dir).select(F.col("root").alias("input"), F.when(F.col("root").contains("rod"), F.replace("root", F.lit("rod"), F.lit("rued"))).otherwise(F.col("root")).alias("expected"))
+    out = reports.run_rule(demo_grammar(), "$raise", cases)
+    return out.select("input", "expected", F.element_at("output", 1).alias("output"), "pass")
+
+
+def feature_combos(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return resolution.feature_combos([orders.select(F.col(c).alias(a)).distinct().unionByName(spark.createDataFrame([("unmarked",)], f"{a} string")) for c, a in (("o_orderpriority", "priority"), ("o_orderstatus", "status"))])
+
+
+def _marker_tables(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderstatus").distinct()
+    cells = orders.select(F.concat_ws("/", "o_orderpriority", "o_orderstatus").alias("cell"), F.create_map(F.lit("priority"), "o_orderpriority", F.lit("status"), "o_orderstatus").alias("bundle"))
+    contingent = spark.createDataFrame(
+        [("c1", ["priority", "status"], 0, {"priority": "1-URGENT", "status": "F"}, 0, "uf"), ("c1", ["priority", "status"], 1, {"priority": "1-URGENT"}, 0, "u"), ("c1", ["priority", "status"], 1, {"priority": "1-URGENT"}, 1, "u2"), ("c2", ["status"], 0, {"status": "P"}, 0, "p")],
+        "file string, features array<string>, ord int, pattern map<string,string>, pos int, marker string",
+    )
+    regular = spark.createDataFrame([("r1", "priority", p, 0, p[:1]) for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW")] + [("r2", "status", v, 0, v.lower()) for v in "FOP"], "file string, feature string, value string, pos int, marker string")
+    return cells, contingent, regular
+
+
+def marker_resolution(spark, sf_dir):
+    return resolution.resolve_markers(*_marker_tables(spark, sf_dir))
+
+
+def unexpressed_features(spark, sf_dir):
+    return resolution.unexpressed(*_marker_tables(spark, sf_dir))
+
+
+def stage_order(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.substring("o_orderpriority", 3, 20).alias("stage"))
+    rank = resolution.stage_rank(F.col("stage"), ["HIGH", "URGENT", "LOW"])
+    return orders.select("o_orderkey", "stage", rank.alias("stage_rank"))
+
+
+def relation(spark, sf_dir) -> DataFrame:
+    return paradigm.inflected(spark, demo_grammar(), "noun", words(spark, sf_dir))
+
+
+def inflect_table(spark, sf_dir):
+    return relation(spark, sf_dir).select("paradigm", "root", "feature_key", "form", "form_tagged")
+
+
+def inflect_lookup(spark, sf_dir):
+    ask = words(spark, sf_dir).where("p_partkey % 2 = 0").select("p_partkey", "root", F.create_map(F.lit("number"), F.when(F.col("p_partkey") % 4 == 0, "pl").otherwise("sg"), F.lit("case"), F.lit("gen")).alias("features"))
+    return paradigm.inflect(relation(spark, sf_dir), paradigm.checked(demo_grammar(), "noun", ask)).select("p_partkey", "root", "feature_key", "form")
+
+
+def inflect_stages(spark, sf_dir):
+    own = words(spark, sf_dir)
+    ask = own.select("root").distinct().withColumn("feature_key", F.lit(feature_key({"number": "pl", "case": "nom"})))
+    out = paradigm.stages(demo_grammar(), "noun", ask, own)
+    return out.select("root", "stage_no", "stage", F.element_at("surface_forms", 1).alias("form"), "marker_kind", "marker_value")
+
+
+def parse_exact(spark, sf_dir):
+    own = words(spark, sf_dir)
+    forms = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.translate("p_name", " ", "_"), F.when(F.col("p_partkey") % 2 == 0, "-s").otherwise("-n")).alias("form"))
+    first = own.groupBy("root").agg(F.min_by("gloss", "p_partkey").alias("gloss"))
+    return paradigm.parse(relation(spark, sf_dir), forms, first).select("p_partkey", "form", "root", "feature_key", "gloss")
+
+
+def parse_ambiguous(spark, sf_dir):
+    forms = relation(spark, sf_dir).select("form").distinct()
+    return paradigm.parse(relation(spark, sf_dir), forms).groupBy("form").agg(F.count("*").alias("n_parses"), F.countDistinct("root").alias("n_roots"))
+
+
+def _misspelled(spark, sf_dir):
+    g = demo_grammar()
+    short = roots(spark, sf_dir).select(F.concat(F.expr("substring(root, 1, 2)"), F.expr("substring(root, 4)"), F.lit("-s")).alias("query")).distinct()
+    return short.withColumn("query_code", encoded(g.symbols, F.col("query")))
+
+
+def search_topk(spark, sf_dir):
+    return paradigm.search(relation(spark, sf_dir), _misspelled(spark, sf_dir), 5)
+
+
+def search_parse(spark, sf_dir):
+    own = words(spark, sf_dir)
+    first = own.groupBy("root").agg(F.min_by("gloss", "p_partkey").alias("gloss"))
+    return paradigm.search_parse(relation(spark, sf_dir), _misspelled(spark, sf_dir), first, 5).select("query", "form", "distance", "rank", "root", "feature_key", "gloss")
+
+
+def grammar_stats(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("kind")).agg(F.count_if(F.col("n_chars") > 0).alias("files"), F.count_if(F.col("n_chars") <= 0).alias("invalid_files"), F.countDistinct("source").alias("total"))
+
+
+def inflection_meta(spark, sf_dir):
+    g = demo_grammar()
+    values = g.features_table(spark)
+    meta = reports.inflection_meta(spark, g).select("name", F.explode("free_features").alias("feature"))
+    return meta.join(values, "feature").select("name", "feature", "value", "ord")
+
+
+def dup_first_wins(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(F.col("p_name").alias("root"), "p_partkey", "p_size")
+    return lex.first_rows(rows, "p_partkey").select("root", "p_partkey", "p_size")
+
+
+def _transitions(spark, sf_dir):
+    from pyspark.sql import Window
+
+    events = table(spark, sf_dir, "events")
+    after = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return events.select(F.col("event_type").alias("src"), after.alias("dst")).where("dst is not null").groupBy("src", "dst").agg(F.count("*").cast("double").alias("p"))
+
+
+def edit_cost_matrix(spark, sf_dir):
+    rows = _transitions(spark, sf_dir)
+    names = {"": 0, "click": 1, "error": 2, "purchase": 3, "signup": 4, "view": 5}
+    at = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    cells = rows.select(F.element_at(at, F.col("src")).alias("i"), F.element_at(at, F.col("dst")).alias("j"), "src", "dst", F.round(1 / F.col("p"), 9).alias("cost"))
+    ends = rows.groupBy("src").agg(F.sum("p").alias("p")).select(F.lit(0).alias("i"), F.element_at(at, F.col("src")).alias("j"), F.lit("").alias("src"), F.col("src").alias("dst"), F.round(1 / F.col("p"), 9).alias("cost"))
+    return edit.edit_costs(cells.unionByName(ends))
+
+
+def kl_uniform(spark, sf_dir):
+    return edit.kl_from_uniform(_transitions(spark, sf_dir)).select("src", F.round("kl", 6).alias("kl"))
+
+
+def conditional_kl(spark, sf_dir):
+    rows = _transitions(spark, sf_dir)
+    prior = rows.groupBy("src").agg(F.sum("p").alias("m")).crossJoin(rows.agg(F.sum("p").alias("t"))).select("src", (F.col("m") / F.col("t")).alias("prior"))
+    return edit.conditional_kl(rows, prior).select(F.round("kl", 6).alias("kl"))
+
+
+def _ascii_words(spark, sf_dir, column):
+    return table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias(column)).distinct()
+
+
+def trie_csr(spark, sf_dir):
+    return edit.trie_csr(_ascii_words(spark, sf_dir, "word"))
+
+
+def beam_exact(spark, sf_dir):
+    own = table(spark, sf_dir, "part")
+    left = own.where("p_size <= 30").select(F.col("p_name").alias("query"))
+    right = own.where("p_size > 20").select(F.col("p_name").alias("word"))
+    return edit.beam_search(left, right, num_beam=5)
+
+
+def beam_fuzzy(spark, sf_dir):
+    """Beams wide enough to be exact: every pair of first words within the trie."""
+    left = table(spark, sf_dir, "part").select(F.split("p_name", " ")[0].alias("query")).distinct().where("length(query) <= 3")
+    right = table(spark, sf_dir, "part").select(F.split("p_name", " ")[0].alias("word")).distinct().where("length(word) <= 4")
+    return edit.beam_search(left, right, num_beam=3000, fuzzy=True, longest=8)
+
+
+def weighted_edits(spark, sf_dir):
+    own = _ascii_words(spark, sf_dir, "a")
+    pairs = own.crossJoin(F.broadcast(_ascii_words(spark, sf_dir, "b")))
+    return pairs.select("a", "b", edit.weighted_distance(F.col("a"), F.col("b"), bound=4.0).alias("distance")).where("distance is not null")
+
+
+def symbol_round_trip(spark, sf_dir):
+    g = demo_grammar()
+    code = encoded(g.symbols, F.translate("p_name", " ", "_"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.length(code).alias("n_symbols"), decoded(g.symbols, code).alias("form"))
+
+
+def feature_keys(spark, sf_dir):
+    bundle = F.create_map(F.lit("status"), "o_orderstatus", F.lit("priority"), "o_orderpriority")
+    return table(spark, sf_dir, "orders").select(feature_key_column(bundle).alias("feature_key")).groupBy("feature_key").agg(F.count("*").alias("n"))
+
+
+SUFFIXES = ["ing", "ed", "er", "tion", "ble", "es", "eux", "ment", "elle", "ción", "mente", "ado", "ung", "keit", "lich", "en"]
+
+
+def doc_token_parse(spark, sf_dir):
+    """Words of all documents as stem and suffix: split once a distinct word, joined to the suffixes by equality."""
+    tokens = table(spark, sf_dir, "documents").select("lang", F.explode(F.split("text", r"[ \n]+")).alias("token")).groupBy("lang", "token").agg(F.count("*").alias("n")).where("length(token) > 2")
+    cut = tokens.select("lang", "token", "n", F.explode(F.sequence(F.lit(2), F.least(F.lit(5), F.length("token") - 1))).alias("k")).select("lang", "n", F.expr("substring(token, 1, length(token) - k)").alias("stem"), F.expr("substring(token, length(token) - k + 1)").alias("suffix"))
+    suffixes = spark.createDataFrame([(s,) for s in SUFFIXES], "suffix string")
+    return cut.join(F.broadcast(suffixes), "suffix").groupBy("lang", "suffix").agg(F.sum("n").alias("n_tokens"), F.countDistinct("stem").alias("n_stems"))
+
+
+QUERIES = {
+    "lexicon_roots": lexicon_roots,
+    "gloss_roots": gloss_roots,
+    "lexical_feature_filter": lexical_feature_filter,
+    "first_row_lookup": first_row_lookup,
+    "principal_part_fallback": principal_part_fallback,
+    "paradigm_roots": paradigm_roots,
+    "pattern_filter": pattern_filter,
+    "pattern_test": pattern_test,
+    "rewrite_simple": _ruled("raise"),
+    "rewrite_string_map": _ruled("swap"),
+    "rewrite_deletion": _ruled("drop"),
+    "rewrite_insertion": _ruled("insert"),
+    "rule_sequence": _ruled("chain"),
+    "rewrite_many": rewrite_many,
+    "rule_test": rule_test,
+    "feature_combos": feature_combos,
+    "marker_resolution": marker_resolution,
+    "unexpressed_features": unexpressed_features,
+    "stage_order": stage_order,
+    "inflect_table": inflect_table,
+    "inflect_lookup": inflect_lookup,
+    "inflect_stages": inflect_stages,
+    "parse_exact": parse_exact,
+    "parse_ambiguous": parse_ambiguous,
+    "search_topk": search_topk,
+    "search_parse": search_parse,
+    "grammar_stats": grammar_stats,
+    "inflection_meta": inflection_meta,
+    "dup_first_wins": dup_first_wins,
+    "edit_cost_matrix": edit_cost_matrix,
+    "kl_uniform": kl_uniform,
+    "conditional_kl": conditional_kl,
+    "trie_csr": trie_csr,
+    "beam_exact": beam_exact,
+    "beam_fuzzy": beam_fuzzy,
+    "weighted_edits": weighted_edits,
+    "symbol_round_trip": symbol_round_trip,
+    "feature_keys": feature_keys,
+    "doc_token_parse": doc_token_parse,
+}
+
+RAISED = "regexp_replace(root, 'o([^aeiou_]*)$', 'ue\\1')"
+FORMS_SQL = f"""
+SELECT root, '[case=nom][number=sg]' AS feature_key, root AS form FROM ({ROOTS_SQL})
+UNION ALL SELECT root, '[case=gen][number=sg]', root || '-n' FROM ({ROOTS_SQL})
+UNION ALL SELECT root, '[case=nom][number=pl]', {RAISED} || '-s' FROM ({ROOTS_SQL})
+UNION ALL SELECT root, '[case=gen][number=pl]', root || '-n' FROM ({ROOTS_SQL})"""
+GLOSS_SQL = "SELECT replace(p_name, ' ', '_') AS root, arg_min(p_brand, p_partkey) AS gloss FROM part GROUP BY 1"
+SEARCH_SQL = f"""
+WITH f AS ({FORMS_SQL}), d AS (SELECT DISTINCT form FROM f),
+q AS (SELECT DISTINCT substr(root, 1, 2) || substr(root, 4) || '-s' AS query FROM ({ROOTS_SQL})),
+m AS (SELECT query, form, levenshtein(query, form) AS distance FROM q, d WHERE levenshtein(query, form) <= 5),
+r AS (SELECT query, form, distance::DOUBLE AS distance, row_number() OVER (PARTITION BY query ORDER BY distance, form)::INT AS rank FROM m)
+"""
+TRANSITIONS_SQL = """
+e AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events),
+t AS (SELECT src, dst, count(*)::DOUBLE AS p FROM e WHERE dst IS NOT NULL GROUP BY ALL)"""
+KL_SQL = f"WITH {TRANSITIONS_SQL}, s AS (SELECT src, p / sum(p) OVER (PARTITION BY src) AS p, count(*) OVER (PARTITION BY src) AS n FROM t), k AS (SELECT src, sum(p * ln(p * n)) AS kl FROM s GROUP BY src)"
+
+
+def _rewrite_sql(expression: str) -> str:
+    return f"SELECT root, {expression} AS form FROM ({ROOTS_SQL})"
+
+
+ORACLES = {
+    "lexicon_roots": "SELECT DISTINCT replace(p_name, ' ', '_') AS root, p_brand AS gloss FROM part",
+    "gloss_roots": "SELECT replace(p_name, ' ', '_') AS root, count(*) AS n FROM part WHERE p_brand = 'Brand#7' GROUP BY 1",
+    "lexical_feature_filter": "SELECT p_partkey, p_name FROM part WHERE p_type = 'PROMO' AND p_brand = 'Brand#3'",
+    "first_row_lookup": "SELECT replace(p_name, ' ', '_') AS root, p_brand AS gloss, p_type FROM part QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) = 1",
+    "principal_part_fallback": """
+        WITH x AS (SELECT replace(p_name, ' ', '_') AS root, CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN lower(p_brand) END AS pp FROM part)
+        SELECT root, coalesce(nullif(pp, ''), root) AS stem, count(*) AS n FROM x GROUP BY ALL""",
+    "paradigm_roots": "SELECT replace(p_name, ' ', '_') AS root, count(*) AS n FROM part WHERE p_type = 'SMALL' AND regexp_full_match(p_name, '[^aeiou ]+[aeiou][^aeiou ] .*') GROUP BY 1",
+    "pattern_filter": f"SELECT root FROM ({ROOTS_SQL}) WHERE regexp_full_match(root, '([^aeiou_]?[^aeiou_]|[^aeiou_][a-z])[aeiou]+[^aeiou_]*_[bgrw].*')",
+    "pattern_test": f"""
+        WITH c AS (SELECT '<Short>' AS ref, regexp_full_match(root, '[^aeiou_][aeiou][^aeiou_]_.*') = (substr(root, 4, 1) = '_') AS pass FROM ({ROOTS_SQL})
+          UNION ALL SELECT '<Open>', NOT regexp_full_match(root, '.*[aeiou]') FROM ({ROOTS_SQL}))
+        SELECT ref, bool_and(pass) AS all_pass, count(*) FILTER (WHERE pass) AS n_pass, count(*) AS n FROM c GROUP BY ref""",
+    "rewrite_simple": _rewrite_sql(RAISED),
+    "rewrite_string_map": _rewrite_sql("translate(regexp_replace(regexp_replace(regexp_replace(root, 'a([b-df-hj-np-tv-z])', '1\\1', 'g'), 'e([b-df-hj-np-tv-z])', '2\\1', 'g'), 'i([b-df-hj-np-tv-z])', '3\\1', 'g'), '123', 'eao')"),
+    "rewrite_deletion": _rewrite_sql("replace(replace(root, 'll', 'l'), 'ld', 'd')"),
+    "rewrite_insertion": _rewrite_sql("regexp_replace(root, 't$', 'te')"),
+    "rule_sequence": _rewrite_sql("regexp_replace(replace(replace(root, 'll', 'l'), 'ld', 'd'), 'o([^aeiou_]*)$', 'ue\\1')"),
+    "rewrite_many": f"""
+        WITH r AS (SELECT root, regexp_replace(regexp_replace(root, 'g([aeiou])', '1\\1'), 'g([aeiou])', '2\\1') AS x FROM ({ROOTS_SQL}))
+        SELECT DISTINCT root, replace(replace(x, '1', a), '2', b) AS form FROM r, unnest(['g', 'k']) t(a), unnest(['g', 'k']) u(b)""",
+    "rule_test": f"""
+        WITH c AS (SELECT root, replace(root, 'rod', 'rued') AS expected, {RAISED} AS output FROM ({ROOTS_SQL}))
+        SELECT root AS input, expected, output, expected = output AS pass FROM c""",
+    "feature_combos": """
+        SELECT priority, status FROM (SELECT DISTINCT o_orderpriority AS priority FROM orders UNION ALL SELECT 'unmarked') a,
+          (SELECT DISTINCT o_orderstatus AS status FROM orders UNION ALL SELECT 'unmarked') b""",
+    "marker_resolution": """
+        WITH c AS (SELECT DISTINCT o_orderpriority || '/' || o_orderstatus AS cell, o_orderpriority AS p, o_orderstatus AS s FROM orders),
+        h AS (SELECT cell, 'c1' AS file, 'priority+status' AS feature, v.pos, v.marker FROM c, (VALUES ('F', 0, 'uf'), ('x', 0, 'u'), ('x', 1, 'u2')) v(k, pos, marker)
+            WHERE p = '1-URGENT' AND (s = 'F') = (v.k = 'F')
+          UNION ALL SELECT cell, 'c2', 'status', 0, 'p' FROM c WHERE s = 'P')
+        SELECT * FROM h
+        UNION ALL SELECT cell, 'r1', 'priority', 0, substr(p, 1, 1) FROM c WHERE p IN ('2-HIGH', '3-MEDIUM', '5-LOW')
+        UNION ALL SELECT cell, 'r2', 'status', 0, lower(s) FROM c WHERE p <> '1-URGENT' AND s <> 'P'""",
+    "unexpressed_features": "SELECT DISTINCT o_orderpriority || '/' || o_orderstatus AS cell, 'priority' AS feature FROM orders WHERE o_orderpriority = '4-NOT SPECIFIED'",
+    "stage_order": "SELECT o_orderkey, substr(o_orderpriority, 3) AS stage, CASE substr(o_orderpriority, 3) WHEN 'HIGH' THEN 1 WHEN 'URGENT' THEN 2 WHEN 'LOW' THEN 3 ELSE 2147483647 END::BIGINT AS stage_rank FROM orders",
+    "inflect_table": f"SELECT 'noun' AS paradigm, root, feature_key, form, form AS form_tagged FROM ({FORMS_SQL})",
+    "inflect_lookup": f"""
+        WITH f AS ({FORMS_SQL}), a AS (SELECT p_partkey, replace(p_name, ' ', '_') AS root, '[case=gen][number=' || CASE WHEN p_partkey % 4 = 0 THEN 'pl' ELSE 'sg' END || ']' AS feature_key FROM part WHERE p_partkey % 2 = 0)
+        SELECT p_partkey, root, feature_key, form FROM a JOIN f USING (root, feature_key)""",
+    "inflect_stages": f"""
+        WITH r AS (SELECT root, {RAISED} AS up FROM ({ROOTS_SQL}))
+        SELECT root, 0 AS stage_no, 'Initial' AS stage, root AS form, '' AS marker_kind, '' AS marker_value FROM r
+        UNION ALL SELECT root, 1, 'vowels', up, 'rule', '$raise' FROM r
+        UNION ALL SELECT root, 2, 'suffix', up || '-s', 'suffix', '-s' FROM r
+        UNION ALL SELECT root, 3, 'Final', up || '-s', '', '' FROM r""",
+    "parse_exact": f"""
+        WITH f AS ({FORMS_SQL}), a AS (SELECT p_partkey, replace(p_name, ' ', '_') || CASE WHEN p_partkey % 2 = 0 THEN '-s' ELSE '-n' END AS form FROM part)
+        SELECT p_partkey, form, root, feature_key, gloss FROM a JOIN f USING (form) LEFT JOIN ({GLOSS_SQL}) USING (root)""",
+    "parse_ambiguous": f"SELECT form, count(*) AS n_parses, count(DISTINCT root) AS n_roots FROM ({FORMS_SQL}) GROUP BY form",
+    "search_topk": f"{SEARCH_SQL} SELECT query, form, distance, rank FROM r WHERE rank <= 5",
+    "search_parse": f"{SEARCH_SQL} SELECT query, form, distance, rank, root, feature_key, gloss FROM r JOIN f USING (form) LEFT JOIN ({GLOSS_SQL}) USING (root) WHERE rank <= 5",
+    "grammar_stats": "SELECT lang AS kind, count(*) FILTER (WHERE n_chars > 0) AS files, count(*) FILTER (WHERE n_chars <= 0) AS invalid_files, count(DISTINCT source) AS total FROM documents GROUP BY lang",
+    "inflection_meta": "SELECT 'noun' AS name, feature, value, ord FROM (VALUES ('number', 'sg', 0), ('number', 'pl', 1), ('number', 'unmarked', 2), ('case', 'nom', 0), ('case', 'gen', 1), ('case', 'unmarked', 2)) v(feature, value, ord)",
+    "dup_first_wins": "SELECT p_name AS root, p_partkey, p_size FROM part QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) = 1",
+    "edit_cost_matrix": f"""
+        WITH {TRANSITIONS_SQL}
+        SELECT src, dst, round(1 / p, 9) AS cost, 'substitute' AS op FROM t WHERE src <> dst
+        UNION ALL SELECT '', src, round(1 / sum(p), 9), 'insert' FROM t GROUP BY src""",
+    "kl_uniform": f"{KL_SQL} SELECT src, round(kl, 6) AS kl FROM k",
+    "conditional_kl": f"{KL_SQL}, w AS (SELECT src, sum(p) / (SELECT sum(p) FROM t) AS prior FROM t GROUP BY src) SELECT round(avg(prior * kl), 6) AS kl FROM k JOIN w USING (src)",
+    "trie_csr": """
+        WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part),
+        p AS (SELECT DISTINCT substr(word, 1, n) AS prefix FROM w, range(0, 60) t(n) WHERE n <= length(word)),
+        a AS (SELECT p.prefix, count(c.prefix) AS n_arcs, bool_or(w.word IS NOT NULL) AS final FROM p
+          LEFT JOIN p c ON length(c.prefix) = length(p.prefix) + 1 AND starts_with(c.prefix, p.prefix) LEFT JOIN w ON w.word = p.prefix GROUP BY p.prefix)
+        SELECT prefix, n_arcs, (coalesce(sum(n_arcs) OVER (ORDER BY prefix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "offset", final FROM a""",
+    "beam_exact": "SELECT DISTINCT p_name AS q, p_name AS labels, 0.0::DOUBLE AS weight FROM part WHERE p_size <= 30 AND p_name IN (SELECT p_name FROM part WHERE p_size > 20)",
+    "beam_fuzzy": """
+        WITH w AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS x FROM part)
+        SELECT a.x AS q, b.x AS labels, levenshtein(a.x, b.x)::DOUBLE AS weight FROM w a, w b WHERE length(a.x) <= 3 AND length(b.x) <= 4""",
+    "weighted_edits": """
+        WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS x FROM part)
+        SELECT a.x AS a, b.x AS b, levenshtein(a.x, b.x)::DOUBLE AS distance FROM w a, w b WHERE levenshtein(a.x, b.x) <= 4""",
+    "symbol_round_trip": "SELECT p_partkey, length(p_name)::INT AS n_symbols, replace(p_name, ' ', '_') AS form FROM part",
+    "feature_keys": "SELECT '[priority=' || o_orderpriority || '][status=' || o_orderstatus || ']' AS feature_key, count(*) AS n FROM orders GROUP BY 1",
+    "doc_token_parse": f"""
+        WITH t AS (SELECT lang, token, count(*) AS n FROM (SELECT lang, unnest(regexp_split_to_array(text, '[ \\n]+')) AS token FROM documents) WHERE length(token) > 2 GROUP BY ALL),
+        c AS (SELECT lang, n, substr(token, 1, length(token) - k) AS stem, substr(token, length(token) - k + 1) AS suffix FROM t, range(2, 6) r(k) WHERE k < length(token))
+        SELECT lang, suffix, sum(n)::BIGINT AS n_tokens, count(DISTINCT stem) AS n_stems FROM c WHERE suffix IN ({", ".join(f"'{s}'" for s in SUFFIXES)}) GROUP BY ALL""",
+}
