@@ -102,15 +102,15 @@ def _matrix(column, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
 
 
-def nearest(vectors: DataFrame, top: int = 20, every: int = 20, probes: float = 0.75, least_probes: int = 16, rerank: int = 10, sample: int = 20000, block: int = 16384, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, top: int = 20, every: int = 20, probes: float = 0.75, least_probes: int = 16, rerank: int = 10, sample: int = 20000, block: int = 65536, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every`, the `top` rows of greatest inner product, its own row aside.
 
     Equal vectors are one entry with their smallest top + 1 ids, as many as can be asked for. The index is
     fitted on at most `sample` entries (least hash first) and holds all. Each query scans the codes
     of the share `probes` of the cells (at least `least_probes`) whose centres have the greatest inner product with it, by
     tables of 16 sums a stretch; the best rerank * top entries meet their original vectors, and
-    double-precision inner products decide, ties to the smaller id. Cells are scanned in blocks of
-    entries and queries, so no cell makes a task of unbounded size.
+    double-precision inner products decide, ties to the smaller id. Cells are scanned in parts of about `block`
+    entries and in groups of queries, so no cell makes a task of unbounded size.
 
     Vectors that are null, all zero, of another length than most, or hold null or non-finite components
     take no part, nor do rows with a null id; rows that repeat (one id, one vector) count once.
@@ -150,6 +150,18 @@ def nearest(vectors: DataFrame, top: int = 20, every: int = 20, probes: float =
             packed = codes[:, ::2] | codes[:, 1::2] << 4
             yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), batch.column(0), pa.array([r.tobytes() for r in packed], pa.binary())], ["cell", "e", "codes"])
 
+    coded = written(entries.select("e", "v").mapInArrow(code, "cell int, e long, codes binary"), "codes")
+    # at most sample / 39 cells: neighbouring ones make up a part of about `block` entries, a larger one several
+    part, parts, filled = {}, 0, 0
+    for r in sorted(coded.groupBy("cell").count().collect()):
+        own = -(-r["count"] // block)
+        if own > 1 or filled + r["count"] > block:
+            parts, filled = parts + bool(filled), 0
+        part[r["cell"]] = (parts, own)
+        parts, filled = (parts + own, 0) if own > 1 else (parts, filled + r["count"])
+    asking = rows.where(F.col("id") % every == 0).select("id", "v")
+    groups = max(1, min(asking.count() // 32, 24), -(-asking.count() // 4096))  # of queries
+
     def probe(batches):
         import pyarrow as pa
 
@@ -159,41 +171,52 @@ def nearest(vectors: DataFrame, top: int = 20, every: int = 20, probes: float =
             if not len(x):
                 continue
             best = np.argpartition(-(x @ index.centres.T), asked - 1, axis=1)[:, :asked]
-            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), asked)
-            yield pa.RecordBatch.from_arrays([pa.array(best.ravel().astype(np.int32)), pa.array(ids), batch.column(1).take(pa.array(np.repeat(np.arange(len(x)), asked)))], ["cell", "q", "v"])
-
-    coded = written(entries.select("e", "v").mapInArrow(code, "cell int, e long, codes binary"), "codes")
-    probing = rows.where(F.col("id") % every == 0).select("id", "v").mapInArrow(probe, "cell int, q long, v array<double>")
-    blocks = written(coded.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("nb")), "blocks")  # a row for each cell, of which there are at most sample / 39
-    held = coded.join(F.broadcast(blocks), "cell").withColumn("part", F.pmod(F.xxhash64("e"), F.col("nb")).cast("int"))
-    sent = probing.join(F.broadcast(blocks.select("cell", (F.col("nb") - 1).alias("last"))), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("last"))))
+            row, to, cells_of = [], [], []
+            for k, own in enumerate(best.tolist()):
+                by: dict[int, list[int]] = {}
+                for c in own:
+                    first, more = part.get(c, (0, 0))
+                    for p in range(first, first + more):
+                        by.setdefault(p, []).append(c)
+                row += [k] * len(by)
+                to += by
+                cells_of += by.values()
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), batch.column(0).take(pa.array(row, pa.int64())), batch.column(1).take(pa.array(row, pa.int64())), pa.array(cells_of, pa.list_(pa.int32()))], ["part", "q", "v", "cells"])
+
+    sent = asking.mapInArrow(probe, "part int, q long, v array<double>, cells array<int>").withColumn("turn", F.pmod(F.xxhash64("q"), F.lit(groups)))
+    places = spark.createDataFrame([(c, p, n) for c, (p, n) in part.items()], "cell int, first int, nb int")
+    held = coded.join(F.broadcast(places), "cell").withColumn("part", (F.col("first") + F.pmod(F.xxhash64("e"), F.col("nb"))).cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>")))
     take = rerank * top
 
-    def scan(key, queries: pd.DataFrame, codes: pd.DataFrame) -> pd.DataFrame:
-        out = {"q": [], "e": [], "near": []}
+    def scan(queries: pd.DataFrame, codes: pd.DataFrame) -> pd.DataFrame:
+        out: tuple[list, list, list] = ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)])
         if len(queries) and len(codes):
             index = shared.value
             raw = np.frombuffer(b"".join(codes["codes"]), np.uint8).reshape(len(codes), -1)
             stretches, _, width = index.words.shape
             four = np.empty((raw.shape[1] * 2, len(codes)), np.intp)
             four[::2], four[1::2] = (raw & 15).T, (raw >> 4).T
-            x = np.array(queries["v"].tolist())
-            e = codes["e"].to_numpy()
-            base = x @ index.centres[int(key[0])]
-            n = min(take, len(e))
-            for at in range(0, len(x), 256):
-                own = x[at : at + 256]
-                tables = np.einsum("qmw,mcw->mcq", own.reshape(len(own), stretches, width), index.words).astype(np.float32)
-                near = np.zeros((len(e), len(own)), np.float32)
+            cell, e = codes["cell"].to_numpy(), codes["e"].to_numpy()
+            for at in range(0, len(queries), 64):
+                some = queries.iloc[at : at + 64]
+                x = np.array(some["v"].tolist())
+                tables = np.einsum("qmw,mcw->mcq", x.reshape(len(x), stretches, width), index.words).astype(np.float32)
+                near = (x @ index.centres.T).T.astype(np.float32)[cell]
                 for m in range(stretches):
                     near += tables[m][four[m]]
+                probed = np.zeros((len(index.centres), len(x)), bool)
+                for k, own in enumerate(some["cells"]):
+                    probed[own, k] = True
+                near[~probed[cell]] = -np.inf
+                n = min(take, len(e))
                 best = np.argpartition(-near, n - 1, axis=0)[:n]
-                out["q"].append(np.repeat(queries["q"].to_numpy()[at : at + 256], n))
-                out["e"].append(e[best].T.ravel())
-                out["near"].append((np.take_along_axis(near, best, 0) + base[at : at + 256]).T.ravel().astype(np.float64))
-        return pd.DataFrame({"q": np.concatenate(out["q"] or [np.zeros(0, np.int64)]), "e": np.concatenate(out["e"] or [np.zeros(0, np.int64)]), "near": np.concatenate(out["near"] or [np.zeros(0)])})
+                score = np.take_along_axis(near, best, 0).T.ravel().astype(np.float64)
+                fine = np.isfinite(score)
+                for to, new in zip(out, (np.repeat(some["q"].to_numpy(), n), e[best].T.ravel(), score), strict=True):
+                    to.append(new[fine])
+        return pd.DataFrame({c: np.concatenate(x) for c, x in zip(("q", "e", "near"), out, strict=True)})
 
-    near = sent.select("cell", "part", "q", "v").groupBy("cell", "part").cogroup(held.select("cell", "part", "e", "codes").groupBy("cell", "part")).applyInPandas(scan, "q long, e long, near double")
+    near = sent.select("part", "turn", "q", "v", "cells").groupBy("part", "turn").cogroup(held.select("part", "turn", "cell", "e", "codes").groupBy("part", "turn")).applyInPandas(scan, "q long, e long, near double")
     chosen = near.withColumn("k", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("near"), "e"))).where(F.col("k") <= take).select("q", "e")
     exact = chosen.join(entries.select("e", F.col("v").alias("x"), "ids"), "e").join(rows.where(F.col("id") % every == 0).select(F.col("id").alias("q"), "v"), "q")
     dot = F.aggregate(F.zip_with("v", "x", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
