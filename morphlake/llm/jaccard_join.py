@@ -13,6 +13,8 @@ from morphlake.llm.shingles import sets
 
 #: Members that one traversal compares at most; larger groups are dealt out by size band and block.
 BLOCK = 4096
+#: The same for whole sets.
+SETS = 512
 #: The part of the hash space whose shingles are in bitmaps: 1 / 2 ** PART.
 PART = 2
 FAN = 4
@@ -90,17 +92,15 @@ def traverse(left: Node, right: Node, percent: int, same: bool):
             stack += [(a, x) for x in b.children]
 
 
-def survivors(members: list[tuple], percent: int, most: int | None = None):
-    """Pairs (i, j) of members (size, bits, inside, group, side) that may link; members of sides "a" and "b" meet only the other side, all others everyone.
+def survivors(members: list[tuple], percent: int):
+    """Pairs (i, j) of members (size, bits, inside, group, side) that may link; members of side 1 or 2 meet only the other side, those of 0 everyone.
 
     Bitmaps are as wide as the power of two that a set's size doesn't exceed, so trees are by width; neighbours meet at the smaller width.
-    most: only that many pairs for each member are asked for.
     """
     widths: dict[int, list[int]] = {}
     for i in sorted(range(len(members)), key=lambda i: (members[i][0], members[i][3])):
         widths.setdefault(width_of(members[i][0]), []).append(i)
     trees = {w: tree([members[i][:4] for i in own], w) for w, own in widths.items()}
-    given = [0] * len(members)
     for w, own in widths.items():
         runs = [(own, trees[w], own, trees[w])]
         if 2 * w in widths:
@@ -109,11 +109,8 @@ def survivors(members: list[tuple], percent: int, most: int | None = None):
         for x, tx, y, ty in runs:
             for p, q in traverse(tx, ty, percent, tx is ty):
                 i, j = x[p], y[q]
-                if members[i][4] and members[i][4] == members[j][4] or (most and given[i] >= most and given[j] >= most):
-                    continue
-                given[i] += 1
-                given[j] += 1
-                yield i, j
+                if not members[i][4] or members[i][4] != members[j][4]:
+                    yield i, j
 
 
 def width_of(size: int) -> int:
@@ -151,27 +148,54 @@ def _profiles(rows: DataFrame, size: int, percent: int) -> DataFrame:
     return rows.select("k", "doc_id", "text").mapInArrow(run, schema)
 
 
-def _dealt(members: DataFrame, percent: int) -> DataFrame:
-    """members(token, s, n, ...) with the group that compares them and their side in it.
+def _dealt(members: DataFrame, percent: int, key: str, most: int) -> DataFrame:
+    """members(key, s, n, ...) with the group that compares them, their side in it and whether it is their own band's.
 
-    A token's members are one group, or if there are more than BLOCK, one group for each size band
-    (a band's documents meet their own and the next band's), or for each pair of blocks of a band.
+    The members of a key are one group, or if there are more than `most`, one group for each size band
+    (a band's sets meet their own and the band's below), or for each pair of blocks of a band.
     """
     ratio = math.log(100 / percent) if percent < 100 else 1.0
     band = F.floor(F.log(F.col("n").cast("double")) / ratio).cast("int")
-    counts = members.groupBy("token").agg(F.count("*").alias("m"))
-    rows = members.join(counts, "token")
-    small = rows.where(F.col("m") <= BLOCK).withColumns({"band": F.lit(-1), "i": F.lit(0), "j": F.lit(0), "side": F.lit(0)})
-    large = rows.where(F.col("m") > BLOCK).withColumn("band", band)
-    large = large.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1))).withColumn("home", F.col("band") == band)
-    sized = large.groupBy("token", "band").agg(F.count("*").alias("mb")).withColumn("nb", F.ceil(F.col("mb") / BLOCK).cast("int"))
-    large = large.join(sized, ["token", "band"]).withColumn("own", F.pmod(F.xxhash64("s"), F.col("nb")).cast("int"))
+    rows = members.join(members.groupBy(key).agg(F.count("*").alias("m")), key)
+    small = rows.where(F.col("m") <= most).withColumns({"band": F.lit(-1), "i": F.lit(0), "j": F.lit(0), "side": F.lit(0), "home": F.lit(True)})
+    large = rows.where(F.col("m") > most).withColumn("band", F.explode(F.array(band, band + 1))).withColumn("home", F.col("band") == band)
+    sized = large.groupBy(key, "band").agg(F.ceil(F.count("*") / most).cast("int").alias("nb"))
+    large = large.join(sized, [key, "band"]).withColumn("own", F.pmod(F.xxhash64("s"), F.col("nb")).cast("int"))
     large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     large = large.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).withColumn("side", F.when(F.col("i") == F.col("j"), F.lit(0)).when(F.col("own") == F.col("i"), F.lit(1)).otherwise(F.lit(2)))
-    names = ["token", "band", "i", "j", "side", *(c for c in members.columns if c != "token")]
+    names = [key, "band", "i", "j", "side", "home", *(c for c in members.columns if c != key)]
     return small.select(names).unionByName(large.select(names))
 
 
+def _by_group(dealt: DataFrame, key: str, columns: list[str], judge, schema: str) -> DataFrame:
+    """judge(rows of columns) for each group with more than one row, streamed: groups are dealt out by their keys and sorted, so a task holds one group at a time."""
+    keys = [key, "band", "i", "j"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        names = [c.split()[0] for c in schema.split(", ")]
+        rows, last, out = [], None, []
+        for batch in batches:
+            at = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)])
+            cuts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            own = list(zip(*(batch.column(4 + k).to_pylist() for k in range(len(columns))), strict=True))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a or tuple(at[:, 0].tolist()) != last:
+                    out += judge(rows) if len(rows) > 1 else ()
+                    rows = []
+                rows = rows + own[a:b] if rows else own[a:b]
+            last = tuple(at[:, -1].tolist()) if batch.num_rows else last
+            if len(out) > 10000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
+                out = []
+        out += judge(rows) if len(rows) > 1 else ()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
+
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).select(*keys, *columns).mapInArrow(run, schema)
+
+
 def _few(members: list[tuple], percent: int):
     """What survivors gives, for a group so small that a tree has nothing to save."""
     for i in range(1, len(members)):
@@ -191,75 +215,97 @@ def _few(members: list[tuple], percent: int):
                 yield j, i
 
 
-def _candidates(dealt: DataFrame, percent: int, most: int | None) -> DataFrame:
-    """(a, b): sets that a traversal leaves over, a < b."""
-    keys = ["token", "band", "i", "j"]
-    columns = ["n", "bits", "inside", "g", "side", "s", "late"]
+class Union:
+    """Disjoint sets of the numbers below n."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, a: int) -> int:
+        while self.up[a] != a:
+            self.up[a] = a = self.up[self.up[a]]
+        return a
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        self.up[b] = a
+        return a != b
 
-    def pairs(rows: list[tuple]) -> set:
+
+def _candidates(dealt: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a spanning forest, for each group, of the pairs that a traversal leaves over."""
+
+    def judge(rows: list[tuple]) -> list:
         members = [r[:5] for r in rows]
         if len(rows) <= 12:
             found = _few(members, percent)
         else:
-            found = survivors([(n, int.from_bytes(bits, "little"), *rest) for n, bits, *rest in members], percent, most)
-        out = set()
+            found = survivors([(n, int.from_bytes(bits, "little"), *rest) for n, bits, *rest in members], percent)
+        forest, out = Union(len(rows)), []
         for i, j in found:
-            a, b = rows[i][5], rows[j][5]
-            if a != b and not (rows[i][6] and rows[j][6]):
-                out.add((a, b) if a < b else (b, a))
+            if not (rows[i][6] and rows[j][6]) and rows[i][5] != rows[j][5] and forest.join(i, j):
+                out.append((min(rows[i][5], rows[j][5]), max(rows[i][5], rows[j][5])))
         return out
 
-    def run(batches):
-        rows, key, found = [], None, set()
-        for batch in batches:
-            names = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in keys])
-            cuts = [0, *(np.flatnonzero((names[:, 1:] != names[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
-            own = list(zip(*(batch.column(c).to_pylist() for c in columns), strict=True))
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                this = tuple(names[:, a].tolist()) if a == 0 else None
-                if a or this != key:
-                    found |= pairs(rows) if len(rows) > 1 else set()
-                    rows = []
-                rows = rows + own[a:b] if rows else own[a:b]
-            key = tuple(names[:, -1].tolist()) if batch.num_rows else key
-            if len(found) > 20000:
-                yield table(found)
-                found = set()
-        found |= pairs(rows) if len(rows) > 1 else set()
-        yield table(found)
-
-    def table(found):
-        import pyarrow as pa
+    return _by_group(dealt, "token", ["n", "bits", "inside", "g", "side", "s", "late"], judge, "a long, b long").distinct()
 
-        a, b = zip(*found, strict=True) if found else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    together = dealt.repartition(*keys).sortWithinPartitions(*keys).select(*keys, *columns)
-    return together.mapInArrow(run, "a long, b long").distinct()
+def overlaps(own: list[np.ndarray]) -> np.ndarray | None:
+    """Intersection sizes of all pairs of sets by products of incidence matrices, or None where those would be too large to pay."""
+    sizes = np.array([len(x) for x in own])
+    names, ids = np.unique(np.concatenate(own), return_inverse=True)
+    if len(names) * len(own) ** 2 > 3e10:
+        return None
+    who = np.repeat(np.arange(len(own)), sizes)
+    order = np.argsort(ids, kind="stable")
+    ids, who = ids[order], who[order]
+    out = np.zeros((len(own), len(own)), np.float32)
+    for at in range(0, len(names), 4096):
+        a, b = np.searchsorted(ids, [at, at + 4096])
+        part = np.zeros((len(own), min(4096, len(names) - at)), np.float32)
+        part[who[a:b], ids[a:b] - at] = 1
+        out += part @ part.T
+    return out
 
 
-def _linked(pairs: DataFrame, shingled: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose whole sets link."""
+def _linked(dealt: DataFrame, percent: int) -> DataFrame:
+    """(a, b, links): for each set that links in its group, one that it is joined to there, and how many links the group counts for it.
 
-    def run(batches):
-        for batch in batches:
-            a, b = (batch.column(c) for c in (2, 3))
-            keep = []
-            for x, y in zip(a, b, strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa_bool(keep))
-
-    left = shingled.select(F.col("s").alias("a"), F.col("tokens").alias("ta"))
-    right = shingled.select(F.col("s").alias("b"), F.col("tokens").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
-
-
-def pa_bool(keep: list):
-    import pyarrow as pa
+    All pairs are judged on whole sets; a pair is counted in one group only, that of its larger set's band and of its blocks.
+    """
 
-    return pa.array(keep, pa.bool_())
+    def judge(rows: list[tuple]) -> list:
+        own = [np.frombuffer(r[0], np.uint64) for r in rows]
+        sizes, side, home = np.array([len(x) for x in own]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+        common = overlaps(own) if len(rows) > 12 else None
+        if common is None:
+            profiles = [(len(x), *_bitmap(x), k, r[1]) for k, (x, r) in enumerate(zip(own, rows, strict=True))]
+            pairs = _few([(n, bits, inside, g, sd) for n, bits, inside, g, sd in profiles], percent) if len(rows) <= 12 else survivors([(n, int.from_bytes(bits, "little"), inside, g, sd) for n, bits, inside, g, sd in profiles], percent)
+            found = [(i, j) for i, j in pairs if _link(own[i], own[j], percent)]
+            a, b = (np.array(x, np.int64) for x in (zip(*found, strict=True) if found else ((), ())))
+        else:
+            a, b = np.nonzero(np.triu(100 * common.astype(np.float64) >= percent * (sizes[:, None] + sizes[None, :] - common), 1))
+        fine = ((side[a] == 0) | (side[a] != side[b])) & (home[a] | home[b])
+        a, b = a[fine], b[fine]
+        links = np.bincount(np.concatenate([a, b]), minlength=len(rows))
+        label = np.arange(len(rows))
+        while len(a):  # least number that links reach
+            low = np.minimum(label[a], label[b])
+            new = label.copy()
+            np.minimum.at(new, a, low)
+            np.minimum.at(new, b, low)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        return [(rows[k][3], rows[label[k]][3], int(links[k])) for k in np.flatnonzero(links).tolist()]
+
+    return _by_group(dealt, "cluster", ["tokens", "side", "home", "s"], judge, "a long, b long, links long")
+
+
+def _link(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(x) + len(y) - len(np.union1d(x, y))
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def _shingled(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -279,13 +325,12 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col
     """doc_id, n_shingles, component_id, n_links: one row for each row of docs.
 
     Sets of `size`-word shingles link at a Jaccard similarity of percent / 100; component_id is the
-    smallest doc_id that links reach. n_links counts other sets that were found linked: a
-    spanning part of the links inside what is already one component, all others.
+    smallest doc_id that links reach. n_links counts the other distinct sets that a document's set links with.
 
     Equal sets become one. Sets that share a shingle of their prefix (so many of least hash that linked sets
-    can't miss each other) meet in a group, where two traversals of signature trees leave pairs for
-    verification on whole sets: the first asks for a partner or two of each set, the second for every
-    pair whose sets aren't yet in one component. A prefix shingle of very many sets is dealt out by size.
+    can't miss each other) meet in a group, where a traversal of signature trees leaves pairs that may link; a
+    spanning forest of those goes on. What the forests join is a cluster: linked sets are in one cluster, and its whole sets are compared
+    with each other. Groups and clusters of very many sets are dealt out by size band and block.
 
     Null and empty texts have no shingles and no links. A text of fewer words is one shingle.
     Rows that repeat are linked by their equal sets; null ids are reported, but never name a component
@@ -298,21 +343,14 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col
     shared = each.groupBy("token").agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.min(F.col("at") - F.col("short")).alias("early")).where("lo <> hi and early < 0").select("token")
     met = each.join(shared, "token", "left_semi").groupBy("token", "s").agg(F.first("n").alias("n"), F.min(F.col("at") >= F.col("short")).alias("late"))
     signed = seen.where("n > 0").groupBy("s").agg(F.min("k").alias("k"), F.max("bits").alias("bits"), F.max("inside").alias("inside"))
-    members = written(met.join(signed.drop("k"), "s"), "members")
-    first = written(_candidates(_dealt(members.withColumn("g", F.monotonically_increasing_id()), percent), percent, 2), "pairs")
-    ends = first.select(F.col("a").alias("s")).unionByName(first.select(F.col("b").alias("s"))).distinct()
-    shingled = written(_shingled(rows, ends.join(signed.select("s", "k"), "s").select("k", "s"), size), "sets")
-    links = written(_linked(first, shingled, percent), "links")
+    members = met.join(signed.drop("k"), "s").withColumn("g", F.monotonically_increasing_id())
+    first = written(_candidates(_dealt(written(members, "members"), percent, "token", BLOCK), percent), "pairs")
+    clusters = written(components(first).select(F.col("node").alias("s"), F.col("root").alias("cluster")), "clusters")
+    shingled = _shingled(rows, clusters.join(signed.select("s", "k"), "s").select("k", "s"), size)
+    sized = written(shingled.join(clusters, "s").withColumn("n", F.octet_length("tokens") / 8), "sets")
+    links = written(_linked(_dealt(sized, percent, "cluster", SETS), percent), "links")
     star = written(components(links), "star")
-    # what had no partner in any group has none; the others meet again, each with the name of its component
-    again = members.join(shingled.select("s"), "s", "left_semi").join(star.select(F.col("node").alias("s"), F.col("root").alias("g")), "s", "left").withColumn("g", F.coalesce("g", "s"))
-    mixed = again.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("token")
-    second = _candidates(_dealt(again.join(mixed, "token", "left_semi"), percent), percent, None)
-    more = written(_linked(second.join(first, ["a", "b"], "left_anti"), shingled, percent), "links")
-    links = links.unionByName(more)
-    if not more.isEmpty():
-        star = written(components(star.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "star")
-    degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n_links"))
+    degree = links.groupBy("a").agg(F.sum("links").alias("n_links"))
     found = seen.select("doc_id", "n", "s").join(star.select(F.col("node").alias("s"), "root"), "s", "left").join(degree.withColumnRenamed("a", "s"), "s", "left")
     found = found.withColumn("root", F.coalesce("root", "s"))
     least = found.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -52,9 +52,13 @@ def corpus(seed):
 @pytest.mark.parametrize("size,percent,block", [(3, 90, 4096), (5, 80, 4096), (3, 90, 6)])
 def test_components_against_brute_force(spark, monkeypatch, size, percent, block):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "SETS", min(block, 512))
     texts = corpus(size + block)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(docs(spark, texts), size, percent).collect()}
-    assert got == brute(texts, size, percent)
+    rows = jaccard_components(docs(spark, texts), size, percent).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute(texts, size, percent)
+    own = {shingle_set(t, size) for t in texts} - {frozenset()}
+    links = {x: sum(x != y and 100 * len(x & y) >= percent * len(x | y) for y in own) for x in own}
+    assert {r["doc_id"]: r["n_links"] for r in rows} == {i: links.get(shingle_set(t, size), 0) for i, t in enumerate(texts)}
 
 
 def test_keep_one(spark):
