@@ -78,45 +78,38 @@ def _small(text: str) -> str:
     return text.lower()
 
 
-#: Fixed value: characters at which Python splits but the tokenizer doesn't.
-NOT_SPACES = "\x1c\x1d\x1e\x1f"
-
-
 def encoder(path: str, most: int = 1_000_000):
     """texts -> ids of each as little-endian unsigned 32-bit bytes.
 
     This tokenizer drops white space and never joins across it, so a text's ids are those of its
-    words in a row; each word is encoded by the tokenizer once and then looked up.
+    words in a row. The distinct words of a call are looked up; the tokenizer encodes each new one once.
     """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
     words = _Words(path, most)
 
     def encode(texts: list[str | None]) -> list[bytes]:
-        out: list = []
-        wait, new = [], set()
-        for text in texts:
-            if not text:
-                out.append(b"")
-            elif any(c in text for c in NOT_SPACES):
-                out.append(words.ids(text))
-            else:
-                own = _small(text).split()
-                got = list(map(words.get, own))
-                if None in got:
-                    gaps = [i for i, ids in enumerate(got) if ids is None]
-                    new.update(map(own.__getitem__, gaps))
-                    wait.append((len(out), own, got, gaps))
-                    out.append(b"")
-                else:
-                    out.append(b"".join(got))
-        if new:
-            if len(words) + len(new) > words.most:
+        split = pc.ascii_split_whitespace(pa.array([_small(t) if t else "" for t in texts], pa.large_string()))
+        coded = split.values.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        got = list(map(words.get, names))
+        gaps = [i for i, ids in enumerate(got) if ids is None]
+        if gaps:
+            if len(words) + len(gaps) > words.most:
                 words.clear()
-            words.learn(new)
-            for k, own, got, gaps in wait:
-                for i in gaps:
-                    got[i] = words[own[i]]
-                out[k] = b"".join(got)
-        return out
+            words.learn({names[i] for i in gaps if names[i]})
+            words[""] = b""
+            for i in gaps:
+                got[i] = words[names[i]]
+        flat = np.frombuffer(b"".join(got), "<u4")
+        size = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        which = coded.indices.to_numpy()
+        each, start = size[which], np.cumsum(size) - size
+        ends = np.concatenate([[0], np.cumsum(each)])
+        raw = flat[np.repeat(start[which] - ends[:-1], each) + np.arange(ends[-1])].tobytes()
+        cuts = (4 * ends[split.offsets.to_numpy()]).tolist()
+        return [raw[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
 
     return encode
 
