@@ -82,7 +82,7 @@ def build(counts: pd.DataFrame, contexts: int = 32768) -> Model:
     def dense(keys: np.ndarray, order: int, lang: int) -> np.ndarray:
         """Counts of each byte after each of the contexts `keys` (numbers of `order` columns)."""
         a, b, c, s, n = table[lang]
-        own = (a * columns + b) * columns + c if order == 3 else b * columns + c if order == 2 else c if order == 1 else c * 0
+        own = (a * columns + b) * columns + c if order == 3 else b * columns + c if order == 2 else c
         at = np.searchsorted(keys, own)
         at[at == len(keys)] = 0
         fits = keys[at] == own
@@ -92,18 +92,28 @@ def build(counts: pd.DataFrame, contexts: int = 32768) -> Model:
 
     full = pd.concat([pd.DataFrame({"k": (a * columns + b) * columns + c, "n": n}) for a, b, c, _, n in table]).groupby("k")["n"].sum() if table else pd.Series(dtype=float)
     three = np.sort(full.sort_values(ascending=False, kind="stable").index[:contexts].to_numpy(np.int64)) if len(full) else np.zeros(0, np.int64)
-    two = np.arange(columns**2, dtype=np.int64)
-    row = np.repeat(np.arange(len(two), dtype=np.int32)[None, :], columns, 0).ravel() + np.int32(len(three))
-    row[three] = np.arange(len(three), dtype=np.int32)
-    cost = np.zeros((len(three) + len(two), columns, max(1, len(languages))), np.float32)
+    two = np.unique(np.concatenate([b * columns + c for _, b, c, _, _ in table])) if table else np.zeros(0, np.int64)
+    n3, n2 = len(three), len(two)
+    pair = np.tile(np.arange(columns, dtype=np.int32), columns) + np.int32(n3 + n2)  # contexts that nothing was seen in: their last column alone
+    pair[two] = np.arange(n3, n3 + n2, dtype=np.int32)
+    row = np.tile(pair, columns)
+    row[three] = np.arange(n3, dtype=np.int32)
+    contexts_of = np.concatenate([three, two, np.arange(columns, dtype=np.int64)])
+    cost = np.zeros((len(contexts_of), columns, max(1, len(languages))), np.float32)
     for k in range(len(languages)):
-        low = [dense(np.arange(columns**o, dtype=np.int64), o, k) for o in (0, 1, 2)]
-        top = dense(three, 3, k)
+        ones, pairs, top = dense(np.arange(columns, dtype=np.int64), 1, k), dense(two, 2, k) if n2 else None, dense(three, 3, k) if n3 else None
+        alone = ones.sum(0)
         for at in range(0, len(cost), 2048):
             rows = np.arange(at, min(at + 2048, len(cost)))
-            key = np.where(rows < len(three), three[np.minimum(rows, len(three) - 1)] if len(three) else 0, rows - len(three))
-            levels = [low[2][key % columns**2], low[1][key % columns], low[0][key * 0]]
-            levels.insert(0, np.where((rows < len(three))[:, None], top[np.minimum(rows, max(0, len(three) - 1))], 0) if len(three) else levels[0] * 0)
+            key = contexts_of[rows]
+            levels = [ones[key % columns], np.tile(alone, (len(rows), 1))]
+            if n2:
+                second = np.searchsorted(two, key % columns**2)
+                second[(rows >= n3 + n2) | (second == n2)] = 0
+                held = (rows < n3 + n2) & (two[second] == key % columns**2)
+                levels.insert(0, np.where(held[:, None], pairs[second], 0))
+            if n3:
+                levels.insert(0, np.where((rows < n3)[:, None], top[np.minimum(rows, n3 - 1)], 0))
             bits, paid, gone = np.zeros(levels[0].shape), np.zeros(len(rows)), np.zeros(levels[0].shape, bool)
             for count in levels:
                 count = np.where(gone, 0, count)
