@@ -34,6 +34,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of a table that one task may as well hold: below, iterations over it need no exchange.
+FEW = 15000
+
+
+def together(df: DataFrame, rows: int) -> DataFrame:
+    """df in one partition if it has so few rows that dealing them out costs more than it saves; else as it is."""
+    return df.coalesce(1) if rows <= FEW else df
+
+
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, root) for each node of edges(a, b): root is the smallest node that links reach.
 
@@ -42,21 +51,24 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     when a round changes nothing (a checksum of the edge set is the only thing the driver sees).
     """
     pairs = written(edges.select("a", "b").where("a <> b").distinct(), name)
-    seen = None
+    check = (F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
+    seen, now = None, pairs.agg(*check).first()
     for _ in range(60):
-        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        if now == seen or not now[0]:
+            break
+        seen = now
+        pairs = together(pairs, 2 * now[0])
+        either = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")
+        both = pairs.select(either).select("p.a", "p.b")
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # large star: every greater neighbour is tied to the smallest one
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: the smaller neighbours and the node itself are tied to the smallest
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        pairs = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), name)
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
+        tied = F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("p")
+        pairs = written(down.join(least, "a").select(tied).select("p.a", "p.b").where("a <> b").distinct(), name)
+        now = pairs.agg(*check).first()
     star = pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return star.unionByName(star.select(F.col("root").alias("node"), "root").distinct())
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from morphlake.llm.common import written
+from morphlake.llm.common import together, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -52,12 +52,14 @@ def fit_weights(cells: DataFrame, dimensions: dict[str, tuple[float, Mapping[str
     for d, (power, given) in dimensions.items():
         x = x.join(targets(cells, d, power, given).withColumnRenamed("share", f"share_{d}"), d)
     x = written(x.withColumn("w", F.lit(1.0)), "cells")
+    count = x.count()
+    x = together(x, count)
     for k in range(rounds):
         for d in dimensions:
             own = F.sum(F.col("t") * F.col("w")).over(Window.partitionBy(d))
             x = x.withColumn("w", F.coalesce(F.col("w") * F.col(f"share_{d}") / F.nullif(own, F.lit(0.0)), F.lit(0.0)))
         if k % 6 == 5:
-            x = written(x, "cells")
+            x = together(written(x, "cells"), count)
     total = cells.agg(F.sum("t").cast("double").alias("total"))
     return x.crossJoin(F.broadcast(total)).select(*dimensions, (F.col("w") * F.col("total")).alias("weight"))
 
