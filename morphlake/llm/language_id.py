@@ -35,12 +35,13 @@ class Model:
 
 def grams(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int, train) -> DataFrame:
     """(lang, gram, n): counts of ORDER + 1 bytes in a row, over the whole texts of at most `most` documents of each language."""
-    rank = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
-    deal = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(256))  # so that a language's rows are ranked in many tasks first
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    sample = rows.where(train(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
-    for keys in (["lang", deal], ["lang"]):
-        sample = sample.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(*rank))).where(F.col("k") <= (most if keys == ["lang"] else -(-most // 64) + 8))
+    rows = rows.where(train(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "")).withColumn("row", F.xxhash64("doc_id", "text"))
+    # ranked without texts, in many tasks for each language first; at most `most` names a language come back to the rows
+    chosen = rows.select("lang", "row", F.xxhash64("doc_id").alias("rank"), F.pmod("row", F.lit(256)).alias("deal"))
+    for keys in (["lang", "deal"], ["lang"]):
+        chosen = chosen.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("rank", "row"))).where(F.col("k") <= most)
+    sample = rows.join(F.broadcast(chosen.select("row").distinct()), "row", "left_semi").dropDuplicates(["row"])
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
