@@ -41,20 +41,25 @@ def grams(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int,
     chosen = rows.select("lang", "row", F.xxhash64("doc_id").alias("rank"), F.pmod("row", F.lit(256)).alias("deal"))
     for keys in (["lang", "deal"], ["lang"]):
         chosen = chosen.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("rank", "row"))).where(F.col("k") <= most)
-    sample = rows.join(F.broadcast(chosen.select("row").distinct()), "row", "left_semi").dropDuplicates(["row"])
+    sample = rows.join(F.broadcast(chosen.select("row").distinct()), "row", "left_semi").dropDuplicates(["row"]).coalesce(8)  # of bounded size
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        sums: dict[str, tuple] = {}
         for batch in batches:
-            parts = {}
+            parts: dict[str, list] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 parts.setdefault(lang, []).append(b"\0" * ORDER + text.encode().replace(b"\0", b" "))
             for lang, texts in parts.items():
                 raw = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint32)
                 four = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
                 found, n = np.unique(four[raw[3:] > 0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+                before = sums.get(lang, (found[:0], n[:0]))
+                both, at = np.unique(np.concatenate([before[0], found]), return_inverse=True)
+                sums[lang] = both, np.bincount(at, np.concatenate([before[1], n]), len(both)).astype(np.int64)
+        for lang, (found, n) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
     return sample.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
