@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -88,12 +89,12 @@ def linear_arcs(queries: DataFrame, column: str = "query") -> DataFrame:
     return at.select("q", (F.col("k") - 1).alias("ls"), F.expr("substring(q, k, 1)").alias("llabel"), F.col("k").alias("ln"), (F.col("k") == F.length("q")).alias("lfinal"))
 
 
-def beam_search(queries: DataFrame, words: DataFrame, num_beam: int = 5, fuzzy: bool = False, unique_only: bool = False, longest: int = 128, costs: DataFrame | None = None, query_col: str = "query", word_col: str = "word") -> DataFrame:
+def beam_search(queries: DataFrame, words: DataFrame, num_beam: int = 5, fuzzy: bool = False, unique_only: bool = False, longest: int | None = None, costs: DataFrame | None = None, query_col: str = "query", word_col: str = "word") -> DataFrame:
     """q, labels, weight: for each query up to num_beam strings that both it and the words' trie accept, cheapest first.
 
     Exact search advances on equal labels. Fuzzy search also substitutes, drops a query's label or adds one of the trie's, at cost 1 or as
     in costs (src, dst, cost; empty for nothing). After each step a query keeps its num_beam cheapest hypotheses, ties by label.
-    One step is a few equality joins for all queries at once, stored before the next; at most `longest` steps.
+    One step is a few equality joins for all queries at once, stored before the next, until no hypothesis is alive or `longest` steps, if given, are done.
     """
     left = stored(linear_arcs(queries, query_col), "left")
     right = stored(trie_arcs(words, word_col).select(F.col("state").alias("rs"), F.col("label").alias("rlabel"), F.col("next").alias("rn"), F.col("final").alias("rfinal")), "right")
@@ -106,7 +107,7 @@ def beam_search(queries: DataFrame, words: DataFrame, num_beam: int = 5, fuzzy:
     schema = ["q", "ls", "rs", "weight", "labels", "lend", "rend"]
     live = left.select("q").distinct().select("q", F.lit(0).alias("ls"), F.lit("").alias("rs"), F.lit(0.0).alias("weight"), F.lit("").alias("labels"), F.lit(False).alias("lend"), F.lit(False).alias("rend"))
     found = None
-    for _ in range(longest):
+    for _ in count() if longest is None else range(longest):
         both = live.join(left, ["q", "ls"]).join(right, "rs")
         if not fuzzy:
             new = both.where("llabel = rlabel").select("q", F.col("ln").alias("ls"), F.col("rn").alias("rs"), "weight", F.concat("labels", "rlabel").alias("labels"), F.col("lfinal").alias("lend"), F.col("rfinal").alias("rend"))

@@ -104,3 +104,11 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_beam_search_has_no_limit_on_length(spark, monkeypatch):
+    from morphlake.operators import edit
+
+    monkeypatch.setattr(edit, "range", lambda n: iter((0, 1)), raising=False)  # any bounded loop ends after two steps
+    got = beam_search(words(spark, ["abc"], "query"), words(spark, ["abc", "abd"])).collect()
+    assert [tuple(r) for r in got] == [("abc", "abc", 0.0)]
