@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Ranks a null id behind all others.
+LAST = 9223372036854775807
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the session names none, as in local tests, a folder of our own is set.
+    Only where a local session names none, as in tests, a folder of our own is set; on a cluster that is an error.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='morphlake-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -30,8 +36,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def unused(docs: DataFrame, name: str) -> str:
+    """name, with as many underscores behind as it takes to be no column of docs."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_key(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """Two 64-bit hashes that name a row by its id and text (null as empty); rows alike in both share them."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return F.xxhash64(F.col(id_col), text), F.xxhash64(F.lit(1), F.col(id_col), text)
 
 
 #: Rows of a table that one task may as well hold: below, iterations over it need no exchange.
@@ -47,15 +63,13 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, root) for each node of edges(a, b): root is the smallest node that links reach.
 
     Alternating large-star and small-star rounds; every round is a grouped minimum and an
-    equi-join, so a node of any degree is split by partial aggregation and skew joins. Ends
-    when a round changes nothing (a checksum of the edge set is the only thing the driver sees).
+    equi-join, so a node of any degree is split by partial aggregation and skew joins. Goes on until
+    a round changes nothing, however long a chain of links is (a checksum of the edge set is the only thing the driver sees).
     """
     pairs = written(edges.select("a", "b").where("a <> b").distinct(), name)
     check = (F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
     seen, now = None, pairs.agg(*check).first()
-    for _ in range(60):
-        if now == seen or not now[0]:
-            break
+    while now != seen and now[0]:
         seen = now
         pairs = together(pairs, 2 * now[0])
         either = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from morphlake.llm.common import batch_bytes, components, small_batches, written
+from morphlake.llm.common import LAST, batch_bytes, components, row_key, small_batches, unused, written
 from morphlake.llm.shingles import sets
 
 #: Members that one traversal compares at most; larger groups are dealt out by size band and block.
@@ -40,14 +40,19 @@ class Node:
         return min(self.outside, other.outside) + min(common, self.inside, other.inside)
 
 
+def folded(bits: int, width: int) -> int:
+    """A bitmap of a power of two of bits halved, by OR, until it has no more than `width` bits."""
+    while bits.bit_length() > width:
+        half = 1 << ((bits.bit_length() - 1).bit_length() - 1)
+        bits = (bits >> half) | (bits & ((1 << half) - 1))
+    return bits
+
+
 def tree(items: list[tuple], width: int) -> Node | None:
     """items: (size, bits, inside, group), by size; bits are folded to `width` bits."""
     level = []
     for k, (size, bits, inside, group) in enumerate(items):
-        node = Node()
-        while bits.bit_length() > width:
-            half = 1 << ((bits.bit_length() - 1).bit_length() - 1)
-            bits = (bits >> half) | (bits & ((1 << half) - 1))
+        node, bits = Node(), folded(bits, width)
         node.bits, node.least, node.most, node.inside, node.outside = bits, size, size, inside, size - inside
         node.lost, node.first, node.last, node.children, node.one = inside - bits.bit_count(), k, k, None, group
         level.append(node)
@@ -95,7 +100,7 @@ def traverse(left: Node, right: Node, percent: int, same: bool):
 def survivors(members: list[tuple], percent: int):
     """Pairs (i, j) of members (size, bits, inside, group, side) that may link; members of side 1 or 2 meet only the other side, those of 0 everyone.
 
-    Bitmaps are as wide as the power of two that a set's size doesn't exceed, so trees are by width; neighbours meet at the smaller width.
+    Bitmaps are as wide as the power of two that a set's size doesn't exceed, so trees are by width; those whose sizes can link meet at the smaller width.
     """
     widths: dict[int, list[int]] = {}
     for i in sorted(range(len(members)), key=lambda i: (members[i][0], members[i][3])):
@@ -103,9 +108,9 @@ def survivors(members: list[tuple], percent: int):
     trees = {w: tree([members[i][:4] for i in own], w) for w, own in widths.items()}
     for w, own in widths.items():
         runs = [(own, trees[w], own, trees[w])]
-        if 2 * w in widths:
-            more = widths[2 * w]
-            runs.append((own, trees[w], more, tree([members[i][:4] for i in more], w)))
+        for v, more in widths.items():
+            if v > w and 100 * members[own[-1]][0] >= percent * members[more[0]][0]:
+                runs.append((own, trees[w], more, tree([members[i][:4] for i in more], w)))
         for x, tx, y, ty in runs:
             for p, q in traverse(tx, ty, percent, tx is ty):
                 i, j = x[p], y[q]
@@ -126,15 +131,15 @@ def _bitmap(own: np.ndarray) -> tuple[bytes, int]:
 
 
 def _profiles(rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """k, doc_id, s (names the set), n, inside, bits, prefix: the shingles of least hash, as many as a linked set can't all miss; short: how many of them suffice against sets that aren't smaller."""
-    schema = "k long, doc_id long, s long, n int, inside int, bits binary, prefix array<long>, short int"
+    """k, k2 (name the row), doc_id, s (names the set), n, inside, bits, prefix: the shingles of least hash, as many as a linked set can't all miss; short: how many of them suffice against sets that aren't smaller."""
+    schema = "k long, k2 long, doc_id long, s long, n int, inside int, bits binary, prefix array<long>, short int"
 
     def run(batches):
         import pyarrow as pa
 
         for batch in small_batches(batches, 1 << 20):
             out = []
-            for own in sets(*batch_bytes(batch.column(2)), size):
+            for own in sets(*batch_bytes(batch.column(3)), size):
                 n = len(own)
                 if not n:
                     out.append((0, 0, 0, None, [], 0))
@@ -143,9 +148,9 @@ def _profiles(rows: DataFrame, size: int, percent: int) -> DataFrame:
                 bits, inside = _bitmap(own)
                 out.append((name - (1 << 64) if name >> 63 else name, n, inside, bits, own[: n - -(-percent * n // 100) + 1].view(np.int64), n - -(-2 * percent * n // (100 + percent)) + 1))
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.int32()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], [c.split()[0] for c in schema.split(", ")])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], [c.split()[0] for c in schema.split(", ")])
 
-    return rows.select("k", "doc_id", "text").mapInArrow(run, schema)
+    return rows.select("k", "k2", "doc_id", "text").mapInArrow(run, schema)
 
 
 def _dealt(members: DataFrame, percent: int, key: str, most: int) -> DataFrame:
@@ -206,10 +211,7 @@ def _few(members: list[tuple], percent: int):
                 continue
             a, b = int.from_bytes(bits, "little"), int.from_bytes(bits2, "little")
             width = 8 * min(len(bits), len(bits2))
-            if width < 8 * len(bits):
-                a = (a >> width) | (a & ((1 << width) - 1))
-            elif width < 8 * len(bits2):
-                b = (b >> width) | (b & ((1 << width) - 1))
+            a, b = folded(a, width), folded(b, width)
             common = (a & b).bit_count() + min(inside - a.bit_count(), inside2 - b.bit_count())
             if min(n - inside, n2 - inside2) + min(common, inside, inside2) >= needed(n, n2, percent):
                 yield j, i
@@ -309,7 +311,7 @@ def _link(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _shingled(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(s, tokens): whole sets, as bytes, of the wanted rows (k, s)."""
+    """(s, tokens): whole sets, as bytes, of the wanted rows (k, k2, s)."""
 
     def run(batches):
         import pyarrow as pa
@@ -318,7 +320,29 @@ def _shingled(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             found = sets(*batch_bytes(batch.column(1)), size)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary())], ["s", "tokens"])
 
-    return rows.select("k", "text").join(wanted, "k").select("s", "text").mapInArrow(run, "s long, tokens binary").dropDuplicates(["s"])
+    return rows.select("k", "k2", "text").join(wanted, ["k", "k2"]).select("s", "text").mapInArrow(run, "s long, tokens binary").dropDuplicates(["s"])
+
+
+def _grouped(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(k, k2, doc_id, n, root, n_links): for each row, keyed by row_key, the size of its set and a name of its component; no root without shingles."""
+    k, k2 = row_key(id_col, text_col)
+    rows = docs.select(k.alias("k"), k2.alias("k2"), F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    seen = written(_profiles(rows, size, percent), "profiles")
+    each = seen.where("n > 0").select("s", "n", "short", F.posexplode("prefix").alias("at", "token"))
+    shared = each.groupBy("token").agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.min(F.col("at") - F.col("short")).alias("early")).where("lo <> hi and early < 0").select("token")
+    met = each.join(shared, "token", "left_semi").groupBy("token", "s").agg(F.first("n").alias("n"), F.min(F.col("at") >= F.col("short")).alias("late"))
+    signed = seen.where("n > 0").groupBy("s").agg(F.min(F.struct("k", "k2")).alias("row"), F.max("bits").alias("bits"), F.max("inside").alias("inside"))
+    members = met.join(signed.drop("row"), "s").withColumn("g", F.monotonically_increasing_id())
+    first = written(_candidates(_dealt(written(members, "members"), percent, "token", BLOCK), percent), "pairs")
+    clusters = written(components(first).select(F.col("node").alias("s"), F.col("root").alias("cluster")), "clusters")
+    shingled = _shingled(rows, clusters.join(signed.select("s", "row.k", "row.k2"), "s").select("k", "k2", "s"), size)
+    sized = written(shingled.join(clusters, "s").withColumn("n", F.octet_length("tokens") / 8), "sets")
+    links = written(_linked(_dealt(sized, percent, "cluster", SETS), percent), "links")
+    star = written(components(links), "star")
+    degree = links.groupBy("a").agg(F.sum("links").alias("n_links"))
+    found = seen.select("k", "k2", "doc_id", "n", "s").join(star.select(F.col("node").alias("s"), "root"), "s", "left").join(degree.withColumnRenamed("a", "s"), "s", "left")
+    root = F.when(F.col("n") > 0, F.coalesce("root", "s")).alias("root")
+    return found.select("k", "k2", "doc_id", F.col("n").cast("bigint").alias("n"), root, F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -332,33 +356,27 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col
     spanning forest of those goes on. What the forests join is a cluster: linked sets are in one cluster, and its whole sets are compared
     with each other. Groups and clusters of very many sets are dealt out by size band and block.
 
-    Null and empty texts have no shingles and no links. A text of fewer words is one shingle.
+    Null and empty texts have no shingles and no links. A text of fewer words is one shingle. A very long text is
+    read whole, in one task, which takes about 60 bytes of memory for each of its bytes.
     Rows that repeat are linked by their equal sets; null ids are reported, but never name a component
-    (component_id is null where no id is there). An empty table gives an empty result.
+    (component_id is null where no id is there). An empty table gives an empty result. Other columns are ignored.
     """
-    text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    rows = docs.select(F.xxhash64(F.col(id_col), text).alias("k"), F.col(id_col).cast("bigint").alias("doc_id"), text)
-    seen = written(_profiles(rows, size, percent), "profiles")
-    each = seen.where("n > 0").select("s", "n", "short", F.posexplode("prefix").alias("at", "token"))
-    shared = each.groupBy("token").agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.min(F.col("at") - F.col("short")).alias("early")).where("lo <> hi and early < 0").select("token")
-    met = each.join(shared, "token", "left_semi").groupBy("token", "s").agg(F.first("n").alias("n"), F.min(F.col("at") >= F.col("short")).alias("late"))
-    signed = seen.where("n > 0").groupBy("s").agg(F.min("k").alias("k"), F.max("bits").alias("bits"), F.max("inside").alias("inside"))
-    members = met.join(signed.drop("k"), "s").withColumn("g", F.monotonically_increasing_id())
-    first = written(_candidates(_dealt(written(members, "members"), percent, "token", BLOCK), percent), "pairs")
-    clusters = written(components(first).select(F.col("node").alias("s"), F.col("root").alias("cluster")), "clusters")
-    shingled = _shingled(rows, clusters.join(signed.select("s", "k"), "s").select("k", "s"), size)
-    sized = written(shingled.join(clusters, "s").withColumn("n", F.octet_length("tokens") / 8), "sets")
-    links = written(_linked(_dealt(sized, percent, "cluster", SETS), percent), "links")
-    star = written(components(links), "star")
-    degree = links.groupBy("a").agg(F.sum("links").alias("n_links"))
-    found = seen.select("doc_id", "n", "s").join(star.select(F.col("node").alias("s"), "root"), "s", "left").join(degree.withColumnRenamed("a", "s"), "s", "left")
-    found = found.withColumn("root", F.coalesce("root", "s"))
+    found = _grouped(docs, size, percent, id_col, text_col)
     least = found.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = found.where("n > 0").join(least, "root").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return out.unionByName(found.where("n = 0").select("doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("bigint").alias("n_links")))
+    out = found.where("n > 0").join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+    return out.unionByName(found.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "n_links"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, the one of smallest id; columns as they were. Rows with a null id stay."""
-    gone = jaccard_components(docs, size, percent, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """docs with one document of each component, the one of smallest id; columns as they were.
+
+    A document is an id with its text. Of two linked documents of one id the one of least hash stays; one that is linked with
+    none stays, whatever else has its id. A null id ranks last. Rows alike in id and text are one document and stay or go
+    together. Null, empty and blank texts stay. Very long texts as in jaccard_components. An empty table gives an empty result.
+    """
+    found = written(_grouped(docs, size, percent, id_col, text_col).where("n > 0").select("root", F.coalesce("doc_id", F.lit(LAST)).alias("d"), "k", "k2"), "grouped")
+    first = found.groupBy("root").agg(F.min(F.struct("d", "k", "k2")).alias("first"))
+    one, two = unused(docs, "__k"), unused(docs, "__k2")
+    gone = found.join(first, "root").where(F.struct("d", "k", "k2") != F.col("first")).select(F.col("k").alias(one), F.col("k2").alias(two)).distinct()
+    k, k2 = row_key(id_col, text_col)
+    return docs.withColumns({one: k, two: k2}).join(gone, [one, two], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

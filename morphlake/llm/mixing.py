@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from morphlake.llm.common import together, written
+from morphlake.llm.common import together, unused, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -64,6 +64,25 @@ def fit_weights(cells: DataFrame, dimensions: dict[str, tuple[float, Mapping[str
     return x.crossJoin(F.broadcast(total)).select(*dimensions, (F.col("w") * F.col("total")).alias("weight"))
 
 
+def _named(c: Column) -> Column:
+    return F.coalesce(c.cast("string"), F.lit("none"))
+
+
+def _weights(rows: DataFrame, rounds: int, powers: Mapping[str, float], shares: Mapping[str, Mapping[str, float] | None]) -> DataFrame:
+    """(source, lang, topic, weight) from rows with these and n_tokens."""
+    cells = written(rows.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("t")), "cells")
+    return written(fit_weights(cells, {d: (powers[d], shares[d]) for d in powers}, rounds), "weights")
+
+
+def _copies(weight: Column, rate: float, ident: Column, salt: str) -> Column:
+    times = weight * F.lit(rate)
+    return (F.floor(times) + (uniform(ident, salt) < times - F.floor(times)).cast("bigint")).cast("bigint")
+
+
+def _final(weight: str) -> Column:
+    return F.round(F.coalesce(weight, F.lit(0.0)), 6)
+
+
 def mix(docs: DataFrame, rate: float = 1.0, rounds: int = 12, topic: Column | None = None, source_power: float = 0.5, lang_power: float = 0.5, topic_power: float = 0.75, source_shares: Mapping[str, float] | None = None, lang_shares: Mapping[str, float] | None = None, topic_shares: Mapping[str, float] | None = None, salt: str = "mix", id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight, copies: one row for each row of docs.
 
@@ -74,22 +93,30 @@ def mix(docs: DataFrame, rate: float = 1.0, rounds: int = 12, topic: Column | No
 
     A null source, language or topic is the value "none". Null and empty texts have no tokens; in a cell without
     tokens weight and copies are 0. Rows with one id draw the same number. An empty table gives an empty result.
+    Very long texts are only counted through. Other columns are ignored.
     """
-    text = F.col(text_col)
-    named = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), named(F.col(source_col)).alias("source"), named(F.col(lang_col)).alias("lang"), named(topic if topic is not None else form(F.coalesce(text, F.lit("")))).alias("topic"), tokens(text).alias("n_tokens"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), _named(F.col(source_col)).alias("source"), _named(F.col(lang_col)).alias("lang"), _named(topic if topic is not None else form(text)).alias("topic"), tokens(text).alias("n_tokens"))
     rows = written(rows, "rows")
-    cells = written(rows.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("t")), "cells")
-    dimensions = {"source": (source_power, source_shares), "lang": (lang_power, lang_shares), "topic": (topic_power, topic_shares)}
-    weights = written(fit_weights(cells, dimensions, rounds), "weights")
-    out = rows.join(weights, ["source", "lang", "topic"], "left").withColumn("weight", F.round(F.coalesce("weight", F.lit(0.0)), 6))
-    times = F.col("weight") * F.lit(rate)
-    copies = (F.floor(times) + (uniform(F.col("doc_id"), salt) < times - F.floor(times)).cast("bigint")).cast("bigint")
-    return out.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", copies.alias("copies"))
-
-
-def sample(docs: DataFrame, **options) -> DataFrame:
-    """docs without the rows of which mix takes no copy (each other once); columns as they were."""
-    ident = options.get("id_col", "doc_id")
-    taken = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(taken, F.col(ident).eqNullSafe(F.col("__id")), "left_semi")
+    weights = _weights(rows, rounds, {"source": source_power, "lang": lang_power, "topic": topic_power}, {"source": source_shares, "lang": lang_shares, "topic": topic_shares})
+    out = rows.join(weights, ["source", "lang", "topic"], "left").withColumn("weight", _final("weight"))
+    return out.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", _copies(F.col("weight"), rate, F.col("doc_id"), salt).alias("copies"))
+
+
+def sample(docs: DataFrame, rate: float = 1.0, rounds: int = 12, topic: Column | None = None, source_power: float = 0.5, lang_power: float = 0.5, topic_power: float = 0.75, source_shares: Mapping[str, float] | None = None, lang_shares: Mapping[str, float] | None = None, topic_shares: Mapping[str, float] | None = None, salt: str = "mix", id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """Each row of docs as often as mix takes it: not at all, once, or several times. Columns as they were.
+
+    So the tokens of the result have the target shares, but for the draws of fractions. Each row goes by its own
+    source, language and topic, whatever other rows have its id. Nulls, empty and very long texts, repeated rows and
+    empty tables as for mix: rows without tokens go, rows alike are each taken as often.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keys = {c: unused(docs, f"__{c}") for c in ("source", "lang", "topic", "weight")}
+    of = {"source": _named(F.col(source_col)), "lang": _named(F.col(lang_col)), "topic": _named(topic if topic is not None else form(text))}
+    cells = docs.select(*(e.alias(c) for c, e in of.items()), tokens(text).alias("n_tokens"))
+    weights = _weights(cells, rounds, {"source": source_power, "lang": lang_power, "topic": topic_power}, {"source": source_shares, "lang": lang_shares, "topic": topic_shares})
+    weights = weights.select(*(F.col(c).alias(k) for c, k in keys.items()))
+    rows = docs.withColumns({keys[c]: e for c, e in of.items()}).join(weights, [keys[c] for c in of])
+    copies = _copies(_final(keys["weight"]), rate, F.col(id_col).cast("bigint"), salt)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return rows.select(*own, F.explode(F.array_repeat(F.lit(1), copies.cast("int"))).alias(keys["weight"])).select(*own)

@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
+def _letters(w: str) -> bool:
+    """Whether w is of letters alone, in lower case too, where some letters get a mark of their own that joins what follows."""
+    return w.isalpha() and (w.isascii() or w.lower().isalpha())
+
+
 class _Words(dict):
     """white-space-free string -> its ids as little-endian bytes. Holds what this worker has met, up to `most` words."""
 
@@ -35,17 +40,12 @@ class _Words(dict):
         """
         one, two, rest = set(), [], []
         for w in words:
-            if w.isalpha() and (w.isascii() or w.lower().isalpha()):
+            if _letters(w):
                 one.add(w)
-            elif w[-1] in ".,":
-                v = w[:-1]
-                if v in self:
-                    two.append(w)
-                elif v.isalpha() and (v.isascii() or v.lower().isalpha()):
-                    one.add(v)
-                    two.append(w)
-                else:
-                    rest.append(w)
+            elif w[-1] in ".," and _letters(w[:-1]):
+                two.append(w)
+                if w[:-1] not in self:
+                    one.add(w[:-1])
             else:
                 rest.append(w)
         one = list(one)
@@ -59,11 +59,7 @@ class _Words(dict):
             raw = ids.tobytes()
             self.update(zip(part, map(raw.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
         marks = {m: self.ids(m) for m in ".,"}
-        for w in two:
-            if w[:-1].isalpha():
-                self[w] = self[w[:-1]] + marks[w[-1]]
-            else:
-                rest.append(w)
+        self.update((w, self[w[:-1]] + marks[w[-1]]) for w in two)
         self.update(zip(rest, (np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
 
 

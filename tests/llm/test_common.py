@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from morphlake.llm.common import batch_bytes, components, mixed
+from morphlake.llm.common import batch_bytes, components, mixed, shared_dir, unused
 from morphlake.llm.shingles import sets
 
 
@@ -24,6 +24,23 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_names_that_are_taken():
+    import types
+
+    assert unused(types.SimpleNamespace(columns=["a", "__K", "__k_"]), "__k") == "__k__"
+
+
+def test_a_cluster_needs_a_shared_folder():
+    import types
+
+    import pytest
+
+    none = types.SimpleNamespace(get=lambda *a: None)
+    session = types.SimpleNamespace(sparkContext=types.SimpleNamespace(getConf=lambda: none, master="spark://host:7077"), conf=none)
+    with pytest.raises(ValueError):
+        shared_dir(session)
+
+
 def test_shingles_follow_words():
     import pyarrow as pa
 

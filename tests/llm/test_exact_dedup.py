@@ -25,6 +25,14 @@ def test_groups(spark):
     assert {r["doc_id"] for r in keep_first(docs(spark, texts)).collect()} == {i for i, x in brute(texts).items() if x[2]}
 
 
+def test_a_row_stays_or_goes_by_its_own_text(spark):
+    rows = [(2, "x y"), (3, "xy"), (3, "z"), (None, "z"), (None, "q")]
+    docs_ = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, __id int, content int")
+    got = keep_first(docs_)
+    assert got.columns == docs_.columns
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in got.collect()) == [(-1, "q"), (2, "x y"), (3, "z")]
+
+
 def test_odd_rows(spark):
     rows = exact_dedup(odd(spark)).collect()
     assert len(rows) == 8

@@ -29,6 +29,26 @@ def test_copies_follow_weights(spark):
     assert kept == {r["doc_id"] for r in got if r["copies"]}
 
 
+def test_the_sample_has_the_target_shares(spark):
+    source, lang = {"big": 0.25, "small": 0.75}, {"en": 0.5, "fr": 0.5}
+    table = rows(spark, 6000)
+    got = sample(table, rounds=20, source_shares=source, lang_shares=lang)
+    assert got.columns == table.columns
+    tokens = collections.Counter()
+    for r in got.collect():
+        n = len(r["text"].split())
+        tokens.update({"all": n, r["source"]: n, r["lang"]: n})
+    assert all(abs(tokens[k] / tokens["all"] - v) < 0.02 for k, v in {**source, **lang}.items())
+    want = {r["doc_id"]: r["copies"] for r in mix(table, rounds=20, source_shares=source, lang_shares=lang).collect()}
+    assert collections.Counter(r["doc_id"] for r in got.collect()) == {k: v for k, v in want.items() if v}
+
+
+def test_rows_of_one_id_go_by_their_own_cells(spark):
+    data = [(1, "a b c d", "en", "none"), (1, "e f g h", "fr", "some"), (1, None, "en", "none")]
+    got = sample(spark.createDataFrame(data, "doc_id long, text string, lang string, source string").selectExpr("*", "1 as __source", "2 as weight"), rate=0.99, source_shares={"some": 1.0})
+    assert {r["lang"] for r in got.collect()} <= {"fr"}
+
+
 def test_odd_rows(spark):
     got = mix(odd(spark)).collect()
     assert len(got) == 8

@@ -21,8 +21,19 @@ def test_encoder_gives_the_tokenizers_ids():
         assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
-def whole(pieces, want):
-    """Pieces cover each document once, and each sequence without gaps."""
+def test_ids_of_adversarial_words_with_a_warm_cache():
+    rng, own, t = random.Random(9), encoder(PATH, most=2000), Tokenizer.from_file(PATH)
+    letters = "aZéİIıßẞſΣςσǅŉΐﬁÅK가각ᄀ一あनभा.,'’s!?-–0٣²①\U0001f642\u0301\u0307\u0345\u200d\xad\xa0\u2028_<|>TEKLFİ"
+    for _ in range(600):
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) + rng.choice(["", ".", ",", "!"]) for _ in range(12)]
+        words += [w.rstrip(".,") for w in words] + ["TEKLİFİ", "TEKLİFİ.", "İ,"]
+        texts = [" ".join(rng.sample(words, 12)), "".join(rng.sample(words, 3)), words[0], f"{words[0]}."]
+        for got, text in zip(own(texts), texts, strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
+def whole(pieces, want, gaps=False):
+    """Pieces cover each document once, and each sequence without gaps (but where other documents' pieces are left out)."""
     by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
     for p in pieces:
         by_doc[p["doc_id"]].append(p)
@@ -38,8 +49,8 @@ def whole(pieces, want):
     for seq in by_seq.values():
         at = 0
         for p in sorted(seq, key=lambda p: p["offset"]):
-            assert p["offset"] == at
-            at += p["length"]
+            assert p["offset"] >= at if gaps else p["offset"] == at
+            at = p["offset"] + p["length"]
         assert at <= 4096
     return by_seq
 
@@ -71,6 +82,28 @@ def test_limits_hold_together():
     assert len(tokens) == 300
 
 
+def test_conversations_fill_each_limit(spark):
+    """Instruction data: what precedes the last answer bears no loss; each of the three limits stops some sequences."""
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").orderBy("conv_id", "turn").collect()
+    talks, t = collections.defaultdict(list), Tokenizer.from_file(PATH)
+    for r in turns:
+        talks[r["conv_id"]].append(r["text"] or "")
+    count = lambda texts: len(t.encode(" ".join(texts), add_special_tokens=False).ids)
+    rows = [(c, " ".join(own), count(own[:-1])) for c, own in talks.items()] + [(1000 + i, "hi there", 1) for i in range(400)] + [(2000 + i, "all of it counts " * 40, 0) for i in range(20)]
+    size, segments, loss = 1024, 24, 500
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string, prompt long").coalesce(1)
+    pieces = pack(docs_, PATH, size=size, segments=segments, loss=loss, loss_from="prompt").collect()
+    ids = {d: [*t.encode(x, add_special_tokens=False).ids, 2] for d, x, _ in rows}
+    seqs = whole(pieces, ids)
+    sums = [(sum(p["length"] for p in s), len(s), sum(p["loss_tokens"] for p in s)) for s in seqs.values()]
+    first = {d: k for d, _, k in rows}
+    assert all(p["loss_tokens"] == max(0, p["start"] + p["length"] - max(p["start"], first[p["doc_id"]])) for p in pieces)
+    assert all(a <= size and b <= segments and c <= loss for a, b, c in sums)
+    assert any(a == size for a, _, _ in sums) and any(b == segments for _, b, _ in sums) and any(c == loss for _, _, c in sums)
+    full = [s for s in sums if s[0] & (s[0] - 1)]  # the others need no padding
+    assert sum(size - a for a, b, c in full if b < segments and c < loss) == 0
+
+
 def test_with_ids_and_odd_rows(spark):
     rows = pack(odd(spark).where("doc_id is not null and doc_id <> 3"), PATH, with_ids=True).collect()
     assert all(zlib.crc32(np.asarray(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in rows)
