@@ -12,7 +12,7 @@ WHITE[[0x20, *range(0x09, 0x0E)]] = True
 #: A-Z to a-z, all other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * MIX_2)
+BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * MIX_2)[LOWER]
 
 _POWERS: list = [powers(0), powers(0)]
 
@@ -35,7 +35,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     last[edge] = inside[edge]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTES[LOWER[data]] * _POWERS[0][:n], out=sums[1:])
+    np.cumsum(BYTES[data] * _POWERS[0][:n], out=sums[1:])
     value = mixed((sums[end] - sums[start]) * _POWERS[1][start] + (end - start).astype(np.uint64))
     return value, np.searchsorted(offsets, start, side="right") - 1, start
 
@@ -45,9 +45,11 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
     value, text, _ = words(data, offsets)
     count = np.bincount(text, minlength=len(offsets) - 1) if len(text) else np.zeros(len(offsets) - 1, np.int64)
     short = np.flatnonzero((count > 0) & (count < size))
-    h = np.zeros(max(0, len(value) - size + 1), np.uint64)
-    for k in range(size):
-        h = mixed(h * BASE + value[k : len(value) - size + 1 + k] + np.uint64(k + 1)) if len(h) else h
+    h = np.full(max(0, len(value) - size + 1), np.uint64(size))
+    for k in range(size if len(h) else 0):
+        h *= BASE
+        h += value[k : len(h) + k]
+    h = mixed(h)
     keep = text[size - 1 :] == text[: len(h)] if len(h) else np.zeros(0, bool)
     out, where = h[keep], text[: len(h)][keep]
     if len(short):

@@ -55,6 +55,73 @@ def test_named_secrets_are_added_and_plain_text_is_left(spark):
     assert all(r["n_secret"] == 1 for r in rows[60:])
 
 
+def planted(seed):
+    """(texts, planted spans by text) with values that are named or that stand alone, and decoys of like shape."""
+    rng = random.Random(seed)
+    words = [f"w{''.join(rng.choice('aeioustrnl') for _ in range(rng.randint(2, 9)))}" for _ in range(400)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    secret = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40)) if rng.random() < 0.5 else "".join(rng.choice("ABCDEFGHJKabcdefghjk0123456789") for _ in range(28)) + "7aQ"
+    phone = lambda: rng.choice([f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}"])
+    person = lambda: f"{rng.choice(words)}{rng.choice(['.', '_'])}{rng.choice(words)}"
+    hidden = lambda: f"{person()} {rng.choice(['(at)', '[at]'])} {rng.choice(words)} {rng.choice(['(dot)', '[dot]'])} {rng.choice(['com', 'org'])}"
+    kinds = [
+        ("secret", secret, ['token = "{}" ', "api_key: {} ", "password={} "], ["and {} then ", 'x = "{}" ']),
+        ("number", phone, ["phone: {} ", "tel. {} ", "call {} "], ["and {} then "]),
+        ("contact", hidden, ["mail: {} ", "contact {} "], ["and {} then "]),
+    ]
+    decoys = [lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"ref{digits(2)}{rng.choice(words)}{digits(1)}wwww", lambda: f"id = {rng.choice(words)}{rng.choice(words)}", lambda: f"{digits(3)}.{digits(3)}", lambda: f"look at {rng.choice(words)}.{rng.choice(words)}", lambda: f"{rng.choice(words)}@{rng.choice(words)}.com", lambda: f"mail: {rng.choice(words)}@{rng.choice(words)}.com"]
+    texts, want = [], []
+    for d in range(900):
+        text, own = prose(rng.randint(5, 40)) + " ", []
+        for _ in range(rng.randint(0, 3)):
+            if rng.random() < 0.45:
+                kind, make, named, alone = rng.choice(kinds)
+                with_name = rng.random() < 0.7
+                head, tail = rng.choice(named if with_name else alone).split("{}")
+                value = make()
+                own.append((kind, len(text) + len(head), len(text) + len(head) + len(value), with_name))
+                text += head + value + tail
+            else:
+                text += rng.choice(decoys)() + " "
+            text += prose(rng.randint(3, 20)) + " "
+        texts.append(text)
+        want.append(own)
+    return texts, want
+
+
+def test_added_spans_are_the_planted_ones(spark):
+    """Recall of planted values, named and alone, and precision of all added spans; base spans are no part of it."""
+    texts, want = planted(3)
+    hit, every, right, added = {}, {}, 0, 0
+    for r in find_pii(docs(spark, texts)).collect():
+        own, base = want[r["doc_id"]], brute(texts[r["doc_id"]])
+        found = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in filter(None, r["spans"].split(",")))]
+        assert r["n_spans"] == len(found)
+        found = [x for x in found if x[0] not in BASE]
+        covered = lambda k, a, b, found=found, base=base: any(a < y and x < b for _, x, y in found) or any(a < y and x < b for spans in base.values() for x, y in spans)
+        for k, a, b, named in own:
+            every[k, named] = every.get((k, named), 0) + 1
+            hit[k, named] = hit.get((k, named), 0) + covered(k, a, b)
+        added += len(found)
+        right += sum(any(k == kind and a < y and x < b for kind, x, y, _ in own) for k, a, b in found)
+    recall = {k: hit[k] / n for k, n in every.items()}
+    print("recall", recall, "precision", right / added, "of", added)
+    assert right >= 0.9 * added
+    assert all(recall[k, True] >= 0.9 for k in ("secret", "number", "contact"))
+    assert all(recall[k, False] >= 0.7 for k in ("secret", "number", "contact"))
+
+
+def test_many_matches_in_one_text(spark):
+    import time
+
+    text = " ".join(f"u{i}@d{i}.org token={i:012d}ab" for i in range(20000))
+    began = time.time()
+    row = find_pii(docs(spark, [text])).collect()[0]
+    assert row["n_email"] == 20000 and row["n_spans"] >= 20000
+    assert time.time() - began < 60
+
+
 def test_odd_rows(spark):
     rows = find_pii(odd(spark)).collect()
     assert len(rows) == 8 and all(r["n_email"] == 0 for r in rows)
