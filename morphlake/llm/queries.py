@@ -25,7 +25,7 @@ def op1_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from morphlake.llm.line_dedup import line_report
 
-    return line_report(table(spark, sf_dir, "documents"), run=3)
+    return line_report(table(spark, sf_dir, "documents"), run=3, words=50)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,14 +90,18 @@ FROM r WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 
 OP2_SQL = r"""
 WITH l AS (
-  SELECT doc_id, pos, line, trim(line, E' \t\r') AS bare
-  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), E'\n')) AS line, generate_subscripts(string_split(coalesce(text, ''), E'\n'), 1) AS pos FROM documents)),
+  SELECT doc_id, pos, line, bare, len(regexp_extract_all(bare, '[^\x20\x09-\x0D]+')) AS words
+  FROM (SELECT doc_id, pos, line, trim(line, E' \t\r') AS bare
+        FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), E'\n')) AS line, generate_subscripts(string_split(coalesce(text, ''), E'\n'), 1) AS pos FROM documents))),
 w AS (
-  SELECT doc_id, pos, lead(pos, 2) OVER o AS last, bare || E'\n' || lead(bare, 1) OVER o || E'\n' || lead(bare, 2) OVER o AS lines
-  FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+  SELECT doc_id, pos, 1 AS n, bare AS lines FROM l WHERE words >= 50
+  UNION ALL
+  SELECT doc_id, pos, 2 AS n, lines FROM (SELECT doc_id, pos, words + lead(words) OVER o AS words, bare || E'\n' || lead(bare) OVER o AS lines FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY pos)) WHERE words >= 50
+  UNION ALL
+  SELECT doc_id, pos, 3 AS n, bare || E'\n' || lead(bare, 1) OVER o || E'\n' || lead(bare, 2) OVER o AS lines FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
 later AS (
-  SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY lines ORDER BY doc_id, pos) AS k FROM w WHERE last IS NOT NULL) WHERE k > 1),
-gone AS (SELECT DISTINCT doc_id, pos + i AS pos FROM later, unnest([0, 1, 2]) AS t(i))
+  SELECT doc_id, pos, n FROM (SELECT doc_id, pos, n, row_number() OVER (PARTITION BY n, lines ORDER BY doc_id, pos) AS k FROM w WHERE lines IS NOT NULL) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, pos + unnest(range(n)) AS pos FROM later)
 SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_deleted,
        sha256(coalesce(string_agg(l.line, E'\n' ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '')) AS kept_sha256
 FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos
