@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import logging
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,6 +16,7 @@ from morphlake.sources.grammar import Grammar, GrammarError, Marker
 from morphlake.sources.lexicon import first_rows, load_lexicon, with_features
 
 LAST = 1 << 30
+log = logging.getLogger(__name__)
 
 
 class NotExponed(GrammarError):
@@ -117,10 +119,15 @@ class Paradigm:
         for bundle in self.combos():
             try:
                 out.append(({**bundle, **self.fixed}, self.markers(bundle)))
-            except NotExponed as e:
-                self.warnings.append(str(e))
+            except (ValueError, KeyError) as e:
+                self.skip(bundle, e)
         return out
 
+    def skip(self, bundle: dict[str, str], why: Exception) -> None:
+        """Notes that a cell has no forms: nothing expresses it, or one of its markers can't be applied."""
+        self.warnings.append(str(why) if isinstance(why, NotExponed) else f"{self.name}, cell {feature_key(bundle)}: {why}")
+        log.warning("skipped: %s", self.warnings[-1])
+
     def roots(self, lexicon: DataFrame) -> DataFrame:
         """Rows of the lexicon that the paradigm's filter lets through."""
         rule = self.data.get("filter") or {}
@@ -204,9 +211,13 @@ def inflected(spark: SparkSession, grammar: Grammar, name: str, lexicon: DataFra
         rows = rows.drop(c).join(each.where(F.col("__stem").isNotNull()).groupBy("root").agg(F.collect_set("__stem").alias(c)), "root", "left")
     cells = []
     for features, markers in p.cells():
-        forms, rest = start(grammar, F.col("__code"), {c: F.col(c) for c in parts}, markers)
-        for m, _ in rest:
-            forms = forms.apply(m)
+        try:
+            forms, rest = start(grammar, F.col("__code"), {c: F.col(c) for c in parts}, markers)
+            for m, _ in rest:
+                forms = forms.apply(m)
+        except (ValueError, KeyError) as e:  # one cell that can't be built doesn't stop the others
+            p.skip(features, e)
+            continue
         cells.append(F.struct(F.lit(feature_key(features)).alias("feature_key"), F.create_map(*(F.lit(x) for pair in sorted(features.items()) for x in pair)).alias("features"), forms.array().alias("forms")))
     schema = "paradigm string, root string, feature_key string, features map<string,string>, form string, form_tagged string, form_code string"
     if not cells:
@@ -254,16 +265,29 @@ def parse(relation: DataFrame, forms: DataFrame, lexicon: DataFrame | None = Non
     return found.join(first_rows(lexicon).select("root", "gloss"), "root", "left")
 
 
-def search(relation: DataFrame, queries: DataFrame, n: int = 10, bound: int = 5, salts: int = 8) -> DataFrame:
+def _pieces(length: str, bound: int) -> str:
+    """SQL for the number, place and size of each of bound + 1 stretches of nearly one size that a string of this length is cut into."""
+    cut = lambda k: f"CAST(floor({k} * {length} / {bound + 1}) AS INT)"
+    return f"transform(sequence(0, {bound}), k -> struct(k AS k, {cut('k')} AS at, {cut('(k + 1)')} - {cut('k')} AS n))"
+
+
+def search(relation: DataFrame, queries: DataFrame, n: int = 10, bound: int = 5) -> DataFrame:
     """query, form, distance, rank: for each query (query, query_code) the n nearest forms within `bound` edits of symbols, ties by form.
 
-    Forms and queries meet by length, dealt out over salts: a form reaches a query only where their lengths differ by no more than
-    the bound, in a hashed join of which neither side need be small.
+    A form is cut into bound + 1 pieces. No more than `bound` edits leave one of them as it is, at most `bound` places away from its
+    own in the query; so forms and queries meet where a piece is equal, by number and length of the form, and only those
+    pairs are measured. A form of no more than `bound` symbols has empty pieces and meets every query of like length.
     """
-    forms = relation.groupBy("form").agg(F.min("form_code").alias("form_code")).withColumns({"len": F.length("form_code"), "salt": F.pmod(F.xxhash64("form"), F.lit(salts))})
+    forms = relation.groupBy("form").agg(F.min("form_code").alias("form_code")).withColumn("len", F.length("form_code"))
+    cut = forms.withColumn("p", F.explode(F.expr(_pieces("len", bound)))).select("form", "form_code", "len", F.col("p.k").alias("k"), F.expr("substring(form_code, p.at + 1, p.n)").alias("piece"))
     asked = queries.select("query", "query_code").distinct().where(F.col("query_code").isNotNull())
-    asked = asked.withColumn("len", F.explode(F.sequence(F.greatest(F.length("query_code") - bound, F.lit(0)), F.length("query_code") + bound))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-    met = asked.join(forms, ["len", "salt"]).withColumn("distance", F.levenshtein("query_code", "form_code", bound)).where("distance >= 0")
+    asked = asked.withColumn("len", F.explode(F.sequence(F.greatest(F.length("query_code") - bound, F.lit(0)), F.length("query_code") + bound)))
+    asked = asked.withColumn("p", F.explode(F.expr(_pieces("len", bound))))
+    near = f"sequence(greatest(p.at - {bound}, 0), least(p.at + {bound}, greatest(length(query_code) - p.n, 0)))"
+    fits = F.expr(f"CASE WHEN p.n = 0 THEN array('') WHEN p.n > length(query_code) OR p.at - {bound} > length(query_code) - p.n THEN array() ELSE array_distinct(transform({near}, j -> substring(query_code, j + 1, p.n))) END")
+    asked = asked.select("query", "query_code", "len", F.col("p.k").alias("k"), F.explode(fits).alias("piece"))
+    met = asked.join(cut, ["len", "k", "piece"]).select("query", "query_code", "form", "form_code").distinct()
+    met = met.withColumn("distance", F.levenshtein("query_code", "form_code", bound)).where("distance >= 0")
     order = Window.partitionBy("query").orderBy("distance", "form")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("query", "form", F.col("distance").cast("double").alias("distance"), "rank")
 
@@ -276,7 +300,8 @@ def search_parse(relation: DataFrame, queries: DataFrame, lexicon: DataFrame | N
 def stages(grammar: Grammar, name: str, requests: DataFrame, lexicon: DataFrame) -> DataFrame:
     """root, feature_key, stage_no, stage, surface_forms, feature_values, marker_kind, marker_value: how each request's form comes about.
 
-    requests: root, feature_key. The root need not be in the lexicon. At most five forms a step, tags kept; the last row has none.
+    requests: root, feature_key. The root need not be in the lexicon; a feature_key that is no cell of the paradigm is an error. At most five forms
+    a step, tags kept; the last row has none.
     """
     p, s = Paradigm(grammar, name), grammar.symbols
     parts = list(map(str, grammar.parts_of_speech[p.pos].get("principal_parts") or ()))
@@ -301,4 +326,5 @@ def stages(grammar: Grammar, name: str, requests: DataFrame, lexicon: DataFrame)
         whole = cell if whole is None else F.coalesce(whole, cell)
     if whole is None:
         raise GrammarError(f"{p.name} has no cells")
-    return rows.select("root", "feature_key", F.explode(whole).alias("x")).select("root", "feature_key", "x.*")
+    found = F.when(whole.isNotNull(), whole).otherwise(F.raise_error(F.concat(F.lit(f"{p.name} has no cell "), F.coalesce("feature_key", F.lit("null")))))
+    return rows.select("root", "feature_key", F.explode(found).alias("x")).select("root", "feature_key", "x.*")

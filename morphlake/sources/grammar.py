@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -123,10 +124,10 @@ class Grammar:
             yield from ([Marker.read(m) for m in x.get("realization") or ()] for x in data["markers"])
 
     def fingerprint(self) -> str:
-        """Of the content of all files, so that stored relations are told apart by what they were made from."""
-        h = hashlib.sha256()
-        for p in sorted(Path(self.path).rglob("*")):
-            if p.suffix in (".yaml", ".yml", ".csv"):
+        """Of the content of all files, spreadsheets included, so that stored relations are told apart by what they were made from; of a grammar without a folder, of its records."""
+        h = hashlib.sha256(b"" if self.path else json.dumps(self.files, sort_keys=True, default=str).encode())
+        for p in sorted(Path(self.path).rglob("*")) if self.path else ():
+            if p.suffix in (".yaml", ".yml", ".csv", ".xlsx"):
                 h.update(f"{p.relative_to(self.path)}\0".encode() + p.read_bytes() + b"\0")
         return h.hexdigest()
 
