@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from helpers import docs, empty, odd
 
-from morphlake.llm.language_id import build, code_lengths, fit, identify
+from morphlake.llm.language_id import build, code_lengths, fit, identify, keep_known
 
 
 def brute(text, texts):
@@ -62,6 +62,31 @@ def test_held_out(spark):
     assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
 
 
+def test_foreign_texts_and_junk_go_and_clean_ones_stay(spark):
+    import base64
+    import random
+
+    rng = random.Random(6)
+    data = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    sounds = ["kk", "yy", "jo", "ptä", "vuo", "nyk", "hja", "qo", "xi", "zhu", "wy", "kłó", "brz", "ąg"]
+    foreign = [" ".join("".join(rng.choice(sounds) for _ in range(rng.randint(2, 5))) for _ in range(80)) for _ in range(20)]
+    junk = [base64.b64encode(rng.randbytes(600)).decode() for _ in range(20)] + ["".join(f"{rng.randint(0, 10**12):x};" for _ in range(60)) for _ in range(20)]
+    planted = spark.createDataFrame([(10**6 + i, t, None) for i, t in enumerate(foreign + junk)], data.schema)
+    model = fit(data, most=100, hold=5)
+    assert set(model.limits) == {"de", "en", "es", "fr"}
+    kept = {r["doc_id"] for r in keep_known(data.unionByName(planted), model).collect()}
+    assert not any(i >= 10**6 for i in kept)
+    known = {r["doc_id"] for r in identify(data, model).collect() if r["lang_pred"] != "und" and r["score"] >= 0.5}
+    assert kept <= known and len(kept) >= 0.99 * len(known)
+
+
+def test_the_stage_takes_odd_rows(spark):
+    table = odd(spark).unionByName(docs(spark, ["the cat sat on the mat"] * 3))
+    kept = keep_known(table, fit(table, hold=2))
+    assert kept.columns == table.columns and {r["doc_id"] for r in kept.collect()}.isdisjoint({4})
+    assert keep_known(empty(spark), fit(empty(spark), hold=2)).count() == 0
+
+
 def test_odd_rows(spark):
     model = fit(docs(spark, ["the cat sat on the mat"] * 3))
     rows = identify(odd(spark), model).collect()
