@@ -14,8 +14,8 @@ from morphlake.llm.queries import tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the labelled languages; texts without letters or of no clear language go."""
-    return keep_known(docs, fit(docs, most=400), least=0.5)
+    """Documents in one of the labelled languages; texts without letters, of no clear language, or that no language codes as it does its own, go."""
+    return keep_known(docs, fit(docs, most=400, hold=5), least=0.5)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
