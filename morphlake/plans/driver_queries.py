@@ -13,6 +13,7 @@ from morphlake.functions.symbols import decoded, encoded, feature_key, feature_k
 from morphlake.operators import edit, paradigm, reports, resolution
 from morphlake.sources import lexicon as lex
 from morphlake.sources.grammar import Grammar
+from morphlake.sources.tables import stored
 
 VOWELS = "aeiou"
 CONSONANTS = "bcdfghjklmnpqrstvwxyz"
@@ -53,6 +54,15 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.translate("p_name", " ", "_").alias("root"), F.col("p_brand").alias("gloss"), "p_type", "p_partkey")
 
 
+KEY = ("0123456789", "bcdfghklmn")
+
+
+def keyed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """root, gloss, p_type, p_partkey: a root of its own for each part, so that a lexicon grows with the data."""
+    root = F.concat(F.translate(F.col("p_partkey").cast("string"), *KEY), F.lit("_"), F.translate("p_name", " ", "_"))
+    return table(spark, sf_dir, "part").select(root.alias("root"), F.col("p_brand").alias("gloss"), "p_type", "p_partkey")
+
+
 def roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words(spark, sf_dir).select("root").distinct()
 
@@ -61,7 +71,7 @@ ROOTS_SQL = "SELECT DISTINCT replace(p_name, ' ', '_') AS root FROM part"
 
 
 def lexicon_roots(spark, sf_dir):
-    return words(spark, sf_dir).select("root", "gloss").distinct()
+    return lex.roots(keyed_words(spark, sf_dir)).unionByName(lex.roots(words(spark, sf_dir))).groupBy("root").agg(F.count("*").alias("n"))
 
 
 def gloss_roots(spark, sf_dir):
@@ -101,9 +111,9 @@ def pattern_test(spark, sf_dir):
     return reports.test_patterns(g, cases).groupBy("ref").agg(F.every("pass").alias("all_pass"), F.count_if("pass").alias("n_pass"), F.count("*").alias("n"))
 
 
-def _ruled(name):
+def _ruled(name, grammar=None):
     def run(spark, sf_dir):
-        g = demo_grammar()
+        g = grammar or demo_grammar()
         s = g.symbols
         rows = roots(spark, sf_dir).withColumn("code", F.concat(F.lit(s.bow), encoded(s, F.col("root")), F.lit(s.eow)))
         return rows.select("root", F.explode(rewritten(g.rules(name), F.col("code"))).alias("code")).select("root", decoded(s, F.col("code")).alias("form"))
@@ -160,13 +170,38 @@ def relation(spark, sf_dir) -> DataFrame:
     return paradigm.inflected(spark, demo_grammar(), "noun", words(spark, sf_dir))
 
 
+def keyed_relation(spark, sf_dir) -> DataFrame:
+    return paradigm.inflected(spark, demo_grammar(), "noun", keyed_words(spark, sf_dir))
+
+
 def inflect_table(spark, sf_dir):
-    return relation(spark, sf_dir).select("paradigm", "root", "feature_key", "form", "form_tagged")
+    return keyed_relation(spark, sf_dir).select("paradigm", "root", "feature_key", "form", "form_tagged")
+
+
+def verb_grammar() -> Grammar:
+    """Verbs with every kind of marker: prefixes, suffixes, replacement, suppletion and principal parts with tags; a fixed feature, a global marker, a filter by a named pattern."""
+    files = {
+        "Inventory": {"letters": {"kind": "Inventory", "data": [{"ref": "<V>", "phones": list(VOWELS)}, {"ref": "<C>", "phones": list(CONSONANTS)}, {"ref": "<T>", "tags": ["[hard]"]}]}},
+        "Patterns": {"shapes": {"kind": "Patterns", "patterns": [{"ref": "<Keyed>", "pattern": "<Key>_<Sigma>*"}, {"ref": "<Key>", "pattern": "<C>+"}]}},
+        "PartOfSpeech": {"verb": {"kind": "PartOfSpeech", "name": "verb", "features": ["voice", "tense", "person"], "lexical_features": ["p_type"], "principal_parts": ["weak"]}},
+        "FeatureDefinitions": {"verb": {"kind": "FeatureDefinitions", "features": {"voice": ["active"], "tense": ["pres", "past", "perf"], "person": ["one", "two", "three"]}}},
+        "FeatureMarkers": {
+            "tense": {"kind": "FeatureMarkers", "feature": "tense", "markers": {"pres": None, "past": [{"kind": "prefix", "value": "ge_", "stage": "outer"}], "perf": [{"kind": "replace", "value": ["_", "<Empty>"], "stage": "inner"}]}},
+            "person": {"kind": "FeatureMarkers", "feature": "person", "markers": {"one": [{"kind": "suffix", "value": "-m"}], "two": [{"kind": "principal_part", "value": "weak"}, {"kind": "suffix", "value": "-t"}], "three": [{"kind": "suppletion", "value": "zu", "stage": "inner"}]}},
+        },
+        "Paradigm": {"verb": {"kind": "Paradigm", "part_of_speech": "$verb", "feature_markers": {"voice": "active", "tense": "$tense", "person": "$person"}, "global_markers": [{"kind": "suffix", "value": "q"}], "global_stage": None, "stage_order": ["inner", "outer"], "filter": {"lexical_features": {"p_type": "PROMO"}, "pattern": "<Keyed>"}}},
+    }
+    return Grammar("", files)
+
+
+def inflect_verbs(spark, sf_dir):
+    weak = F.when(F.col("p_partkey") % 3 != 0, F.concat("root", F.lit("[hard]e"))).otherwise("")
+    return paradigm.inflected(spark, verb_grammar(), "verb", keyed_words(spark, sf_dir).withColumn("weak", weak)).select("root", "feature_key", "form", "form_tagged")
 
 
 def inflect_lookup(spark, sf_dir):
-    ask = words(spark, sf_dir).where("p_partkey % 2 = 0").select("p_partkey", "root", F.create_map(F.lit("number"), F.when(F.col("p_partkey") % 4 == 0, "pl").otherwise("sg"), F.lit("case"), F.lit("gen")).alias("features"))
-    return paradigm.inflect(relation(spark, sf_dir), paradigm.checked(demo_grammar(), "noun", ask)).select("p_partkey", "root", "feature_key", "form")
+    ask = keyed_words(spark, sf_dir).select("p_partkey", "root", F.create_map(F.lit("number"), F.when(F.col("p_partkey") % 4 == 0, "pl").otherwise("sg"), F.lit("case"), F.lit("gen")).alias("features"))
+    return paradigm.inflect(keyed_relation(spark, sf_dir), paradigm.checked(demo_grammar(), "noun", ask)).select("p_partkey", "root", "feature_key", "form")
 
 
 def inflect_stages(spark, sf_dir):
@@ -177,15 +212,14 @@ def inflect_stages(spark, sf_dir):
 
 
 def parse_exact(spark, sf_dir):
-    own = words(spark, sf_dir)
-    forms = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.translate("p_name", " ", "_"), F.when(F.col("p_partkey") % 2 == 0, "-s").otherwise("-n")).alias("form"))
-    first = own.groupBy("root").agg(F.min_by("gloss", "p_partkey").alias("gloss"))
-    return paradigm.parse(relation(spark, sf_dir), forms, first).select("p_partkey", "form", "root", "feature_key", "gloss")
+    own = keyed_words(spark, sf_dir)
+    forms = own.select("p_partkey", F.concat("root", F.when(F.col("p_partkey") % 2 == 0, "-s").otherwise("-n")).alias("form"))
+    return paradigm.parse(keyed_relation(spark, sf_dir), forms, own).select("p_partkey", "form", "root", "feature_key", "gloss")
 
 
 def parse_ambiguous(spark, sf_dir):
-    forms = relation(spark, sf_dir).select("form").distinct()
-    return paradigm.parse(relation(spark, sf_dir), forms).groupBy("form").agg(F.count("*").alias("n_parses"), F.countDistinct("root").alias("n_roots"))
+    known = stored(keyed_relation(spark, sf_dir), "relation")
+    return paradigm.parse(known, known.select("form").distinct()).groupBy("form").agg(F.count("*").alias("n_parses"), F.countDistinct("root").alias("n_roots"))
 
 
 def _misspelled(spark, sf_dir):
@@ -201,11 +235,11 @@ def search_topk(spark, sf_dir):
 def search_parse(spark, sf_dir):
     own = words(spark, sf_dir)
     first = own.groupBy("root").agg(F.min_by("gloss", "p_partkey").alias("gloss"))
-    return paradigm.search_parse(relation(spark, sf_dir), _misspelled(spark, sf_dir), first, 5).select("query", "form", "distance", "rank", "root", "feature_key", "gloss")
+    return paradigm.search_parse(stored(relation(spark, sf_dir), "relation"), _misspelled(spark, sf_dir), first, 5).select("query", "form", "distance", "rank", "root", "feature_key", "gloss")
 
 
 def grammar_stats(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("kind")).agg(F.count_if(F.col("n_chars") > 0).alias("files"), F.count_if(F.col("n_chars") <= 0).alias("invalid_files"), F.countDistinct("source").alias("total"))
+    return reports.grammar_stats(spark, demo_grammar())
 
 
 def inflection_meta(spark, sf_dir):
@@ -216,8 +250,11 @@ def inflection_meta(spark, sf_dir):
 
 
 def dup_first_wins(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select(F.col("p_name").alias("root"), "p_partkey", "p_size")
-    return lex.first_rows(rows, "p_partkey").select("root", "p_partkey", "p_size")
+    """A second rule, pattern and class of a name that is taken count for nothing."""
+    files = demo_grammar().files
+    files["Rules"]["second"] = {"kind": "Rules", "rules": [{"name": "raise", "input_pattern": "o", "output_pattern": "i"}]}
+    files["Inventory"]["second"] = {"kind": "Inventory", "data": [{"ref": "<C>", "phones": ["o"]}]}
+    return _ruled("raise", Grammar("", files))(spark, sf_dir)
 
 
 def _transitions(spark, sf_dir):
@@ -257,16 +294,12 @@ def trie_csr(spark, sf_dir):
 
 def beam_exact(spark, sf_dir):
     own = table(spark, sf_dir, "part")
-    left = own.where("p_size <= 30").select(F.col("p_name").alias("query"))
-    right = own.where("p_size > 20").select(F.col("p_name").alias("word"))
-    return edit.beam_search(left, right, num_beam=5)
+    return edit.beam_search(own.select(F.col("p_name").alias("query")), own.select(F.col("p_name").alias("word")), num_beam=5)
 
 
 def beam_fuzzy(spark, sf_dir):
-    """Beams wide enough to be exact: every pair of first words within the trie."""
-    left = table(spark, sf_dir, "part").select(F.split("p_name", " ")[0].alias("query")).distinct().where("length(query) <= 3")
-    right = table(spark, sf_dir, "part").select(F.split("p_name", " ")[0].alias("word")).distinct().where("length(word) <= 4")
-    return edit.beam_search(left, right, num_beam=3000, fuzzy=True, longest=8)
+    """Beams wide enough to be exact: every pair of words of the names."""
+    return edit.beam_search(_ascii_words(spark, sf_dir, "query"), _ascii_words(spark, sf_dir, "word"), num_beam=3000, fuzzy=True)
 
 
 def weighted_edits(spark, sf_dir):
@@ -286,15 +319,29 @@ def feature_keys(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(feature_key_column(bundle).alias("feature_key")).groupBy("feature_key").agg(F.count("*").alias("n"))
 
 
-SUFFIXES = ["ing", "ed", "er", "tion", "ble", "es", "eux", "ment", "elle", "ción", "mente", "ado", "ung", "keit", "lich", "en"]
+ENDINGS = ["ing", "ed", "er", "es"]
+
+
+def word_grammar() -> Grammar:
+    """Words of plain letters, bare or with one of some endings."""
+    markers = {"bare": None} | {e: [{"kind": "suffix", "value": e}] for e in ENDINGS}
+    files = {
+        "Inventory": {"letters": {"kind": "Inventory", "data": [{"ref": "<L>", "phones": list(LETTERS)}]}},
+        "PartOfSpeech": {"word": {"kind": "PartOfSpeech", "name": "word", "features": ["ending"], "lexical_features": [], "principal_parts": []}},
+        "FeatureDefinitions": {"word": {"kind": "FeatureDefinitions", "features": {"ending": list(markers)}}},
+        "FeatureMarkers": {"ending": {"kind": "FeatureMarkers", "feature": "ending", "markers": markers}},
+        "Paradigm": {"word": {"kind": "Paradigm", "part_of_speech": "$word", "feature_markers": {"ending": "$ending"}}},
+    }
+    return Grammar("", files)
 
 
 def doc_token_parse(spark, sf_dir):
-    """Words of all documents as stem and suffix: split once a distinct word, joined to the suffixes by equality."""
-    tokens = table(spark, sf_dir, "documents").select("lang", F.explode(F.split("text", r"[ \n]+")).alias("token")).groupBy("lang", "token").agg(F.count("*").alias("n")).where("length(token) > 2")
-    cut = tokens.select("lang", "token", "n", F.explode(F.sequence(F.lit(2), F.least(F.lit(5), F.length("token") - 1))).alias("k")).select("lang", "n", F.expr("substring(token, 1, length(token) - k)").alias("stem"), F.expr("substring(token, length(token) - k + 1)").alias("suffix"))
-    suffixes = spark.createDataFrame([(s,) for s in SUFFIXES], "suffix string")
-    return cut.join(F.broadcast(suffixes), "suffix").groupBy("lang", "suffix").agg(F.sum("n").alias("n_tokens"), F.countDistinct("stem").alias("n_stems"))
+    """All documents' words of plain letters, parsed by a paradigm over the same words as roots."""
+    tokens = table(spark, sf_dir, "documents").select("lang", F.explode(F.split("text", r"[ \n]+")).alias("form")).where(F.regexp_like("form", F.lit("^[a-z]{2,}$"))).groupBy("lang", "form").agg(F.count("*").alias("n"))
+    tokens = stored(tokens, "tokens")
+    lexicon = tokens.select(F.col("form").alias("root")).distinct()
+    found = paradigm.parse(paradigm.inflected(spark, word_grammar(), "word", lexicon), tokens)
+    return found.groupBy("lang", "feature_key").agg(F.sum("n").alias("n_tokens"), F.countDistinct("root").alias("n_roots"))
 
 
 QUERIES = {
@@ -318,6 +365,7 @@ QUERIES = {
     "unexpressed_features": unexpressed_features,
     "stage_order": stage_order,
     "inflect_table": inflect_table,
+    "inflect_verbs": inflect_verbs,
     "inflect_lookup": inflect_lookup,
     "inflect_stages": inflect_stages,
     "parse_exact": parse_exact,
@@ -340,11 +388,19 @@ QUERIES = {
 }
 
 RAISED = "regexp_replace(root, 'o([^aeiou_]*)$', 'ue\\1')"
-FORMS_SQL = f"""
-SELECT root, '[case=nom][number=sg]' AS feature_key, root AS form FROM ({ROOTS_SQL})
-UNION ALL SELECT root, '[case=gen][number=sg]', root || '-n' FROM ({ROOTS_SQL})
-UNION ALL SELECT root, '[case=nom][number=pl]', {RAISED} || '-s' FROM ({ROOTS_SQL})
-UNION ALL SELECT root, '[case=gen][number=pl]', root || '-n' FROM ({ROOTS_SQL})"""
+KEYED = f"translate(p_partkey::VARCHAR, '{KEY[0]}', '{KEY[1]}') || '_' || replace(p_name, ' ', '_')"
+KEYED_SQL = f"SELECT {KEYED} AS root FROM part"
+
+
+def _forms_sql(roots_sql: str) -> str:
+    return f"""
+SELECT root, '[case=nom][number=sg]' AS feature_key, root AS form FROM ({roots_sql})
+UNION ALL SELECT root, '[case=gen][number=sg]', root || '-n' FROM ({roots_sql})
+UNION ALL SELECT root, '[case=nom][number=pl]', {RAISED} || '-s' FROM ({roots_sql})
+UNION ALL SELECT root, '[case=gen][number=pl]', root || '-n' FROM ({roots_sql})"""
+
+
+FORMS_SQL, KEYED_FORMS_SQL = _forms_sql(ROOTS_SQL), _forms_sql(KEYED_SQL)
 GLOSS_SQL = "SELECT replace(p_name, ' ', '_') AS root, arg_min(p_brand, p_partkey) AS gloss FROM part GROUP BY 1"
 SEARCH_SQL = f"""
 WITH f AS ({FORMS_SQL}), d AS (SELECT DISTINCT form FROM f),
@@ -363,7 +419,7 @@ def _rewrite_sql(expression: str) -> str:
 
 
 ORACLES = {
-    "lexicon_roots": "SELECT DISTINCT replace(p_name, ' ', '_') AS root, p_brand AS gloss FROM part",
+    "lexicon_roots": f"SELECT root, count(*) AS n FROM (SELECT replace(p_name, ' ', '_') AS root FROM part UNION ALL {KEYED_SQL}) GROUP BY root",
     "gloss_roots": "SELECT replace(p_name, ' ', '_') AS root, count(*) AS n FROM part WHERE p_brand = 'Brand#7' GROUP BY 1",
     "lexical_feature_filter": "SELECT p_partkey, p_name FROM part WHERE p_type = 'PROMO' AND p_brand = 'Brand#3'",
     "first_row_lookup": "SELECT replace(p_name, ' ', '_') AS root, p_brand AS gloss, p_type FROM part QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) = 1",
@@ -400,9 +456,16 @@ ORACLES = {
         UNION ALL SELECT cell, 'r2', 'status', 0, lower(s) FROM c WHERE p <> '1-URGENT' AND s <> 'P'""",
     "unexpressed_features": "SELECT DISTINCT o_orderpriority || '/' || o_orderstatus AS cell, 'priority' AS feature FROM orders WHERE o_orderpriority = '4-NOT SPECIFIED'",
     "stage_order": "SELECT o_orderkey, substr(o_orderpriority, 3) AS stage, CASE substr(o_orderpriority, 3) WHEN 'HIGH' THEN 1 WHEN 'URGENT' THEN 2 WHEN 'LOW' THEN 3 ELSE 2147483647 END::BIGINT AS stage_rank FROM orders",
-    "inflect_table": f"SELECT 'noun' AS paradigm, root, feature_key, form, form AS form_tagged FROM ({FORMS_SQL})",
+    "inflect_table": f"SELECT 'noun' AS paradigm, root, feature_key, form, form AS form_tagged FROM ({KEYED_FORMS_SQL})",
+    "inflect_verbs": f"""
+        WITH p AS (SELECT {KEYED} AS root, p_partkey FROM part WHERE p_type = 'PROMO'),
+        x AS (SELECT root, person, tense, CASE person WHEN 'one' THEN root WHEN 'three' THEN 'zu' ELSE root || CASE WHEN p_partkey % 3 <> 0 THEN '[hard]e' ELSE '' END END AS s
+          FROM p, (VALUES ('one'), ('two'), ('three')) a(person), (VALUES ('pres'), ('past'), ('perf')) b(tense)),
+        y AS (SELECT root, '[person=' || person || '][tense=' || tense || '][voice=active]' AS feature_key,
+          CASE tense WHEN 'past' THEN 'ge_' || s WHEN 'perf' THEN replace(s, '_', '') ELSE s END || CASE person WHEN 'one' THEN '-m' WHEN 'two' THEN '-t' ELSE '' END || 'q' AS form_tagged FROM x)
+        SELECT root, feature_key, replace(form_tagged, '[hard]', '') AS form, form_tagged FROM y""",
     "inflect_lookup": f"""
-        WITH f AS ({FORMS_SQL}), a AS (SELECT p_partkey, replace(p_name, ' ', '_') AS root, '[case=gen][number=' || CASE WHEN p_partkey % 4 = 0 THEN 'pl' ELSE 'sg' END || ']' AS feature_key FROM part WHERE p_partkey % 2 = 0)
+        WITH f AS ({KEYED_FORMS_SQL}), a AS (SELECT p_partkey, {KEYED} AS root, '[case=gen][number=' || CASE WHEN p_partkey % 4 = 0 THEN 'pl' ELSE 'sg' END || ']' AS feature_key FROM part)
         SELECT p_partkey, root, feature_key, form FROM a JOIN f USING (root, feature_key)""",
     "inflect_stages": f"""
         WITH r AS (SELECT root, {RAISED} AS up FROM ({ROOTS_SQL}))
@@ -411,14 +474,14 @@ ORACLES = {
         UNION ALL SELECT root, 2, 'suffix', up || '-s', 'suffix', '-s' FROM r
         UNION ALL SELECT root, 3, 'Final', up || '-s', '', '' FROM r""",
     "parse_exact": f"""
-        WITH f AS ({FORMS_SQL}), a AS (SELECT p_partkey, replace(p_name, ' ', '_') || CASE WHEN p_partkey % 2 = 0 THEN '-s' ELSE '-n' END AS form FROM part)
-        SELECT p_partkey, form, root, feature_key, gloss FROM a JOIN f USING (form) LEFT JOIN ({GLOSS_SQL}) USING (root)""",
-    "parse_ambiguous": f"SELECT form, count(*) AS n_parses, count(DISTINCT root) AS n_roots FROM ({FORMS_SQL}) GROUP BY form",
+        WITH f AS ({KEYED_FORMS_SQL}), a AS (SELECT p_partkey, {KEYED} || CASE WHEN p_partkey % 2 = 0 THEN '-s' ELSE '-n' END AS form FROM part)
+        SELECT p_partkey, form, root, feature_key, gloss FROM a JOIN f USING (form) LEFT JOIN (SELECT {KEYED} AS root, p_brand AS gloss FROM part) USING (root)""",
+    "parse_ambiguous": f"SELECT form, count(*) AS n_parses, count(DISTINCT root) AS n_roots FROM ({KEYED_FORMS_SQL}) GROUP BY form",
     "search_topk": f"{SEARCH_SQL} SELECT query, form, distance, rank FROM r WHERE rank <= 5",
     "search_parse": f"{SEARCH_SQL} SELECT query, form, distance, rank, root, feature_key, gloss FROM r JOIN f USING (form) LEFT JOIN ({GLOSS_SQL}) USING (root) WHERE rank <= 5",
-    "grammar_stats": "SELECT lang AS kind, count(*) FILTER (WHERE n_chars > 0) AS files, count(*) FILTER (WHERE n_chars <= 0) AS invalid_files, count(DISTINCT source) AS total FROM documents GROUP BY lang",
+    "grammar_stats": "SELECT kind, files::BIGINT AS files, 0::BIGINT AS invalid_files, total::BIGINT AS total FROM (VALUES ('Inventory', 1, 2), ('Patterns', 1, 2), ('Rules', 1, 5), ('PartOfSpeech', 1, 2), ('FeatureDefinitions', 1, 2), ('FeatureMarkers', 2, 4), ('ContingentFeatureMarkers', 1, 2), ('Paradigm', 1, 2)) v(kind, files, total)",
     "inflection_meta": "SELECT 'noun' AS name, feature, value, ord FROM (VALUES ('number', 'sg', 0), ('number', 'pl', 1), ('number', 'unmarked', 2), ('case', 'nom', 0), ('case', 'gen', 1), ('case', 'unmarked', 2)) v(feature, value, ord)",
-    "dup_first_wins": "SELECT p_name AS root, p_partkey, p_size FROM part QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) = 1",
+    "dup_first_wins": _rewrite_sql(RAISED),
     "edit_cost_matrix": f"""
         WITH {TRANSITIONS_SQL}
         SELECT src, dst, round(1 / p, 9) AS cost, 'substitute' AS op FROM t WHERE src <> dst
@@ -431,17 +494,18 @@ ORACLES = {
         a AS (SELECT p.prefix, count(c.prefix) AS n_arcs, bool_or(w.word IS NOT NULL) AS final FROM p
           LEFT JOIN p c ON length(c.prefix) = length(p.prefix) + 1 AND starts_with(c.prefix, p.prefix) LEFT JOIN w ON w.word = p.prefix GROUP BY p.prefix)
         SELECT prefix, n_arcs, (coalesce(sum(n_arcs) OVER (ORDER BY prefix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "offset", final FROM a""",
-    "beam_exact": "SELECT DISTINCT p_name AS q, p_name AS labels, 0.0::DOUBLE AS weight FROM part WHERE p_size <= 30 AND p_name IN (SELECT p_name FROM part WHERE p_size > 20)",
+    "beam_exact": "SELECT DISTINCT p_name AS q, p_name AS labels, 0.0::DOUBLE AS weight FROM part",
     "beam_fuzzy": """
-        WITH w AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS x FROM part)
-        SELECT a.x AS q, b.x AS labels, levenshtein(a.x, b.x)::DOUBLE AS weight FROM w a, w b WHERE length(a.x) <= 3 AND length(b.x) <= 4""",
+        WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS x FROM part)
+        SELECT a.x AS q, b.x AS labels, levenshtein(a.x, b.x)::DOUBLE AS weight FROM w a, w b""",
     "weighted_edits": """
         WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS x FROM part)
         SELECT a.x AS a, b.x AS b, levenshtein(a.x, b.x)::DOUBLE AS distance FROM w a, w b WHERE levenshtein(a.x, b.x) <= 4""",
     "symbol_round_trip": "SELECT p_partkey, length(p_name)::INT AS n_symbols, replace(p_name, ' ', '_') AS form FROM part",
     "feature_keys": "SELECT '[priority=' || o_orderpriority || '][status=' || o_orderstatus || ']' AS feature_key, count(*) AS n FROM orders GROUP BY 1",
     "doc_token_parse": f"""
-        WITH t AS (SELECT lang, token, count(*) AS n FROM (SELECT lang, unnest(regexp_split_to_array(text, '[ \\n]+')) AS token FROM documents) WHERE length(token) > 2 GROUP BY ALL),
-        c AS (SELECT lang, n, substr(token, 1, length(token) - k) AS stem, substr(token, length(token) - k + 1) AS suffix FROM t, range(2, 6) r(k) WHERE k < length(token))
-        SELECT lang, suffix, sum(n)::BIGINT AS n_tokens, count(DISTINCT stem) AS n_stems FROM c WHERE suffix IN ({", ".join(f"'{s}'" for s in SUFFIXES)}) GROUP BY ALL""",
+        WITH t AS (SELECT lang, token, count(*) AS n FROM (SELECT lang, unnest(regexp_split_to_array(text, '[ \\n]+')) AS token FROM documents) WHERE regexp_full_match(token, '[a-z]{{2,}}') GROUP BY ALL),
+        r AS (SELECT DISTINCT token AS root FROM t),
+        f AS (SELECT root, '[ending=bare]' AS feature_key, root AS form FROM r UNION ALL SELECT root, '[ending=' || e || ']', root || e FROM r, (VALUES {", ".join(f"('{e}')" for e in ENDINGS)}) v(e))
+        SELECT lang, feature_key, sum(n)::BIGINT AS n_tokens, count(DISTINCT root) AS n_roots FROM t JOIN f ON t.token = f.form GROUP BY ALL""",
 }

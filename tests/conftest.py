@@ -31,4 +31,4 @@ def grammar(tmp_path_factory):
 
     from morphlake.sources.grammar import load_grammar
 
-    return load_grammar(write(tmp_path_factory.mktemp("spanish")))
+    return load_grammar(write(tmp_path_factory.mktemp("invented")))

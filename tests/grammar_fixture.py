@@ -1,27 +1,26 @@
-"""A small Spanish grammar, written to a folder as YAML and CSV."""
+"""A small grammar of an invented language, written to a folder as YAML and CSV: nouns that take the part they play as an ending.
+
+Hard and soft nouns have endings of their own. Gliding nouns are hard, dulled ones soft, and change their stem in some roles; the agent is built on
+the oblique stem where a word has one.
+"""
 
 import yaml
 
-PN = ["1sg", "2sg", "3sg", "1pl", "2pl", "3pl"]
-ENDINGS = {
-    "a_class": ["o", "as", "a", "amos", "áis", "an"],
-    "e_class": ["o", "es", "e", "emos", "éis", "en"],
-    "i_class": ["o", "es", "e", "imos", "ís", "en"],
-    "diphthong": ["o", "es", "e", "emos", "éis", "en"],
-    "e_to_i": ["o", "es", "e", "imos", "ís", "en"],
-}
-STRESSED = {"1sg", "2sg", "3sg", "3pl"}
-CHANGE = {"diphthong": "$diphthongs", "e_to_i": "$raising"}
-WORDS = [("habl", "speak", "a_class", ""), ("gan", "win", "a_class", ""), ("tom", "take", "a_class", ""), ("com", "eat", "e_class", ""), ("pod", "be.able", "diphthong", ""), ("ten", "have", "diphthong", "te[Block]ng"), ("beb", "drink", "e_class", ""), ("pon", "put", "e_class", ""), ("hac", "do", "e_class", "hag"), ("viv", "live", "i_class", None), ("ped", "ask", "e_to_i", "")]
-#: root -> forms of 1sg to 3pl.
+ROLES = ["agent", "patient", "place", "source", "tool", "company"]
+HARD, SOFT = ["a", "un", "ist", "olo", "eká", "ur"], ["e", "in", "est", "elo", "iká", "ir"]
+ENDINGS = {"hard": HARD, "soft": SOFT, "gliding": HARD, "dulled": SOFT}
+CHANGED = {"agent", "patient", "tool"}
+CHANGE = {"gliding": "$glide", "dulled": "$dull"}
+WORDS = [("tamb", "drum", "hard", ""), ("lok", "door", "hard", ""), ("sen", "river", "soft", ""), ("mur", "wall", "gliding", ""), ("pal", "hand", "gliding", "pa[Hold]lt"), ("vit", "road", "dulled", ""), ("rat", "knot", "dulled", "rakt"), ("gosh", "lamp", "soft")]
+#: root -> forms in the order of ROLES.
 GOLDEN = {
-    "habl": "habl-o habl-as habl-a habl-amos habl-áis habl-an",
-    "com": "com-o com-es com-e com-emos com-éis com-en",
-    "hac": "hag-o hac-es hac-e hac-emos hac-éis hac-en",
-    "viv": "viv-o viv-es viv-e viv-imos viv-ís viv-en",
-    "pod": "pued-o pued-es pued-e pod-emos pod-éis pued-en",
-    "ten": "teng-o tien-es tien-e ten-emos ten-éis tien-en",
-    "ped": "pid-o pid-es pid-e ped-imos ped-ís pid-en",
+    "tamb": "tamb-a tamb-un tamb-ist tamb-olo tamb-eká tamb-ur",
+    "sen": "sen-e sen-in sen-est sen-elo sen-iká sen-ir",
+    "gosh": "gosh-e gosh-in gosh-est gosh-elo gosh-iká gosh-ir",
+    "mur": "muir-a muir-un mur-ist mur-olo muir-eká mur-ur",
+    "pal": "palt-a paul-un pal-ist pal-olo paul-eká pal-ur",
+    "vit": "vis-e vis-in vit-est vit-elo vis-iká vit-ir",
+    "rat": "raks-e ras-in rat-est rat-elo ras-iká rat-ir",
 }
 
 
@@ -31,36 +30,35 @@ def put(folder, name, data):
 
 
 def write(root):
-    put(root / "Phonology/Inventory", "segments", {"kind": "Inventory", "data": [
-        {"name": "Consonants", "ref": "<C>", "children": [{"ref": "<Stop>", "phones": list("bdgptcq")}, {"phones": list("fvszxhjrlymn") + ["ñ"]}]},
+    put(root / "Phonology/Inventory", "sounds", {"kind": "Inventory", "data": [
+        {"name": "Consonants", "ref": "<C>", "children": [{"ref": "<Hissing>", "phones": ["s", "sh", "z"]}, {"phones": list("bdgklmnprtv")}]},
         {"name": "Vowels", "ref": "<V>", "phones": list("aeiou") + ["́"]},
-        {"name": "Tags", "ref": "<Marks>", "tags": ["[Block]"]},
+        {"name": "Tags", "ref": "<Marks>", "tags": ["[Hold]"]},
     ]})
     put(root / "Phonology/Patterns", "patterns", {"kind": "Patterns", "patterns": [
-        {"ref": "<Rhyme>", "pattern": "<Nucleus><C>*", "test_includes": ["ie", "an"], "test_excludes": ["b"]},
-        {"ref": "<Nucleus>", "pattern": "ie|ue|<V>"},
+        {"ref": "<Beat>", "pattern": "<Core><C>*", "test_includes": ["aul", "osh"], "test_excludes": ["g"]},
+        {"ref": "<Core>", "pattern": "au|ui|<V>"},
     ]})
     put(root / "Phonology/Rules", "rules", {"kind": "Rules", "rules": [
-        {"name": "diphthongs", "string_map": [["e", "ie"], ["o", "ue"]], "right_context": "<C>*#", "test_mappings": [["pod", "pued"], ["habl", "habl"]]},
-        {"name": "raising", "input_pattern": "e", "output_pattern": "i", "right_context": "<C>*#"},
-        {"name": "both", "rule_sequence": ["$raising", "$diphthongs"]},
+        {"name": "glide", "string_map": [["a", "au"], ["u", "ui"]], "right_context": "<C>*#", "test_mappings": [["mur", "muir"], ["sen", "sen"]]},
+        {"name": "dull", "input_pattern": "t", "output_pattern": "s", "right_context": "#"},
+        {"name": "both", "rule_sequence": ["$dull", "$glide"]},
     ]})
-    put(root / "Lexicon/PartOfSpeech", "verb", {"kind": "PartOfSpeech", "name": "verb", "features": ["tense", "person_number", "mood"], "lexical_features": ["conjugation_class"], "principal_parts": ["first_singular"]})
-    put(root / "Exponence/FeatureDefinitions", "verbs", {"kind": "FeatureDefinitions", "features": {"tense": ["past", "present"], "mood": ["indicative"], "person_number": PN}})
+    put(root / "Lexicon/PartOfSpeech", "noun", {"kind": "PartOfSpeech", "name": "noun", "features": ["number", "role", "style"], "lexical_features": ["sort"], "principal_parts": ["oblique"]})
+    put(root / "Exponence/FeatureDefinitions", "nouns", {"kind": "FeatureDefinitions", "features": {"number": ["many", "one"], "style": ["plain"], "role": ROLES}})
     for name, ends in ENDINGS.items():
         markers = {}
-        for pn, end in zip(PN, ends, strict=True):
-            own = [{"kind": "suffix", "value": f"-{end}", "stage": "suffix"}]
-            if name in CHANGE and pn in STRESSED:
-                own.append({"kind": "rule", "value": CHANGE[name], "stage": "vowels", "comment": "stressed"})
-            if pn == "1sg":
-                own.append({"kind": "principal_part", "value": "first_singular"})
-            markers[pn] = own
-        put(root / "Exponence/FeatureMarkers", f"{name}_present", {"kind": "FeatureMarkers", "feature": "person_number", "markers": markers})
-        put(root / "Morphotactics/Paradigm", f"verb_{name}", {"kind": "Paradigm", "part_of_speech": "$verb", "feature_markers": {"person_number": f"${name}_present", "tense": "present", "mood": "indicative"}, "stage_order": ["vowels", "suffix"], "filter": {"lexical_features": {"conjugation_class": name}}})
+        for role, end in zip(ROLES, ends, strict=True):
+            own = [{"kind": "suffix", "value": f"-{end}", "stage": "ending"}]
+            if name in CHANGE and role in CHANGED:
+                own.append({"kind": "rule", "value": CHANGE[name], "stage": "stem", "comment": "changed"})
+            if role == "agent":
+                own.append({"kind": "principal_part", "value": "oblique"})
+            markers[role] = own
+        put(root / "Exponence/FeatureMarkers", f"{name}_roles", {"kind": "FeatureMarkers", "feature": "role", "markers": markers})
+        put(root / "Morphotactics/Paradigm", f"noun_{name}", {"kind": "Paradigm", "part_of_speech": "$noun", "feature_markers": {"role": f"${name}_roles", "number": "one", "style": "plain"}, "stage_order": ["stem", "ending"], "filter": {"lexical_features": {"sort": name}}})
     put(root / "Phonology/Rules", "zbroken", {"kind": "Rules", "rules": [{"description": "no name"}]})
     words = root / "Lexicon/Wordlists"
     words.mkdir(parents=True)
-    lines = [",".join(x for x in w if x is not None) for w in WORDS]
-    (words / "verb.csv").write_text("root,gloss,conjugation_class,first_singular\n" + "\n".join(lines) + "\n", encoding="utf-8")
+    (words / "noun.csv").write_text("root,gloss,sort,oblique\n" + "".join(f"{','.join(w)}\n" for w in WORDS), encoding="utf-8")
     return root

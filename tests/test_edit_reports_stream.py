@@ -71,27 +71,27 @@ def test_divergence(spark):
 
 
 def test_reports(spark, grammar):
-    assert {r["ref"]: r["all_pass"] for r in pattern_report(spark, grammar).collect()} == {"<Rhyme>": True}
+    assert {r["ref"]: r["all_pass"] for r in pattern_report(spark, grammar).collect()} == {"<Beat>": True}
     assert [r["all_pass"] for r in rule_report(spark, grammar).collect()] == [True]
-    case = spark.createDataFrame([("ped", "pid"), ("ped", "ped")], "input string, expected string")
-    assert [(r["output"], r["pass"]) for r in run_rule(grammar, "$both", case).collect()] == [(["pid"], True), (["pid"], False)]
+    case = spark.createDataFrame([("rat", "raus"), ("rat", "ras")], "input string, expected string")
+    assert [(r["output"], r["pass"]) for r in run_rule(grammar, "$both", case).collect()] == [(["raus"], True), (["raus"], False)]
     stats = {r["kind"]: r for r in grammar_stats(spark, grammar).collect()}
-    assert stats["Paradigm"]["files"] == 5 and stats["Rules"]["invalid_files"] == 1 and stats["FeatureMarkers"]["total"] == 30
-    assert inventory_stats(spark, grammar).first()["roots"] == 11
-    meta = inflection_meta(spark, grammar).where("name = 'verb_a_class'").first()
-    assert meta["free_features"] == ["person_number"] and meta["lexical_features"] == ["conjugation_class"]
-    assert grammar.stages() == ["suffix", "vowels"]
-    assert marker_file_problems(grammar, ["a_class_present", "e_class_present", "none"], [], {"tense"}) == ["person_number isn't asked for", "two files express person_number", "no valid file none"]
+    assert stats["Paradigm"]["files"] == 4 and stats["Rules"]["invalid_files"] == 1 and stats["FeatureMarkers"]["total"] == 24
+    assert inventory_stats(spark, grammar).first()["roots"] == 8
+    meta = inflection_meta(spark, grammar).where("name = 'noun_hard'").first()
+    assert meta["free_features"] == ["role"] and meta["lexical_features"] == ["sort"]
+    assert grammar.stages() == ["ending", "stem"]
+    assert marker_file_problems(grammar, ["hard_roles", "soft_roles", "none"], [], {"number"}) == ["role isn't asked for", "two files express role", "no valid file none"]
 
 
 def test_lexicon(spark, grammar, tmp_path):
-    lexicon = load_lexicon(spark, grammar, "verb")
-    assert {r["root"]: r["stem"] for r in principal_part(lexicon, "first_singular").collect()}["viv"] == "viv"
-    assert [r[0] for r in with_gloss(lexicon, "speak").collect()] == ["habl"]
-    assert features_of(lexicon, ["conjugation_class"]).where("root = 'pod'").first()["features"] == {"conjugation_class": "diphthong"}
-    assert roots_of(spark, grammar, "Paradigm", "verb_e_class").count() == 4
-    assert lexical_features(spark, grammar, "Lexicon", "verb").count() == 11
-    assert init_lexicon(spark, grammar, "verb").endswith("verb.csv")
+    lexicon = load_lexicon(spark, grammar, "noun")
+    assert {r["root"]: r["stem"] for r in principal_part(lexicon, "oblique").collect()}["vit"] == "vit"
+    assert [r[0] for r in with_gloss(lexicon, "drum").collect()] == ["tamb"]
+    assert features_of(lexicon, ["sort"]).where("root = 'mur'").first()["features"] == {"sort": "gliding"}
+    assert roots_of(spark, grammar, "Paradigm", "noun_soft").count() == 2
+    assert lexical_features(spark, grammar, "Lexicon", "noun").count() == 8
+    assert init_lexicon(spark, grammar, "noun").endswith("noun.csv")
 
 
 def test_stream(spark, tmp_path):
