@@ -1,4 +1,9 @@
-"""From raw documents to training sequences: STAGES in order, each over what the one before has kept."""
+"""From raw documents to training sequences: STAGES in order, each over what the one before has kept.
+
+Nulls in any column, empty and very long texts, ties, repeated rows, empty tables and extra columns are taken as the operators' docstrings say: null,
+empty and letterless texts go in the first stage; from then on rows go by id and text together, rows alike in both are treated alike, and an
+empty table stays empty in every stage.
+"""
 
 from __future__ import annotations
 
@@ -19,8 +24,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of three or more lines in a row go; n_chars stays that of the original text."""
-    return delete_repeated_runs(docs, run=3)
+    """Later copies of three or more lines in a row go, and of fewer that have 50 words or more; n_chars stays that of the original text."""
+    return delete_repeated_runs(docs, run=3, words=50)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of over-represented sources, languages and topics are thinned out to the target weights."""
+    """Documents of over-represented sources, languages and topics are thinned out, those of rare ones repeated, to the target weights."""
     return sample(docs, rate=1.0, rounds=12)
 
 
