@@ -87,7 +87,8 @@ def _cut(docs: DataFrame, run: int, words: int, id_col: str, text_col: str) -> t
     names = {c: unused(docs, f"__{c}") for c in ("k", "k2", "gone")}
     k, k2 = row_key(id_col, text_col)
     found = deleted_lines(docs, run, words, id_col, text_col).select(*(F.col(c).alias(n) for c, n in names.items()))
-    return docs.withColumns({names["k"]: k, names["k2"]: k2}).join(found, [names["k"], names["k2"]], "left"), names["gone"]
+    # what is deleted grows with the documents, so it is never broadcast, however few they are
+    return docs.withColumns({names["k"]: k, names["k2"]: k2}).join(found.hint("merge"), [names["k"], names["k2"]], "left"), names["gone"]
 
 
 def delete_repeated_runs(docs: DataFrame, run: int = 3, words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
