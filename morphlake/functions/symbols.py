@@ -92,10 +92,8 @@ def encoded(symbols: Symbols, col: Column) -> Column:
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict = {}
         for words in batches:
-            for w in set(words) - known.keys():
-                known[w] = symbols.try_encode(w)
+            known = {w: symbols.try_encode(w) for w in set(words)}
             yield words.map(known)
 
     return run(col)

@@ -303,8 +303,10 @@ def beam_fuzzy(spark, sf_dir):
 
 
 def weighted_edits(spark, sf_dir):
-    own = _ascii_words(spark, sf_dir, "a")
-    pairs = own.crossJoin(F.broadcast(_ascii_words(spark, sf_dir, "b")))
+    """Pairs that share a piece, as search finds them, and their distance."""
+    own = _ascii_words(spark, sf_dir, "form")
+    near = paradigm.search(own.withColumn("form_code", F.col("form")), own.select(F.col("form").alias("query"), F.col("form").alias("query_code")), n=1 << 30, bound=4)
+    pairs = near.select(F.col("query").alias("a"), F.col("form").alias("b"))
     return pairs.select("a", "b", edit.weighted_distance(F.col("a"), F.col("b"), bound=4.0).alias("distance")).where("distance is not null")
 
 
