@@ -79,6 +79,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), length=200)
 
 
+def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from morphlake.llm.importance import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, least_words=20, orders=1, buckets=10000)
+
+
 OP3_SQL = r"""
 WITH r AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256
@@ -134,6 +140,27 @@ SELECT doc_id, source, lang, topic, n_tokens, weight,
 FROM f"""
 
 
+#: Word counts by distinct word; the checksum goes through its bytes with the table of remainders of the fixed polynomial 0xEDB88320.
+OP12_SQL = r"""
+WITH RECURSIVE g AS (SELECT i, i::BIGINT AS r, 0 AS k FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN r % 2 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, k + 1 FROM g WHERE k < 8),
+rest AS (SELECT list(r ORDER BY i) AS t FROM g WHERE k = 8),
+w AS (
+  SELECT 'd' AS side, row, word, count(*) AS c FROM (SELECT doc_id AS row, unnest(regexp_extract_all(lowered, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+    FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered FROM documents)) GROUP BY ALL
+  UNION ALL
+  SELECT 'b', 0, word, count(*) FROM (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark) GROUP BY ALL),
+x AS (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM w)),
+b AS (SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+    lambda c, y: xor(c >> 8, t[xor(c, y) % 256 + 1])), 4294967295) % 10000 AS bucket FROM x, rest),
+c AS (SELECT bucket, coalesce(sum(c) FILTER (WHERE side = 'd'), 0) AS s, coalesce(sum(c) FILTER (WHERE side = 'b'), 0) AS t FROM w JOIN b USING (word) GROUP BY bucket),
+gain AS (SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM c),
+f AS (SELECT row AS doc_id, sum(c)::BIGINT AS n_features, sum(c * gain)::BIGINT AS weight FROM w JOIN b USING (word) JOIN gain USING (bucket) WHERE side = 'd' GROUP BY 1),
+z AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM documents LEFT JOIN f USING (doc_id)),
+y AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS k, count(*) OVER (PARTITION BY n_features >= 20) AS m FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND k <= 10 * m // 100 THEN k END AS rank FROM y
+"""
+
 QUERIES = {
     "op1_pack_sequences": op1_pack_sequences,
     "op2_line_dedup": op2_line_dedup,
@@ -145,9 +172,11 @@ QUERIES = {
     "op8_nearest": op8_nearest,
     "op9_find_pii": op9_find_pii,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_importance_resample": op12_importance_resample,
 }
 ORACLES = {
     "op2_line_dedup": OP2_SQL,
     "op6_mixing": _mixing_sql(0.5, 12),
     "op3_exact_dedup": OP3_SQL,
+    "op12_importance_resample": OP12_SQL,
 }
