@@ -79,6 +79,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), length=200)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from morphlake.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"), longest=5, least=100, top=2000)
+
+
 def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     from morphlake.llm.importance import resample
 
@@ -140,6 +146,25 @@ SELECT doc_id, source, lang, topic, n_tokens, weight,
 FROM f"""
 
 
+OP11_SQL = r"""
+WITH p AS (
+  SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM (SELECT coalesce(lang, 'und') AS lang, text FROM documents)),
+w AS MATERIALIZED (SELECT lang, words FROM (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p) WHERE len(words) > 0),
+g AS MATERIALIZED (
+  SELECT lang, m, phrase, count(*) AS f FROM (SELECT lang, m, unnest(list_transform(range(1, len(words) - m + 2), lambda i: array_to_string(words[i:i + m - 1], ' '))) AS phrase FROM w, range(1, 6) t(m) WHERE len(words) >= m)
+  GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE m = 1 GROUP BY lang),
+h AS MATERIALIZED (SELECT * FROM g WHERE f >= 100),
+c AS (SELECT lang, m, phrase, f AS a, k, array_to_string(x[1:k], ' ') AS first, array_to_string(x[k + 1:], ' ') AS rest FROM (SELECT *, string_split(phrase, ' ') AS x FROM h WHERE m > 1), range(1, 5) t(k) WHERE k < m),
+s AS (SELECT c.lang, c.phrase, c.m, c.a, c.k, a.f AS l, b.f AS r, n.n, ((1000::HUGEINT * c.a * n.n) // (a.f::HUGEINT * b.f))::BIGINT AS score
+  FROM c JOIN h a ON a.lang = c.lang AND a.phrase = c.first JOIN h b ON b.lang = c.lang AND b.phrase = c.rest JOIN n ON n.lang = c.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (SELECT lang, array_to_string(x[i:i + q - 1], ' ') AS phrase, max(f) AS f FROM (SELECT *, string_split(phrase, ' ') AS x FROM h WHERE m > 2), range(1, 5) t(i), range(2, 5) u(q) WHERE q < m AND i + q - 1 <= m GROUP BY ALL),
+z AS (SELECT b.* FROM b LEFT JOIN longer ON longer.lang = b.lang AND longer.phrase = b.phrase WHERE longer.f IS NULL OR 100 * longer.f < 100 * b.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z) WHERE rank <= 2000
+"""
+
 #: Word counts by distinct word; the checksum goes through its bytes with the table of remainders of the fixed polynomial 0xEDB88320.
 OP12_SQL = r"""
 WITH RECURSIVE g AS (SELECT i, i::BIGINT AS r, 0 AS k FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN r % 2 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, k + 1 FROM g WHERE k < 8),
@@ -172,11 +197,13 @@ QUERIES = {
     "op8_nearest": op8_nearest,
     "op9_find_pii": op9_find_pii,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_collocations": op11_collocations,
     "op12_importance_resample": op12_importance_resample,
 }
 ORACLES = {
     "op2_line_dedup": OP2_SQL,
     "op6_mixing": _mixing_sql(0.5, 12),
     "op3_exact_dedup": OP3_SQL,
+    "op11_collocations": OP11_SQL,
     "op12_importance_resample": OP12_SQL,
 }
