@@ -318,7 +318,7 @@ def _chosen(kind: str, model: Model) -> Column:
     return F.transform(fits, _tagged(kind, "start", "end"))
 
 
-def _free(base: Column, more: Column) -> Column:
+def free(base: Column, more: Column) -> Column:
     """The spans of more that touch none of base nor one taken before, the earlier and then the longer first."""
     kind = "struct<start:int,end:int,kind:string>"
     order = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"])
@@ -342,7 +342,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     model = fit(found)
     base = F.concat(*map(F.col, BASE))
     more = F.concat(*(_chosen(k, model) for k in KINDS))
-    added = F.when(F.size(more) > 0, _free(base, more)).otherwise(F.array().cast("array<struct<start:int,end:int,kind:string>>"))
+    added = F.when(F.size(more) > 0, free(base, more)).otherwise(F.array().cast("array<struct<start:int,end:int,kind:string>>"))
     rows = found.withColumn("added", added)
     base_spans = F.concat(*(F.transform(F.transform(k, _tagged(k, "start", "end")), _written_out) for k in BASE))
     more_spans = F.concat(*(F.transform(F.filter("added", _of(k)), _written_out) for k in KINDS))

@@ -91,6 +91,12 @@ def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, least_words=20, orders=1, buckets=10000)
 
 
+def op13_find_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from morphlake.llm.secret_scan import find_secrets
+
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 OP3_SQL = r"""
 WITH r AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256
@@ -199,6 +205,7 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_collocations": op11_collocations,
     "op12_importance_resample": op12_importance_resample,
+    "op13_find_secrets": op13_find_secrets,
 }
 ORACLES = {
     "op2_line_dedup": OP2_SQL,
