@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -14,8 +15,8 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def _letters(w: str) -> bool:
-    """Whether w is of letters alone, in lower case too, where some letters get a mark of their own that joins what follows."""
-    return w.isalpha() and (w.isascii() or w.lower().isalpha())
+    """Whether w is of letters alone, composed (as the tokenizer does first) and in lower case too: some letters get a mark of their own there that joins what follows."""
+    return w.isalpha() and (w.isascii() or ((c := unicodedata.normalize("NFC", w)).isalpha() and c.lower().isalpha()))
 
 
 class _Words(dict):
@@ -118,7 +119,8 @@ class Packer:
     greatest dot product with what the bin has left; if none fits, that one is cut to fill the gap.
     """
 
-    def __init__(self, first_id: int, size: int = 4096, segments: int = 64, loss: int | None = None, pool: int = 1024):
+    def __init__(self, first_id: int, size: int = 4096, segments: int = 64, loss: int | None = None, pool: int = 1024, keep: bool = False):
+        self.keep = keep  # whether pieces come with their ids
         self.size, self.segments, self.loss, self.pool = size, segments, loss or size, pool
         self.next, self.out = first_id, []
         self.items: list = []  # [doc, ids, start, end, tokens of the document, first loss-bearing token]
@@ -130,7 +132,8 @@ class Packer:
 
     def _put(self, item, start: int, end: int, seq: int, offset: int) -> None:
         doc, ids, _, _, total, _ = item
-        self.out.append((doc, start, end - start, zlib.crc32(ids[4 * start : 4 * end]), total, seq, offset, self._losing(item, start, end)))
+        own = ids[4 * start : 4 * end]
+        self.out.append((doc, start, end - start, zlib.crc32(own), total, seq, offset, self._losing(item, start, end), *([own] if self.keep else ())))
 
     def add(self, doc, ids: bytes, loss_from: int = 0) -> None:
         total = len(ids) // 4
@@ -227,12 +230,15 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         from morphlake.llm.common import small_batches
 
         encode, tail = encoder(tokenizer), b"" if end_id is None else np.asarray([end_id], "<u4").tobytes()
-        packer = Packer(TaskContext.get().partitionId() << 32, size, segments, loss)
+        packer = Packer(TaskContext.get().partitionId() << 32, size, segments, loss, keep=with_ids)
         names = [f.split()[0] for f in PIECES.split(", ")]
 
         def rows() -> pa.RecordBatch:
-            out = packer.take()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * len(names), names)
+            columns = list(zip(*packer.take(), strict=True)) or [()] * (len(names) + with_ids)
+            out = [pa.array(c, pa.int64()) for c in columns[: len(names)]]
+            if with_ids:
+                out.append(pa.array([np.frombuffer(b, "<u4").astype(np.int32) for b in columns[-1]], pa.list_(pa.int32())))
+            return pa.RecordBatch.from_arrays(out, [*names, *(["ids"] if with_ids else ())])
 
         for batch in small_batches(batches):
             texts = batch.column(1).to_pylist()
@@ -243,22 +249,4 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         packer.finish()
         yield rows()
 
-    pieces = docs.select(*cols).mapInArrow(run, PIECES)
-    return pieces if not with_ids else _with_ids(docs, pieces, tokenizer, id_col, text_col, end_id)
-
-
-def _with_ids(docs: DataFrame, pieces: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id: int | None) -> DataFrame:
-    """pieces with their ids: documents meet their pieces by id and are encoded once more."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        encode, tail = encoder(tokenizer), [] if end_id is None else [end_id]
-        for batch in batches:
-            bodies = encode(batch.column("__text").to_pylist())
-            ids = [np.concatenate([np.frombuffer(b, "<u4"), np.asarray(tail, "<u4")])[s : s + n].astype(np.int32) for b, s, n in zip(bodies, batch.column("start").to_pylist(), batch.column("length").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.split()[0]) for f in PIECES.split(", ")), pa.array(ids, pa.list_(pa.int32()))], [*(f.split()[0] for f in PIECES.split(", ")), "ids"])
-
-    texts = docs.select(F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).alias("__text"))
-    met = pieces.join(texts, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
-    return met.mapInArrow(run, PIECES + ", ids array<int>")
+    return docs.select(*cols).mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))

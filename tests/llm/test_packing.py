@@ -32,6 +32,17 @@ def test_ids_of_adversarial_words_with_a_warm_cache():
             assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
+def test_ids_of_every_letter_with_a_sign_behind():
+    import sys
+    import unicodedata
+
+    own, t = encoder(PATH), Tokenizer.from_file(PATH)
+    texts = [f"{c}{sign} a{c}{sign}" for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c)[0] == "L" and not "\u4e00" < c < "\u9fff" and not "\uac00" < c < "\ud7a0" and ord(c) < 0x17000 for sign in ".,"]
+    texts += ["\u092a\u095d.", "\ufb1d,", "\u0f43\u09dc."]
+    want = t.encode_batch_fast(texts, add_special_tokens=False)
+    assert [x for x, got, e in zip(texts, own(texts), want, strict=True) if np.frombuffer(got, "<u4").tolist() != e.ids] == []
+
+
 def whole(pieces, want, gaps=False):
     """Pieces cover each document once, and each sequence without gaps (but where other documents' pieces are left out)."""
     by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
@@ -105,8 +116,9 @@ def test_conversations_fill_each_limit(spark):
 
 
 def test_with_ids_and_odd_rows(spark):
-    rows = pack(odd(spark).where("doc_id is not null and doc_id <> 3"), PATH, with_ids=True).collect()
+    rows = pack(odd(spark).unionByName(docs(spark, ["other", "text of", "id"])), PATH, with_ids=True).collect()
+    assert len(rows) == pack(odd(spark).unionByName(docs(spark, ["other", "text of", "id"])), PATH).count()
     assert all(zlib.crc32(np.asarray(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in rows)
-    assert {r["doc_id"]: r["doc_tokens"] for r in rows if r["doc_id"] in (1, 2, 4)} == {1: 1, 2: 1, 4: 1}
+    assert collections.Counter((r["doc_id"], r["doc_tokens"]) for r in rows if r["doc_id"] in (1, 2, 4)) == {(1, 1): 1, (2, 1): 1, (4, 1): 1, (1, 3): 2, (2, 2): 1}
     assert sum(r["doc_id"] is None for r in pack(odd(spark), PATH).collect()) >= 1
     assert pack(empty(spark), PATH).count() == 0
