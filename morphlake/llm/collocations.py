@@ -82,12 +82,13 @@ def _neighbours(rank: np.ndarray, piece: np.ndarray) -> np.ndarray:
     return (piece[:-1] == piece[1:]) & (rank[:-1] > 0) & (rank[1:] > 0)
 
 
-def _pair(rank: np.ndarray, mask: int) -> np.ndarray:
-    return (mixed(rank[:-1] * MIX_1 + rank[1:]) & np.uint64(mask)).astype(np.int64)
+def _pair(rank: np.ndarray) -> np.ndarray:
+    """A number for each word and the next."""
+    return mixed(rank[:-1] * MIX_1 + rank[1:])
 
 
-def frequent_pairs(docs: DataFrame, ranks: Ranks, least: int) -> np.ndarray:
-    """Buckets of a table of fixed size whose pairs of neighbouring frequent words come to `least` or more together: no other pair can be frequent."""
+def pair_counts(docs: DataFrame, ranks: Ranks, least: int) -> np.ndarray:
+    """Counts of pairs of neighbouring frequent words in a table of fixed size, 0 for buckets below `least`: no pair of those can be frequent."""
     mask = ranks.mask
 
     def count(batches):
@@ -97,30 +98,31 @@ def frequent_pairs(docs: DataFrame, ranks: Ranks, least: int) -> np.ndarray:
                 code, names = _languages(batch)
                 rank = ranks.of(code[rows[text]], names, words)
                 near = _neighbours(rank, piece) & own[:-1]
-                bucket, n = np.unique(_pair(rank, mask)[near], return_counts=True)
+                bucket, n = np.unique((_pair(rank)[near] & np.uint64(mask)).astype(np.int64), return_counts=True)
                 total[bucket] += n.astype(np.uint32)
         held = np.flatnonzero(total)
         for at in range(0, len(held), 1 << 20):
             own = held[at : at + (1 << 20)]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(np.minimum(total[own], least), pa.int32())], names=["bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(total[own], pa.int64())], names=["bucket", "n"])
 
-    found = docs.mapInArrow(count, "bucket int, n int").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    table = np.zeros(mask + 1, bool)
-    table[found.select("bucket").toArrow().column("bucket").to_numpy()] = True  # 2**bits rows at most
-    return np.packbits(table)
+    found = docs.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()  # 2**bits rows at most
+    table = np.zeros(mask + 1, np.float32)
+    table[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return table
 
 
-def fragments(docs: DataFrame, ranks: Ranks, pairs: np.ndarray, longest: int, hot: int) -> DataFrame:
-    """lang, pivot, parts, at, fragment, n: what is left of texts around each pivot, whose place in it is `at`; equal ones of a stretch together.
+def fragments(docs: DataFrame, ranks: Ranks, pairs: np.ndarray, least: int, longest: int, hot: int) -> DataFrame:
+    """lang, pivot, side, part, salts, at, fragment, n: what is left of texts around each pivot, whose place in it is `at`; equal ones of a stretch together.
 
     Words in front of the pivot are more frequent than it is, those behind it at least as frequent: of a run with its rarest word twice,
-    the first one is the pivot. parts: how many partitions the pivot's fragments are dealt to, one for each `hot` occurrences.
+    the first one is the pivot. A pivot with more than `hot` occurrences is dealt to parts by the pair that it forms with the word
+    behind it (side 1, for runs that go on there) or, for runs that end with it, in front of it (side 2), so that each run is still counted
+    in one place. salts: how many partitions the fragments of one pair need, more than 1 for one of over 8 * hot occurrences.
     """
     spread = docs.sparkSession.sparkContext.broadcast(pairs)
     reach = longest - 1
 
     def emit(batches):
-        linked_pairs = np.unpackbits(spread.value).astype(bool)
         for batch, rows, words, piece, text, own in bounded(batches, 1, KINDS, STRETCH, reach, reach):
             n = len(words)
             if n < 2:
@@ -128,8 +130,9 @@ def fragments(docs: DataFrame, ranks: Ranks, pairs: np.ndarray, longest: int, ho
             code, names = _languages(batch)
             language = code[rows[text]]
             rank = ranks.of(language, names, words)
-            link = _neighbours(rank, piece)
-            link[link] = linked_pairs[_pair(rank, ranks.mask)[link]]
+            pair = _pair(rank)
+            seen = spread.value[(pair & np.uint64(ranks.mask)).astype(np.int64)]
+            link = _neighbours(rank, piece) & (seen >= least)
             left, right = np.zeros(n, np.int64), np.zeros(n, np.int64)
             back, ahead = np.ones(n, bool), np.ones(n, bool)
             for d in range(1, min(reach, n - 1) + 1):
@@ -139,17 +142,23 @@ def fragments(docs: DataFrame, ranks: Ranks, pairs: np.ndarray, longest: int, ho
                 ahead[n - d :] = False
                 ahead[: n - d] &= link[d - 1 :] & (rank[d:] >= rank[: n - d])
                 right += ahead
-            at = np.flatnonzero(own & (left + right > 0))
-            if not len(at):
-                continue
-            strings = _slices(words, at - left[at], at + right[at] + 1)
-            where, first, count, found = _counted(language[at], names, strings)
-            at = at[first]
-            seen = (rank[at] >> np.uint64(32)).astype(np.uint32).view(np.float32)
-            columns = [pa.array(names, pa.string()).take(pa.array(where)), pa.array(rank[at].view(np.int64)), pa.array((1 + seen // hot).astype(np.int32)), pa.array(left[at], pa.int32()), found.cast(pa.string()), pa.array(count, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "pivot", "parts", "at", "fragment", "n"])
-
-    return docs.mapInArrow(emit, "lang string, pivot long, parts int, at int, fragment string, n long")
+            often = (rank >> np.uint64(32)).astype(np.uint32).view(np.float32)
+            dealt = often > hot
+            for side, at in enumerate([np.flatnonzero(own & ~dealt & (left + right > 0)), np.flatnonzero(own & dealt & (right > 0)), np.flatnonzero(own & dealt & (left > 0))]):
+                if not len(at):
+                    continue
+                strings = _slices(words, at - left[at], at + 1 + (right[at] if side < 2 else 0))
+                where, first, count, found = _counted(language[at], names, strings)
+                at = at[first]
+                part, salts = np.zeros(len(at), np.int64), np.ones(len(at), np.int64)
+                if side:
+                    near = at - (side == 2)
+                    part = ((pair[near] >> np.uint64(32)).astype(np.int64)) % (1 + often[at] // hot).astype(np.int64)
+                    salts += (seen[near] // (8 * hot)).astype(np.int64)
+                columns = [pa.array(names, pa.string()).take(pa.array(where)), pa.array(rank[at].view(np.int64)), pa.array(np.full(len(at), side, np.int32)), pa.array(part, pa.int32()), pa.array(salts, pa.int32()), pa.array(left[at], pa.int32()), found.cast(pa.string()), pa.array(count, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "pivot", "side", "part", "salts", "at", "fragment", "n"])
+
+    return docs.mapInArrow(emit, "lang string, pivot long, side int, part int, salts int, at int, fragment string, n long")
 
 
 def _slices(words: pa.LargeStringArray, low: np.ndarray, high: np.ndarray) -> pa.LargeStringArray:
@@ -164,13 +173,13 @@ def _slices(words: pa.LargeStringArray, low: np.ndarray, high: np.ndarray) -> pa
 def mine(pieces: DataFrame, longest: int, least: int) -> DataFrame:
     """lang, phrase, n: the runs of 2 to `longest` words that come to `least` or more, each counted where its pivot's fragments are.
 
-    A hot pivot's fragments are dealt to several partitions by their own checksum, whose counts are added up afterwards; all other
-    partitions drop what is too rare themselves.
+    Partitions drop what is too rare themselves. Only where the fragments of one pair are dealt to several of them, by their own checksum,
+    are all counts kept, to be added up afterwards.
     """
     schema = "lang string, phrase string, n long, whole boolean"
 
     def count(key, table):
-        whole = table.column("parts")[0].as_py() == 1
+        whole, side = key[4].as_py() == 1, key[2].as_py()
         words, _, text = words_of(table.column("fragment").combine_chunks(), BLANKS)
         size = np.bincount(text, minlength=table.num_rows)
         place = table.column("at").to_numpy()
@@ -179,7 +188,8 @@ def mine(pieces: DataFrame, longest: int, least: int) -> DataFrame:
         found, total = [], []
         for back in range(longest):
             for ahead in range(longest - back):
-                held = np.flatnonzero((place >= back) & (size - 1 - place >= ahead)) if back + ahead else []
+                asked = back + ahead > 0 if side == 0 else ahead > 0 if side == 1 else ahead == 0 and back > 0
+                held = np.flatnonzero((place >= back) & (size - 1 - place >= ahead)) if asked else []
                 if len(held):
                     coded = pc.dictionary_encode(_slices(words, pivot[held] - back, pivot[held] + ahead + 1))
                     n = np.zeros(len(coded.dictionary), np.int64)
@@ -191,8 +201,8 @@ def mine(pieces: DataFrame, longest: int, least: int) -> DataFrame:
         n = np.concatenate(total) if total else np.zeros(0, np.int64)
         return pa.table({"lang": pa.repeat(key[0], len(n)).cast(pa.string()), "phrase": phrases, "n": pa.array(n, pa.int64()), "whole": pa.repeat(whole, len(n))})
 
-    part = F.pmod(F.crc32(F.col("fragment").cast("binary")), F.col("parts"))
-    raw = written(pieces.withColumn("part", part).groupBy("lang", "pivot", "part").applyInArrow(count, schema), "phrases")
+    salt = F.pmod(F.crc32(F.col("fragment").cast("binary")), F.col("salts"))
+    raw = written(pieces.withColumn("salt", salt).groupBy("lang", "pivot", "side", "part", "salts", "salt").applyInArrow(count, schema), "phrases")
     merged = raw.where("NOT whole").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     found = written(raw.where("whole").select("lang", "phrase", "n").unionByName(merged), "phrases")
     discard(raw)
@@ -227,13 +237,13 @@ def collocations(docs: DataFrame, longest: int = 5, least: int = 100, top: int =
 
     A null language counts as und, a null text as empty; repeated rows count each time; an empty table, or a language without frequent phrases, has no
     rows. Long texts are worked on in overlapping stretches. bits: size of the tables of word and pair counts, the only ones that tasks
-    hold: 4 bytes and 1 bit for each of 2**bits buckets, whatever the size of the corpus.
+    hold: 4 bytes for each of 2**bits buckets, whatever the size of the corpus.
     """
     own = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     words = written(word_counts(own), "words")
     frequent = words.where(F.col("n") >= least)
     ranks = Ranks(frequent, bits)
-    phrases = mine(fragments(own, ranks, frequent_pairs(own, ranks, least), longest, hot), longest, least)
+    phrases = mine(fragments(own, ranks, pair_counts(own, ranks, least), least, longest, hot), longest, least)
     found = scored(phrases, words).join(unsubsumed(phrases).select("lang", "phrase"), ["lang", "phrase"])
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     share = F.pmod(F.crc32(F.col("phrase").cast("binary")), F.lit(64))

@@ -37,7 +37,7 @@ def plain(df):
     return sorted(tuple(r) for r in df.select(*COLUMNS).collect())
 
 
-@pytest.mark.parametrize("hot,stretch,bits,top", [(1 << 16, 2 << 20, 22, 2000), (5, 60, 10, 2000), (40, 200, 2, 7)])
+@pytest.mark.parametrize("hot,stretch,bits,top", [(1 << 16, 2 << 20, 22, 2000), (5, 60, 10, 2000), (1, 90, 22, 2000), (40, 200, 2, 7)])
 def test_same_as_plain_python(spark, monkeypatch, hot, stretch, bits, top):
     rng = random.Random(hot)
     words = ["the", "The", "of", "b", "é", "\xa0z", "rare", "x" * 20, "new york", "as well as it"]
