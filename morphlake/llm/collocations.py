@@ -23,7 +23,7 @@ from morphlake.llm.wordruns import bounded, byte_kinds, words_of
 KINDS = byte_kinds(b" \t", b".,;:!?\n\x0b\x0c\r")
 BLANKS = byte_kinds(b" ")
 #: Bytes of text that a task works on at a time.
-STRETCH = 2 << 20
+STRETCH = 4 << 20
 
 
 def _languages(batch: pa.RecordBatch) -> tuple[np.ndarray, list[str]]:
@@ -166,7 +166,10 @@ def _slices(words: pa.LargeStringArray, low: np.ndarray, high: np.ndarray) -> pa
     offsets = np.frombuffer(words.buffers()[1], np.int64)
     begin, size = offsets[low], offsets[high] - offsets[low] - 1
     ends = np.concatenate([[0], np.cumsum(size)])
-    data = np.frombuffer(words.buffers()[2], np.uint8)[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], size)]
+    kind = np.int32 if max(ends[-1], offsets[-1]) < 1 << 31 else np.int64
+    index = np.repeat((begin - ends[:-1]).astype(kind), size)
+    index += np.arange(ends[-1], dtype=kind)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[index]
     return pa.LargeStringArray.from_buffers(len(low), pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes()))
 
 
@@ -232,7 +235,7 @@ def unsubsumed(phrases: DataFrame) -> DataFrame:
     return phrases.join(held, ["lang", "phrase"], "left").where("most IS NULL OR most < n").drop("most")
 
 
-def collocations(docs: DataFrame, longest: int = 5, least: int = 100, top: int = 2000, bits: int = 22, hot: int = 1 << 16, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+def collocations(docs: DataFrame, longest: int = 5, least: int = 100, top: int = 2000, bits: int = 22, hot: int = 1 << 18, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: for each language the `top` phrases of 2 to `longest` words with at least `least` occurrences, by score, count and phrase.
 
     A null language counts as und, a null text as empty; repeated rows count each time; an empty table, or a language without frequent phrases, has no
