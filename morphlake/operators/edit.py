@@ -7,9 +7,11 @@ from itertools import count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from morphlake.operators.search import Prices, pair_distances
 from morphlake.sources.tables import stored
 
 
@@ -38,26 +40,16 @@ def weighted_distance(left: Column, right: Column, costs: list[tuple[str, str, f
     if not costs and insert == delete == substitute == 1 and (not bound or bound == int(bound)):
         plain = F.levenshtein(left, right, int(bound)) if bound else F.levenshtein(left, right)
         return F.when(plain >= 0, plain).cast("double")
-    table = {(a, b): float(c) for a, b, c in costs}
-
-    def distance(a: str, b: str) -> float | None:
-        row = np.concatenate([[0.0], np.cumsum([table.get(("", y), insert) for y in b])])
-        adding = [table.get(("", y), insert) for y in b]
-        for x in a:
-            drop = table.get((x, ""), delete)
-            new = [row[0] + drop]
-            for k, y in enumerate(b):
-                change = 0.0 if x == y else table.get((x, y), substitute)
-                new.append(min(row[k] + change, row[k + 1] + drop, new[k] + adding[k]))
-            row = np.array(new)
-            if bound and row.min() > bound:
-                return None
-        return None if bound and row[-1] > bound else float(row[-1])
+    prices = Prices(costs, insert, delete, substitute)
 
     @F.pandas_udf("double")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in batches:
-            yield pd.Series([None if x is None or y is None else distance(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+            known = (a.notna() & b.notna()).to_numpy()
+            out = np.full(len(a), np.nan)
+            out[known] = pair_distances(pa.array(a[known], pa.string()), pa.array(b[known], pa.string()), prices)
+            near = known & (out <= bound) if bound else known
+            yield pd.Series(out).astype(object).where(near, None).astype("Float64")
 
     return run(left, right)
 

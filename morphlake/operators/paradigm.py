@@ -6,12 +6,13 @@ import itertools
 import logging
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from morphlake.functions.patterns import strings
 from morphlake.functions.rules import make_rule, rewritten_all
 from morphlake.functions.symbols import decoded, encoded, feature_key, feature_key_column
+from morphlake.operators.search import nearest
 from morphlake.sources.grammar import Grammar, GrammarError, Marker
 from morphlake.sources.lexicon import first_rows, load_lexicon, with_features
 
@@ -125,8 +126,9 @@ class Paradigm:
 
     def skip(self, bundle: dict[str, str], why: Exception) -> None:
         """Notes that a cell has no forms: nothing expresses it, or one of its markers can't be applied."""
-        self.warnings.append(str(why) if isinstance(why, NotExponed) else f"{self.name}, cell {feature_key(bundle)}: {why}")
-        log.warning("skipped: %s", self.warnings[-1])
+        expected = isinstance(why, NotExponed)  # as every bundle with an unmarked value is, as a rule
+        self.warnings.append(str(why) if expected else f"{self.name}, cell {feature_key(bundle)}: {why}")
+        log.log(logging.INFO if expected else logging.WARNING, "skipped: %s", self.warnings[-1])
 
     def roots(self, lexicon: DataFrame) -> DataFrame:
         """Rows of the lexicon that the paradigm's filter lets through."""
@@ -225,7 +227,7 @@ def inflected(spark: SparkSession, grammar: Grammar, name: str, lexicon: DataFra
     out = rows.select("root", F.explode(F.array(*cells)).alias("c")).select("root", "c.feature_key", "c.features", F.explode("c.forms").alias("tagged"))
     s = grammar.symbols
     drop = "".join(sorted(s.of_kind("tag", "feature", "edge", "edit")))
-    rows = out.where(F.col("tagged").isNotNull()).groupBy("root", "feature_key", "tagged").agg(F.any_value("features").alias("features"))
+    rows = out.where(F.col("tagged").isNotNull())  # roots, cells and each cell's forms are distinct already
     tagged = F.col("tagged")
     return rows.select(F.lit(p.name).alias("paradigm"), "root", "feature_key", "features", decoded(s, tagged).alias("form"), decoded(s, tagged, tags=True).alias("form_tagged"), F.translate(tagged, drop, "").alias("form_code"))
 
@@ -253,8 +255,9 @@ def checked(grammar: Grammar, name: str, requests: DataFrame) -> DataFrame:
 
 
 def inflect(relation: DataFrame, requests: DataFrame) -> DataFrame:
-    """requests (root, feature_key, ...) with form: equality joins over the relation; no form, no row."""
-    return requests.join(relation.select("root", "feature_key", "form").distinct(), ["root", "feature_key"])
+    """requests (root, feature_key, ...) with form: equality joins over the relation; no form, no row. Forms that differ in tags alone count once."""
+    forms = relation.groupBy("root", "feature_key").agg(F.collect_set("form").alias("form"))
+    return requests.join(forms, ["root", "feature_key"]).withColumn("form", F.explode("form"))
 
 
 def parse(relation: DataFrame, forms: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
@@ -265,31 +268,12 @@ def parse(relation: DataFrame, forms: DataFrame, lexicon: DataFrame | None = Non
     return found.join(first_rows(lexicon).select("root", "gloss"), "root", "left")
 
 
-def _pieces(length: str, bound: int) -> str:
-    """SQL for the number, place and size of each of bound + 1 stretches of nearly one size that a string of this length is cut into."""
-    cut = lambda k: f"CAST(floor({k} * {length} / {bound + 1}) AS INT)"
-    return f"transform(sequence(0, {bound}), k -> struct(k AS k, {cut('k')} AS at, {cut('(k + 1)')} - {cut('k')} AS n))"
-
-
-def search(relation: DataFrame, queries: DataFrame, n: int = 10, bound: int = 5) -> DataFrame:
+def search(relation: DataFrame, queries: DataFrame, n: int | None = 10, bound: float = 5, **costs) -> DataFrame:
     """query, form, distance, rank: for each query (query, query_code) the n nearest forms within `bound` edits of symbols, ties by form.
 
-    A form is cut into bound + 1 pieces. No more than `bound` edits leave one of them as it is, at most `bound` places away from its
-    own in the query; so forms and queries meet where a piece is equal, by number and length of the form, and only those
-    pairs are measured. A form of no more than `bound` symbols has empty pieces and meets every query of like length.
+    costs: those of `search.nearest`. Forms are looked up in a trie, which drops whole branches that are too far.
     """
-    forms = relation.groupBy("form").agg(F.min("form_code").alias("form_code")).withColumn("len", F.length("form_code"))
-    cut = forms.withColumn("p", F.explode(F.expr(_pieces("len", bound)))).select("form", "form_code", "len", F.col("p.k").alias("k"), F.expr("substring(form_code, p.at + 1, p.n)").alias("piece"))
-    asked = queries.select("query", "query_code").distinct().where(F.col("query_code").isNotNull())
-    asked = asked.withColumn("len", F.explode(F.sequence(F.greatest(F.length("query_code") - bound, F.lit(0)), F.length("query_code") + bound)))
-    asked = asked.withColumn("p", F.explode(F.expr(_pieces("len", bound))))
-    near = f"sequence(greatest(p.at - {bound}, 0), least(p.at + {bound}, greatest(length(query_code) - p.n, 0)))"
-    fits = F.expr(f"CASE WHEN p.n = 0 THEN array('') WHEN p.n > length(query_code) OR p.at - {bound} > length(query_code) - p.n THEN array() ELSE array_distinct(transform({near}, j -> substring(query_code, j + 1, p.n))) END")
-    asked = asked.select("query", "query_code", "len", F.col("p.k").alias("k"), F.explode(fits).alias("piece"))
-    met = asked.join(cut, ["len", "k", "piece"]).select("query", "query_code", "form", "form_code").distinct()
-    met = met.withColumn("distance", F.levenshtein("query_code", "form_code", bound)).where("distance >= 0")
-    order = Window.partitionBy("query").orderBy("distance", "form")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("query", "form", F.col("distance").cast("double").alias("distance"), "rank")
+    return nearest(relation.select("form", "form_code"), queries, n, bound, **costs)
 
 
 def search_parse(relation: DataFrame, queries: DataFrame, lexicon: DataFrame | None = None, n: int = 10) -> DataFrame:
@@ -300,8 +284,8 @@ def search_parse(relation: DataFrame, queries: DataFrame, lexicon: DataFrame | N
 def stages(grammar: Grammar, name: str, requests: DataFrame, lexicon: DataFrame) -> DataFrame:
     """root, feature_key, stage_no, stage, surface_forms, feature_values, marker_kind, marker_value: how each request's form comes about.
 
-    requests: root, feature_key. The root need not be in the lexicon; a feature_key that is no cell of the paradigm is an error. At most five forms
-    a step, tags kept; the last row has none.
+    requests: root, feature_key. The root need not be in the lexicon; a feature_key that is no cell of the paradigm, or one whose markers
+    can't be applied, is an error for those who ask for it and for no one else. At most five forms a step, tags kept; the last row has none.
     """
     p, s = Paradigm(grammar, name), grammar.symbols
     parts = list(map(str, grammar.parts_of_speech[p.pos].get("principal_parts") or ()))
@@ -310,19 +294,25 @@ def stages(grammar: Grammar, name: str, requests: DataFrame, lexicon: DataFrame)
     for c in parts:
         own = rows.select("root", "feature_key", F.explode(F.coalesce(c, F.array("root"))).alias("__stem")).withColumn("__stem", encoded(s, F.col("__stem")))
         rows = rows.drop(c).join(own.groupBy("root", "feature_key").agg(F.collect_set("__stem").alias(c)), ["root", "feature_key"], "left")
+    show = lambda f, tags: F.slice(F.transform(f.array(), lambda x: decoded(s, x, tags=tags)), 1, 5)
+    note = lambda k, stage, forms, why, kind, value: F.struct(F.lit(k).alias("stage_no"), F.lit(stage).alias("stage"), forms.alias("surface_forms"), F.lit(why).alias("feature_values"), F.lit(kind).alias("marker_kind"), F.lit(value).alias("marker_value"))
     whole = None
     for features, markers in p.cells():
-        forms, rest = start(grammar, F.col("__code"), {c: F.col(c) for c in parts}, markers)
-        steps = [("Initial", Forms(grammar, F.col("__code")), "", "", "")]
-        if len(rest) < len(markers):
-            steps.append((markers[0][0].stage or "", forms, markers[0][1], markers[0][0].kind, str(markers[0][0].value)))
-        for m, why in rest:
-            forms = forms.apply(m)
-            steps.append((m.stage or "", forms, why, m.kind, " > ".join(m.value) if isinstance(m.value, tuple) else str(m.value)))
-        show = lambda f, tags: F.slice(F.transform(f.array(), lambda x: decoded(s, x, tags=tags)), 1, 5)
-        history = [F.struct(F.lit(k).alias("stage_no"), F.lit(stage).alias("stage"), show(f, True).alias("surface_forms"), F.lit(why).alias("feature_values"), F.lit(kind).alias("marker_kind"), F.lit(value).alias("marker_value")) for k, (stage, f, why, kind, value) in enumerate(steps)]
-        history.append(F.struct(F.lit(len(steps)).alias("stage_no"), F.lit("Final").alias("stage"), show(forms, False).alias("surface_forms"), F.lit(feature_key(features)).alias("feature_values"), F.lit("").alias("marker_kind"), F.lit("").alias("marker_value")))
-        cell = F.when(F.col("feature_key") == feature_key(features), F.array(*history))
+        key = feature_key(features)
+        try:
+            forms, rest = start(grammar, F.col("__code"), {c: F.col(c) for c in parts}, markers)
+            steps = [("Initial", Forms(grammar, F.col("__code")), "", "", "")]
+            if len(rest) < len(markers):
+                steps.append((markers[0][0].stage or "", forms, markers[0][1], markers[0][0].kind, str(markers[0][0].value)))
+            for m, why in rest:
+                forms = forms.apply(m)
+                steps.append((m.stage or "", forms, why, m.kind, " > ".join(m.value) if isinstance(m.value, tuple) else str(m.value)))
+            history = [note(k, stage, show(f, True), why, kind, value) for k, (stage, f, why, kind, value) in enumerate(steps)]
+            found = F.array(*history, note(len(steps), "Final", show(forms, False), key, "", ""))
+        except (ValueError, KeyError) as e:
+            p.skip(features, e)
+            found = F.raise_error(F.lit(f"{p.name}, cell {key}: {e}"))
+        cell = F.when(F.col("feature_key") == key, found)
         whole = cell if whole is None else F.coalesce(whole, cell)
     if whole is None:
         raise GrammarError(f"{p.name} has no cells")

@@ -135,3 +135,20 @@ def test_contingent_files_come_first_and_values_may_be_many(spark, tmp_path):
         got.setdefault((r["features"]["number"], r["features"]["role"]), set()).add(r["form"])
     assert {r["root"] for r in rows} == {"tamb"}
     assert got["many", "place"] == {"tampise", "tampize"} and got["many", "agent"] == {"dun"} and got["one", "patient"] == {"tamp-un"}
+
+
+def test_stages_of_a_cell_beside_one_that_cannot_be_built(spark, tmp_path):
+    import grammar_fixture as g
+
+    from morphlake.sources.grammar import load_grammar
+
+    root = g.write(tmp_path / "g")
+    markers = {role: [{"kind": "infix" if role == "place" else "suffix", "value": "-o"}] for role in ROLES}
+    g.put(root / "Exponence/FeatureMarkers", "hard_roles", {"kind": "FeatureMarkers", "feature": "role", "markers": markers})
+    loaded = load_grammar(root)
+    key = lambda role: feature_key({"role": role, **REST})
+    ask = lambda role: spark.createDataFrame([("tamb", key(role))], "root string, feature_key string")
+    lexicon = load_lexicon(spark, loaded, "noun")
+    assert [r["surface_forms"] for r in stages(loaded, "noun_hard", ask("tool"), lexicon).orderBy("stage_no").collect()] == [["tamb"], ["tamb-o"], ["tamb-o"]]
+    with pytest.raises(Exception, match="infix can't be applied"):
+        stages(loaded, "noun_hard", ask("place"), lexicon).collect()
