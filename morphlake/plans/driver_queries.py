@@ -27,16 +27,16 @@ def demo_grammar() -> Grammar:
         "Inventory": {"letters": {"kind": "Inventory", "data": [{"ref": "<V>", "phones": list(VOWELS)}, {"ref": "<C>", "phones": list(CONSONANTS)}]}},
         "Patterns": {"shapes": {"kind": "Patterns", "patterns": [{"ref": "<Short>", "pattern": "<C><V><C>_<Sigma>*"}, {"ref": "<Open>", "pattern": "<Sigma>*<V>#"}]}},
         "Rules": {"rules": {"kind": "Rules", "rules": [
-            {"name": "raise", "input_pattern": "o", "output_pattern": "ue", "right_context": "<C>*#"},
+            {"name": "widen", "input_pattern": "o", "output_pattern": "au", "left_context": "<C>"},
             {"name": "swap", "string_map": [["a", "e"], ["e", "a"], ["i", "o"]], "right_context": "<C>"},
             {"name": "drop", "input_pattern": "l", "output_pattern": None, "right_context": "l|d"},
             {"name": "insert", "input_pattern": None, "output_pattern": "e", "left_context": "t", "right_context": "#"},
-            {"name": "chain", "rule_sequence": ["$drop", "$raise"]},
+            {"name": "chain", "rule_sequence": ["$drop", "$widen"]},
         ]}},
         "PartOfSpeech": {"noun": {"kind": "PartOfSpeech", "name": "noun", "features": ["number", "case"], "lexical_features": ["p_type"], "principal_parts": []}},
         "FeatureDefinitions": {"noun": {"kind": "FeatureDefinitions", "features": {"number": ["sg", "pl"], "case": ["nom", "gen"]}}},
         "FeatureMarkers": {
-            "number": {"kind": "FeatureMarkers", "feature": "number", "markers": {"sg": None, "pl": [suffix("-s"), {"kind": "rule", "value": "$raise", "stage": "vowels"}]}},
+            "number": {"kind": "FeatureMarkers", "feature": "number", "markers": {"sg": None, "pl": [suffix("-s"), {"kind": "rule", "value": "$widen", "stage": "vowels"}]}},
             "case": {"kind": "FeatureMarkers", "feature": "case", "markers": {"nom": None, "gen": [suffix("-n", "outer")]}},
         },
         "ContingentFeatureMarkers": {"gen_pl": {"kind": "ContingentFeatureMarkers", "features": ["number", "case"], "markers": [{"features": {"number": "pl", "case": "gen"}, "realization": [suffix("-n")]}]}},
@@ -131,8 +131,8 @@ def rewrite_many(spark, sf_dir):
 
 
 def rule_test(spark, sf_dir):
-    cases = roots(spark, sf_dir).select(F.col("root").alias("input"), F.when(F.col("root").contains("rod"), F.replace("root", F.lit("rod"), F.lit("rued"))).otherwise(F.col("root")).alias("expected"))
-    out = reports.run_rule(demo_grammar(), "$raise", cases)
+    cases = roots(spark, sf_dir).select(F.col("root").alias("input"), F.when(F.col("root").contains("rod"), F.replace("root", F.lit("rod"), F.lit("raud"))).otherwise(F.col("root")).alias("expected"))
+    out = reports.run_rule(demo_grammar(), "$widen", cases)
     return out.select("input", "expected", F.element_at("output", 1).alias("output"), "pass")
 
 
@@ -252,9 +252,9 @@ def inflection_meta(spark, sf_dir):
 def dup_first_wins(spark, sf_dir):
     """A second rule, pattern and class of a name that is taken count for nothing."""
     files = demo_grammar().files
-    files["Rules"]["second"] = {"kind": "Rules", "rules": [{"name": "raise", "input_pattern": "o", "output_pattern": "i"}]}
+    files["Rules"]["second"] = {"kind": "Rules", "rules": [{"name": "widen", "input_pattern": "o", "output_pattern": "i"}]}
     files["Inventory"]["second"] = {"kind": "Inventory", "data": [{"ref": "<C>", "phones": ["o"]}]}
-    return _ruled("raise", Grammar("", files))(spark, sf_dir)
+    return _ruled("widen", Grammar("", files))(spark, sf_dir)
 
 
 def _transitions(spark, sf_dir):
@@ -310,6 +310,40 @@ def weighted_edits(spark, sf_dir):
     return pairs.select("a", "b", edit.weighted_distance(F.col("a"), F.col("b"), bound=4.0).alias("distance")).where("distance is not null")
 
 
+def _document_words(spark, sf_dir):
+    """word, n of all runs of plain letters in the documents, capitals lower-cased."""
+    found = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    return table(spark, sf_dir, "documents").select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+def search_words(spark, sf_dir):
+    """Each word that the documents have once only, as a misspelling: the three nearest of the words that they have more often, within two edits."""
+    own = _document_words(spark, sf_dir).withColumn("code", encoded(word_grammar().symbols, F.col("word")))
+    own = stored(own, "words")
+    forms = own.where("n > 1").select(F.col("word").alias("form"), F.col("code").alias("form_code"))
+    return paradigm.search(forms, own.where("n = 1").select(F.col("word").alias("query"), F.col("code").alias("query_code")), 3, 2)
+
+
+def _price(p):
+    """An edit's cost in thousandths, from its probability."""
+    return F.round(-1000 * F.log(p))
+
+
+def session_search(spark, sf_dir):
+    """Days of users as sequences of events: the five nearest others of each, where edits cost by how rarely events follow one another; costs by `edit_costs`."""
+    rows = stored(_transitions(spark, sf_dir), "transitions")
+    names = F.create_map(*(F.lit(x) for pair in {"click": 1, "error": 2, "purchase": 3, "signup": 4, "view": 5}.items() for x in pair))
+    total = rows.groupBy("src").agg(F.sum("p").alias("m"))
+    cells = rows.join(total, "src").select(names[F.col("src")].alias("i"), names[F.col("dst")].alias("j"), F.substring("src", 1, 1).alias("src"), F.substring("dst", 1, 1).alias("dst"), _price(F.col("p") / F.col("m")).alias("cost"))
+    whole = total.agg(F.sum("m").alias("t"))
+    adding = total.join(F.broadcast(whole)).select(F.lit(0).alias("i"), names[F.col("src")].alias("j"), F.lit("").alias("src"), F.substring("src", 1, 1).alias("dst"), _price(F.col("m") / F.col("t")).alias("cost"))
+    costs = [(r["src"], r["dst"], r["cost"]) for r in edit.edit_costs(cells.unionByName(adding)).collect()]  # one for each pair of kinds of events
+    days = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", F.substring("event_type", 1, 1).alias("c")))), lambda x: x["c"]), "").alias("days"))
+    own = stored(days.select(F.col("days").alias("form")).distinct(), "days")
+    found = paradigm.search(own.select("form", F.col("form").alias("form_code")), own.select(F.col("form").alias("query"), F.col("form").alias("query_code")), 5, 3000, costs=costs, delete=1000, substitute=1000)
+    return found.select("query", "form", F.col("distance").cast("long").alias("cost"), "rank")
+
+
 def symbol_round_trip(spark, sf_dir):
     g = demo_grammar()
     code = encoded(g.symbols, F.translate("p_name", " ", "_"))
@@ -355,7 +389,7 @@ QUERIES = {
     "paradigm_roots": paradigm_roots,
     "pattern_filter": pattern_filter,
     "pattern_test": pattern_test,
-    "rewrite_simple": _ruled("raise"),
+    "rewrite_simple": _ruled("widen"),
     "rewrite_string_map": _ruled("swap"),
     "rewrite_deletion": _ruled("drop"),
     "rewrite_insertion": _ruled("insert"),
@@ -374,6 +408,8 @@ QUERIES = {
     "parse_ambiguous": parse_ambiguous,
     "search_topk": search_topk,
     "search_parse": search_parse,
+    "search_words": search_words,
+    "session_search": session_search,
     "grammar_stats": grammar_stats,
     "inflection_meta": inflection_meta,
     "dup_first_wins": dup_first_wins,
@@ -389,7 +425,7 @@ QUERIES = {
     "doc_token_parse": doc_token_parse,
 }
 
-RAISED = "regexp_replace(root, 'o([^aeiou_]*)$', 'ue\\1')"
+WIDENED = "regexp_replace(root, '([b-df-hj-np-tv-z])o', '\\1au', 'g')"
 KEYED = f"translate(p_partkey::VARCHAR, '{KEY[0]}', '{KEY[1]}') || '_' || replace(p_name, ' ', '_')"
 KEYED_SQL = f"SELECT {KEYED} AS root FROM part"
 
@@ -398,7 +434,7 @@ def _forms_sql(roots_sql: str) -> str:
     return f"""
 SELECT root, '[case=nom][number=sg]' AS feature_key, root AS form FROM ({roots_sql})
 UNION ALL SELECT root, '[case=gen][number=sg]', root || '-n' FROM ({roots_sql})
-UNION ALL SELECT root, '[case=nom][number=pl]', {RAISED} || '-s' FROM ({roots_sql})
+UNION ALL SELECT root, '[case=nom][number=pl]', {WIDENED} || '-s' FROM ({roots_sql})
 UNION ALL SELECT root, '[case=gen][number=pl]', root || '-n' FROM ({roots_sql})"""
 
 
@@ -434,16 +470,16 @@ ORACLES = {
         WITH c AS (SELECT '<Short>' AS ref, regexp_full_match(root, '[^aeiou_][aeiou][^aeiou_]_.*') = (substr(root, 4, 1) = '_') AS pass FROM ({ROOTS_SQL})
           UNION ALL SELECT '<Open>', NOT regexp_full_match(root, '.*[aeiou]') FROM ({ROOTS_SQL}))
         SELECT ref, bool_and(pass) AS all_pass, count(*) FILTER (WHERE pass) AS n_pass, count(*) AS n FROM c GROUP BY ref""",
-    "rewrite_simple": _rewrite_sql(RAISED),
+    "rewrite_simple": _rewrite_sql(WIDENED),
     "rewrite_string_map": _rewrite_sql("translate(regexp_replace(regexp_replace(regexp_replace(root, 'a([b-df-hj-np-tv-z])', '1\\1', 'g'), 'e([b-df-hj-np-tv-z])', '2\\1', 'g'), 'i([b-df-hj-np-tv-z])', '3\\1', 'g'), '123', 'eao')"),
     "rewrite_deletion": _rewrite_sql("replace(replace(root, 'll', 'l'), 'ld', 'd')"),
     "rewrite_insertion": _rewrite_sql("regexp_replace(root, 't$', 'te')"),
-    "rule_sequence": _rewrite_sql("regexp_replace(replace(replace(root, 'll', 'l'), 'ld', 'd'), 'o([^aeiou_]*)$', 'ue\\1')"),
+    "rule_sequence": _rewrite_sql("regexp_replace(replace(replace(root, 'll', 'l'), 'ld', 'd'), '([b-df-hj-np-tv-z])o', '\\1au', 'g')"),
     "rewrite_many": f"""
         WITH r AS (SELECT root, regexp_replace(regexp_replace(root, 'g([aeiou])', '1\\1'), 'g([aeiou])', '2\\1') AS x FROM ({ROOTS_SQL}))
         SELECT DISTINCT root, replace(replace(x, '1', a), '2', b) AS form FROM r, unnest(['g', 'k']) t(a), unnest(['g', 'k']) u(b)""",
     "rule_test": f"""
-        WITH c AS (SELECT root, replace(root, 'rod', 'rued') AS expected, {RAISED} AS output FROM ({ROOTS_SQL}))
+        WITH c AS (SELECT root, replace(root, 'rod', 'raud') AS expected, {WIDENED} AS output FROM ({ROOTS_SQL}))
         SELECT root AS input, expected, output, expected = output AS pass FROM c""",
     "feature_combos": """
         SELECT priority, status FROM (SELECT DISTINCT o_orderpriority AS priority FROM orders UNION ALL SELECT 'unmarked') a,
@@ -470,9 +506,9 @@ ORACLES = {
         WITH f AS ({KEYED_FORMS_SQL}), a AS (SELECT p_partkey, {KEYED} AS root, '[case=gen][number=' || CASE WHEN p_partkey % 4 = 0 THEN 'pl' ELSE 'sg' END || ']' AS feature_key FROM part)
         SELECT p_partkey, root, feature_key, form FROM a JOIN f USING (root, feature_key)""",
     "inflect_stages": f"""
-        WITH r AS (SELECT root, {RAISED} AS up FROM ({ROOTS_SQL}))
+        WITH r AS (SELECT root, {WIDENED} AS up FROM ({ROOTS_SQL}))
         SELECT root, 0 AS stage_no, 'Initial' AS stage, root AS form, '' AS marker_kind, '' AS marker_value FROM r
-        UNION ALL SELECT root, 1, 'vowels', up, 'rule', '$raise' FROM r
+        UNION ALL SELECT root, 1, 'vowels', up, 'rule', '$widen' FROM r
         UNION ALL SELECT root, 2, 'suffix', up || '-s', 'suffix', '-s' FROM r
         UNION ALL SELECT root, 3, 'Final', up || '-s', '', '' FROM r""",
     "parse_exact": f"""
@@ -481,9 +517,30 @@ ORACLES = {
     "parse_ambiguous": f"SELECT form, count(*) AS n_parses, count(DISTINCT root) AS n_roots FROM ({KEYED_FORMS_SQL}) GROUP BY form",
     "search_topk": f"{SEARCH_SQL} SELECT query, form, distance, rank FROM r WHERE rank <= 5",
     "search_parse": f"{SEARCH_SQL} SELECT query, form, distance, rank, root, feature_key, gloss FROM r JOIN f USING (form) LEFT JOIN ({GLOSS_SQL}) USING (root) WHERE rank <= 5",
+    "search_words": """
+        WITH t AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) GROUP BY word),
+        v AS (SELECT word, n, word AS v FROM t
+          UNION ALL SELECT word, n, substr(word, 1, i - 1) || substr(word, i + 1) FROM t, range(1, 60) a(i) WHERE i <= length(word)
+          UNION ALL SELECT word, n, substr(word, 1, i - 1) || substr(word, i + 1, j - i - 1) || substr(word, j + 1) FROM t, range(1, 60) a(i), range(1, 60) b(j) WHERE i < j AND j <= length(word)),
+        p AS (SELECT DISTINCT q.word AS query, f.word AS form FROM v q JOIN v f USING (v) WHERE q.n = 1 AND f.n > 1),
+        d AS (SELECT query, form, levenshtein(query, form) AS distance FROM p)
+        SELECT query, form, distance::DOUBLE AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, form)::INT AS rank FROM d WHERE distance <= 2) WHERE rank <= 3""",
+    "session_search": f"""
+        WITH {TRANSITIONS_SQL},
+        m AS (SELECT src, sum(p) AS m FROM t GROUP BY src),
+        k AS (SELECT substr(t.src, 1, 1) || substr(t.dst, 1, 1) AS k, round(-1000 * ln(p / m)) AS c FROM t JOIN m ON t.src = m.src WHERE t.src <> t.dst
+          UNION ALL SELECT '>' || substr(src, 1, 1), round(-1000 * ln(m / (SELECT sum(m) FROM m))) FROM m),
+        c AS (SELECT map(list(k), list(c)) AS c FROM k),
+        w AS (SELECT DISTINCT string_agg(substr(event_type, 1, 1), '' ORDER BY ts, event_id) OVER (PARTITION BY user_id, ts::DATE ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS s FROM events),
+        x AS (SELECT s, string_split(s, '') AS l FROM w),
+        d AS (SELECT a.s AS query, b.s AS form, list_reduce(list_transform(a.l, lambda e: [ascii(e)::DOUBLE]),
+            lambda row, e: list_reduce(list_prepend([row[1] + 1000], list_transform(range(1, len(b.l) + 1), lambda j: [j::DOUBLE])),
+              lambda acc, j: list_append(acc, least(row[j[1]::INT] + CASE WHEN chr(e[1]::INT) = b.l[j[1]::INT] THEN 0 ELSE coalesce(c[chr(e[1]::INT) || b.l[j[1]::INT]], 1000) END, row[j[1]::INT + 1] + 1000, acc[-1] + coalesce(c['>' || b.l[j[1]::INT]], 1000)))),
+            list_reduce(list_prepend([0.0::DOUBLE], list_transform(b.l, lambda y: [coalesce(c['>' || y], 1000)])), lambda acc, y: list_append(acc, acc[-1] + y[1]))) AS r FROM x a, x b, c)
+        SELECT query, form, cost, rank FROM (SELECT query, form, r[-1]::BIGINT AS cost, row_number() OVER (PARTITION BY query ORDER BY r[-1], form)::INT AS rank FROM d WHERE r[-1] <= 3000) WHERE rank <= 5""",
     "grammar_stats": "SELECT kind, files::BIGINT AS files, 0::BIGINT AS invalid_files, total::BIGINT AS total FROM (VALUES ('Inventory', 1, 2), ('Patterns', 1, 2), ('Rules', 1, 5), ('PartOfSpeech', 1, 2), ('FeatureDefinitions', 1, 2), ('FeatureMarkers', 2, 4), ('ContingentFeatureMarkers', 1, 2), ('Paradigm', 1, 2)) v(kind, files, total)",
     "inflection_meta": "SELECT 'noun' AS name, feature, value, ord FROM (VALUES ('number', 'sg', 0), ('number', 'pl', 1), ('number', 'unmarked', 2), ('case', 'nom', 0), ('case', 'gen', 1), ('case', 'unmarked', 2)) v(feature, value, ord)",
-    "dup_first_wins": _rewrite_sql(RAISED),
+    "dup_first_wins": _rewrite_sql(WIDENED),
     "edit_cost_matrix": f"""
         WITH {TRANSITIONS_SQL}
         SELECT src, dst, round(1 / p, 9) AS cost, 'substitute' AS op FROM t WHERE src <> dst
