@@ -22,9 +22,10 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _windows(rows: DataFrame, run: int, words: int) -> DataFrame:
-    """k, k2, d, at, size, mark, one, two: windows of `run` lines, and shorter ones of `words` words or more.
+    """k, k2, d, at, size, mark, pos, one, two: windows of `run` lines, and shorter ones of `words` words or more.
 
-    mark is the fingerprint, the least line hash of the window; one and two hash all its lines in order. Nothing else of a text goes on.
+    mark is the fingerprint, the least line hash of the window, and pos the line it stands on, the last one of equals: all windows that one line
+    is least in share its fingerprint. one and two hash all its lines in order. Nothing else of a text goes on.
     """
     parts = []
     for size in range(1, run + 1):
@@ -43,7 +44,10 @@ def _window(size: int):
     def window(i: Column) -> Column:
         h, g = ([F.element_at(c, i + j if j else i) for j in range(size)] for c in ("h", "g"))
         mark = F.least(*h) if size > 1 else h[0]
-        return F.struct((i - 1).alias("at"), F.lit(size).alias("size"), mark.alias("mark"), F.xxhash64(F.lit(size), *h).alias("one"), F.xxhash64(F.lit(size), *g).alias("two"))
+        last = F.lit(0)
+        for j in range(1, size):
+            last = F.when(h[j] == mark, j).otherwise(last)
+        return F.struct((i - 1).alias("at"), F.lit(size).alias("size"), mark.alias("mark"), (i - 1 + last).cast("int").alias("pos"), F.xxhash64(F.lit(size), *h).alias("one"), F.xxhash64(F.lit(size), *g).alias("two"))
 
     return window
 
@@ -51,8 +55,8 @@ def _window(size: int):
 def deleted_lines(docs: DataFrame, run: int = 3, words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(k, k2, gone): for rows keyed by row_key, the stretches (start, stop) of lines to delete, ascending and apart, ends exclusive."""
     every = written(_windows(_hashed(docs, id_col, text_col), run, words), "line_windows")
-    # winnowing: neighbouring windows with one minimum are one fingerprint; only fingerprints that stand in two places can be of repeated runs
-    places = every.groupBy("mark").agg(F.min(F.struct("k", "k2", "at")).alias("lo"), F.max(F.struct("k", "k2", "at")).alias("hi"))
+    # winnowing: windows whose least line is the same one are one fingerprint; only those that stand in two places can be of repeated runs
+    places = every.groupBy("mark").agg(F.min(F.struct("k", "k2", "pos")).alias("lo"), F.max(F.struct("k", "k2", "pos")).alias("hi"))
     shared = written(places.where("lo <> hi").select("mark"), "line_marks")
     # positions of a shared fingerprint are joined to the first holder of the lines around it
     met = written(every.join(shared, "mark", "left_semi").select("k", "k2", "d", "at", "size", "one", "two"), "lines")
