@@ -16,7 +16,10 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def _letters(w: str) -> bool:
     """Whether w is of letters alone, composed (as the tokenizer does first) and in lower case too: some letters get a mark of their own there that joins what follows."""
-    return w.isalpha() and (w.isascii() or ((c := unicodedata.normalize("NFC", w)).isalpha() and c.lower().isalpha()))
+    if not w.isalpha() or w.isascii():
+        return w.isalpha()
+    c = w if unicodedata.is_normalized("NFC", w) else unicodedata.normalize("NFC", w)
+    return c.isalpha() and c.lower().isalpha()
 
 
 class _Words(dict):
