@@ -191,8 +191,17 @@ def _formal(kind: str, s: Column) -> Column:
     return F.regexp_like(s, F.lit(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+$"))
 
 
+def _failed(kind: str, s: Column) -> Column:
+    """Whether a candidate has the format of a base kind and fails its check: nothing of its kind, whatever stands around it."""
+    if kind != "number":
+        return F.lit(False)
+    card = F.regexp_like(s, F.lit(r"^[0-9](?:[\x20-]?[0-9])++$")) & F.length(_digits(s)).between(16, 19) & ~_luhn(s)
+    address = F.regexp_like(s, F.lit(r"^[0-9]++(?:\.[0-9]++){3}$")) & ~_fits("ip", s)
+    return card | address | (F.startswith(s, F.lit("+")) & ~_fits("phone", s))
+
+
 def _candidates(text: Column, kind: str, pattern: str) -> Column:
-    """start, end, format bits f, context bits c, whether the context names the kind, whether the format proves it."""
+    """start, end, format bits f, context bits c, whether the context names the kind, whether the format proves it, whether a check fails it."""
 
     def code(bits: list[Column]) -> Column:
         return sum((F.when(b, 1 << k).otherwise(0) for k, b in enumerate(bits)), F.lit(0))
@@ -200,7 +209,7 @@ def _candidates(text: Column, kind: str, pattern: str) -> Column:
     def judged(x: Column) -> Column:
         before, after = x["b"], x["e"]
         named = F.regexp_like(before, F.lit(NAMED[kind])) & F.regexp_like(x["s"], F.lit("[0-9@]|(?i)dot"))
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), code([f(x["s"]) for f in FORMAT[kind]]).alias("f"), code([f(before, after) for f in _around(kind)]).alias("c"), named.alias("named"), _formal(kind, x["s"]).alias("formal"))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), code([f(x["s"]) for f in FORMAT[kind]]).alias("f"), code([f(before, after) for f in _around(kind)]).alias("c"), named.alias("named"), _formal(kind, x["s"]).alias("formal"), _failed(kind, x["s"]).alias("failed"))
 
     return F.transform(matches(text, pattern, CONTEXT), judged)
 
@@ -250,14 +259,15 @@ def calibrated(cells: list[tuple[float, float, float]], precision: float = 0.9)
 
     Labels are sure, but not all have one: what the label needs may be missing where the other view is right. In the score with the
     greatest share of labels all candidates are taken to be of the kind, so this share is how often such ones have a label (a half at least,
-    so that a rare label proves nothing); other counts of labels are divided by it.
+    so that a rare label proves nothing); other counts of labels are divided by it. A score of no more than 0 speaks against a candidate, so no
+    threshold is that low.
     """
     rates = [pos / n for _, pos, n in cells if n >= 5] or [pos / n for _, pos, n in cells]
     found = max([0.5, *rates])
     threshold, likely, every = math.inf, 0.0, 0.0
     for s, pos, n in sorted(cells, reverse=True):
         likely, every = likely + min(n, pos / found), every + n
-        if likely and likely >= precision * every:
+        if s > 0 and likely and likely >= precision * every:
             threshold = s
     return threshold
 
@@ -289,13 +299,13 @@ def fit(found: DataFrame, precision: float = 0.9) -> Model:
 
     Format trees learn which candidates the context names; context trees learn which ones the format proves; neither sees what its
     labels come from. Trees learn from three quarters of the documents, by a hash of their text; thresholds are
-    set on the last quarter (on all, if that has no candidate). The driver sees counts by bit pattern, at most 2 ** 12 a view.
+    set on the last quarter (on all, if that has no candidate). Candidates that fail the check of a format that they have count as others, and are never chosen. The driver sees counts by bit pattern, at most 2 ** 12 a view.
     """
-    each = F.explode(F.concat(*(F.transform(f"c_{k}", _tagged(k, "f", "c", "named", "formal")) for k in KINDS))).alias("x")
-    counts = written(found.select("held", each).select("held", "x.*").groupBy("held", "kind", "f", "c", "named", "formal").agg(F.count("*").alias("n")), "candidates")
+    each = F.explode(F.concat(*(F.transform(f"c_{k}", _tagged(k, "f", "c", "named", "formal", "failed")) for k in KINDS))).alias("x")
+    counts = written(found.select("held", each).select("held", "x.*").groupBy("held", "kind", "f", "c", "named", "formal", "failed").agg(F.count("*").alias("n")), "candidates")
     out: Model = {k: [] for k in KINDS}
     for view, label in VIEWS:
-        own = counts.groupBy("kind", "held", F.col(view).alias("bits")).agg(F.sum(F.when(F.col(label), F.col("n")).otherwise(0)).alias("pos"), F.sum("n").alias("n"))
+        own = counts.groupBy("kind", "held", F.col(view).alias("bits")).agg(F.sum(F.when(F.col(label) & ~F.col("failed"), F.col("n")).otherwise(0)).alias("pos"), F.sum("n").alias("n"))
         rows = sorted((r["kind"], r["held"], r["bits"], float(r["pos"]), float(r["n"])) for r in own.collect())
         for k in KINDS:
             trees = boost([(b, pos, n - pos) for kind, held, b, pos, n in rows if kind == k and not held], len(FORMAT[k]) if view == "f" else len(_around(k)))
@@ -314,7 +324,7 @@ def _chosen(kind: str, model: Model) -> Column:
     views = [(view, *own) for (view, _), own in zip(VIEWS, model[kind], strict=True) if own[1] < math.inf]
     if not views:
         return F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    fits = F.filter(F.col(f"c_{kind}"), lambda x: F.greatest(*(_value(trees, x[view]) - threshold for view, trees, threshold in views), F.lit(-1.0)) >= 0)
+    fits = F.filter(F.col(f"c_{kind}"), lambda x: ~x["failed"] & (F.greatest(*(_value(trees, x[view]) - threshold for view, trees, threshold in views), F.lit(-1.0)) >= 0))
     return F.transform(fits, _tagged(kind, "start", "end"))
 
 

@@ -112,6 +112,28 @@ def test_added_spans_are_the_planted_ones(spark):
     assert all(recall[k, False] >= 0.7 for k in ("secret", "number", "contact"))
 
 
+def test_numbers_that_fail_a_check_are_not_added(spark):
+    """Card-like runs in the same places as checked ones, at a line's or a text's start and with a name in front."""
+    rng = random.Random(6)
+
+    def card(good):
+        while True:
+            s = "".join(rng.choice("0123456789") for _ in range(16))
+            if fits("card", s) == good:
+                return s
+
+    texts, bad = [], {}
+    for d in range(600):
+        good = rng.random() < 0.5
+        s = card(good)
+        texts.append(rng.choice(["{} then", "some words {} and on", "card: {} ok", "line\n{}\nline", "call +{}"]).format(s) + " words " * rng.randint(0, 5))
+        if not good:
+            bad[d] = s
+    for r in find_pii(docs(spark, texts)).collect():
+        spans = [texts[r["doc_id"]][int(a) : int(b)] for k, a, b in (x.split(":") for x in r["spans"].split(",") if x) if k == "number"]
+        assert not any(bad.get(r["doc_id"], "none") in s for s in spans)
+
+
 def test_many_matches_in_one_text(spark):
     import time
 
