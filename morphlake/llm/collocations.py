@@ -112,12 +112,14 @@ def pair_counts(docs: DataFrame, ranks: Ranks, least: int) -> np.ndarray:
 
 
 def fragments(docs: DataFrame, ranks: Ranks, pairs: np.ndarray, least: int, longest: int, hot: int) -> DataFrame:
-    """lang, pivot, side, part, salts, at, fragment, n: what is left of texts around each pivot, whose place in it is `at`; equal ones of a stretch together.
+    """lang, pivot, side, part, salts, salt, at, fragment, n: what is left of texts around each pivot, whose place in it is `at`.
+
+    A row holds all different fragments of a pivot in a stretch of text, with how often each is there.
 
     Words in front of the pivot are more frequent than it is, those behind it at least as frequent: of a run with its rarest word twice,
     the first one is the pivot. A pivot with more than `hot` occurrences is dealt to parts by the pair that it forms with the word
     behind it (side 1, for runs that go on there) or, for runs that end with it, in front of it (side 2), so that each run is still counted
-    in one place. salts: how many partitions the fragments of one pair need, more than 1 for one of over 8 * hot occurrences.
+    in one place. salts: how many partitions the fragments of one pair need, more than 1 for one of over 8 * hot occurrences; salt is theirs, by checksum.
     """
     spread = docs.sparkSession.sparkContext.broadcast(pairs)
     reach = longest - 1
@@ -150,15 +152,27 @@ def fragments(docs: DataFrame, ranks: Ranks, pairs: np.ndarray, least: int, long
                 strings = _slices(words, at - left[at], at + 1 + (right[at] if side < 2 else 0))
                 where, first, count, found = _counted(language[at], names, strings)
                 at = at[first]
-                part, salts = np.zeros(len(at), np.int64), np.ones(len(at), np.int64)
+                part, salts, salt = np.zeros(len(at), np.int64), np.ones(len(at), np.int64), np.zeros(len(at), np.int64)
                 if side:
                     near = at - (side == 2)
                     part = ((pair[near] >> np.uint64(32)).astype(np.int64)) % (1 + often[at] // hot).astype(np.int64)
                     salts += (seen[near] // (8 * hot)).astype(np.int64)
-                columns = [pa.array(names, pa.string()).take(pa.array(where)), pa.array(rank[at].view(np.int64)), pa.array(np.full(len(at), side, np.int32)), pa.array(part, pa.int32()), pa.array(salts, pa.int32()), pa.array(left[at], pa.int32()), found.cast(pa.string()), pa.array(count, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "pivot", "side", "part", "salts", "at", "fragment", "n"])
+                    many = np.flatnonzero(salts > 1)
+                    salt[many] = [zlib.crc32(f.encode()) for f in found.take(pa.array(many)).to_pylist()]
+                    salt %= salts
+                order = np.lexsort((salt, salts, part, rank[at], where))
+                keys = [k[order] for k in (where, rank[at].view(np.int64), part, salts, salt)]
+                fresh = np.ones(len(order), bool)
+                fresh[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+                first = np.flatnonzero(fresh)
+                cuts = pa.array(np.append(first, len(order)), pa.int32())
+                held = [k[first] for k in keys]
+                lists = [pa.ListArray.from_arrays(cuts, v) for v in (pa.array(left[at][order], pa.int8()), found.take(pa.array(order)).cast(pa.string()), pa.array(count[order], pa.int64()))]
+                columns = [pa.array(names, pa.string()).take(pa.array(held[0])), pa.array(held[1]), pa.array(np.full(len(first), side), pa.int32()), *(pa.array(k, pa.int32()) for k in held[2:]), *lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "pivot", "side", "part", "salts", "salt", "at", "fragment", "n"])
+
+    return docs.mapInArrow(emit, "lang string, pivot long, side int, part int, salts int, salt int, at array<tinyint>, fragment array<string>, n array<long>")
 
-    return docs.mapInArrow(emit, "lang string, pivot long, side int, part int, salts int, at int, fragment string, n long")
 
 
 def _slices(words: pa.LargeStringArray, low: np.ndarray, high: np.ndarray) -> pa.LargeStringArray:
@@ -183,11 +197,12 @@ def mine(pieces: DataFrame, longest: int, least: int) -> DataFrame:
 
     def count(key, table):
         whole, side = key[4].as_py() == 1, key[2].as_py()
-        words, _, text = words_of(table.column("fragment").combine_chunks(), BLANKS)
-        size = np.bincount(text, minlength=table.num_rows)
-        place = table.column("at").to_numpy()
+        flat = {c: pa.concat_arrays([chunk.flatten() for chunk in table.column(c).chunks]) for c in ("at", "fragment", "n")}
+        words, _, text = words_of(flat["fragment"], BLANKS)
+        size = np.bincount(text, minlength=len(flat["fragment"]))
+        place = flat["at"].to_numpy().astype(np.int64)
         pivot = np.cumsum(size) - size + place
-        weight = table.column("n").to_numpy()
+        weight = flat["n"].to_numpy()
         found, total = [], []
         for back in range(longest):
             for ahead in range(longest - back):
@@ -204,8 +219,7 @@ def mine(pieces: DataFrame, longest: int, least: int) -> DataFrame:
         n = np.concatenate(total) if total else np.zeros(0, np.int64)
         return pa.table({"lang": pa.repeat(key[0], len(n)).cast(pa.string()), "phrase": phrases, "n": pa.array(n, pa.int64()), "whole": pa.repeat(whole, len(n))})
 
-    salt = F.pmod(F.crc32(F.col("fragment").cast("binary")), F.col("salts"))
-    raw = written(pieces.withColumn("salt", salt).groupBy("lang", "pivot", "side", "part", "salts", "salt").applyInArrow(count, schema), "phrases")
+    raw = written(pieces.groupBy("lang", "pivot", "side", "part", "salts", "salt").applyInArrow(count, schema), "phrases")
     merged = raw.where("NOT whole").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     found = written(raw.where("whole").select("lang", "phrase", "n").unionByName(merged), "phrases")
     discard(raw)
