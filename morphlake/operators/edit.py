@@ -65,18 +65,21 @@ def trie_arcs(words: DataFrame, column: str = "word") -> DataFrame:
 def trie_csr(words: DataFrame, column: str = "word") -> DataFrame:
     """prefix, n_arcs, offset, final: states in order of their prefixes with the number of their arcs and of all arcs before.
 
-    The running sum is taken within each first letter, and over the sums of those, so no task orders all states.
+    The running sum is taken in two passes: states are dealt out by range of prefix and stored, the sums of ranges are added up (a number for each
+    partition), and each range counts on from what lies in front of it. No task orders all states, whatever letter they begin with.
     """
     arcs = trie_arcs(words, column)
     out = arcs.groupBy(F.col("state").alias("prefix")).agg(F.count("*").alias("n_arcs"))
     ends = arcs.where("final").select(F.col("next").alias("prefix"), F.lit(True).alias("final"))
     first = arcs.where("state = ''").select(F.lit("").alias("prefix")).distinct()
     states = arcs.select(F.col("next").alias("prefix")).unionByName(first)
-    rows = states.join(out, "prefix", "left").join(ends, "prefix", "left").select("prefix", F.coalesce("n_arcs", F.lit(0)).cast("bigint").alias("n_arcs"), F.coalesce("final", F.lit(False)).alias("final"), F.substring("prefix", 1, 1).alias("head"))
-    heads = rows.groupBy("head").agg(F.sum("n_arcs").alias("m"))
-    heads = heads.select("head", (F.sum("m").over(Window.partitionBy(F.lit(1)).orderBy("head")) - F.col("m")).alias("base"))
-    before = F.sum("n_arcs").over(Window.partitionBy("head").orderBy("prefix")) - F.col("n_arcs")
-    return rows.withColumn("before", before).join(heads, "head").select("prefix", "n_arcs", (F.col("base") + F.col("before")).cast("bigint").alias("offset"), "final")
+    rows = states.join(out, "prefix", "left").join(ends, "prefix", "left").select("prefix", F.coalesce("n_arcs", F.lit(0)).cast("bigint").alias("n_arcs"), F.coalesce("final", F.lit(False)).alias("final"))
+    ranges = stored(rows.repartitionByRange("prefix").withColumn("range", F.spark_partition_id()), "ranges")
+    sums = sorted((r["range"], r["m"]) for r in ranges.groupBy("range").agg(F.sum("n_arcs").alias("m")).collect())
+    bases = [(k, sum(m for _, m in sums[:i])) for i, (k, _) in enumerate(sums)]
+    base = words.sparkSession.createDataFrame(bases, "range int, base long")
+    before = F.sum("n_arcs").over(Window.partitionBy("range").orderBy("prefix")) - F.col("n_arcs")
+    return ranges.withColumn("before", before).join(F.broadcast(base), "range").select("prefix", "n_arcs", (F.col("base") + F.col("before")).cast("bigint").alias("offset"), "final")
 
 
 def linear_arcs(queries: DataFrame, column: str = "query") -> DataFrame:
@@ -86,22 +89,36 @@ def linear_arcs(queries: DataFrame, column: str = "query") -> DataFrame:
 
 
 def beam_search(queries: DataFrame, words: DataFrame, num_beam: int = 5, fuzzy: bool = False, unique_only: bool = False, longest: int | None = None, costs: DataFrame | None = None, query_col: str = "query", word_col: str = "word") -> DataFrame:
-    """q, labels, weight: for each query up to num_beam strings that both it and the words' trie accept, cheapest first.
+    """q, labels, weight: for each query up to num_beam strings that both it and the words' trie accept, cheapest first; see beam_automata."""
+    left = linear_arcs(queries, query_col).select("q", F.col("ls").cast("string").alias("ls"), "llabel", F.col("ln").cast("string").alias("ln"), "lfinal")
+    right = trie_arcs(words, word_col).select(F.col("state").alias("rs"), F.col("label").alias("rlabel"), F.col("next").alias("rn"), F.col("final").alias("rfinal"))
+    return beam_automata(left, right, num_beam, fuzzy, unique_only, longest, costs, ("0", ""))
 
-    Exact search advances on equal labels. Fuzzy search also substitutes, drops a query's label or adds one of the trie's, at cost 1 or as
+
+def final_arcs(arcs: DataFrame, ends: DataFrame, side: str, *keys: str) -> DataFrame:
+    """Arcs (state, label, next) and ends (state) as one side, l or r, of a beam search: xs, xlabel, xn, and whether xn is an end."""
+    end = ends.select(*keys, F.col("state").alias("next"), F.lit(True).alias("end")).distinct()
+    own = arcs.join(end, [*keys, "next"], "left")
+    return own.select(*keys, F.col("state").alias(f"{side}s"), F.col("label").alias(f"{side}label"), F.col("next").alias(f"{side}n"), F.coalesce("end", F.lit(False)).alias(f"{side}final"))
+
+
+def beam_automata(left: DataFrame, right: DataFrame, num_beam: int | None = 5, fuzzy: bool = False, unique_only: bool = False, longest: int | None = None, costs: DataFrame | None = None, start: tuple[str, str] = ("0", "")) -> DataFrame:
+    """q, labels, weight: for each left automaton q up to num_beam strings that both it and the right one accept, cheapest first.
+
+    left: q, ls, llabel, ln, lfinal; right: rs, rlabel, rn, rfinal; arcs without empty labels (see `automata.without_epsilon`), from the start states
+    on; a num_beam of None keeps all. Either side may have cycles; with cycles on both, or on one in a fuzzy search, `longest` bounds the steps. Exact search advances on equal labels. Fuzzy search also substitutes, drops a query's label or adds one of the trie's, at cost 1 or as
     in costs (src, dst, cost; empty for nothing). After each step a query keeps its num_beam cheapest hypotheses, ties by label.
     One step is a few equality joins for all queries at once, stored before the next, until no hypothesis is alive or `longest` steps, if given, are done.
     """
-    left = stored(linear_arcs(queries, query_col), "left")
-    right = stored(trie_arcs(words, word_col).select(F.col("state").alias("rs"), F.col("label").alias("rlabel"), F.col("next").alias("rn"), F.col("final").alias("rfinal")), "right")
-    spark = queries.sparkSession
+    left, right = stored(left, "left"), stored(right, "right")
+    spark = left.sparkSession
     price = (costs if costs is not None else spark.createDataFrame([], "src string, dst string, cost double")).select("src", "dst", F.col("cost").alias("price"))
 
     def priced(df: DataFrame, src: str, dst: str) -> DataFrame:
         return df.join(price.withColumnRenamed("src", src).withColumnRenamed("dst", dst), [src, dst], "left")
 
     schema = ["q", "ls", "rs", "weight", "labels", "lend", "rend"]
-    live = left.select("q").distinct().select("q", F.lit(0).alias("ls"), F.lit("").alias("rs"), F.lit(0.0).alias("weight"), F.lit("").alias("labels"), F.lit(False).alias("lend"), F.lit(False).alias("rend"))
+    live = left.select("q").distinct().select("q", F.lit(start[0]).alias("ls"), F.lit(start[1]).alias("rs"), F.lit(0.0).alias("weight"), F.lit("").alias("labels"), F.lit(False).alias("lend"), F.lit(False).alias("rend"))
     found = None
     for _ in count() if longest is None else range(longest):
         both = live.join(left, ["q", "ls"]).join(right, "rs")
@@ -114,7 +131,9 @@ def beam_search(queries: DataFrame, words: DataFrame, num_beam: int = 5, fuzzy:
             new = change.unionByName(drop).unionByName(add)
         keys = ["q", "labels"] if unique_only else ["q", "labels", "ls", "rs"]
         best = new.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("weight", "ls"))).where("k = 1")
-        live = stored(best.withColumn("k", F.row_number().over(Window.partitionBy("q").orderBy("weight", "labels", "ls"))).where(F.col("k") <= num_beam).select(*schema), "beam")
+        if num_beam is not None:
+            best = best.withColumn("k", F.row_number().over(Window.partitionBy("q").orderBy("weight", "labels", "ls"))).where(F.col("k") <= num_beam)
+        live = stored(best.select(*schema), "beam")
         if live.isEmpty():
             break
         ends = live.where("lend and rend").select("q", "labels", "weight")
@@ -122,6 +141,8 @@ def beam_search(queries: DataFrame, words: DataFrame, num_beam: int = 5, fuzzy:
     if found is None:
         return spark.createDataFrame([], "q string, labels string, weight double")
     best = found.groupBy("q", "labels").agg(F.min("weight").alias("weight"))
+    if num_beam is None:
+        return best
     return best.withColumn("k", F.row_number().over(Window.partitionBy("q").orderBy("weight", "labels"))).where(F.col("k") <= num_beam).drop("k")
 
 

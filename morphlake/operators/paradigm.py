@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
+import json
 import logging
+import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +19,7 @@ from morphlake.functions.symbols import decoded, encoded, feature_key, feature_k
 from morphlake.operators.search import nearest
 from morphlake.sources.grammar import Grammar, GrammarError, Marker
 from morphlake.sources.lexicon import first_rows, load_lexicon, with_features
+from morphlake.sources.tables import delete, discard, exists, stored
 
 LAST = 1 << 30
 log = logging.getLogger(__name__)
@@ -66,6 +71,36 @@ class Paradigm:
             out = [c for c in out if any(all(c.get(k) == str(v) for k, v in want.items()) for want in only)]
         return out
 
+    def dependencies(self) -> dict:
+        """Everything in the grammar that the paradigm's forms come from, by kind."""
+        g, texts = self.grammar, []
+        own: dict = {"paradigm": self.data, "part_of_speech": g.parts_of_speech[self.pos], "symbols": list(g.symbols.kind.items()), "features": {f: g.features.get(f) for f in self.features}}
+        files = list(self.files)
+        regular = own["markers"] = {}
+        for name in files:
+            if name not in regular:
+                regular[name] = data = g.kind("FeatureMarkers").get(name)
+                if data and data.get("inherits"):
+                    files.append(str(data["inherits"]).removeprefix("$"))
+        own["contingent"] = {name: g.kind("ContingentFeatureMarkers").get(name) for name in self.contingent}
+        texts.append(json.dumps(own, default=str))
+        rules = own["rules"] = {}
+        names = re.findall(r"\$([^\"\\]+)", texts[0])
+        for name in names:
+            if name in g.rule_records and name not in rules:
+                rules[name] = g.rule_records[name]
+                names += [str(x).removeprefix("$") for x in rules[name].get("rule_sequence") or ()]
+        named = own["patterns"] = {}
+        refs = re.findall(r"<[^<>]+>", json.dumps(own, default=str))
+        for ref in refs:
+            if ref not in named and (ref in g.pattern_records or ref in g.classes):
+                named[ref] = g.classes[ref] if ref in g.classes else g.pattern_records[ref].get("pattern")
+                refs += re.findall(r"<[^<>]+>", json.dumps(named[ref], default=str))
+        return own
+
+    def fingerprint(self) -> str:
+        return hashlib.sha256(json.dumps(self.dependencies(), sort_keys=True, default=str).encode()).hexdigest()[:32]
+
     def _file(self, kind: str, name: str) -> dict:
         found = self.grammar.kind(kind).get(name)
         if found is None:
@@ -232,15 +267,72 @@ def inflected(spark: SparkSession, grammar: Grammar, name: str, lexicon: DataFra
     return rows.select(F.lit(p.name).alias("paradigm"), "root", "feature_key", "features", decoded(s, tagged).alias("form"), decoded(s, tagged, tags=True).alias("form_tagged"), F.translate(tagged, drop, "").alias("form_code"))
 
 
-def materialize(spark: SparkSession, grammar: Grammar, names: list[str], path: str, force: bool = False) -> DataFrame:
-    """The inflected relation of paradigms as Parquet under path, by grammar fingerprint and paradigm; built where it isn't there yet."""
-    base = f"{path.rstrip('/')}/{grammar.fingerprint()}"
-    fs = spark._jvm.org.apache.hadoop.fs.Path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+#: Parts that a stored relation is dealt to by root, each of which is written anew when one of its roots changes.
+PARTS = 64
+
+
+def _row_hashes(p: Paradigm, lexicon: DataFrame, parts: int) -> DataFrame:
+    """root, part, x, y: two sums of hashes over a root's rows of the lexicon, of the columns that forms come from."""
+    used = sorted({"root", *map(str, p.grammar.parts_of_speech[p.pos].get("principal_parts") or ())} & set(lexicon.columns))
+    wide = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(38,0)"))
+    own = p.roots(lexicon).where(F.col("root").isNotNull())
+    return own.groupBy("root").agg(wide(*used).alias("x"), wide(F.lit(1), *used).alias("y")).withColumn("part", F.pmod(F.xxhash64("root"), F.lit(parts)).cast("int"))
+
+
+def refresh(spark: SparkSession, grammar: Grammar, name: str, path: str, lexicon: DataFrame | None = None, force: bool = False, parts: int = PARTS) -> list[int]:
+    """Brings the stored relation of one paradigm up to date; the parts that were written.
+
+    A relation lies under the hash of what its paradigm depends on (its own record, part of speech, markers, rules, patterns and symbols), so
+    a change of those starts a new one and leaves other paradigms alone. Within it, roots whose rows of the lexicon are new, changed or gone are
+    found by anti-joins with the hashes stored beside the forms; only parts that hold such a root are worked out and written again. The hashes go
+    last: what is lost in between is written again by the next call.
+    """
+    p = Paradigm(grammar, name)
+    lexicon = load_lexicon(spark, grammar, p.pos) if lexicon is None else lexicon
+    base = store_path(p, path)
+    seen, forms = f"{base}/rows", f"{base}/forms"
+    now = stored(_row_hashes(p, lexicon, parts), "rows")
+    before = spark.createDataFrame([], now.schema) if force or not exists(spark, f"{seen}/_SUCCESS") else spark.read.schema(now.schema).parquet(seen)
+    key = ["root", "x", "y", "part"]
+    changed = now.select(key).join(before.select(key), key, "left_anti").unionByName(before.select(key).join(now.select(key), key, "left_anti"))
+    if force:
+        delete(spark, base)
+    stale = sorted(r["part"] for r in changed.select("part").distinct().collect())  # at most `parts` numbers
+    if stale or not exists(spark, f"{seen}/_SUCCESS"):
+        there = F.pmod(F.xxhash64("root"), F.lit(parts)).cast("int")
+        built = inflected(spark, grammar, name, lexicon.where(there.isin(stale))).drop("paradigm").withColumn("part", there)
+        held = {r["part"] for r in now.select("part").distinct().collect()}
+        for part in set(stale) - held:
+            delete(spark, f"{forms}/part={part}")
+        built.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(forms)
+        now.repartition(1 + len(held) // 16, "part").write.mode("overwrite").parquet(seen)
+    discard(now)
+    return stale
+
+
+def store_path(p: Paradigm, path: str) -> str:
+    return f"{path.rstrip('/')}/paradigm={p.name}/{p.fingerprint()}"
+
+
+FORMS = "root string, feature_key string, features map<string,string>, form string, form_tagged string, form_code string"
+
+
+def materialize(spark: SparkSession, grammar: Grammar, names: list[str], path: str, force: bool = False, lexicon: DataFrame | None = None) -> DataFrame:
+    """The inflected relation of paradigms as Parquet under path; only what has changed since it was stored is worked out."""
+    tables = []
     for name in names:
-        own = f"{base}/paradigm={name.removeprefix('$')}"
-        if force or not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{own}/_SUCCESS")):
-            inflected(spark, grammar, name).drop("paradigm").write.mode("overwrite").parquet(own)
-    return spark.read.option("basePath", base).parquet(*(f"{base}/paradigm={n.removeprefix('$')}" for n in names))
+        refresh(spark, grammar, name, path, lexicon, force)
+        p = Paradigm(grammar, name)
+        own = spark.read.schema(FORMS + ", part int").parquet(f"{store_path(p, path)}/forms")
+        tables.append(own.drop("part").withColumn("paradigm", F.lit(p.name)))
+    return reduce(DataFrame.unionByName, tables)
+
+
+def bucketed(relation: DataFrame, name: str, by: str = "form", buckets: int = 64, path: str | None = None) -> DataFrame:
+    """The relation as a table of the catalog, bucketed and sorted by form (for parsing) or root (for inflecting): joins on it leave it where it is."""
+    writer = relation.write.mode("overwrite").format("parquet").bucketBy(buckets, by).sortBy(by)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+    return relation.sparkSession.table(name)
 
 
 def checked(grammar: Grammar, name: str, requests: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from morphlake.functions.rules import make_rule, rewritten
 from morphlake.functions.symbols import decoded, encoded, feature_key, feature_key_column
-from morphlake.operators import edit, paradigm, reports, resolution
+from morphlake.operators import automata, edit, paradigm, reports, resolution
 from morphlake.sources import lexicon as lex
 from morphlake.sources.grammar import Grammar
 from morphlake.sources.tables import stored
@@ -324,6 +324,53 @@ def search_words(spark, sf_dir):
     return paradigm.search(forms, own.where("n = 1").select(F.col("word").alias("query"), F.col("code").alias("query_code")), 3, 2)
 
 
+SYLLABLES = "(<C><V>|<C><V><C>)+"
+
+
+def automaton_words(spark, sf_dir):
+    """The documents' words that are open and closed syllables in a row, by an automaton: however many ways there are to divide one."""
+    g = demo_grammar()
+    match = automata.Automaton.of(g.patterns.parse(SYLLABLES)).accepts(encoded(g.symbols, F.col("word")))
+    return _document_words(spark, sf_dir).where(match)
+
+
+def automaton_difference(spark, sf_dir):
+    """The documents' words that aren't, by the difference of their trie and the pattern's automaton."""
+    g = demo_grammar()
+    own = stored(_document_words(spark, sf_dir).select(encoded(g.symbols, F.col("word")).alias("word")), "words")
+    _, ends = automata.product(automata.trie(own), automata.Automaton.of(g.patterns.parse(SYLLABLES)).tables(spark), minus=True)
+    return ends.select(decoded(g.symbols, F.col("l")).alias("word"))
+
+
+def pattern_beam(spark, sf_dir):
+    """Words of the documents that patterns with stars accept, by beams over two automata, wide enough for all."""
+    g = demo_grammar()
+    own = stored(_document_words(spark, sf_dir).select(encoded(g.symbols, F.col("word")).alias("word")), "words")
+    sides = []
+    for q, pattern in (("doubled", "<Phone>*(<V><V>)+<Phone>*s"), ("alternating", "(<V><C>)*<V>?")):
+        sides.append(edit.final_arcs(*automata.Automaton.of(g.patterns.parse(pattern)).tables(spark), "l").withColumn("q", F.lit(q)))
+    found = edit.beam_automata(sides[0].unionByName(sides[1]), edit.final_arcs(*automata.trie(own), "r"), num_beam=None)
+    return found.select("q", decoded(g.symbols, F.col("labels")).alias("word"), "weight")
+
+
+def shortest_words(spark, sf_dir):
+    """The ten shortest words of each language's documents, as shortest strings of one trie for each."""
+    found = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    own = table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("und")).alias("a"), F.explode(found).alias("w")).distinct()
+    at = own.select("a", "w", F.explode(F.sequence(F.lit(1), F.length("w"))).alias("k"))
+    arcs = at.select("a", F.expr("substring(w, 1, k - 1)").alias("state"), F.expr("substring(w, k, 1)").alias("label"), F.expr("substring(w, 1, k)").alias("next")).distinct()
+    return automata.n_shortest(stored(arcs, "arcs"), own.select("a", F.col("w").alias("state")), 10).select(F.col("a").alias("lang"), F.col("string").alias("word"), "rank")
+
+
+def minimal_automaton(spark, sf_dir):
+    """The least automaton of all words of the documents: its states with the number of prefixes that lead there and of arcs that leave them."""
+    arcs, ends, members = automata.minimal(_document_words(spark, sf_dir))
+    states = members.groupBy("state").agg(F.count("*").alias("n_prefixes"))
+    out = arcs.groupBy("state").agg(F.count("*").alias("n_arcs"))
+    rows = states.join(out, "state", "left").join(ends.withColumn("final", F.lit(True)), "state", "left")
+    return rows.select("state", "n_prefixes", F.coalesce("n_arcs", F.lit(0)).alias("n_arcs"), F.coalesce("final", F.lit(False)).alias("final"))
+
+
 def _price(p):
     """An edit's cost in thousandths, from its probability."""
     return F.round(-1000 * F.log(p))
@@ -410,6 +457,11 @@ QUERIES = {
     "search_parse": search_parse,
     "search_words": search_words,
     "session_search": session_search,
+    "automaton_words": automaton_words,
+    "automaton_difference": automaton_difference,
+    "pattern_beam": pattern_beam,
+    "shortest_words": shortest_words,
+    "minimal_automaton": minimal_automaton,
     "grammar_stats": grammar_stats,
     "inflection_meta": inflection_meta,
     "dup_first_wins": dup_first_wins,
@@ -456,7 +508,22 @@ def _rewrite_sql(expression: str) -> str:
     return f"SELECT root, {expression} AS form FROM ({ROOTS_SQL})"
 
 
+WORDS_SQL = "SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) GROUP BY word"
+SYLLABLES_SQL = "regexp_full_match(word, '([^aeiou][aeiou]|[^aeiou][aeiou][^aeiou])+')"
+
 ORACLES = {
+    "automaton_words": f"SELECT word, n FROM ({WORDS_SQL}) WHERE {SYLLABLES_SQL}",
+    "automaton_difference": f"SELECT word FROM ({WORDS_SQL}) WHERE NOT {SYLLABLES_SQL}",
+    "pattern_beam": f"""
+        SELECT 'doubled' AS q, word, 0.0::DOUBLE AS weight FROM ({WORDS_SQL}) WHERE regexp_full_match(word, '.*[aeiou][aeiou].*s')
+        UNION ALL SELECT 'alternating', word, 0.0 FROM ({WORDS_SQL}) WHERE regexp_full_match(word, '([aeiou][^aeiou])*[aeiou]?')""",
+    "shortest_words": """
+        WITH w AS (SELECT DISTINCT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents)
+        SELECT lang, word, rank FROM (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY length(word), word)::INT AS rank FROM w) WHERE rank <= 10""",
+    "minimal_automaton": f"""
+        WITH p AS (SELECT substr(word, 1, k) AS prefix, substr(word, k + 1) AS rest FROM ({WORDS_SQL}), range(0, 60) t(k) WHERE k <= length(word)),
+        f AS (SELECT prefix, string_agg(rest, '|' ORDER BY rest) AS follow, bool_or(rest = '') AS final, count(DISTINCT substr(rest, 1, 1)) FILTER (WHERE rest <> '') AS n_arcs FROM p GROUP BY prefix)
+        SELECT min(prefix) AS state, count(*) AS n_prefixes, any_value(n_arcs) AS n_arcs, any_value(final) AS final FROM f GROUP BY follow""",
     "lexicon_roots": f"SELECT root, count(*) AS n FROM (SELECT replace(p_name, ' ', '_') AS root FROM part UNION ALL {KEYED_SQL}) GROUP BY root",
     "gloss_roots": "SELECT replace(p_name, ' ', '_') AS root, count(*) AS n FROM part WHERE p_brand = 'Brand#7' GROUP BY 1",
     "lexical_feature_filter": "SELECT p_partkey, p_name FROM part WHERE p_type = 'PROMO' AND p_brand = 'Brand#3'",
