@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from morphlake.functions.derivatives import Automaton
 from morphlake.functions.patterns import EMPTY, Node, Patterns, alphabet, expression, literal, mirrored, singles, strings
 
 #: Placeholders of a simultaneous replacement lie here.
@@ -30,36 +31,83 @@ class Rule:
     direction: str = "ltr"
     name: str = ""
     tests: list = field(default_factory=list)
+    symbols: str = ""
+
+    @cached_property
+    def automata(self) -> tuple[list[tuple[Automaton, list[str]]], Automaton | None, Automaton | None]:
+        """(inputs with their outputs, whether a left context ends here, whether a right context, read from the end, begins here)."""
+        every = frozenset(self.symbols).union(*map(alphabet, (self.left, self.right, *(a for a, _ in self.pairs))), *(frozenset(o) for _, outs in self.pairs for o in outs))
+        anything = Node("*", (Node("set", codes=every),))
+        behind = lambda n: None if n == EMPTY else Automaton.of(Node("seq", (anything, n)))
+        return [(Automaton.of(a), outs) for a, outs in self.pairs], behind(self.left), behind(mirrored(self.right))
 
     def rewrite(self, codes: str) -> list[str]:
-        """All results for one string, in order."""
+        """All results for one string, in order.
+
+        Two passes: from the end, where right contexts begin; then from the front, where a place in the input and the state of the left context
+        over what has been written say all that matters of it, so places are gone through once however many results there are.
+        """
         if self.direction == "rtl":
-            back = Rule([(mirrored(a), [o[::-1] for o in b]) for a, b in self.pairs], mirrored(self.right), mirrored(self.left))
-            return sorted(x[::-1] for x in back.rewrite(codes[::-1]))
-        before = re.compile(f"(?:{expression(self.left)})$") if self.left != EMPTY else None
-        after = re.compile(expression(self.right)) if self.right != EMPTY else None
-        inputs = [(re.compile(expression(a)), b) for a, b in self.pairs]
+            return sorted(x[::-1] for x in self._back.rewrite(codes[::-1]))
+        if unknown := set(codes) - set(self.symbols):
+            return replace(self, symbols=self.symbols + "".join(sorted(unknown))).rewrite(codes)
+        inputs, before, after = self.automata
         n = len(codes)
-        states: list[set[str]] = [set() for _ in range(n + 1)]
-        states[0].add("")
-        done: set[str] = set()
+        follows = [True] * (n + 1)
+        if after is not None:
+            state = 0
+            for q in range(n, -1, -1):
+                follows[q] = after.ended(state)
+                state = after.step(state, codes[q - 1]) if q else state
+        read = [0] * (n + 1)
+        if before is not None and self.direction == "sim":
+            for p in range(n):
+                read[p + 1] = before.step(read[p], codes[p])
+        on = lambda s, out: s if before is None or self.direction == "sim" else before.step(s, out)
+        insert = sorted({o for a, outs in inputs if a.ends[0] for o in outs})
+        hits: dict[int, list[tuple[int, str]]] = {}
+
+        def found(p: int) -> list[tuple[int, str]]:
+            if p not in hits:
+                own = []
+                for a, outs in inputs:
+                    state, q = 0, p
+                    while q < n and (state := a.step(state, codes[q])) >= 0:
+                        q += 1
+                        if a.ends[state] and follows[q]:
+                            own += [(q, o) for o in outs]
+                hits[p] = own
+            return hits[p]
+
+        arcs: list[dict[int, set[tuple[str, int, int]]]] = [{} for _ in range(n + 2)]
+        arcs[0][0] = set()
         for p in range(n + 1):
-            for out in states[p]:
-                if before is None or before.search(codes[:p] if self.direction == "sim" else out):
-                    hits = [(q, o) for rx, outs in inputs for q in range(p + 1, n + 1) if rx.fullmatch(codes, p, q) and (after is None or after.match(codes, q)) for o in outs]
-                    more = [o for rx, outs in inputs if rx.fullmatch("") and (after is None or after.match(codes, p)) for o in outs]
-                else:
-                    hits, more = [], []
-                for q, o in hits:
-                    states[q].add(out + o)
-                if not hits:  # copied, with what is inserted in front
-                    for start in [out + o for o in more] or [out]:
-                        if p < n:
-                            states[p + 1].add(start + codes[p])
-                        else:
-                            done.add(start)
+            for s, own in arcs[p].items():
+                fits = before is None or before.ended(read[p] if self.direction == "sim" else s)
+                rewrites = found(p) if fits else []
+                for q, o in rewrites:
+                    own.add((o, q, on(s, o)))
+                if not rewrites:  # copied, with what is inserted in front
+                    for o in (insert if fits and follows[p] else ()) or ("",):
+                        whole = o + codes[p : p + 1]
+                        own.add((whole, p + 1, on(s, whole)))
+                for _, q, t in own:
+                    arcs[q].setdefault(t, set())
+        done, todo = set(), [([], 0, 0)]
+        while todo:
+            out, p, s = todo.pop()
+            while p <= n:
+                first, *others = arcs[p][s]
+                todo += [([*out, o], q, t) for o, q, t in others]
+                out.append(first[0])
+                p, s = first[1:]
+            done.add("".join(out))
         return sorted(done)
 
+    @cached_property
+    def _back(self) -> Rule:
+        return Rule([(mirrored(a), [o[::-1] for o in b]) for a, b in self.pairs], mirrored(self.right), mirrored(self.left), symbols=self.symbols)
+
     def native(self, codes: Column) -> Column | None:
         """The rewrite as built-in functions, or None where those could give other results.
 
@@ -92,7 +140,7 @@ class Rule:
 def make_rule(patterns: Patterns, pairs: list[tuple[str | None, str | None]], left: str | None = None, right: str | None = None, direction: str = "ltr", name: str = "", tests: list | None = None) -> Rule:
     """A rule from pattern strings; a right context that is # alone is the end of the word."""
     after = literal(patterns.symbols.eow) if (right or "").strip() == "#" else patterns.parse(right)
-    return Rule([(patterns.parse(a), strings(patterns.parse(b))) for a, b in pairs], patterns.parse(left), after, direction or "ltr", name, tests or [])
+    return Rule([(patterns.parse(a), strings(patterns.parse(b))) for a, b in pairs], patterns.parse(left), after, direction or "ltr", name, tests or [], "".join(sorted(patterns.symbols.symbol)))
 
 
 def rewritten(rules: list[Rule], codes: Column) -> Column:
