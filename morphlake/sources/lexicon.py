@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from morphlake.sources.files import located, spreadsheet
 from morphlake.sources.grammar import Grammar
+from morphlake.sources.tables import exists
 
 
 def columns_of(grammar: Grammar, part_of_speech: str) -> list[str]:
@@ -19,23 +21,20 @@ def columns_of(grammar: Grammar, part_of_speech: str) -> list[str]:
 
 def lexicon_path(grammar: Grammar, part_of_speech: str) -> str:
     name = part_of_speech.removeprefix("$").removesuffix(".csv").removesuffix(".xlsx")
-    return str(Path(grammar.path, "Lexicon", "Wordlists", f"{name}.csv"))
+    return f"{grammar.path.rstrip('/')}/Lexicon/Wordlists/{name}.csv"
 
 
 def load_lexicon(spark: SparkSession, grammar: Grammar, part_of_speech: str) -> DataFrame:
-    """The words of a part of speech; no rows if it has no file. A spreadsheet is preferred where pandas can read one."""
+    """The words of a part of speech; no rows if it has no file. A spreadsheet is preferred. Files may be on any file system that Spark reads."""
     names = columns_of(grammar, part_of_speech)
-    empty = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    path = Path(lexicon_path(grammar, part_of_speech))
-    if path.with_suffix(".xlsx").exists():
-        import pandas as pd
-
-        found = spark.createDataFrame(pd.read_excel(path.with_suffix(".xlsx"), dtype=str, keep_default_na=False))
-    elif path.exists():
-        found = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path.as_uri())
-    else:
-        return spark.createDataFrame([], empty)
-    return found.select(*(F.col(n) if n in found.columns else F.lit(None).cast("string").alias(n) for n in names))
+    path = located(lexicon_path(grammar, part_of_speech))
+    sheet = path.removesuffix(".csv") + ".xlsx"
+    if exists(spark, sheet):
+        return spreadsheet(spark, sheet).select(*(F.col("cells")[n].alias(n) for n in names))
+    if not exists(spark, path):
+        return spark.createDataFrame([], T.StructType([T.StructField(n, T.StringType()) for n in names]))
+    found = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+    return found.select(*(F.col(f"`{n}`") if n in found.columns else F.lit(None).cast("string").alias(n) for n in names))
 
 
 def init_lexicon(spark: SparkSession, grammar: Grammar, part_of_speech: str) -> str:
