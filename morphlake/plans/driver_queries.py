@@ -199,6 +199,29 @@ def inflect_verbs(spark, sf_dir):
     return paradigm.inflected(spark, verb_grammar(), "verb", keyed_words(spark, sf_dir).withColumn("weak", weak)).select("root", "feature_key", "form", "form_tagged")
 
 
+def mixed_grammar() -> Grammar:
+    """Contingent markers, a principal part, markers that inherit, and stages of files and paradigms, in one paradigm."""
+    suffix = lambda v, **more: {"kind": "suffix", "value": v, **more}
+    files = {
+        "Inventory": {"letters": {"kind": "Inventory", "data": [{"ref": "<L>", "phones": list(LETTERS)}]}},
+        "PartOfSpeech": {"noun": {"kind": "PartOfSpeech", "name": "noun", "features": ["number", "case"], "lexical_features": [], "principal_parts": ["weak"]}},
+        "FeatureDefinitions": {"noun": {"kind": "FeatureDefinitions", "features": {"number": ["sg", "pl"], "case": ["nom", "gen", "dat"]}}},
+        "FeatureMarkers": {
+            "number": {"kind": "FeatureMarkers", "feature": "number", "markers": {"sg": None, "pl": [suffix("-s"), {"kind": "principal_part", "value": "weak"}]}},
+            "plain": {"kind": "FeatureMarkers", "feature": "case", "markers": {"nom": None, "gen": [suffix("-n")], "dat": [suffix("-m")]}},
+            "case": {"kind": "FeatureMarkers", "feature": "case", "inherits": "$plain", "global_stage": "last", "markers": {"gen": [{"kind": "prefix", "value": "ge_"}]}},
+        },
+        "ContingentFeatureMarkers": {"gen_pl": {"kind": "ContingentFeatureMarkers", "features": ["number", "case"], "markers": [{"features": {"number": "pl", "case": "gen"}, "realization": [suffix("-x"), {"kind": "replace", "value": ["_", "a"], "stage": "inner"}]}]}},
+        "Paradigm": {"noun": {"kind": "Paradigm", "part_of_speech": "$noun", "feature_markers": {"number": "$number", "case": "$case"}, "stage_order": ["inner", "outer", "last"], "global_stage": "outer", "global_markers": [suffix("q", stage="last")], "contingent_markers": ["$gen_pl"]}},
+    }
+    return Grammar("", files)
+
+
+def inflect_mixed(spark, sf_dir):
+    weak = F.when(F.col("p_partkey") % 3 != 0, F.concat("root", F.lit("e"))).otherwise("")
+    return paradigm.inflected(spark, mixed_grammar(), "noun", keyed_words(spark, sf_dir).withColumn("weak", weak)).select("root", "feature_key", "form")
+
+
 def inflect_lookup(spark, sf_dir):
     ask = keyed_words(spark, sf_dir).select("p_partkey", "root", F.create_map(F.lit("number"), F.when(F.col("p_partkey") % 4 == 0, "pl").otherwise("sg"), F.lit("case"), F.lit("gen")).alias("features"))
     return paradigm.inflect(keyed_relation(spark, sf_dir), paradigm.checked(demo_grammar(), "noun", ask)).select("p_partkey", "root", "feature_key", "form")
@@ -238,12 +261,30 @@ def search_parse(spark, sf_dir):
     return paradigm.search_parse(stored(relation(spark, sf_dir), "relation"), _misspelled(spark, sf_dir), first, 5).select("query", "form", "distance", "rank", "root", "feature_key", "gloss")
 
 
+def data_grammar(spark, sf_dir) -> Grammar:
+    """A grammar whose records come from the tables: a part of speech and a paradigm for each type of part, features and markers from what orders are, and classes of letters from names."""
+    orders = table(spark, sf_dir, "orders")
+    values = {f: sorted(r[0] for r in orders.select(c).distinct().collect()) for f, c in (("priority", "o_orderpriority"), ("status", "o_orderstatus"))}  # a handful of kinds
+    part = table(spark, sf_dir, "part")
+    types = sorted(r[0] for r in part.select("p_type").distinct().collect())
+    signs = part.select(F.explode(F.split("p_name", " ")).alias("w")).distinct().select(F.substring("w", 1, 1).alias("ref"), F.explode(F.split("w", "")).alias("c"))
+    letters = sorted((r["ref"], sorted(r["c"])) for r in signs.groupBy("ref").agg(F.collect_set("c").alias("c")).collect())
+    files = {
+        "Inventory": {"letters": {"kind": "Inventory", "data": [{"ref": f"<{r}>", "phones": c} for r, c in letters]}},
+        "PartOfSpeech": {t: {"kind": "PartOfSpeech", "name": t, "features": list(values), "lexical_features": ["p_brand"], "principal_parts": []} for t in types},
+        "FeatureDefinitions": {"orders": {"kind": "FeatureDefinitions", "features": values}},
+        "FeatureMarkers": {f: {"kind": "FeatureMarkers", "feature": f, "markers": {v: [] for v in own}} for f, own in values.items()},
+        "Paradigm": {t: {"kind": "Paradigm", "part_of_speech": f"${t}", "feature_markers": {f: f"${f}" for f in values}} for t in types},
+    }
+    return Grammar("", files)
+
+
 def grammar_stats(spark, sf_dir):
-    return reports.grammar_stats(spark, demo_grammar())
+    return reports.grammar_stats(spark, data_grammar(spark, sf_dir))
 
 
 def inflection_meta(spark, sf_dir):
-    g = demo_grammar()
+    g = data_grammar(spark, sf_dir)
     values = g.features_table(spark)
     meta = reports.inflection_meta(spark, g).select("name", F.explode("free_features").alias("feature"))
     return meta.join(values, "feature").select("name", "feature", "value", "ord")
@@ -449,6 +490,7 @@ QUERIES = {
     "stage_order": stage_order,
     "inflect_table": inflect_table,
     "inflect_verbs": inflect_verbs,
+    "inflect_mixed": inflect_mixed,
     "inflect_lookup": inflect_lookup,
     "inflect_stages": inflect_stages,
     "parse_exact": parse_exact,
@@ -569,6 +611,11 @@ ORACLES = {
         y AS (SELECT root, '[person=' || person || '][tense=' || tense || '][voice=active]' AS feature_key,
           CASE tense WHEN 'past' THEN 'ge_' || s WHEN 'perf' THEN replace(s, '_', '') ELSE s END || CASE person WHEN 'one' THEN '-m' WHEN 'two' THEN '-t' ELSE '' END || 'q' AS form_tagged FROM x)
         SELECT root, feature_key, replace(form_tagged, '[hard]', '') AS form, form_tagged FROM y""",
+    "inflect_mixed": f"""
+        WITH p AS (SELECT {KEYED} AS root, {KEYED} || CASE WHEN p_partkey % 3 <> 0 THEN 'e' ELSE '' END AS stem FROM part)
+        SELECT root, '[case=' || c || '][number=' || n || ']' AS feature_key, CASE n || c WHEN 'sgnom' THEN root WHEN 'sggen' THEN 'ge_' || root WHEN 'sgdat' THEN root || '-m'
+          WHEN 'plnom' THEN stem || '-s' WHEN 'plgen' THEN replace(root, '_', 'a') || '-x' ELSE stem || '-s-m' END || 'q' AS form
+        FROM p, (VALUES ('sg'), ('pl')) a(n), (VALUES ('nom'), ('gen'), ('dat')) b(c)""",
     "inflect_lookup": f"""
         WITH f AS ({KEYED_FORMS_SQL}), a AS (SELECT p_partkey, {KEYED} AS root, '[case=gen][number=' || CASE WHEN p_partkey % 4 = 0 THEN 'pl' ELSE 'sg' END || ']' AS feature_key FROM part)
         SELECT p_partkey, root, feature_key, form FROM a JOIN f USING (root, feature_key)""",
@@ -605,8 +652,17 @@ ORACLES = {
               lambda acc, j: list_append(acc, least(row[j[1]::INT] + CASE WHEN chr(e[1]::INT) = b.l[j[1]::INT] THEN 0 ELSE coalesce(c[chr(e[1]::INT) || b.l[j[1]::INT]], 1000) END, row[j[1]::INT + 1] + 1000, acc[-1] + coalesce(c['>' || b.l[j[1]::INT]], 1000)))),
             list_reduce(list_prepend([0.0::DOUBLE], list_transform(b.l, lambda y: [coalesce(c['>' || y], 1000)])), lambda acc, y: list_append(acc, acc[-1] + y[1]))) AS r FROM x a, x b, c)
         SELECT query, form, cost, rank FROM (SELECT query, form, r[-1]::BIGINT AS cost, row_number() OVER (PARTITION BY query ORDER BY r[-1], form)::INT AS rank FROM d WHERE r[-1] <= 3000) WHERE rank <= 5""",
-    "grammar_stats": "SELECT kind, files::BIGINT AS files, 0::BIGINT AS invalid_files, total::BIGINT AS total FROM (VALUES ('Inventory', 1, 2), ('Patterns', 1, 2), ('Rules', 1, 5), ('PartOfSpeech', 1, 2), ('FeatureDefinitions', 1, 2), ('FeatureMarkers', 2, 4), ('ContingentFeatureMarkers', 1, 2), ('Paradigm', 1, 2)) v(kind, files, total)",
-    "inflection_meta": "SELECT 'noun' AS name, feature, value, ord FROM (VALUES ('number', 'sg', 0), ('number', 'pl', 1), ('number', 'unmarked', 2), ('case', 'nom', 0), ('case', 'gen', 1), ('case', 'unmarked', 2)) v(feature, value, ord)",
+    "grammar_stats": """
+        WITH v AS (SELECT count(DISTINCT o_orderpriority) + count(DISTINCT o_orderstatus) AS n FROM orders), t AS (SELECT count(DISTINCT p_type) AS n FROM part),
+        c AS (SELECT count(DISTINCT substr(w, 1, 1)) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part))
+        SELECT kind, files::BIGINT AS files, 0::BIGINT AS invalid_files, total::BIGINT AS total FROM (
+          SELECT 'Inventory' AS kind, 1 AS files, n AS total FROM c UNION ALL SELECT 'PartOfSpeech', n, 2 * n FROM t UNION ALL SELECT 'FeatureDefinitions', 1, 2
+          UNION ALL SELECT 'FeatureMarkers', 2, n FROM v UNION ALL SELECT 'Paradigm', n, 2 * n FROM t)""",
+    "inflection_meta": """
+        WITH v AS (SELECT 'priority' AS feature, o_orderpriority AS value, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS ord FROM (SELECT DISTINCT o_orderpriority FROM orders)
+          UNION ALL SELECT 'status', o_orderstatus, dense_rank() OVER (ORDER BY o_orderstatus) - 1 FROM (SELECT DISTINCT o_orderstatus FROM orders)),
+        u AS (SELECT * FROM v UNION ALL SELECT feature, 'unmarked', count(*) FROM v GROUP BY feature)
+        SELECT name, feature, value, ord::INT AS ord FROM (SELECT DISTINCT p_type AS name FROM part), u""",
     "dup_first_wins": _rewrite_sql(WIDENED),
     "edit_cost_matrix": f"""
         WITH {TRANSITIONS_SQL}
