@@ -56,7 +56,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from morphlake.llm.language_id import fit, identify
 
     docs = table(spark, sf_dir, "documents")
-    held = lambda c: F.crc32(c.cast("string").cast("binary")) % 4 == 2
+    held = lambda c: F.coalesce(F.crc32(c.cast("string").cast("binary")) % 4 == 2, F.lit(False))
     model = fit(docs, most=400, train=lambda c: ~held(c))
     return identify(docs, model).select("doc_id", held(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
