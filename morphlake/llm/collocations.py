@@ -111,15 +111,15 @@ def pair_counts(docs: DataFrame, ranks: Ranks, least: int) -> np.ndarray:
     return table
 
 
-def fragments(docs: DataFrame, ranks: Ranks, pairs: np.ndarray, least: int, longest: int, hot: int) -> DataFrame:
-    """lang, pivot, side, part, salts, salt, at, fragment, n: what is left of texts around each pivot, whose place in it is `at`.
+def fragments(docs: DataFrame, ranks: Ranks, pairs: np.ndarray, least: int, longest: int, hot: int, slots: int) -> DataFrame:
+    """lang, slot, whole, side, at, fragment, n: what is left of texts around each pivot, whose place in it is `at`.
 
-    A row holds all different fragments of a pivot in a stretch of text, with how often each is there.
+    Pivots are dealt to slots by a hash. A row holds all different fragments that a stretch of text has for a slot, with how often each is there.
 
     Words in front of the pivot are more frequent than it is, those behind it at least as frequent: of a run with its rarest word twice,
     the first one is the pivot. A pivot with more than `hot` occurrences is dealt to parts by the pair that it forms with the word
     behind it (side 1, for runs that go on there) or, for runs that end with it, in front of it (side 2), so that each run is still counted
-    in one place. salts: how many partitions the fragments of one pair need, more than 1 for one of over 8 * hot occurrences; salt is theirs, by checksum.
+    in one place. Only the fragments of a pair of over 8 * hot occurrences are dealt out by their own checksum; they aren't whole in a slot.
     """
     spread = docs.sparkSession.sparkContext.broadcast(pairs)
     reach = longest - 1
@@ -160,18 +160,19 @@ def fragments(docs: DataFrame, ranks: Ranks, pairs: np.ndarray, least: int, long
                     many = np.flatnonzero(salts > 1)
                     salt[many] = [zlib.crc32(f.encode()) for f in found.take(pa.array(many)).to_pylist()]
                     salt %= salts
-                order = np.lexsort((salt, salts, part, rank[at], where))
-                keys = [k[order] for k in (where, rank[at].view(np.int64), part, salts, salt)]
+                slot = (mixed(rank[at] + mixed((part << 20 | salt).astype(np.uint64))) % np.uint64(slots)).astype(np.int64)
+                order = np.lexsort((salts > 1, slot, where))
+                keys = [k[order] for k in (where, slot, salts == 1)]
                 fresh = np.ones(len(order), bool)
                 fresh[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
                 first = np.flatnonzero(fresh)
                 cuts = pa.array(np.append(first, len(order)), pa.int32())
-                held = [k[first] for k in keys]
                 lists = [pa.ListArray.from_arrays(cuts, v) for v in (pa.array(left[at][order], pa.int8()), found.take(pa.array(order)).cast(pa.string()), pa.array(count[order], pa.int64()))]
-                columns = [pa.array(names, pa.string()).take(pa.array(held[0])), pa.array(held[1]), pa.array(np.full(len(first), side), pa.int32()), *(pa.array(k, pa.int32()) for k in held[2:]), *lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "pivot", "side", "part", "salts", "salt", "at", "fragment", "n"])
+                language_of, slot_of, whole = (k[first] for k in keys)
+                columns = [pa.array(names, pa.string()).take(pa.array(language_of)), pa.array(slot_of, pa.int32()), pa.array(whole), pa.array(np.full(len(first), side), pa.int32()), *lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "slot", "whole", "side", "at", "fragment", "n"])
 
-    return docs.mapInArrow(emit, "lang string, pivot long, side int, part int, salts int, salt int, at array<tinyint>, fragment array<string>, n array<long>")
+    return docs.mapInArrow(emit, "lang string, slot int, whole boolean, side int, at array<tinyint>, fragment array<string>, n array<long>")
 
 
 
@@ -190,24 +191,25 @@ def _slices(words: pa.LargeStringArray, low: np.ndarray, high: np.ndarray) -> pa
 def mine(pieces: DataFrame, longest: int, least: int) -> DataFrame:
     """lang, phrase, n: the runs of 2 to `longest` words that come to `least` or more, each counted where its pivot's fragments are.
 
-    Partitions drop what is too rare themselves. Only where the fragments of one pair are dealt to several of them, by their own checksum,
-    are all counts kept, to be added up afterwards.
+    Slots drop what is too rare themselves. Only where the fragments of one pair are dealt to several of them are all counts kept, to be added
+    up afterwards. A run has its pivot in one place, so each distance to its ends is counted on its own.
     """
     schema = "lang string, phrase string, n long, whole boolean"
 
     def count(key, table):
-        whole, side = key[4].as_py() == 1, key[2].as_py()
+        whole = key[2].as_py()
         flat = {c: pa.concat_arrays([chunk.flatten() for chunk in table.column(c).chunks]) for c in ("at", "fragment", "n")}
         words, _, text = words_of(flat["fragment"], BLANKS)
         size = np.bincount(text, minlength=len(flat["fragment"]))
         place = flat["at"].to_numpy().astype(np.int64)
         pivot = np.cumsum(size) - size + place
         weight = flat["n"].to_numpy()
+        side = np.repeat(table.column("side").to_numpy(), pc.list_value_length(table.column("at")).to_numpy())
         found, total = [], []
         for back in range(longest):
             for ahead in range(longest - back):
-                asked = back + ahead > 0 if side == 0 else ahead > 0 if side == 1 else ahead == 0 and back > 0
-                held = np.flatnonzero((place >= back) & (size - 1 - place >= ahead)) if asked else []
+                sides = [k for k, asked in enumerate((back + ahead > 0, ahead > 0, ahead == 0 and back > 0)) if asked]
+                held = np.flatnonzero((place >= back) & (size - 1 - place >= ahead) & np.isin(side, sides))
                 if len(held):
                     coded = pc.dictionary_encode(_slices(words, pivot[held] - back, pivot[held] + ahead + 1))
                     n = np.zeros(len(coded.dictionary), np.int64)
@@ -219,7 +221,7 @@ def mine(pieces: DataFrame, longest: int, least: int) -> DataFrame:
         n = np.concatenate(total) if total else np.zeros(0, np.int64)
         return pa.table({"lang": pa.repeat(key[0], len(n)).cast(pa.string()), "phrase": phrases, "n": pa.array(n, pa.int64()), "whole": pa.repeat(whole, len(n))})
 
-    raw = written(pieces.groupBy("lang", "pivot", "side", "part", "salts", "salt").applyInArrow(count, schema), "phrases")
+    raw = written(pieces.groupBy("lang", "slot", "whole").applyInArrow(count, schema), "phrases")
     merged = raw.where("NOT whole").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     found = written(raw.where("whole").select("lang", "phrase", "n").unionByName(merged), "phrases")
     discard(raw)
@@ -249,18 +251,19 @@ def unsubsumed(phrases: DataFrame) -> DataFrame:
     return phrases.join(held, ["lang", "phrase"], "left").where("most IS NULL OR most < n").drop("most")
 
 
-def collocations(docs: DataFrame, longest: int = 5, least: int = 100, top: int = 2000, bits: int = 22, hot: int = 1 << 18, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+def collocations(docs: DataFrame, longest: int = 5, least: int = 100, top: int = 2000, bits: int = 22, hot: int = 1 << 18, share: int = 1 << 19, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: for each language the `top` phrases of 2 to `longest` words with at least `least` occurrences, by score, count and phrase.
 
     A null language counts as und, a null text as empty; repeated rows count each time; an empty table, or a language without frequent phrases, has no
     rows. Long texts are worked on in overlapping stretches. bits: size of the tables of word and pair counts, the only ones that tasks
-    hold: 4 bytes for each of 2**bits buckets, whatever the size of the corpus.
+    hold: 4 bytes for each of 2**bits buckets, whatever the size of the corpus. share: words of the corpus for each slot that pivots are dealt to.
     """
     own = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     words = written(word_counts(own), "words")
     frequent = words.where(F.col("n") >= least)
     ranks = Ranks(frequent, bits)
-    phrases = mine(fragments(own, ranks, pair_counts(own, ranks, least), least, longest, hot), longest, least)
+    slots = 1 + (words.agg(F.sum("n")).first()[0] or 0) // share
+    phrases = mine(fragments(own, ranks, pair_counts(own, ranks, least), least, longest, hot, slots), longest, least)
     found = scored(phrases, words).join(unsubsumed(phrases).select("lang", "phrase"), ["lang", "phrase"])
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     share = F.pmod(F.crc32(F.col("phrase").cast("binary")), F.lit(64))
