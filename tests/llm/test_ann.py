@@ -40,3 +40,19 @@ def test_odd_vectors(spark):
     got = nearest(spark.createDataFrame([(i, v, None, None) for i, v in rows], SCHEMA)).collect()
     assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == {(0, 1, 20, 5.0), (0, 2, 1, 4.0), (20, 1, 0, 5.0), (20, 2, 1, 4.0)}
     assert nearest(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_recall_over_uneven_lengths(spark):
+    """A few long vectors, whose codes leave the most, are near everything; no query may miss many."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 64)) * rng.lognormal(0, 2, (4000, 1))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {}
+    for r in nearest(spark.createDataFrame([(i, v, 0, 0) for i, v in rows], SCHEMA)).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    y, shares = x.astype(np.float32).astype(float), []
+    for q, own in got.items():
+        s = y @ y[q]
+        s[q] = -np.inf
+        shares.append(len(own & set(np.argsort(-s)[:20].tolist())) / 20)
+    assert len(shares) == 200 and min(shares) >= 0.9 and sum(shares) / 200 >= 0.99
