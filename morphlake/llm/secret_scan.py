@@ -1,17 +1,20 @@
-"""Secrets by a battery of randomness tests, in DataFrame operations only.
+"""Secrets by a battery of randomness tests.
 
-Base spans come from patterns with checks. Runs of key characters are further candidates: for each one an encoding is inferred, and
+Base spans come from patterns with checks, in DataFrame operations. Runs of key characters are further candidates: for each one an encoding is inferred, and
 three tests over its symbols, for even use of the alphabet, for runs of its halves and for correlation of neighbours, say how far it is from
-random. What ordinary text looks like under the same tests is learnt from words of all documents run together; candidates
-that hardly any of those would match, at a false-discovery rate kept for each length and encoding, are added.
+random. What ordinary text looks like under the same tests is learnt from all words of all documents run together; candidates
+that hardly any of those would match, at a false-discovery rate kept for each length and encoding, are added. The tests run in numpy, over all strings of a batch at once.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
-from morphlake.llm.common import written
+from morphlake.llm.common import batch_bytes, written
 from morphlake.llm.pii import free, let, matches
 
 #: The patterns of the base kinds; matches that are too short are dropped.
@@ -28,115 +31,193 @@ ENCODINGS = ["hex", "base32", "letters", "alnum", "base64"]
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Departures are counted in quarters up to this many.
 BINS = 400
-#: Ordinary strings of each class that a document gives, from a stretch of so many characters.
-REPEATS, STRETCH = 2, 1024
 #: What a string with no spread at all departs by.
 FAR = 1e9
 
-Judged = "struct<start:int,end:int,cls:int,enc:string,t:double>"
+#: Characters tested at once.
+BLOCK = 1 << 20
+
+Judged = StructType().add("cls", IntegerType()).add("enc", StringType()).add("t", DoubleType())
+
+#: What an alphabet consists of, in order: for each encoding, where letters of one case are told by their lower case and where not.
+ALPHABETS = [DIGITS + "abcdef", UPPER + "234567", LOWER, UPPER + LOWER, LOWER + DIGITS, UPPER + LOWER + DIGITS, UPPER + LOWER + DIGITS + "+/"]
+#: Kinds of characters, as bits: digits of base 32, other digits, letters of hex and others by case, signs.
+KINDS = ["234567", "0189", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ"]
 
 
 def _like(s: Column, pattern: str) -> Column:
     return F.regexp_like(s, F.lit(pattern))
 
 
-def encoding(s: Column) -> Column:
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """(bit of each byte's kind, place of each byte in each alphabet)."""
+    kind, place = np.full(256, 1 << len(KINDS), np.uint8), np.full((len(ALPHABETS), 256), -1, np.int8)
+    for k, own in enumerate(KINDS):
+        kind[list(own.encode())] = 1 << k
+    for row, own in zip(place, ALPHABETS, strict=True):
+        row[list(own.encode())] = np.arange(len(own))
+        if "A" not in own:  # the other case counts as this one
+            row[list(own.upper().encode())] = np.arange(len(own))
+        if "/" in own:
+            row[list(b"-_")] = own.index("+"), own.index("/")
+    return kind, place
+
+
+KIND, PLACE = _tables()
+
+
+def _kinds(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in ENCODINGS, place in ALPHABETS) of each string, none empty."""
+    seen = np.bitwise_or.reduceat(KIND[data], begin)
+    low, high, letters, digits = seen & 12 > 0, seen & 48 > 0, seen & 3 == 0, seen & 3 > 0
+    plain = seen & 64 == 0
+    hexes = plain & (seen & 8 == 0) & (seen & 32 == 0) & ~(low & high)
+    enc = np.select([hexes, plain & ~low & (seen & 2 == 0) & digits, plain & letters, plain], range(4), 4)
+    both = low & high
+    return enc, np.choose(enc, [0, 1, np.where(both, 3, 2), np.where(both, 5, 4), 6])
+
+
+def _departures(data: np.ndarray, begin: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
+    """How far each string is from random symbols of its alphabet: see departure."""
+    n = np.diff(np.append(begin, len(data)))
+    code = PLACE[np.repeat(alphabet, n), data].astype(np.float64)
+    a = np.array([len(x) for x in ALPHABETS])[alphabet]
+    own = np.repeat(np.arange(len(n)), n)
+    times = np.bincount(own * 64 + code.astype(np.int64), minlength=64 * len(n)).reshape(-1, 64)
+    upper = 2 * code >= np.repeat(a, n)
+    changed, after = np.zeros(len(data)), np.zeros(len(data))
+    changed[1:] = upper[1:] != upper[:-1]
+    after[1:] = code[1:] * code[:-1]
+    changed[begin] = after[begin] = 0
+    high, changes, s, ss, sp = (np.add.reduceat(x, begin) for x in (upper.astype(np.float64), changed, code, code * code, after))
+    n = n.astype(np.float64)
+    with np.errstate(all="ignore"):
+        uneven = (times.astype(np.float64) ** 2).sum(1) * a / n - n
+        chi = np.maximum((uneven - (a - 1)) / np.sqrt(2 * (a - 1) * (n - 1) / n), 0)
+        mean = 2 * high * (n - high) / n + 1
+        runs = (changes + 1 - mean) / np.sqrt((mean - 1) * (mean - 2) / (n - 1))
+        around = sp + code[begin + n.astype(np.int64) - 1] * code[begin]
+        serial = ((n * around - s * s) / (n * ss - s * s) + 1 / (n - 1)) * np.sqrt(n - 1)
+        out = chi * chi + runs * runs + serial * serial
+    return np.where((mean <= 2) | (n * ss <= s * s), FAR, out)
+
+
+def _tested(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of characters, place in ENCODINGS, departure) of each string of key characters, about BLOCK characters at a time."""
+    size = np.diff(offsets)
+    enc, t = np.zeros(len(size), np.int64), np.full(len(size), FAR)
+    full = np.flatnonzero(size)
+    cuts = np.unique(np.searchsorted(offsets[full], np.arange(0, len(data) + 1, BLOCK))).tolist()
+    for at, end in zip(cuts, [*cuts[1:], len(full)], strict=True):
+        some = full[at:end]
+        if len(some):
+            low = offsets[some[0]]
+            own = data[low : offsets[some[-1] + 1]]
+            enc[some], alphabet = _kinds(own, offsets[some] - low)
+            t[some] = _departures(own, offsets[some] - low, alphabet)
+    return size, enc, t
+
+
+def _words(data: np.ndarray, offsets: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, offsets, text of each string): what ordinary says, short strings and those without letters too."""
+    row = np.repeat(np.arange(len(pick)), np.diff(offsets))
+    first = np.concatenate([[True], row[1:] != row[:-1]])[: len(row)]
+    key = KIND[data] < 64
+    key |= np.isin(data, np.frombuffer(b"+/_-", np.uint8))
+    begins = np.flatnonzero(first | (np.diff(key, prepend=False)))
+    length = np.diff(np.append(begins, len(data)))
+    word = (KIND[data] < 64) & ~np.repeat(key[begins] & (length >= CLASSES[0]), length)
+    edge = first.copy()
+    edge[1:] |= word[1:] != word[:-1]  # where words and what is between them begin
+    style = pick & 3
+    own = style[row]
+    low = np.where((data >= 65) & (data <= 90), data | 32, data)
+    high = np.where((low >= 97) & (low <= 122), low & 223, low)
+    out = np.where(word, np.where(own == 0, low, np.where(own == 1, np.where(edge, high, low), data)), np.where(own == 2, 95, 45)).astype(np.uint8)
+    kept = word | (edge & (own >= 2))
+    m = np.bincount(row[kept], minlength=len(pick))
+    sizes = np.stack([low + (pick >> 8 * (k + 1) & 255) % (high - low) for k, (low, high) in enumerate(zip(CLASSES, CLASSES[1:], strict=False))], 1)
+    ends = np.concatenate([np.zeros((len(pick), 1), np.int64), np.cumsum(sizes, axis=1)], axis=1)
+    turns, rest = np.divmod(m, ends[:, -1])
+    pieces = turns * sizes.shape[1] + (ends[:, :-1] < rest[:, None]).sum(1)
+    text = np.repeat(np.arange(len(pick)), pieces)
+    turn, k = np.divmod(np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces), sizes.shape[1])
+    start = (np.cumsum(m) - m)[text] + turn * ends[text, -1] + ends[text, k]
+    return out[kept], np.append(start, m.sum()), text
+
+
+def _texts(texts: pa.Array, pick: pa.Array):
+    """Yields _words for a row or about BLOCK bytes of texts at a time, with which strings count."""
+    data, offsets = batch_bytes(texts)
+    picks = pick.to_numpy()
+    cuts = np.unique(np.searchsorted(offsets[:-1], np.arange(0, len(data) + 1, BLOCK))).tolist()
+    for at, end in zip(cuts, [*cuts[1:], len(picks)], strict=True):
+        if at < end:
+            own, begin, text = _words(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at], picks[at:end])
+            letters = np.concatenate([[0], np.cumsum(KIND[own] & 60 > 0)])
+            yield own, begin, text, (np.diff(begin) >= CLASSES[0]) & (np.diff(letters[begin]) > 0), end - at
+
+
+@F.arrow_udf(StringType())
+def encoding(s: pa.Array) -> pa.Array:
     """The narrowest of ENCODINGS that a run of key characters fits."""
-    return (
-        F.when(_like(s, "^(?:[0-9a-f]+|[0-9A-F]+)$"), "hex")
-        .when(_like(s, "^[A-Z2-7]*[2-7][A-Z2-7]*$"), "base32")
-        .when(_like(s, "^[A-Za-z]+$"), "letters")
-        .when(_like(s, "^[A-Za-z0-9]+$"), "alnum")
-        .otherwise("base64")
-    )
+    return pa.array(ENCODINGS).take(pa.array(_tested(*batch_bytes(s))[1]))
 
 
-def _alphabet(s: Column, enc: Column) -> Column:
-    """Symbols of the encoding in order; letters of one case are told by their lower case."""
-    one = _like(s, "^(?:[^a-z]+|[^A-Z]+)$")
-    return (
-        F.when(enc == "hex", DIGITS + "abcdef")
-        .when(enc == "base32", UPPER + "234567")
-        .when(enc == "letters", F.when(one, LOWER).otherwise(UPPER + LOWER))
-        .when(enc == "alnum", F.when(one, LOWER + DIGITS).otherwise(UPPER + LOWER + DIGITS))
-        .otherwise(UPPER + LOWER + DIGITS + "+/")
-    )
-
-
-def departure(s: Column, enc: Column) -> Column:
+@F.arrow_udf(DoubleType())
+def departure(s: pa.Array, enc: pa.Array) -> pa.Array:
     """How far a string is from random symbols of its encoding: the squares of three test statistics added up.
 
     Chi-squared against even use of the alphabet (only excess counts), runs of symbols of the lower and upper half, circular serial
-    correlation; each less its mean and over its deviation under randomness for the length.
+    correlation; each less its mean and over its deviation under randomness for the length. Letters of one case are told by their lower case.
     """
+    return pa.array(_tested(*batch_bytes(s))[2])
 
-    def tests(x: Column, alphabet: Column) -> Column:
-        signs = F.regexp_extract_all(x, F.lit("."), F.lit(0))
-        n, a = F.length(x).cast("double"), F.length(alphabet).cast("double")
-        square = lambda acc, c: acc + F.pow((F.length(x) - F.length(F.replace(x, c, F.lit("")))).cast("double"), F.lit(2.0))
-        uneven = F.aggregate(F.array_distinct(signs), F.lit(0.0), square) * a / n - n
-        chi = F.greatest((uneven - (a - 1)) / F.sqrt(2 * (a - 1) * (n - 1) / n), F.lit(0.0))
-        codes = F.transform(signs, lambda c: (F.instr(alphabet, c) - 1).cast("double"))
-        zero = F.struct(*(F.lit(v).alias(k) for k, v in (("last", -1.0), ("changes", 0.0), ("high", 0.0), ("s", 0.0), ("ss", 0.0), ("sp", 0.0))))
 
-        def step(acc: Column, v: Column) -> Column:
-            upper = lambda y: F.when(2 * y >= a, 1.0).otherwise(0.0)
-            after = F.when(acc["last"] >= 0, v * acc["last"]).otherwise(0.0)
-            changed = F.when((acc["last"] >= 0) & (upper(v) != upper(acc["last"])), 1.0).otherwise(0.0)
-            return F.struct(v.alias("last"), (acc["changes"] + changed).alias("changes"), (acc["high"] + upper(v)).alias("high"), (acc["s"] + v).alias("s"), (acc["ss"] + v * v).alias("ss"), (acc["sp"] + after).alias("sp"))
+def _lists(counts: np.ndarray, size: np.ndarray, enc: np.ndarray, t: np.ndarray) -> pa.Array:
+    """Length class, encoding and departure of each string, in lists of so many."""
+    cls = np.searchsorted(CLASSES[1:-1], size, side="right").astype(np.int32)
+    fields = [pa.array(cls), pa.array(ENCODINGS).take(pa.array(enc)), pa.array(t)]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.StructArray.from_arrays(fields, ["cls", "enc", "t"]))
 
-        def combined(t: Column) -> Column:
-            low = n - t["high"]
-            mean = 2 * t["high"] * low / n + 1
-            runs = (t["changes"] + 1 - mean) / F.sqrt((mean - 1) * (mean - 2) / (n - 1))
-            around = t["sp"] + t["last"] * codes[0]
-            serial = ((n * around - t["s"] * t["s"]) / (n * t["ss"] - t["s"] * t["s"]) + 1 / (n - 1)) * F.sqrt(n - 1)
-            flat = (mean <= 2) | (n * t["ss"] <= t["s"] * t["s"])
-            return F.when(flat, FAR).otherwise(chi * chi + runs * runs + serial * serial)
 
-        return let(F.aggregate(codes, zero, step), combined)
+@F.arrow_udf(ArrayType(Judged))
+def _judged(lists: pa.Array) -> pa.Array:
+    """The tests of each string of each list."""
+    return _lists(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), *_tested(*batch_bytes(lists.flatten())))
 
-    def plain(alphabet: Column) -> Column:
-        x = F.when(alphabet.contains("A"), F.translate(s, "-_", "+/")).otherwise(F.lower(s))
-        return let(x, lambda x: tests(x, alphabet))
 
-    return let(_alphabet(s, enc), plain)
+@F.arrow_udf(ArrayType(Judged))
+def _judged_words(texts: pa.Array, pick: pa.Array) -> pa.Array:
+    """The tests of each text's ordinary strings."""
+    parts = [(np.zeros(0, np.int64), *_tested(np.zeros(0, np.uint8), np.zeros(1, np.int64)))]
+    for own, begin, text, fine, n in _texts(texts, pick):
+        parts.append((np.bincount(text[fine], minlength=n), *(x[fine] for x in _tested(own, begin))))
+    return _lists(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
-def length_class(n: Column) -> Column:
-    out = F.lit(0)
-    for k, low in enumerate(CLASSES[1:-1]):
-        out = F.when(n >= low, k + 1).otherwise(out)
-    return out
+@F.arrow_udf(ArrayType(StringType()))
+def _spelt(texts: pa.Array, pick: pa.Array) -> pa.Array:
+    out: list[list[str]] = []
+    for own, begin, text, fine, n in _texts(texts, pick):
+        rows: list[list[str]] = [[] for _ in range(n)]
+        for k in np.flatnonzero(fine).tolist():
+            rows[text[k]].append(own[begin[k] : begin[k + 1]].tobytes().decode())
+        out += rows
+    return pa.array(out, pa.list_(pa.string()))
 
 
-def _judged(x: Column) -> Column:
-    return let(encoding(x["s"]), lambda e: F.struct(x["start"].alias("start"), x["end"].alias("end"), length_class(F.length(x["s"])).alias("cls"), e.alias("enc"), departure(x["s"], e).alias("t")))
+def _pick(text: Column) -> Column:
+    return F.xxhash64(text, F.lit(14))
 
 
 def ordinary(text: Column) -> Column:
-    """Words of a text run together, REPEATS strings for each length class: joined, with a sign between them or with capitals.
+    """All words of a text run together and cut into strings, from its first character to its last: joined, with a sign between them or with capitals.
 
-    They stand in a stretch of STRETCH characters at a place that the text's hash names; runs of 16 key characters are left out first,
-    and so is a string without letters. A short text gives fewer.
+    The strings' lengths go through the length classes in turn, one in each that the text's hash names. Runs of 16 key characters are left out first,
+    and so are strings without letters; what is left at the end is a string of its own if it is long enough for any class.
     """
-    pick = F.xxhash64(text, F.lit(13))
-    place = F.pmod(pick, F.greatest(F.length(text) - STRETCH, F.lit(0)) + 1).cast("int") + 1
-    stretch = F.regexp_replace(F.substring(text, place, F.lit(STRETCH)), RUN, " ")
-    style = F.pmod(F.xxhash64(text, F.lit(14)), F.lit(4))
-    sign = F.when(style == 2, "_").otherwise("-")
-    joined = (
-        F.when(style == 0, F.regexp_replace(F.lower(stretch), "[^a-z0-9]+", ""))
-        .when(style == 1, F.regexp_replace(F.initcap(F.regexp_replace(stretch, "[^A-Za-z0-9]+", " ")), " ", ""))
-        .otherwise(F.regexp_replace(stretch, F.lit("[^A-Za-z0-9]+"), sign))
-    )
-    out, at = [], F.lit(1)
-    for k, (low, high) in enumerate([*zip(CLASSES, CLASSES[1:])] * REPEATS):
-        n = F.lit(low) + F.pmod(F.xxhash64(text, F.lit(20 + k)), F.lit(high - low)).cast("int")
-        out.append(lambda j, at=at, n=n: F.when(F.length(j) >= at + n - 1, F.substring(j, at, n)))
-        at = at + high
-    strings = let(joined, lambda j: F.array(*(f(j) for f in out)))
-    return F.filter(strings, lambda s: s.isNotNull() & _like(s, "[A-Za-z]"))
+    return _spelt(text, _pick(text))
 
 
 def propose(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,8 +231,10 @@ def propose(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     }
     base = [F.transform(F.filter(matches(text, PATTERNS[k]), fits[k]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(k) for k in BASE]
     found = F.filter(matches(text, RUN), lambda x: _like(x["s"], "[A-Za-z]"))
-    plain = F.transform(ordinary(text), lambda s: F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), s.alias("s")))
-    return rows.select("doc_id", *base, F.transform(found, _judged).cast(f"array<{Judged}>").alias("found"), F.transform(plain, _judged).cast(f"array<{Judged}>").alias("plain"))
+    runs = rows.select("doc_id", *base, found.alias("runs"), _judged_words(text, _pick(text)).alias("plain"))
+    runs = runs.select("doc_id", *BASE, "runs", _judged(F.transform("runs", lambda x: x["s"])).alias("judged"), "plain")
+    placed = lambda x, k: F.struct(x["start"].alias("start"), x["end"].alias("end"), *(F.get("judged", k)[c].alias(c) for c in ("cls", "enc", "t")))
+    return runs.select("doc_id", *BASE, F.transform("runs", placed).alias("found"), "plain")
 
 
 def _bin(t: Column) -> Column:

@@ -139,3 +139,13 @@ def test_odd_rows(spark):
         assert len(rows) == table.count()
         texts = {(r["doc_id"], r["text"]) for r in table.collect()}
         assert {(r["doc_id"], r["base_sha256"]) for r in rows} == {(i, hashlib.sha256(listed(base(t)).encode()).hexdigest()) for i, t in texts}
+
+
+def test_ordinary_strings_hold_the_whole_text(spark):
+    """Not a stretch of it: strings put together again are the words of a long text, but for an end that is too short for any class."""
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randint(1, 9))) for _ in range(n)) for n in (3, 60, 4000, 4001, 4002, 4003)]
+    bare = lambda s: re.sub("[^a-z0-9]", "", s.lower())
+    for r in spark.createDataFrame([(t,) for t in texts], "text string").select("text", ordinary(F.col("text")).alias("o")).collect():
+        own, whole = bare("".join(r["o"])), bare(r["text"])
+        assert whole.startswith(own) and len(whole) - len(own) < CLASSES[0]
