@@ -353,11 +353,14 @@ def inflect(relation: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def parse(relation: DataFrame, forms: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
-    """forms (form, ...) with root, feature_key, features and gloss of every analysis."""
-    found = forms.join(relation.select("form", "paradigm", "root", "feature_key", "features"), "form")
+    """forms (form, ...) with root, feature_key, features and gloss of every analysis.
+
+    Forms, relation and lexicon all grow with the data, and stored ones are far smaller on disk than in memory, so none is ever broadcast.
+    """
+    found = forms.join(relation.select("form", "paradigm", "root", "feature_key", "features").hint("merge"), "form")
     if lexicon is None:
         return found
-    return found.join(first_rows(lexicon).select("root", "gloss"), "root", "left")
+    return found.join(first_rows(lexicon).select("root", "gloss").hint("merge"), "root", "left")
 
 
 def search(relation: DataFrame, queries: DataFrame, n: int | None = 10, bound: float = 5, **costs) -> DataFrame:

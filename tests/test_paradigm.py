@@ -152,3 +152,14 @@ def test_stages_of_a_cell_beside_one_that_cannot_be_built(spark, tmp_path):
     assert [r["surface_forms"] for r in stages(loaded, "noun_hard", ask("tool"), lexicon).orderBy("stage_no").collect()] == [["tamb"], ["tamb-o"], ["tamb-o"]]
     with pytest.raises(Exception, match="infix can't be applied"):
         stages(loaded, "noun_hard", ask("place"), lexicon).collect()
+
+
+def test_parse_broadcasts_nothing(spark, grammar):
+    """What parsing joins grows with the data: however small it looks on disk, the driver never holds it."""
+    from morphlake.operators import paradigm
+
+    relation = spark.createDataFrame([("p", "a", "[x=1]", {"x": "1"}, "as")], "paradigm string, root string, feature_key string, features map<string,string>, form string")
+    lexicon = spark.createDataFrame([("a", "g")], "root string, gloss string")
+    found = paradigm.parse(relation, spark.createDataFrame([("as",), ("b",)], "form string"), lexicon)
+    assert [(r["form"], r["root"], r["gloss"]) for r in found.collect()] == [("as", "a", "g")]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
