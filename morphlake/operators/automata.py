@@ -48,7 +48,7 @@ def product(left: tuple[DataFrame, DataFrame], right: tuple[DataFrame, DataFrame
 
     Pairs of states are reached level by level: the new ones join both tables of arcs on the label, until there are none. The right one is deterministic.
     """
-    a = left[0].select(F.col("state").alias("l"), "label", F.col("next").alias("l2"))
+    a = stored(left[0].select(F.col("state").alias("l"), "label", F.col("next").alias("l2")), "left")  # every level reads it: a trie is built once
     b = right[0].select(F.col("state").alias("r"), "label", F.col("next").alias("r2"))
     spark = a.sparkSession
     fresh = seen = stored(spark.createDataFrame([start], "l string, r string"), "pairs")

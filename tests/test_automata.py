@@ -122,3 +122,21 @@ def test_minimal_automaton(spark):
         return s in last
 
     assert {"".join(w) for n in range(8) for w in itertools.product("abc", repeat=n) if accepted(w)} == set(own)
+
+
+def test_product_reads_its_left_arcs_once(spark):
+    """However many levels there are: a trie isn't built anew for each."""
+    from morphlake.operators import automata
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(row):
+        seen.add(1)
+        return row
+
+    word = "abcdef"
+    rows = [(word[:k], word[k], word[: k + 1]) for k in range(6)]
+    arcs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 1).map(counted), "state string, label string, next string")
+    other = spark.createDataFrame([("0", c, "0") for c in word], "state string, label string, next string")
+    _, ends = automata.product((arcs, spark.createDataFrame([(word,)], "state string")), (other, spark.createDataFrame([("0",)], "state string")))
+    assert [tuple(r) for r in ends.collect()] == [(word, "0")] and seen.value == 6
