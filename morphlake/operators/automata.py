@@ -76,14 +76,14 @@ def n_shortest(arcs: DataFrame, ends: DataFrame, n: int, start: str = "") -> Dat
     with the shortest completions, ties in order: whatever others complete to comes behind those. It stops once n strings are out and
     no prefix can be shorter.
     """
-    back = arcs.select("a", F.col("next").alias("state"), F.col("state").alias("from")).distinct()
+    back = stored(arcs.select("a", F.col("next").alias("state"), F.col("state").alias("from")).distinct(), "back")
     far = fresh = stored(ends.select("a", "state").distinct().withColumn("far", F.lit(0)), "far")
     for d in count(1):
         more = fresh.join(back, ["a", "state"]).select("a", F.col("from").alias("state")).distinct()
         fresh = stored(more.join(far, ["a", "state"], "left_anti").withColumn("far", F.lit(d)), "far")
         if fresh.isEmpty():
             break
-        far = stored(far.unionByName(fresh), "far")
+        far = far.unionByName(fresh)  # stored tables all
     moves = stored(arcs.join(far.select("a", F.col("state").alias("next"), "far"), ["a", "next"]).select("a", "state", "label", "next", "far"), "moves")
     live = stored(far.where(F.col("state") == start).select("a", "state", F.lit("").alias("string"), "far"), "live")
     done = stored(live.where("far = 0").select("a", "string"), "done")
