@@ -1,20 +1,17 @@
-"""Secrets by a battery of randomness tests.
+"""Secrets by a battery of randomness tests, in DataFrame operations only.
 
-Base spans come from patterns with checks, in DataFrame operations. Runs of key characters are further candidates: for each one an encoding is inferred, and
+Base spans come from patterns with checks. Runs of key characters are further candidates: for each one an encoding is inferred, and
 three tests over its symbols, for even use of the alphabet, for runs of its halves and for correlation of neighbours, say how far it is from
 random. What ordinary text looks like under the same tests is learnt from all words of all documents run together; candidates
-that hardly any of those would match, at a false-discovery rate kept for each length and encoding, are added. The tests run in numpy, over all strings of a batch at once.
+that hardly any of those would match, at a false-discovery rate kept for each length and encoding, are added.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
-from morphlake.llm.common import batch_bytes, written
+from morphlake.llm.common import written
 from morphlake.llm.pii import free, let, matches
 
 #: The patterns of the base kinds; matches that are too short are dropped.
@@ -24,7 +21,7 @@ PATTERNS = {
     "hex": r"[0-9a-f]{16,}+",
 }
 BASE = list(PATTERNS)
-RUN = r"[A-Za-z0-9+/_-]{16,}+"
+RUN = r"[\w+/-]{16,}+"
 #: Lengths that a class begins with; words run together for a class are shorter than where the next one begins.
 CLASSES = [16, 24, 32, 48, 64, 96]
 ENCODINGS = ["hex", "base32", "letters", "alnum", "base64"]
@@ -34,181 +31,120 @@ BINS = 400
 #: What a string with no spread at all departs by.
 FAR = 1e9
 
-#: Characters tested at once.
-BLOCK = 1 << 20
-
-Judged = StructType().add("cls", IntegerType()).add("enc", StringType()).add("t", DoubleType())
+Judged = "struct<start:int,end:int,cls:int,enc:string,t:double>"
 
 #: What an alphabet consists of, in order: for each encoding, where letters of one case are told by their lower case and where not.
-ALPHABETS = [DIGITS + "abcdef", UPPER + "234567", LOWER, UPPER + LOWER, LOWER + DIGITS, UPPER + LOWER + DIGITS, UPPER + LOWER + DIGITS + "+/"]
-#: Kinds of characters, as bits: digits of base 32, other digits, letters of hex and others by case, signs.
-KINDS = ["234567", "0189", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ"]
+ALPHABETS = {
+    "hex": (DIGITS + "abcdef",) * 2,
+    "base32": (UPPER + "234567",) * 2,
+    "letters": (LOWER, UPPER + LOWER),
+    "alnum": (LOWER + DIGITS, UPPER + LOWER + DIGITS),
+    "base64": (UPPER + LOWER + DIGITS + "+/",) * 2,
+}
+#: A symbol is a number: its place in the alphabet, and HALF more in the upper half; so a sum of products of BLOCK symbols holds those of places, of halves and of both.
+HALF, BLOCK = 1 << 24, 4096
 
 
 def _like(s: Column, pattern: str) -> Column:
     return F.regexp_like(s, F.lit(pattern))
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """(bit of each byte's kind, place of each byte in each alphabet)."""
-    kind, place = np.full(256, 1 << len(KINDS), np.uint8), np.full((len(ALPHABETS), 256), -1, np.int8)
-    for k, own in enumerate(KINDS):
-        kind[list(own.encode())] = 1 << k
-    for row, own in zip(place, ALPHABETS, strict=True):
-        row[list(own.encode())] = np.arange(len(own))
-        if "A" not in own:  # the other case counts as this one
-            row[list(own.upper().encode())] = np.arange(len(own))
-        if "/" in own:
-            row[list(b"-_")] = own.index("+"), own.index("/")
-    return kind, place
-
-
-KIND, PLACE = _tables()
-
-
-def _kinds(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place in ENCODINGS, place in ALPHABETS) of each string, none empty."""
-    seen = np.bitwise_or.reduceat(KIND[data], begin)
-    low, high, letters, digits = seen & 12 > 0, seen & 48 > 0, seen & 3 == 0, seen & 3 > 0
-    plain = seen & 64 == 0
-    hexes = plain & (seen & 8 == 0) & (seen & 32 == 0) & ~(low & high)
-    enc = np.select([hexes, plain & ~low & (seen & 2 == 0) & digits, plain & letters, plain], range(4), 4)
-    both = low & high
-    return enc, np.choose(enc, [0, 1, np.where(both, 3, 2), np.where(both, 5, 4), 6])
-
-
-def _departures(data: np.ndarray, begin: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
-    """How far each string is from random symbols of its alphabet: see departure."""
-    n = np.diff(np.append(begin, len(data)))
-    code = PLACE[np.repeat(alphabet, n), data].astype(np.float64)
-    a = np.array([len(x) for x in ALPHABETS])[alphabet]
-    own = np.repeat(np.arange(len(n)), n)
-    times = np.bincount(own * 64 + code.astype(np.int64), minlength=64 * len(n)).reshape(-1, 64)
-    upper = 2 * code >= np.repeat(a, n)
-    changed, after = np.zeros(len(data)), np.zeros(len(data))
-    changed[1:] = upper[1:] != upper[:-1]
-    after[1:] = code[1:] * code[:-1]
-    changed[begin] = after[begin] = 0
-    high, changes, s, ss, sp = (np.add.reduceat(x, begin) for x in (upper.astype(np.float64), changed, code, code * code, after))
-    n = n.astype(np.float64)
-    with np.errstate(all="ignore"):
-        uneven = (times.astype(np.float64) ** 2).sum(1) * a / n - n
-        chi = np.maximum((uneven - (a - 1)) / np.sqrt(2 * (a - 1) * (n - 1) / n), 0)
-        mean = 2 * high * (n - high) / n + 1
-        runs = (changes + 1 - mean) / np.sqrt((mean - 1) * (mean - 2) / (n - 1))
-        around = sp + code[begin + n.astype(np.int64) - 1] * code[begin]
-        serial = ((n * around - s * s) / (n * ss - s * s) + 1 / (n - 1)) * np.sqrt(n - 1)
-        out = chi * chi + runs * runs + serial * serial
-    return np.where((mean <= 2) | (n * ss <= s * s), FAR, out)
-
-
-def _tested(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(number of characters, place in ENCODINGS, departure) of each string of key characters, about BLOCK characters at a time."""
-    size = np.diff(offsets)
-    enc, t = np.zeros(len(size), np.int64), np.full(len(size), FAR)
-    full = np.flatnonzero(size)
-    cuts = np.unique(np.searchsorted(offsets[full], np.arange(0, len(data) + 1, BLOCK))).tolist()
-    for at, end in zip(cuts, [*cuts[1:], len(full)], strict=True):
-        some = full[at:end]
-        if len(some):
-            low = offsets[some[0]]
-            own = data[low : offsets[some[-1] + 1]]
-            enc[some], alphabet = _kinds(own, offsets[some] - low)
-            t[some] = _departures(own, offsets[some] - low, alphabet)
-    return size, enc, t
-
-
-def _words(data: np.ndarray, offsets: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, offsets, text of each string): what ordinary says, short strings and those without letters too."""
-    row = np.repeat(np.arange(len(pick)), np.diff(offsets))
-    first = np.concatenate([[True], row[1:] != row[:-1]])[: len(row)]
-    key = KIND[data] < 64
-    key |= np.isin(data, np.frombuffer(b"+/_-", np.uint8))
-    begins = np.flatnonzero(first | (np.diff(key, prepend=False)))
-    length = np.diff(np.append(begins, len(data)))
-    word = (KIND[data] < 64) & ~np.repeat(key[begins] & (length >= CLASSES[0]), length)
-    edge = first.copy()
-    edge[1:] |= word[1:] != word[:-1]  # where words and what is between them begin
-    style = pick & 3
-    own = style[row]
-    low = np.where((data >= 65) & (data <= 90), data | 32, data)
-    high = np.where((low >= 97) & (low <= 122), low & 223, low)
-    out = np.where(word, np.where(own == 0, low, np.where(own == 1, np.where(edge, high, low), data)), np.where(own == 2, 95, 45)).astype(np.uint8)
-    kept = word | (edge & (own >= 2))
-    m = np.bincount(row[kept], minlength=len(pick))
-    sizes = np.stack([low + (pick >> 8 * (k + 1) & 255) % (high - low) for k, (low, high) in enumerate(zip(CLASSES, CLASSES[1:], strict=False))], 1)
-    ends = np.concatenate([np.zeros((len(pick), 1), np.int64), np.cumsum(sizes, axis=1)], axis=1)
-    turns, rest = np.divmod(m, ends[:, -1])
-    pieces = turns * sizes.shape[1] + (ends[:, :-1] < rest[:, None]).sum(1)
-    text = np.repeat(np.arange(len(pick)), pieces)
-    turn, k = np.divmod(np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces), sizes.shape[1])
-    start = (np.cumsum(m) - m)[text] + turn * ends[text, -1] + ends[text, k]
-    return out[kept], np.append(start, m.sum()), text
-
-
-def _texts(texts: pa.Array, pick: pa.Array):
-    """Yields _words for a row or about BLOCK bytes of texts at a time, with which strings count."""
-    data, offsets = batch_bytes(texts)
-    picks = pick.to_numpy()
-    cuts = np.unique(np.searchsorted(offsets[:-1], np.arange(0, len(data) + 1, BLOCK))).tolist()
-    for at, end in zip(cuts, [*cuts[1:], len(picks)], strict=True):
-        if at < end:
-            own, begin, text = _words(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at], picks[at:end])
-            letters = np.concatenate([[0], np.cumsum(KIND[own] & 60 > 0)])
-            yield own, begin, text, (np.diff(begin) >= CLASSES[0]) & (np.diff(letters[begin]) > 0), end - at
-
-
-@F.arrow_udf(StringType())
-def encoding(s: pa.Array) -> pa.Array:
+def encoding(s: Column) -> Column:
     """The narrowest of ENCODINGS that a run of key characters fits."""
-    return pa.array(ENCODINGS).take(pa.array(_tested(*batch_bytes(s))[1]))
-
+    return (
+        F.when(_like(s, "^(?:[0-9a-f]+|[0-9A-F]+)$"), "hex")
+        .when(_like(s, "^[A-Z2-7]*[2-7][A-Z2-7]*$"), "base32")
+        .when(_like(s, "^[A-Za-z]+$"), "letters")
+        .when(_like(s, "^[A-Za-z0-9]+$"), "alnum")
+        .otherwise("base64")
+    )
 
-@F.arrow_udf(DoubleType())
-def departure(s: pa.Array, enc: pa.Array) -> pa.Array:
-    """How far a string is from random symbols of its encoding: the squares of three test statistics added up.
 
-    Chi-squared against even use of the alphabet (only excess counts), runs of symbols of the lower and upper half, circular serial
-    correlation; each less its mean and over its deviation under randomness for the length. Letters of one case are told by their lower case.
-    """
-    return pa.array(_tested(*batch_bytes(s))[2])
+def _symbols(alphabet: str) -> Column:
+    """The size of an alphabet and the symbol of each ASCII character in it."""
+    place = {c: k for k, c in enumerate(alphabet)}
+    if "A" not in alphabet:  # the other case counts as this one
+        place |= {c.upper(): k for c, k in place.items()}
+    if "/" in alphabet:
+        place |= {"-": place["+"], "_": place["/"]}
+    symbol = [k + (HALF if 2 * k >= len(alphabet) else 0) for k in (place.get(chr(c), 0) for c in range(128))]
+    return F.struct(F.lit(float(len(alphabet))).alias("a"), F.array(*(F.lit(v).cast("bigint") for v in symbol)).alias("of"))
 
 
-def _lists(counts: np.ndarray, size: np.ndarray, enc: np.ndarray, t: np.ndarray) -> pa.Array:
-    """Length class, encoding and departure of each string, in lists of so many."""
-    cls = np.searchsorted(CLASSES[1:-1], size, side="right").astype(np.int32)
-    fields = [pa.array(cls), pa.array(ENCODINGS).take(pa.array(enc)), pa.array(t)]
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.StructArray.from_arrays(fields, ["cls", "enc", "t"]))
+def _alphabet(s: Column, enc: Column) -> Column:
+    one = _like(s, "^(?:[^a-z]+|[^A-Z]+)$")
+    out = None
+    for name, (single, both) in ALPHABETS.items():
+        own = _symbols(single) if single == both else F.when(one, _symbols(single)).otherwise(_symbols(both))
+        out = F.when(enc == name, own) if out is None else out.when(enc == name, own)
+    return out
 
 
-@F.arrow_udf(ArrayType(Judged))
-def _judged(lists: pa.Array) -> pa.Array:
-    """The tests of each string of each list."""
-    return _lists(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), *_tested(*batch_bytes(lists.flatten())))
+def departure(s: Column, enc: Column) -> Column:
+    """How far a string is from random symbols of its encoding: the squares of three test statistics added up.
 
+    Chi-squared against even use of the alphabet (only excess counts), runs of symbols of the lower and upper half, circular serial
+    correlation; each less its mean and over its deviation under randomness for the length. Letters of one case are told by their lower case.
+    """
+    whole = F.lit(0).cast("bigint")
+    given = lambda x, then: F.aggregate(F.array(x), F.lit(0.0), lambda _, v: then(v))  # let, of a number: it works out no types for each string
+    total = lambda xs, f: F.aggregate(xs, whole, lambda acc, x: acc + f(x)).cast("double")
+
+    def coded(alphabet: Column) -> Column:
+        x = F.when(alphabet["a"] >= 2 * len(LOWER), F.translate(s, "-_", "+/")).when(alphabet["a"] == len(UPPER + "234567"), s).otherwise(F.lower(s))
+        return given(x, lambda x: given(F.split(x, "", -1), lambda signs: told(x, signs, alphabet)))
+
+    def told(x: Column, signs: Column, alphabet: Column) -> Column:
+        code = lambda c: F.get(alphabet["of"], F.ascii(c))
+        times = F.transform(F.array_distinct(signs), lambda c: F.struct(code(c).alias("x"), (F.octet_length(x) - F.octet_length(F.replace(x, c, F.lit("")))).cast("bigint").alias("v")))
+        return given(F.transform(signs, code), lambda codes: counted(codes, times, alphabet["a"]))
+
+    def counted(codes: Column, times: Column, a: Column) -> Column:
+        size = F.size(codes)
+        ends = lambda at: F.least(at + BLOCK, size - 1) - 1
+        block = lambda at: F.aggregate(F.sequence(at, ends(at)), whole, lambda acc, i: acc + F.get(codes, i) * F.get(codes, i + 1))
+        pairs = F.when(size > 1, F.transform(F.sequence(F.lit(0), F.greatest(size - 2, F.lit(0)), F.lit(BLOCK)), block)).otherwise(F.array().cast("array<bigint>"))
+        both = F.struct(size.cast("double").alias("n"), a.alias("a"), codes[0].alias("first"), F.element_at(codes, -1).alias("last"), pairs.alias("pairs"), times.alias("times"))
+        return given(both, summed)
+
+    def summed(x: Column) -> Column:
+        place = lambda y: y["x"].bitwiseAND(HALF - 1)
+        found = {
+            "square": total(x["times"], lambda y: y["v"] * y["v"]),
+            "high": total(x["times"], lambda y: F.when(y["x"] >= HALF, y["v"]).otherwise(whole)),
+            "s": total(x["times"], lambda y: y["v"] * place(y)),
+            "ss": total(x["times"], lambda y: y["v"] * place(y) * place(y)),
+            "sp": total(x["pairs"], lambda p: p.bitwiseAND(HALF - 1)) + (place(F.struct(x["first"].alias("x"))) * place(F.struct(x["last"].alias("x")))).cast("double"),
+            "both": total(x["pairs"], lambda p: F.shiftright(p, 48)),
+            "ends": (F.when(x["first"] >= HALF, 1.0).otherwise(0.0) + F.when(x["last"] >= HALF, 1.0).otherwise(0.0)),
+        }
+        return given(F.struct(x["n"].alias("n"), x["a"].alias("a"), *(v.alias(k) for k, v in found.items())), combined)
+
+    def combined(t: Column) -> Column:
+        n, a, high = t["n"], t["a"], t["high"]
+        uneven = t["square"] * a / n - n
+        chi = F.greatest((uneven - (a - 1)) / F.sqrt(2 * (a - 1) * (n - 1) / n), F.lit(0.0))
+        changes = 2 * high - t["ends"] - 2 * t["both"]
+        mean = 2 * high * (n - high) / n + 1
+        runs = (changes + 1 - mean) / F.sqrt((mean - 1) * (mean - 2) / (n - 1))
+        serial = ((n * t["sp"] - t["s"] * t["s"]) / (n * t["ss"] - t["s"] * t["s"]) + 1 / (n - 1)) * F.sqrt(n - 1)
+        flat = (n <= 1) | (mean <= 2) | (n * t["ss"] <= t["s"] * t["s"])
+        return F.when(flat, FAR).otherwise(chi * chi + runs * runs + serial * serial)
 
-@F.arrow_udf(ArrayType(Judged))
-def _judged_words(texts: pa.Array, pick: pa.Array) -> pa.Array:
-    """The tests of each text's ordinary strings."""
-    parts = [(np.zeros(0, np.int64), *_tested(np.zeros(0, np.uint8), np.zeros(1, np.int64)))]
-    for own, begin, text, fine, n in _texts(texts, pick):
-        parts.append((np.bincount(text[fine], minlength=n), *(x[fine] for x in _tested(own, begin))))
-    return _lists(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+    return given(_alphabet(s, enc), coded)
 
 
-@F.arrow_udf(ArrayType(StringType()))
-def _spelt(texts: pa.Array, pick: pa.Array) -> pa.Array:
-    out: list[list[str]] = []
-    for own, begin, text, fine, n in _texts(texts, pick):
-        rows: list[list[str]] = [[] for _ in range(n)]
-        for k in np.flatnonzero(fine).tolist():
-            rows[text[k]].append(own[begin[k] : begin[k + 1]].tobytes().decode())
-        out += rows
-    return pa.array(out, pa.list_(pa.string()))
+def length_class(n: Column) -> Column:
+    out = F.lit(0)
+    for k, low in enumerate(CLASSES[1:-1]):
+        out = F.when(n >= low, k + 1).otherwise(out)
+    return out
 
 
-def _pick(text: Column) -> Column:
-    return F.xxhash64(text, F.lit(14))
+def _judged(found: Column) -> Column:
+    named = F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["s"].alias("s"), encoding(x["s"]).alias("enc")))
+    judged = F.transform(named, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), length_class(F.octet_length(x["s"])).alias("cls"), x["enc"].alias("enc"), departure(x["s"], x["enc"]).alias("t")))
+    return judged.cast(f"array<{Judged}>")
 
 
 def ordinary(text: Column) -> Column:
@@ -217,7 +153,23 @@ def ordinary(text: Column) -> Column:
     The strings' lengths go through the length classes in turn, one in each that the text's hash names. Runs of 16 key characters are left out first,
     and so are strings without letters; what is left at the end is a string of its own if it is long enough for any class.
     """
-    return _spelt(text, _pick(text))
+    pick = F.xxhash64(text, F.lit(14))
+    style = F.pmod(pick, F.lit(4))
+    words = F.regexp_replace(text, RUN, " ")
+    sign = lambda x, to: F.regexp_replace(x, r"\P{Alnum}++", to)
+    joined = F.when(style == 0, F.lower(sign(words, ""))).when(style == 1, F.replace(F.initcap(sign(words, " ")), F.lit(" "), F.lit(""))).when(style == 2, sign(words, "_")).otherwise(sign(words, "-"))
+    sizes = [low + F.shiftright(pick, 8 * (k + 1)).bitwiseAND(255) % (high - low) for k, (low, high) in enumerate(zip(CLASSES, CLASSES[1:], strict=False))]
+
+    def cut(x: Column) -> Column:
+        """Bytes are told by their place at once, characters by going through all before."""
+        data, size = x["j"], x["size"]
+        turn = F.aggregate(size, F.lit(0), lambda acc, n: acc + n)
+        lead = F.transform(size, lambda _, k: F.aggregate(F.slice(size, 1, k), F.lit(0), lambda acc, n: acc + n))
+        whole = lambda y: F.transform(F.sequence(F.lit(0), F.floor((F.octet_length(data) - 1) / y["turn"]).cast("int")), lambda r: F.transform(size, lambda n, k: F.substring(data, r * y["turn"] + F.get(y["lead"], k) + 1, n).cast("string")))
+        return F.when(F.octet_length(data) > 0, let(F.struct(turn.alias("turn"), lead.alias("lead")), lambda y: F.flatten(whole(y)))).otherwise(F.array().cast("array<string>"))
+
+    strings = let(F.struct(joined.cast("binary").alias("j"), F.array(*(n.cast("int") for n in sizes)).alias("size")), cut)
+    return F.filter(strings, lambda s: (F.octet_length(s) >= CLASSES[0]) & _like(s, "[A-Za-z]"))
 
 
 def propose(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,10 +183,8 @@ def propose(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     }
     base = [F.transform(F.filter(matches(text, PATTERNS[k]), fits[k]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(k) for k in BASE]
     found = F.filter(matches(text, RUN), lambda x: _like(x["s"], "[A-Za-z]"))
-    runs = rows.select("doc_id", *base, found.alias("runs"), _judged_words(text, _pick(text)).alias("plain"))
-    runs = runs.select("doc_id", *BASE, "runs", _judged(F.transform("runs", lambda x: x["s"])).alias("judged"), "plain")
-    placed = lambda x, k: F.struct(x["start"].alias("start"), x["end"].alias("end"), *(F.get("judged", k)[c].alias(c) for c in ("cls", "enc", "t")))
-    return runs.select("doc_id", *BASE, F.transform("runs", placed).alias("found"), "plain")
+    plain = F.transform(ordinary(text), lambda s: F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), s.alias("s")))
+    return rows.select("doc_id", *base, _judged(found).alias("found"), _judged(plain).alias("plain"))
 
 
 def _bin(t: Column) -> Column:

@@ -149,3 +149,17 @@ def test_ordinary_strings_hold_the_whole_text(spark):
     for r in spark.createDataFrame([(t,) for t in texts], "text string").select("text", ordinary(F.col("text")).alias("o")).collect():
         own, whole = bare("".join(r["o"])), bare(r["text"])
         assert whole.startswith(own) and len(whole) - len(own) < CLASSES[0]
+
+
+def test_no_python_on_executors(spark):
+    """DataFrame operations only: no Python node in the plan."""
+    plan = propose(docs(spark, ["some plain text, token=abcdefghijklmnop"]))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InArrow" not in plan
+
+
+def test_long_strings_are_tested_exactly(spark):
+    """Sums are taken over stretches of symbols; strings longer than one come out as in plain Python."""
+    rng = random.Random(4)
+    strings = ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n)) for n in (4095, 4096, 4097, 4098, 8193, 20000)]
+    for r in spark.createDataFrame([(s,) for s in strings], "s string").select("s", departure(F.col("s"), encoding(F.col("s"))).alias("t")).collect():
+        assert r["t"] == pytest.approx(plain_departure(r["s"]), rel=1e-9, abs=1e-9)
