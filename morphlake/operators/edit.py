@@ -109,8 +109,14 @@ def beam_automata(left: DataFrame, right: DataFrame, num_beam: int | None = 5, f
     on; a num_beam of None keeps all. Either side may have cycles; with cycles on both, or on one in a fuzzy search, `longest` bounds the steps. Exact search advances on equal labels. Fuzzy search also substitutes, drops a query's label or adds one of the trie's, at cost 1 or as
     in costs (src, dst, cost; empty for nothing). After each step a query keeps its num_beam cheapest hypotheses, ties by label.
     One step is a few equality joins for all queries at once, stored before the next, until no hypothesis is alive or `longest` steps, if given, are done.
+    An exact search takes the arcs of a right state at one step alone where it is a trie whose states are named by their prefixes: with a
+    column `step` (from 1), each step reads its own arcs, and all steps together read the right side once.
     """
-    left, right = stored(left, "left"), stored(right, "right")
+    by_step = "step" in right.columns
+    if by_step and fuzzy:
+        raise ValueError("a fuzzy search meets arcs at any step")
+    left = stored(left, "left")
+    right = stored(right.repartition("step", F.pmod(F.xxhash64("rs"), F.lit(16))), "right", "step") if by_step else stored(right, "right")
     spark = left.sparkSession
     price = (costs if costs is not None else spark.createDataFrame([], "src string, dst string, cost double")).select("src", "dst", F.col("cost").alias("price"))
 
@@ -120,8 +126,8 @@ def beam_automata(left: DataFrame, right: DataFrame, num_beam: int | None = 5, f
     schema = ["q", "ls", "rs", "weight", "labels", "lend", "rend"]
     live = left.select("q").distinct().select("q", F.lit(start[0]).alias("ls"), F.lit(start[1]).alias("rs"), F.lit(0.0).alias("weight"), F.lit("").alias("labels"), F.lit(False).alias("lend"), F.lit(False).alias("rend"))
     found = None
-    for _ in count() if longest is None else range(longest):
-        both = live.join(left, ["q", "ls"]).join(right, "rs")
+    for k in count(1) if longest is None else range(1, longest + 1):
+        both = live.join(left, ["q", "ls"]).join(right.where(F.col("step") == k).drop("step") if by_step else right, "rs")
         if not fuzzy:
             new = both.where("llabel = rlabel").select("q", F.col("ln").alias("ls"), F.col("rn").alias("rs"), "weight", F.concat("labels", "rlabel").alias("labels"), F.col("lfinal").alias("lend"), F.col("rfinal").alias("rend"))
         else:

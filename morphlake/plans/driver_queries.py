@@ -390,7 +390,8 @@ def pattern_beam(spark, sf_dir):
     sides = []
     for q, pattern in (("doubled", "<Phone>*(<V><V>)+<Phone>*s"), ("alternating", "(<V><C>)*<V>?")):
         sides.append(edit.final_arcs(*automata.Automaton.of(g.patterns.parse(pattern)).tables(spark), "l").withColumn("q", F.lit(q)))
-    found = edit.beam_automata(sides[0].unionByName(sides[1]), edit.final_arcs(*automata.trie(own), "r"), num_beam=None)
+    right = edit.final_arcs(*automata.trie(own), "r").withColumn("step", F.length("rs") + 1)
+    found = edit.beam_automata(sides[0].unionByName(sides[1]), right, num_beam=None)
     return found.select("q", decoded(g.symbols, F.col("labels")).alias("word"), "weight")
 
 

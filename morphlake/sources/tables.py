@@ -23,11 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet under spark.checkpoint.dir and read again, so that an iteration's plan stays short."""
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """df written as Parquet under spark.checkpoint.dir, in a folder for each value of the columns by, and read again, so that an iteration's plan stays short."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     _PATHS[table] = path
     return table

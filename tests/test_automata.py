@@ -140,3 +140,13 @@ def test_product_reads_its_left_arcs_once(spark):
     other = spark.createDataFrame([("0", c, "0") for c in word], "state string, label string, next string")
     _, ends = automata.product((arcs, spark.createDataFrame([(word,)], "state string")), (other, spark.createDataFrame([("0",)], "state string")))
     assert [tuple(r) for r in ends.collect()] == [(word, "0")] and seen.value == 6
+
+
+def test_a_beam_reads_arcs_of_a_step_at_that_step(spark):
+    """A trie dealt out by steps gives what the whole one gives; an arc of another step isn't taken."""
+    arcs, ends = m.Automaton.of(P.parse("<V>*<C>*")).tables(spark)
+    left = final_arcs(arcs, ends, "l").withColumn("q", F.lit("q"))
+    right = final_arcs(*m.trie(words_table(spark, WORDS)), "r")
+    rows = lambda r: sorted((x["q"], x["labels"], x["weight"]) for x in beam_automata(left, r, None).collect())
+    assert rows(right.withColumn("step", F.length("rs") + 1)) == rows(right)
+    assert rows(right) and rows(right.withColumn("step", F.length("rs") + 2)) == []
