@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from morphlake.llm.common import batch_bytes, components, discard, mixed, small_batches, written
+from morphlake.llm.common import BASE, batch_bytes, components, discard, mixed, powers, small_batches, written
 from morphlake.llm.shingles import WHITE, shingles
 
 
@@ -46,117 +46,243 @@ def compact_windows(h: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray,
     return left[wide], np.array(place, np.int64)[wide], right[wide]
 
 
-#: Bits of a shingle's hash that name it in the table of shingle kinds.
-NAMED = 27
-#: A shingle is common if more texts than this hold it in windows that the first round leaves open.
-COMMON = 16
+#: Groups of shingles by the first bits of their hash, in which they are counted.
+BLOCKS = 10
+#: Bytes of text in a group of texts.
+GROUP = 2 << 20
 
 
-def regions(texts: int, begin: np.ndarray, size: np.ndarray, spans) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token, text, run): the tokens of all texts, or those in spans (text, first, last), whose union is cut into runs; token counts through all texts."""
-    if spans is None:
-        token = np.arange(int(size.sum()))
-        text = np.repeat(np.arange(texts), size)
-        return token, text, text
-    of, first, last = merged(*spans)
-    last = np.minimum(last, size[of])
-    fine = first < last
-    of, first, last = of[fine], first[fine], last[fine]
-    run, k = runs(last - first)
-    return begin[of][run] + first[run] + k, of[run], run
+def promising(some: np.ndarray, repeats: np.ndarray, run: np.ndarray, least: int, percent: int, near: np.ndarray | None = None) -> np.ndarray:
+    """Which tokens of runs lie in a stretch of `least` tokens that may have a near-duplicate, given which tokens stand elsewhere too (or repeat).
 
-
-def promising(some: np.ndarray, repeats: np.ndarray, run: np.ndarray, least: int, percent: int) -> np.ndarray:
-    """Which tokens of runs lie in a stretch of `least` tokens that may have a near-duplicate, given which tokens stand in other texts too (or repeat).
-
-    Of a stretch's distinct tokens at least percent / 100 must stand in the other text as well; where none repeats those are as many places.
+    Of a stretch's distinct tokens at least percent / 100 must stand in the other stretch as well; where none repeats those are as many places.
+    With near (which tokens stand in stretches that repeat a token, anywhere) the bound is that of two stretches that repeat none,
+    2 percent / (100 + percent), except where percent / 100 of the tokens are near.
     """
     n = len(run)
     if n < least:
         return np.zeros(n, bool)
-    total = np.concatenate([[0], np.cumsum(some)])
-    fits = (run[least - 1 :] == run[: n - least + 1]) & ((100 * (total[least:] - total[:-least]) >= percent * least) | repeats)
+
+    def held(x):
+        total = np.concatenate([[0], np.cumsum(x)])
+        return total[least:] - total[:-least]
+
+    fits = 100 * held(some) >= percent * least if near is None else ((100 + percent) * held(some) >= 2 * percent * least) | (100 * held(near) >= percent * least)
+    fits = (run[least - 1 :] == run[: n - least + 1]) & (fits | repeats)
     edge = np.zeros(n + 1, np.int64)
     edge[: n - least + 1] += fits
     edge[least:] -= fits
     return np.cumsum(edge[:-1]) > 0
 
 
-def _tokens(batch, words: int, spans: bool):
-    """(names of texts, shingles, tokens, texts, runs, begin): what regions gives for a batch of t, text and perhaps spans."""
-    names = batch.column(0).to_numpy(zero_copy_only=False)
-    h, where = shingles(*batch_bytes(batch.column(1)), words)
-    begin = np.searchsorted(where, np.arange(len(names) + 1))
-    own = None
-    if spans:
-        offsets, ends = batch.column(2).offsets.to_numpy(), batch.column(2).values
-        of = np.repeat(np.arange(len(names)), np.diff(offsets))
-        own = of, *(ends.field(f).to_numpy()[offsets[0] : offsets[-1]].astype(np.int64) for f in range(2))
-    return names, h, *regions(len(names), begin[:-1], np.diff(begin), own), begin
+def leading(g: np.ndarray, least: int, percent: int, odd: np.ndarray) -> np.ndarray:
+    """Which tokens are among the first of a stretch of `least` tokens, by g, of which two near-duplicates always share one.
 
-
-def _kinds(open_: DataFrame, words: int) -> np.ndarray:
-    """Two bitmaps over shingles' first NAMED bits, for the texts and spans of open_: which ones two texts or more hold, and which ones more than COMMON do.
-
-    Counts are added up in groups; the driver gets bitmaps, whose size doesn't grow. Shingles that share bits count as one.
+    Tokens with the greatest g stand in one place: they come first in every stretch and are shared by none. Of the others as many distinct ones count as can be missing, and
+    one more. odd: which stretches are bounded by percent / 100 of their own tokens alone.
     """
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in small_batches(batches, 1 << 20):
-            names, h, token, text, _, _ = _tokens(batch, words, True)
-            each = np.unique(text.astype(np.int64) << NAMED | (h[token] >> np.uint64(64 - NAMED)).astype(np.int64)) & (1 << NAMED) - 1
-            bit, n = np.unique(each, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(bit.astype(np.int32)), pa.array(n.astype(np.int32))], ["bit", "n"])
-
-    counts = open_.select("t", "text", "spans").mapInArrow(run, "bit int, n int").groupBy("bit").agg(F.sum("n").alias("n")).where("n > 1")
-    held = lambda least: F.bitmap_construct_agg(F.when(F.col("n") > least, F.col("bit").bitwiseAND(32767).cast("bigint")))
-    out = np.zeros((2, (1 << NAMED) // 8), np.uint8)
-    for r in counts.groupBy(F.shiftright("bit", 15).alias("k")).agg(held(1).alias("some"), held(COMMON).alias("many")).toLocalIterator():
-        for k, bits in enumerate((r["some"], r["many"])):
-            out[k, r["k"] * 4096 : (r["k"] + 1) * 4096] = np.frombuffer(bits, np.uint8)
+    none = np.uint64(2**64 - 1)
+    out = np.zeros(len(g), bool)
+    strong = -(-2 * percent * least // (100 + percent))
+    for at in range(0, len(g) - least + 1, 1 << 14):
+        own = np.arange(at, min(at + (1 << 14), len(g) - least + 1))
+        own = own[(g[own] > 0) & (g[own + least - 1] > 0)]
+        rows = g[own[:, None] + np.arange(least)]
+        order = np.sort(rows, axis=1)
+        order[:, 1:][order[:, 1:] == order[:, :-1]] = none
+        again = odd[own]
+        order[again] = np.sort(order[again], axis=1)
+        held = (order < none).sum(1)
+        size = np.where(again, held + (rows == none).sum(1), least)
+        most = held - np.where(again, -(-percent * size // 100), strong) + 1
+        fine = most > 0
+        bound = np.take_along_axis(order[fine], most[fine, None] - 1, axis=1)
+        which, k = np.nonzero(rows[fine] <= bound)
+        out[own[fine][which] + k] = True
     return out
 
 
-def _windows(texts: DataFrame, words: int, least: int, percent: int, hashes: int, kinds: np.ndarray | None = None) -> DataFrame:
-    """(key, t, c, span, again): key names hash function and value; span packs centre - left and right - centre; again: whether the text has the key twice.
-
-    With kinds (see _kinds) texts come with the spans to look at, of which only stretches that may have a near-duplicate are; and the order of each hash function has shingles that a
-    few texts share first, then common ones; those of one text alone come last and name no window.
+def distinct(x: np.ndarray, some: np.ndarray, starts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct tokens, distinct tokens that some marks) of the stretches of `least` tokens at starts."""
+    order = np.argsort(x, kind="stable")
+    before = np.full(len(x), -1)
+    same = x[order[1:]] == x[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    size, held = np.zeros((2, len(starts)), np.int64)
+    for at in range(0, len(starts), 1 << 14):
+        own = starts[at : at + (1 << 14), None]
+        places = own + np.arange(least)
+        new = before[places] < own
+        size[at : at + len(own)], held[at : at + len(own)] = new.sum(1), (new & (some[places] > 0)).sum(1)
+    return size, held
+
+
+def alike(x: np.ndarray, y: np.ndarray, least: int, percent: int, apart: int = 0, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """The starts of all stretches of `least` tokens of x, and of y, that have a near-duplicate in the other list; with apart only at least so far from it (x and y being one list)."""
+    _, code = np.unique(np.concatenate([x, y]), return_inverse=True)
+    kinds = int(code.max()) + 1
+    x, y = code[: len(x)], code[len(x) :]
+    ends = []
+    for own, other in ((x, y), (y, x)):
+        mark = np.zeros(kinds, bool)
+        mark[other] = True
+        starts = np.arange(len(own) - least + 1)
+        total = np.concatenate([[0], np.cumsum(mark[own])])
+        starts = starts[total[least:] > total[:-least]]
+        size, held = distinct(own, mark[own], starts, least)
+        fine = 100 * held >= percent * size
+        ends.append((starts[fine], size[fine], np.zeros(int(fine.sum()), bool)))
+    (s, m, hit), (u, n, met) = ends
+    for i in range(0, len(s), block):
+        own = x[s[i : i + block, None] + np.arange(least)]
+        for j in range(0, len(u), block):
+            other = y[u[j : j + block, None] + np.arange(least)]
+            names = np.intersect1d(own, other)
+            if not len(names):
+                continue
+            at = np.full(kinds, len(names))
+            at[names] = np.arange(len(names))
+            left, right = np.zeros((len(own), len(names) + 1), np.float32), np.zeros((len(other), len(names) + 1), np.float32)
+            left[np.arange(len(own))[:, None], at[own]] = 1
+            right[np.arange(len(other))[:, None], at[other]] = 1
+            both = left[:, :-1] @ right[:, :-1].T
+            near = 100 * both >= percent * (m[i : i + block, None] + n[None, j : j + block] - both)
+            if apart:
+                near &= abs(s[i : i + block, None] - u[None, j : j + block]) >= apart
+            hit[i : i + block] |= near.any(1)
+            met[j : j + block] |= near.any(0)
+    return s[hit], u[met]
+
+
+def _sorted(table):
+    """A group's rows in order of t, so that every pass over the group sees the same order."""
+    table = table.sort_by("t").combine_chunks()
+    return table.column("t").to_numpy(), table.column("text")
+
+
+def _tokens(table, words: int):
+    """(names of texts, shingles, text of each, begin of each text) of a group."""
+    names, text = _sorted(table)
+    h, where = shingles(*batch_bytes(text), words)
+    return names, h, where, np.searchsorted(where, np.arange(len(names) + 1))
+
+
+def _counted(texts: DataFrame, words: int, least: int) -> DataFrame:
+    """(g, block, counts): for the shingles of a group of texts in order of their hashes, by blocks of hashes, a byte each: the power of two that its places reach (0: one
+    place), and 128 more if it stands in a stretch of `least` that repeats a shingle, anywhere.
+
+    Each group sends a block's shingles as one row, and gets one row back.
     """
-    held = None if kinds is None else texts.sparkSession.sparkContext.broadcast(kinds)
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in small_batches(batches, 1 << 17):
-            names, h, token, text, own, begin = _tokens(batch, words, held is not None)
-            h = h[token]
-            late = None
-            if held is not None:
-                bit = (h >> np.uint64(64 - NAMED)).astype(np.int64)
-                some, many = (x[bit >> 3] >> (bit & 7) & 1 for x in held.value)
-                fine = np.flatnonzero(promising(some, repeats_within(mixed(h) + text.astype(np.uint64), least), own, least, percent))
-                own = np.cumsum(np.diff(fine, prepend=-2) + np.diff(own[fine], prepend=0) != 1) - 1
-                h, token, text, late = h[fine], token[fine], text[fine], (2 - 2 * some[fine] + many[fine]).astype(np.uint64) << np.uint64(62)
-            place = np.arange(len(h)) + own  # a zero between two runs: no window reaches over it
-            parts = []
-            for i in range(hashes):
-                g = np.zeros(len(h) + (int(own[-1]) + 1 if len(own) else 0), np.uint64)
-                value = mixed(h + np.uint64((i + 1) * 0x9E3779B97F4A7C15 & 2**64 - 1))
-                g[place] = (value if late is None else value >> np.uint64(2) | late) | np.uint64(16)
+    import pyarrow as pa
+
+    def binary(parts):
+        return pa.array(parts, pa.binary())
+
+    def send(key, table):
+        _, h, where, _ = _tokens(table, words)
+        again = promising(np.zeros(len(h), bool), repeats_within(mixed(h) + where.astype(np.uint64), least), where, least, 100)
+        order = np.argsort(h)
+        h, again = h[order], again[order]
+        cuts = np.searchsorted(h >> np.uint64(64 - BLOCKS), np.arange((1 << BLOCKS) + 1))
+        low = (h >> np.uint64(64 - BLOCKS - 32)).astype(np.uint32)
+        full = np.flatnonzero(np.diff(cuts))
+        parts = [(low[cuts[k] : cuts[k + 1]].tobytes(), np.packbits(again[cuts[k] : cuts[k + 1]]).tobytes()) for k in full.tolist()]
+        return pa.table({"g": pa.array(np.full(len(full), key[0].as_py(), np.int64)), "block": pa.array(full.astype(np.int32)), "low": binary([x for x, _ in parts]), "again": binary([x for _, x in parts])})
+
+    def count(table):
+        low = [np.frombuffer(x, np.uint32) for x in table.column("low").to_pylist()]
+        size = np.array([len(x) for x in low])
+        again = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(table.column("again").to_pylist(), size.tolist(), strict=True)])
+        low = np.concatenate(low)
+        order = np.argsort(low)
+        new = np.diff(low[order], prepend=low[order[:1]]) != 0
+        kind = np.empty(len(low), np.int64)
+        kind[order] = np.cumsum(new)
+        often = np.ceil(np.log2(np.bincount(kind))).astype(np.uint8)
+        often[np.unique(kind[again > 0])] |= 128
+        ends = np.cumsum(size)
+        counts = [often[kind[e - n : e]].tobytes() for e, n in zip(ends.tolist(), size.tolist(), strict=True)]
+        return pa.table({"g": table.column("g"), "block": table.column("block"), "counts": binary(counts)})
+
+    sent = texts.groupBy("g").applyInArrow(send, "g long, block int, low binary, again binary")
+    return sent.groupBy("block").applyInArrow(count, "g long, block int, counts binary")
+
+
+def _windows(texts: DataFrame, words: int, least: int, percent: int, hashes: int) -> DataFrame:
+    """(key, t, c, far, span, kind, weight, odd): windows of the stretches that may have a near-duplicate, by texts' groups (see _counted).
+
+    key names hash function and value; span packs centre - left and right - centre, no further than a stretch with the centre reaches; kind: a hash of the shingles there that stand elsewhere
+    too, and of their places about the centre; weight: how many those are; odd: whether a stretch there is bounded by percent / 100 alone. Shingles of one place can't be
+    shared and come last in each order. Function number `hashes` has, instead of minima, all shingles that are among the first of a stretch (see leading), rare ones first, in one row
+    for all places of a text: c is the first, far the end of what the stretches with the last one reach, and weight the number of places.
+    """
+    import pyarrow as pa
+
+    def run(table, bits):
+        names, h, text, begin = _tokens(table, words)
+        counts = np.frombuffer(b"".join(bits.sort_by("block").column("counts").to_pylist()), np.uint8)
+        often, near = np.zeros((2, len(h)), np.uint8)
+        order = np.argsort(h)
+        often[order], near[order] = counts & 127, counts >> 7
+        some = (often > 0).astype(np.uint8)
+        marked = mixed(h) + text.astype(np.uint64)
+        again = repeats_within(marked, least)
+        twice = np.flatnonzero(again)
+        size, kept = distinct(marked, some, twice, least)
+        again[twice] = 100 * kept >= percent * size
+        fine = np.flatnonzero(promising(some, again, text, least, percent, near))
+        own = np.cumsum(np.diff(fine, prepend=-2) + np.diff(text[fine], prepend=0) != 1) - 1
+        h, text, some, near, often = h[fine], text[fine], some[fine], near[fine], often[fine]
+        # a gap of zeros between two runs: no window reaches over it
+        place = np.arange(len(h)) + own * least
+        wide = int(place[-1]) + 1 if len(h) else 0
+        token, held, close = np.zeros(wide, np.uint64), np.zeros(wide, np.int64), np.zeros(wide, np.int64)
+        token[place], held[place], close[place] = h, some, near
+        at = np.full(wide, -1)
+        at[place] = np.arange(len(h))
+        marked = np.arange(wide, dtype=np.uint64)
+        marked[place] = mixed(h) + text.astype(np.uint64)
+        repeats = repeats_within(marked, least)
+        near_sum = np.concatenate([[0], np.cumsum(close)])
+        odd = repeats | (100 * (near_sum[least:] - near_sum[:-least]) >= percent * least)
+        odd_sum = np.concatenate([[0], np.cumsum(odd)])
+        held_sum = np.concatenate([[0], np.cumsum(held)])
+        up, down = powers(wide), powers(wide, np.uint64(pow(int(BASE), -1, 2**64)))
+        body = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.where(held > 0, mixed(token), 0).astype(np.uint64) * up[:wide])])
+        edges = np.flatnonzero(np.diff(own, prepend=-1))
+        run_first, run_last = place[edges], np.append(place[edges[1:] - 1], place[-1:])
+        parts = []
+        for i in range(hashes + 1):
+            g = mixed(token + np.uint64((i % hashes + 1) * 0x9E3779B97F4A7C15 & 2**64 - 1)) & ~np.uint64(15) | np.uint64(16)
+            if i == hashes:
+                g[place] = g[place] >> np.uint64(6) & ~np.uint64(15) | often.astype(np.uint64) << np.uint64(58)
+            g[held == 0] = 2**64 - 1
+            g[at < 0] = 0
+            if i < hashes:
                 left, c, right = compact_windows(g, least)
-                real = (g[c] > 0) & (late is None or g[c] >> np.uint64(62) < 2)
+                real = (g[c] > 0) & (held[c] > 0)
                 left, c, right = left[real], c[real], right[real]
-                at = np.searchsorted(place, c)
-                doc = text[at]
-                key = g[c] & ~np.uint64(15) | np.uint64(i)
-                _, which, times = np.unique(mixed(key) + doc.astype(np.uint64), return_inverse=True, return_counts=True)
-                parts.append((key.view(np.int64), names[doc], (token[at] - begin[doc]).astype(np.int32), np.minimum(c - left, 65535) << 16 | np.minimum(right - c, 65535), times[which] > 1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["key", "t", "c", "span", "again"])
-
-    return texts.select("t", "text", *([] if held is None else ["spans"])).mapInArrow(run, "key long, t long, c int, span long, again boolean")
+            else:
+                c = np.flatnonzero(leading(g, least, percent, odd))
+                k = own[at[c]]
+                left, right = run_first[k], run_last[k]
+            left, right = np.maximum(left, c - least + 1), np.minimum(right, c + least - 1)
+            kind = mixed((body[right + 1] - body[left]) * down[c] + ((c - left) << 16 | (right - c)).astype(np.uint64))
+            # stretches that hold the centre
+            strange = odd_sum[np.maximum(np.minimum(right - least + 1, c) + 1, left)] > odd_sum[left] if len(c) else np.zeros(0, bool)
+            doc, key = text[at[c]], g[c] & ~np.uint64(15) | np.uint64(i)
+            first, reach, weight = fine[at[c]] - begin[doc], fine[at[c]] - begin[doc] + right - c, held_sum[right + 1] - held_sum[left]
+            if i == hashes and len(c):
+                order = np.lexsort((first, key, doc))
+                new = np.flatnonzero((np.diff(doc[order], prepend=-1) != 0) | (np.diff(key[order], prepend=~key[order[:1]]) != 0))
+                reach, weight = reach[order[np.append(new[1:], len(c)) - 1]], np.diff(np.append(new, len(c)))
+                lead = order[new]
+                doc, key, first, kind, strange, left, right, c = doc[lead], key[lead], first[lead], kind[lead], strange[lead], left[lead], right[lead], c[lead]
+            parts.append((key.view(np.int64), names[doc], first.astype(np.int32), reach.astype(np.int32), ((c - left) << 16 | (right - c)).astype(np.int32), kind.view(np.int64), weight.astype(np.int32), strange))
+        return pa.table([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["key", "t", "c", "far", "span", "kind", "weight", "odd"])
+
+    bits = _counted(texts, words, least)
+    return texts.groupBy("g").cogroup(bits.groupBy("g")).applyInArrow(run, "key long, t long, c int, far int, span int, kind long, weight int, odd boolean")
 
 
 def _word_counts(texts: DataFrame) -> DataFrame:
@@ -357,77 +483,117 @@ def _verify(words: int, least: int, percent: int, enough: int):
     return run
 
 
-def _near(texts: DataFrame, words: int, least: int, percent: int, hashes: int, kinds: np.ndarray | None = None) -> DataFrame:
-    """(key, t, c, span, lo, hi): the windows of values that stand in two places or more, with the two pivots of each; texts are distinct."""
-    every = written(_windows(texts, words, least, percent, hashes, kinds), "every")
-    # the least and the greatest text of a value are its pivots: in the first round in one order for all hash functions, so that they are the same where they hold the passage; then in an order for each
-    rank = F.xxhash64("t", F.col("key").bitwiseAND(15))
-    ends = [F.min("t").alias("lo"), F.max("t").alias("hi")] if kinds is None else [F.min_by("t", rank).alias("lo"), F.max_by("t", rank).alias("hi")]
-    keys = written(every.groupBy("key").agg(*ends, F.max("again").alias("again")).where("lo <> hi or again").select("key", "lo", "hi"), "keys")
-    near = written(every.select("key", "t", "c", "span").join(keys, "key"), "windows")  # nothing but a join of stored tables in its stage, so that Spark splits a hot value
-    discard(every)
-    discard(keys)
+def _near(every: DataFrame) -> DataFrame:
+    """(key, t, c, span, lo, hi, pivot): the windows of values that stand in two places or more.
+
+    Windows of one value and one kind can't be told apart by what may be shared; lo and hi are the first and the last of them, pivot the first lo of the value's windows that hold most.
+    """
+    place = F.struct("t", "c", "span")
+    kinds = written(every.groupBy("key", "kind").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.max("weight").alias("weight"), F.count("*").alias("n")), "kinds")
+    keys = written(kinds.groupBy("key").agg(F.min_by("lo", F.struct(-F.col("weight"), F.col("lo"))).alias("pivot"), F.sum("n").alias("n")).where("n > 1").select("key", "pivot"), "keys")
+    pivots = written(kinds.select("key", "kind", "lo", "hi").join(keys, "key"), "pivots")
+    near = written(every.select("key", "t", "c", "span", "kind").join(pivots, ["key", "kind"]), "windows")  # nothing but a join of stored tables in its stage, so that Spark splits a hot value
+    for table in (kinds, keys, pivots):
+        discard(table)
     return near
 
 
-def _uncovered(near: DataFrame, spans: DataFrame, words: int) -> DataFrame:
-    """The rows of near but those whose whole window lies in a verified passage that its text shares with its least pivot."""
-    cover = spans.where("t <> u").groupBy("t", F.col("u").alias("lo")).agg(F.collect_list(F.struct("start", "stop")).alias("cover"))
-    first, last = F.col("c") - F.shiftright("span", 16), F.col("c") + F.col("span").bitwiseAND(65535)
-    inside = F.exists("cover", lambda x: (x["start"] <= first) & (last + words <= x["stop"]))
-    return near.join(cover, ["t", "lo"], "left").where(~F.coalesce(inside, F.lit(False))).select(*near.columns)
-
-
-def _compared(near: DataFrame, texts: DataFrame, words: int, least: int, percent: int, enough: int) -> DataFrame:
-    """(t, u, start, stop): verified passages of the texts of near and their pivots."""
-    # a pivot stands with its first place of the key; its later ones are paired with that like any other's
-    own = [F.min(F.when(F.col("t") == F.col(p), F.struct("c", "span"))).alias(f"at_{p}") for p in ("lo", "hi")]
-    homes = written(near.where("t = lo or t = hi").groupBy("key").agg(*own), "homes")
-    met = near.join(homes, "key")
-    low = met.where("t <> lo or c > at_lo.c").select("key", F.col("t").alias("a"), F.col("lo").alias("p"), F.col("c").alias("ca"), F.col("span").alias("sa"), F.col("at_lo.c").alias("cb"), F.col("at_lo.span").alias("sb"))
-    high = met.where("t <> lo and (t <> hi or c > at_hi.c)").select("key", F.col("t").alias("a"), F.col("hi").alias("p"), F.col("c").alias("ca"), F.col("span").alias("sa"), F.col("at_hi.c").alias("cb"), F.col("at_hi.span").alias("sb"))
-    met = low.unionByName(high)
-    room = F.shiftleft(F.least(F.shiftright("sa", 16), F.shiftright("sb", 16)), 16) + F.least(F.col("sa").bitwiseAND(65535), F.col("sb").bitwiseAND(65535))
-    anchor = F.struct(F.col("key").bitwiseAND(15).cast("int").alias("i"), "ca", "cb", room.alias("span"))
-    wide = F.shiftright(room, 16) + room.bitwiseAND(65535) + 1 >= least
-    pairs = met.where(wide).groupBy("a", F.col("p").alias("b")).agg(F.collect_list(anchor).alias("anchors"))
-    pairs = written(pairs.where(F.size(F.array_distinct(F.transform("anchors", lambda x: x["i"]))) >= enough), "pairs")
+def _met(pairs: DataFrame, x: str, y: str, least: int) -> DataFrame:
+    """(a, b, i, ca, cb, span): the places x and y of each row of pairs as anchors of two texts, the lesser one first; but places of one text that are too near each other."""
+    x, y = F.least(x, y), F.greatest(x, y)
+    room = F.shiftleft(F.least(F.shiftright(x["span"], 16), F.shiftright(y["span"], 16)), 16) + F.least(x["span"].bitwiseAND(65535), y["span"].bitwiseAND(65535))
+    met = pairs.select(x["t"].alias("a"), y["t"].alias("b"), F.col("key").bitwiseAND(15).cast("int").alias("i"), x["c"].alias("ca"), y["c"].alias("cb"), room.alias("span"))
+    return met.where((F.shiftright("span", 16) + F.col("span").bitwiseAND(65535) + 1 >= least) & ((F.col("a") != F.col("b")) | (F.col("cb") - F.col("ca") >= least)))
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, verify) -> DataFrame:
+    """(t, u, start, stop): verified passages of the texts a and b of pairs, a stored table, by verify, which gets what else pairs has between their names and their texts."""
     ends = pairs.select(F.col("a").alias("t")).unionByName(pairs.select(F.col("b").alias("t"))).distinct()
     bodies = written(texts.select("t", "text").join(ends, "t", "left_semi"), "bodies")
-
     both = pairs.join(bodies.select(F.col("t").alias("a"), F.col("text").alias("ta")), "a").join(bodies.select(F.col("t").alias("b"), F.col("text").alias("tb")), "b")
-    spans = written(both.select("a", "b", "anchors", "ta", "tb").mapInArrow(_verify(words, least, percent, enough), "t long, u long, start long, stop long"), "spans")
-    for table in (homes, pairs, bodies):
-        discard(table)
+    spans = written(both.select(*pairs.columns, "ta", "tb").mapInArrow(verify, "t long, u long, start long, stop long"), "spans")
+    discard(bodies)
     return spans
 
 
-def _open(near: DataFrame, spans: DataFrame, words: int, least: int) -> DataFrame:
-    """(t, spans): the windows that the first pivot doesn't explain, of values whose texts weren't all compared with each other; what lies in no stretch of `least` tokens with the centre is left out."""
-    left = written(_uncovered(near, spans, words), "left")
-    pivot = F.col("t").isin(F.col("lo"), F.col("hi"))
-    stale = written(left.groupBy("key").agg(F.count_if(~pivot).alias("others"), F.count_if(pivot).alias("own")).where("others > 1 or own > 2").select("key"), "stale")
-    reach = F.lit(least - 1)
-    window = F.struct((F.col("c") - F.least(F.shiftright("span", 16), reach)).alias("first"), (F.col("c") + F.least(F.col("span").bitwiseAND(65535), reach) + 1).alias("last"))
-    out = written(left.join(stale, "key", "left_semi").groupBy("t").agg(F.collect_set(window).alias("spans")), "open")
-    discard(left)
-    discard(stale)
-    return out
+def _verify_all(words: int, least: int, percent: int):
+    """A function of Arrow batches (a, b, text of a, text of b) to (t, u, start, stop): all passages of t that u holds too; of one text, those that don't overlap."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in small_batches(batches, 1 << 20):
+            a, b = (batch.column(k).to_numpy() for k in (0, 1))
+            lists = []
+            for k in (2, 3):
+                h, where = shingles(*batch_bytes(batch.column(k)), words)
+                lists.append(np.split(h, np.searchsorted(where, np.arange(1, len(a)))))
+            parts = [(np.zeros(0, np.int64),) * 4]
+            for p, (x, y) in enumerate(zip(*lists, strict=True)):
+                for own, other, starts in zip((a[p], b[p]), (b[p], a[p]), alike(x, y, least, percent, least if a[p] == b[p] else 0), strict=True):
+                    _, start, stop = merged(np.zeros(len(starts), np.int64), starts, starts + least)
+                    parts.append((np.full(len(start), own), np.full(len(start), other), start, stop + words - 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*parts, strict=True)], ["t", "u", "start", "stop"])
+
+    return run
+
 
+def _first(near: DataFrame, least: int) -> DataFrame:
+    """Anchors (see _met) of each window with one of its kind, and of each kind with the pivot of its value."""
+    own = F.struct("t", "c", "span")
+    close = (F.col("t") == F.col("lo.t")) & (F.col("c") - F.col("lo.c") < least)
+    kin = near.select("key", own.alias("x"), F.when(close, F.col("hi")).otherwise(F.col("lo")).alias("y")).where("x <> y")
+    heads = near.where((F.col("t") == F.col("lo.t")) & (F.col("c") == F.col("lo.c")) & (F.col("lo") != F.col("pivot"))).select("key", F.col("lo").alias("x"), F.col("pivot").alias("y"))
+    met = _met(kin.unionByName(heads), "x", "y", least)
+    return met.groupBy("a", "b").agg(F.collect_set(F.struct("i", "ca", "cb", "span")).alias("anchors"))
 
-def passages(docs: DataFrame, least_words: int = 50, words: int = 5, percent: int = 80, hashes: int = 4, enough: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def _rest(every: DataFrame, spans: DataFrame, words: int) -> DataFrame:
+    """(a, b): all pairs of texts with a first shingle of a stretch in common, but those that can bring nothing new.
+
+    Nothing new: all stretches with that shingle lie in verified passages of both, and links join them already; or those of one do, none is odd, and it isn't the first or last text of their kind, which stand for it.
+    """
+    lone = ~F.col("odd") & (F.col("weight") == 1)
+    kind = F.when(lone, F.col("kind")).otherwise(F.xxhash64("t"))
+    kinds = written(every.groupBy("key", kind.alias("kind")).agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("*").alias("n"), F.max("weight").alias("m")), "kinds")
+    keys = written(kinds.groupBy("key").agg(F.sum("n").alias("n"), F.max("m").alias("m")).where("n > 1 or m > 1").select("key"), "keys")
+    kinds_ = written(kinds.select("key", "kind", "lo", "hi").join(keys, "key", "left_semi"), "kinds")
+    cover = _lists(spans).join(components(spans.select(F.col("t").alias("a"), F.col("u").alias("b"))).withColumnRenamed("node", "t"), "t", "left")
+    near = every.select("key", "t", "c", "far", "span", "weight", "odd", kind.alias("kind")).join(kinds_, ["key", "kind"]).withColumn("lone", lone)
+    inside = F.coalesce(F.exists("own", lambda x: (x["start"] <= F.col("c") - F.shiftright("span", 16)) & (F.col("far") + words <= x["stop"])), F.lit(False))
+    # a text that no link joins with another has no root
+    label = F.when(inside, F.coalesce("root", "t"))
+    rows = near.join(cover, "t", "left").withColumn("label", label).where("not lone or t in (lo, hi) or label is null").select("key", "t", "label", (F.col("weight") > 1).alias("again"))
+    rows = written(rows, "rest")
+    open_ = written(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("l"), F.max("label").alias("m"), F.count("label").alias("k"), F.max("again").alias("again")).where("(n > 1 or again) and (k < n or l <> m)").select("key"), "open")
+    left = written(rows.join(open_, "key", "left_semi"), "left")
+    other = left.select("key", F.col("t").alias("b"), F.col("label").alias("other"))
+    met = left.withColumnRenamed("t", "a").join(other, "key").where("(a < b or a = b and again) and not coalesce(label = other, false)")
+    met = written(met.select("a", "b").distinct(), "met")
+    for table in (kinds, keys, kinds_, rows, open_, left):
+        discard(table)
+    return met
+
+
+def _lists(spans: DataFrame) -> DataFrame:
+    """(t, own): the stretches of each text joined where they meet, in order."""
+    lists = spans.select("t", "start", "stop").groupBy("t").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("own"))
+    last = lambda acc: F.element_at(acc, -1)
+    joined = F.aggregate("own", F.array().cast("array<struct<start:bigint,stop:bigint>>"), lambda acc, x: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["stop"] >= x["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["stop"], x["stop"]).alias("stop"))))).otherwise(F.array_append(acc, x)))
+    return lists.select("t", joined.alias("own"))
+
+
+def passages(docs: DataFrame, least_words: int = 50, words: int = 5, percent: int = 80, hashes: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start_word, end_word, class_id: maximal stretches of words with a near-duplicate elsewhere.
 
     A near-duplicate is a stretch of at least `least_words` words whose sets of `words`-word shingles have a Jaccard similarity of
     percent / 100 or more. Documents that such passages join, directly or not, have one class_id, the smallest of their ids.
 
-    Equal texts are one. Each text's compact windows under some hash functions go by hash value, so one
-    window stands for all the stretches with that min-hash. Texts of one value are paired with two texts of
-    it, the same for all hash functions where possible, not with each other, so pairs grow with the
-    rows. Where that leaves windows of a value unexplained, a second round goes over those windows: it counts in how many
-    texts each of their shingles is, and names a stretch by a shingle that a few texts share, if it has one, else by a common one; pivots are
-    others for each hash function. A pair goes to verification where the windows of `enough` functions overlap; every passage that
-    is returned has passed the comparison of its sets.
+    Equal texts are one. Shingles are counted first, so that only stretches enough of whose shingles stand elsewhere too go on. Compact windows of those
+    under some hash functions go by hash value, so one window stands for all the stretches with that min-hash. Windows of a value that can't be told apart by
+    what may be shared are paired with the first of them, which is paired with the value's pivot. What that misses is made up for: all pairs of texts that share one of the first
+    shingles of a stretch, rare ones first, are compared by all their stretches of `least_words` words, unless both lie wholly in passages that were
+    verified, of texts that links join already. Every passage that is returned has passed the comparison of its sets.
 
     Null, empty and short texts have no passages and so no rows. Texts that repeat whole, of `least_words` words or more, are passages of each other.
     A very long text is read whole by one task, at about 60 bytes of memory for each of its bytes.
@@ -439,20 +605,23 @@ def passages(docs: DataFrame, least_words: int = 50, words: int = 5, percent: in
     owners = written(_word_counts(rows).where(F.col("n") >= least_words), "owners")
     copies = owners.groupBy("t").agg(F.count("*").alias("m"), F.min("doc_id").alias("d"), F.max("n").alias("n"))
     long = rows.select("t", "text").where(F.octet_length("text") >= 2 * least_words - 1)
-    texts = written(long.dropDuplicates(["t"]), "distinct")
-    near = _near(texts, words, least, percent, hashes)
-    spans = _compared(near, texts, words, least, percent, enough)
-    open_ = _open(near, spans, words, least)
+    groups = max(1, (long.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // GROUP)
+    texts = written(long.dropDuplicates(["t"]).withColumn("g", F.pmod(F.xxhash64("t", F.lit(4)), F.lit(groups))), "distinct")
+    every = written(_windows(texts, words, least, percent, hashes), "every")
+    prefix = F.col("key").bitwiseAND(15) == hashes
+    near = _near(every.where(~prefix))
+    pairs = written(_first(near, least), "pairs")
     discard(near)
-    texts = written(texts.join(open_, "t"), "texts")
-    near = _near(texts, words, least, percent, hashes, _kinds(texts, words))
-    spans = spans.unionByName(_compared(near, texts, words, least, percent, enough))
+    spans = _compared(pairs, texts, _verify(words, least, percent, 1))
+    discard(pairs)
+    pairs = _rest(every.where(prefix), spans, words)
+    discard(every)
+    spans = spans.unionByName(_compared(pairs, texts, _verify_all(words, least, percent)))
+    discard(pairs)
     star = components(spans.select(F.col("t").alias("a"), F.col("u").alias("b")))
     whole = copies.where("m > 1").select("t", F.lit(0).cast("bigint").alias("start"), F.col("n").cast("bigint").alias("stop"))
-    lists = spans.select("t", "start", "stop").unionByName(whole).groupBy("t").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("own"))
-    last = lambda acc: F.element_at(acc, -1)
-    joined = F.aggregate("own", F.array().cast("array<struct<start:bigint,stop:bigint>>"), lambda acc, x: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["stop"] >= x["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["stop"], x["stop"]).alias("stop"))))).otherwise(F.array_append(acc, x)))
-    lists = lists.select("t", joined.alias("own")).join(star.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
+    lists = _lists(spans.select("t", "start", "stop").unionByName(whole))
+    lists = lists.join(star.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
     found = owners.select("doc_id", "t").join(lists, "t")
     names = lists.select("t", "root").join(copies.select("t", "d"), "t").groupBy("root").agg(F.min("d").alias("class_id"))
     return found.join(names, "root").select("doc_id", "class_id", F.explode("own").alias("x")).select("doc_id", F.col("x.start").alias("start_word"), F.col("x.stop").alias("end_word"), "class_id")

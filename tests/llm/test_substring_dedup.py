@@ -193,3 +193,76 @@ def test_a_block_of_equal_stretches_leaves_nothing_open():
     one = np.array([0]), np.array([0], np.int32), np.array([20]), np.array([20]), np.array([40 << 16 | 40])
     got = matched(tokens, np.array([0, 40, 80]), np.array([0]), np.array([1]), *one, 10, 80, 1)
     assert [x.tolist() for x in got] == [[0], [11], [30], [11], [30]]
+
+
+def test_chains_of_copies_keep_every_link(spark):
+    """Chains of texts that are each one word off the one before, the new words of some of them shared with other chains, so that ends are no near-duplicates of each other; and variants of one passage that link with its altered copies alone."""
+    rng = random.Random(5)
+    prose = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    chains, common = [], prose(12)
+    for k in range(12):
+        chain = [prose(70)]
+        for _ in range(9):
+            own = list(chain[-1])
+            own[rng.randrange(70)] = rng.choice(common) if k % 2 else prose(1)[0]
+            chain.append(own)
+        chains += chain
+    hot = prose(60)
+    for k in range(30):
+        own = list(hot)
+        own[20 + k % 2 * 15] = f"variant{k % 2}"
+        chains.append([*own, *prose(1)] if k % 3 else own)
+    rng.shuffle(chains)
+    texts = [" ".join([*prose(5), *own, *prose(5)]) for own in chains]
+    want, got = _linked_stretches(texts), {}
+    for r in passages(docs(spark, texts)).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    root = list(range(len(texts)))
+
+    def top(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    words = {}
+    for (a, b), own in want.items():
+        a_, b_ = sorted((top(a), top(b)))
+        root[b_] = a_
+        for d, w in zip((a, b), own, strict=True):
+            words.setdefault(d, set()).update(w)
+    assert len(want) > 200
+    assert {d: {k for r in rows for k in range(r["start_word"], r["end_word"])} for d, rows in got.items()} == words
+    assert {d: {r["class_id"] for r in rows} for d, rows in got.items()} == {d: {top(d)} for d in words}
+
+
+def test_runs_of_one_word_are_compared_as_sets_at_every_distance(spark):
+    rng = random.Random(9)
+    prose = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    pool, texts = prose(4), []
+    for _ in range(24):
+        own = [w for _ in range(rng.randint(4, 9)) for w in [rng.choice(pool)] * rng.randint(8, 20)]
+        texts.append(" ".join([*prose(5), *own * rng.choice([1, 1, 2]), *prose(5)]))
+    owner, start, sets = [], [], []
+    for d, t in enumerate(map(str.split, texts)):
+        for s in range(len(t) - 49):
+            owner.append(d), start.append(s), sets.append({tuple(t[k : k + 5]) for k in range(s, s + 46)})
+    names = {x: k for k, x in enumerate(set().union(*sets))}
+    held = np.zeros((len(sets), len(names)), np.float32)
+    for k, x in enumerate(sets):
+        held[k, [names[y] for y in x]] = 1
+    owner, start, size = np.array(owner), np.array(start), held.sum(1)
+    both = held @ held.T
+    near = (100 * both >= 80 * (size[:, None] + size - both)) & ((owner[:, None] != owner) | (abs(start[:, None] - start) >= 46))
+    words, root = {}, np.arange(len(texts))
+    for k in np.flatnonzero(near.any(1)):
+        words.setdefault(int(owner[k]), set()).update(range(start[k], start[k] + 50))
+    linked = np.zeros((len(texts), len(texts)), bool)
+    np.logical_or.at(linked, (owner[np.nonzero(near)[0]], owner[np.nonzero(near)[1]]), True)
+    for _ in texts:
+        root = np.minimum(root, np.where(linked, root, len(texts)).min(1))
+    got = {}
+    for r in passages(docs(spark, texts)).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    assert len(words) > 15
+    assert {d: {k for r in rows for k in range(r["start_word"], r["end_word"])} for d, rows in got.items()} == words
+    assert {d: {r["class_id"] for r in rows} for d, rows in got.items()} == {d: {root[d]} for d in words}
