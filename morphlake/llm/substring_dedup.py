@@ -75,14 +75,14 @@ def promising(some: np.ndarray, repeats: np.ndarray, run: np.ndarray, least: int
     return np.cumsum(edge[:-1]) > 0
 
 
-def leading(g: np.ndarray, least: int, percent: int, odd: np.ndarray) -> np.ndarray:
-    """Which tokens are among the first of a stretch of `least` tokens, by g, of which two near-duplicates always share one.
+def leading(g: np.ndarray, least: int, percent: int, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, start, start): the tokens that are among the first of a stretch of `least` tokens, by g, of which two near-duplicates always share one, with the first and the last such stretch.
 
     Tokens with the greatest g stand in one place: they come first in every stretch and are shared by none. Of the others as many distinct ones count as can be missing, and
     one more. odd: which stretches are bounded by percent / 100 of their own tokens alone.
     """
     none = np.uint64(2**64 - 1)
-    out = np.zeros(len(g), bool)
+    low, high = np.full(len(g), len(g)), np.full(len(g), -1)
     strong = -(-2 * percent * least // (100 + percent))
     for at in range(0, len(g) - least + 1, 1 << 14):
         own = np.arange(at, min(at + (1 << 14), len(g) - least + 1))
@@ -98,8 +98,11 @@ def leading(g: np.ndarray, least: int, percent: int, odd: np.ndarray) -> np.ndar
         fine = most > 0
         bound = np.take_along_axis(order[fine], most[fine, None] - 1, axis=1)
         which, k = np.nonzero(rows[fine] <= bound)
-        out[own[fine][which] + k] = True
-    return out
+        start = own[fine][which]
+        np.minimum.at(low, start + k, start)
+        np.maximum.at(high, start + k, start)
+    out = np.flatnonzero(high >= 0)
+    return out, low[out], high[out]
 
 
 def distinct(x: np.ndarray, some: np.ndarray, starts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,41 +120,140 @@ def distinct(x: np.ndarray, some: np.ndarray, starts: np.ndarray, least: int) ->
     return size, held
 
 
-def alike(x: np.ndarray, y: np.ndarray, least: int, percent: int, apart: int = 0, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """The starts of all stretches of `least` tokens of x, and of y, that have a near-duplicate in the other list; with apart only at least so far from it (x and y being one list)."""
-    _, code = np.unique(np.concatenate([x, y]), return_inverse=True)
-    kinds = int(code.max()) + 1
-    x, y = code[: len(x)], code[len(x) :]
+class Stretches:
+    """A list of tokens, by their code, with what is known of its stretches of `least` tokens: distinct tokens of each, and a hash of its set, where nothing but sets counts."""
+
+    def __init__(self, code: np.ndarray, names: np.ndarray, least: int):
+        n = max(0, len(code) - least + 1)
+        self.code, self.least, self.n = code, least, n
+        order = np.argsort(code, kind="stable")
+        same = code[order[1:]] == code[order[:-1]]
+        before, after = np.full(len(code), -1), np.full(len(code), 2 * len(code) + least)
+        before[order[1:][same]], after[order[:-1][same]] = order[:-1][same], order[1:][same]
+        place = np.arange(len(code))
+        #: which tokens are new to the stretch that ends with them, and lost to the one after that which begins with them
+        self.enters, self.leaves = before <= place - least, after >= place + least
+        self.repeats = bool(n) and not (self.enters.all() and self.leaves.all())
+        self.first = before[:least] < 0
+        self.size = self.sums(np.ones(len(code), np.int64))
+        self.set = self.sums(names[code])
+
+    def sums(self, weight: np.ndarray) -> np.ndarray:
+        """The sum over each stretch's distinct tokens."""
+        least, n = self.least, self.n
+        if not n:
+            return weight[:0]
+        step = np.empty(n, weight.dtype)
+        if self.repeats:
+            step[0] = weight[:least][self.first].sum(dtype=weight.dtype)
+            step[1:] = weight[least:] * self.enters[least:] - weight[: n - 1] * self.leaves[: n - 1]
+        else:
+            step[0] = weight[:least].sum(dtype=weight.dtype)
+            step[1:] = weight[least:] - weight[: n - 1]
+        return np.cumsum(step, dtype=weight.dtype)
+
+
+def _facing(x: Stretches, y: Stretches, s: np.ndarray, hit: np.ndarray, met: np.ndarray, at: np.ndarray, percent: int, most: int = 8) -> None:
+    """Marks stretches that repeat no token and of which enough tokens face their like at one of the distances that most tokens have. at: a place in y of each token, or -1."""
+    least, places = x.least, np.zeros(len(x.code) + 1, np.int64)
+    for tried in range(most):
+        open_ = s[~hit[s] & (x.size[s] == least)]
+        if not len(open_):
+            return
+        if not tried:
+            places[open_] += 1
+            np.subtract.at(places, open_ + least, 1)
+            own = np.flatnonzero(np.cumsum(places[:-1]) > 0)
+            to = at[x.code[own]]
+            far, often = np.unique((to - own)[to >= 0], return_counts=True)
+            order = np.argsort(-often, kind="stable")[:most]
+            far = far[order][often[order] >= least // 2].tolist()
+        if tried >= len(far):
+            return
+        d = far[tried]
+        lo, hi = max(0, -d), min(len(x.code), len(y.code) - d)
+        if hi - lo < least:
+            continue
+        total = np.concatenate([[0], np.cumsum(x.code[lo:hi] == y.code[lo + d : hi + d])])
+        both = total[least:] - total[:-least]
+        k = np.flatnonzero((100 + percent) * both >= 2 * percent * least) + lo
+        k = k[(x.size[k] == least) & (y.size[k + d] == least)]
+        hit[k] = met[k + d] = True
+
+
+def alike(x: Stretches, y: Stretches, percent: int, at: np.ndarray, apart: int = 0, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """The starts of all stretches of x, and of y, that have a near-duplicate in the other list; with apart only at least so far from it (x and y being one list).
+
+    at has -1 for every code, and has so again afterwards. Stretches of one set are one, in which its first and last places count. Stretches that are found by equal sets or
+    by tokens that face each other need no more comparison; all others are compared with every stretch that may be near.
+    """
+    least, none = x.least, np.zeros(0, np.int64)
+    if not x.n or not y.n:
+        return none, none
     ends = []
     for own, other in ((x, y), (y, x)):
-        mark = np.zeros(kinds, bool)
-        mark[other] = True
-        starts = np.arange(len(own) - least + 1)
-        total = np.concatenate([[0], np.cumsum(mark[own])])
-        starts = starts[total[least:] > total[:-least]]
-        size, held = distinct(own, mark[own], starts, least)
-        fine = 100 * held >= percent * size
-        ends.append((starts[fine], size[fine], np.zeros(int(fine.sum()), bool)))
-    (s, m, hit), (u, n, met) = ends
-    for i in range(0, len(s), block):
-        own = x[s[i : i + block, None] + np.arange(least)]
-        for j in range(0, len(u), block):
-            other = y[u[j : j + block, None] + np.arange(least)]
-            names = np.intersect1d(own, other)
-            if not len(names):
-                continue
-            at = np.full(kinds, len(names))
-            at[names] = np.arange(len(names))
-            left, right = np.zeros((len(own), len(names) + 1), np.float32), np.zeros((len(other), len(names) + 1), np.float32)
-            left[np.arange(len(own))[:, None], at[own]] = 1
-            right[np.arange(len(other))[:, None], at[other]] = 1
-            both = left[:, :-1] @ right[:, :-1].T
-            near = 100 * both >= percent * (m[i : i + block, None] + n[None, j : j + block] - both)
-            if apart:
-                near &= abs(s[i : i + block, None] - u[None, j : j + block]) >= apart
-            hit[i : i + block] |= near.any(1)
-            met[j : j + block] |= near.any(0)
-    return s[hit], u[met]
+        at[other.code] = 0
+        held = own.sums((at[own.code] == 0).astype(np.int64)) if not apart else own.size
+        at[other.code] = -1
+        ends.append((held, 100 * held >= percent * own.size))
+    (held, fine), (kept, good) = ends
+    if not fine.any() or not good.any():
+        return none, none
+    fine, good = fine & ((100 + percent) * held >= percent * (x.size + y.size[good].min())), good & ((100 + percent) * kept >= percent * (y.size + x.size[fine].min()))
+    s, u = np.flatnonzero(fine), np.flatnonzero(good)
+    if not len(s) or not len(u):
+        return none, none
+    hit, met = np.zeros(x.n, bool), np.zeros(y.n, bool)
+    if not apart:
+        at[y.code] = np.arange(len(y.code))
+        _facing(x, y, s, hit, met, at, percent)
+        at[y.code] = -1
+    # sets of either side, with their first and last places
+    a, one, of = np.unique(x.set[s], return_index=True, return_inverse=True)
+    b, two, by = np.unique(y.set[u], return_index=True, return_inverse=True)
+    low, high = u[two], np.zeros(len(b), np.int64)
+    np.maximum.at(high, by, u)
+    if not apart:
+        hit[s] |= np.isin(a, b, assume_unique=True)[of]
+        met[u] |= np.isin(b, a, assume_unique=True)[by]
+    else:
+        hit[s] = (high[of] - s >= apart) | (s - low[of] >= apart)
+        met = hit
+    lack, want = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    lack[of[~hit[s]]] = True
+    want[by[~met[u]]] = True
+    one, two = s[one], u[two]
+    least_at, most_at = np.full(len(a), 1 << 60), np.full(len(a), -1)
+    back = np.zeros(len(b), bool)
+    sides = [(np.flatnonzero(lack), np.arange(len(b)))]
+    if not apart:
+        sides.append((np.flatnonzero(~lack), np.flatnonzero(want)))
+    for own, other in sides:
+        for i in range(0, len(own), block):
+            k = own[i : i + block]
+            left_rows = x.code[one[k][:, None] + np.arange(least)]
+            for j in range(0, len(other), block):
+                m = other[j : j + block]
+                rows = y.code[two[m][:, None] + np.arange(least)]
+                at[left_rows] = 0
+                names = np.unique(rows[at[rows] == 0])
+                at[left_rows] = -1
+                if not len(names):
+                    continue
+                at[names] = np.arange(len(names))
+                left, right = np.zeros((len(k), len(names) + 1), np.float32), np.zeros((len(m), len(names) + 1), np.float32)
+                left[np.arange(len(k))[:, None], at[left_rows]] = 1
+                right[np.arange(len(m))[:, None], at[rows]] = 1
+                at[names] = -1
+                both = left[:, :-1] @ right[:, :-1].T
+                near = 100 * both >= percent * (x.size[one[k]][:, None] + y.size[two[m]][None] - both)
+                most_at[k] = np.maximum(most_at[k], np.where(near, high[m], -1).max(1))
+                least_at[k] = np.minimum(least_at[k], np.where(near, low[m], 1 << 60).min(1))
+                back[m] |= near.any(0)
+    hit[s] |= (most_at[of] >= 0) & ((most_at[of] - s >= apart) | (s - least_at[of] >= apart)) if apart else most_at[of] >= 0
+    if not apart:
+        met[u] |= back[by]
+    return np.flatnonzero(hit), np.flatnonzero(met)
 
 
 def _sorted(table):
@@ -213,8 +315,8 @@ def _windows(texts: DataFrame, words: int, least: int, percent: int, hashes: int
 
     key names hash function and value; span packs centre - left and right - centre, no further than a stretch with the centre reaches; kind: a hash of the shingles there that stand elsewhere
     too, and of their places about the centre; weight: how many those are; odd: whether a stretch there is bounded by percent / 100 alone. Shingles of one place can't be
-    shared and come last in each order. Function number `hashes` has, instead of minima, all shingles that are among the first of a stretch (see leading), rare ones first, in one row
-    for all places of a text: c is the first, far the end of what the stretches with the last one reach, and weight the number of places.
+    shared and come last in each order. Function number `hashes` has, instead of minima, all shingles that are among the first of a stretch (see leading), rare ones first; span reaches over the stretches where they are, in one
+    row for places of a text whose stretches overlap: c is the place of the first stretch, far the last that one of them reaches, and weight the number of the shingle's places in the text.
     """
     import pyarrow as pa
 
@@ -249,8 +351,6 @@ def _windows(texts: DataFrame, words: int, least: int, percent: int, hashes: int
         held_sum = np.concatenate([[0], np.cumsum(held)])
         up, down = powers(wide), powers(wide, np.uint64(pow(int(BASE), -1, 2**64)))
         body = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.where(held > 0, mixed(token), 0).astype(np.uint64) * up[:wide])])
-        edges = np.flatnonzero(np.diff(own, prepend=-1))
-        run_first, run_last = place[edges], np.append(place[edges[1:] - 1], place[-1:])
         parts = []
         for i in range(hashes + 1):
             g = mixed(token + np.uint64((i % hashes + 1) * 0x9E3779B97F4A7C15 & 2**64 - 1)) & ~np.uint64(15) | np.uint64(16)
@@ -263,9 +363,8 @@ def _windows(texts: DataFrame, words: int, least: int, percent: int, hashes: int
                 real = (g[c] > 0) & (held[c] > 0)
                 left, c, right = left[real], c[real], right[real]
             else:
-                c = np.flatnonzero(leading(g, least, percent, odd))
-                k = own[at[c]]
-                left, right = run_first[k], run_last[k]
+                c, left, right = leading(g, least, percent, odd)
+                right = right + least - 1
             left, right = np.maximum(left, c - least + 1), np.minimum(right, c + least - 1)
             kind = mixed((body[right + 1] - body[left]) * down[c] + ((c - left) << 16 | (right - c)).astype(np.uint64))
             # stretches that hold the centre
@@ -273,11 +372,17 @@ def _windows(texts: DataFrame, words: int, least: int, percent: int, hashes: int
             doc, key = text[at[c]], g[c] & ~np.uint64(15) | np.uint64(i)
             first, reach, weight = fine[at[c]] - begin[doc], fine[at[c]] - begin[doc] + right - c, held_sum[right + 1] - held_sum[left]
             if i == hashes and len(c):
-                order = np.lexsort((first, key, doc))
-                new = np.flatnonzero((np.diff(doc[order], prepend=-1) != 0) | (np.diff(key[order], prepend=~key[order[:1]]) != 0))
-                reach, weight = reach[order[np.append(new[1:], len(c)) - 1]], np.diff(np.append(new, len(c)))
-                lead = order[new]
-                doc, key, first, kind, strange, left, right, c = doc[lead], key[lead], first[lead], kind[lead], strange[lead], left[lead], right[lead], c[lead]
+                order = np.lexsort((first - (c - left), key, doc))
+                doc, key, kind, strange, left, right, c, first, reach = (x[order] for x in (doc, key, kind, strange, left, right, c, first, reach))
+                other = (np.diff(doc, prepend=-1) != 0) | (np.diff(key, prepend=~key[:1]) != 0)
+                group = np.cumsum(other) - 1
+                # places of a text whose stretches overlap are one row
+                high = int(reach.max()) + 2
+                far = np.maximum.accumulate(group * high + reach)
+                new = np.flatnonzero(other | np.append(True, group[1:] * high + (first - (c - left))[1:] > far[:-1]))
+                weight = np.bincount(group)[group[new]]
+                reach = np.maximum.reduceat(reach, new)
+                doc, key, first, kind, left, right, c, strange = doc[new], key[new], first[new], kind[new], left[new], right[new], c[new], np.logical_or.reduceat(strange, new)
             parts.append((key.view(np.int64), names[doc], first.astype(np.int32), reach.astype(np.int32), ((c - left) << 16 | (right - c)).astype(np.int32), kind.view(np.int64), weight.astype(np.int32), strange))
         return pa.table([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["key", "t", "c", "far", "span", "kind", "weight", "odd"])
 
@@ -498,12 +603,31 @@ def _near(every: DataFrame) -> DataFrame:
     return near
 
 
-def _met(pairs: DataFrame, x: str, y: str, least: int) -> DataFrame:
-    """(a, b, i, ca, cb, span): the places x and y of each row of pairs as anchors of two texts, the lesser one first; but places of one text that are too near each other."""
-    x, y = F.least(x, y), F.greatest(x, y)
-    room = F.shiftleft(F.least(F.shiftright(x["span"], 16), F.shiftright(y["span"], 16)), 16) + F.least(x["span"].bitwiseAND(65535), y["span"].bitwiseAND(65535))
-    met = pairs.select(x["t"].alias("a"), y["t"].alias("b"), F.col("key").bitwiseAND(15).cast("int").alias("i"), x["c"].alias("ca"), y["c"].alias("cb"), room.alias("span"))
-    return met.where((F.shiftright("span", 16) + F.col("span").bitwiseAND(65535) + 1 >= least) & ((F.col("a") != F.col("b")) | (F.col("cb") - F.col("ca") >= least)))
+def _met(least: int):
+    """A function of Arrow batches of near windows (see _near) to anchors (a, b, i, ca, cb, span) of two texts, the lesser place first: each window with one of its kind, and each kind
+    with the pivot of its value; but places of one text that are too near each other."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            key, *fields = (batch.column(k).to_numpy() for k in range(13))
+            own, lo, hi, pivot = (fields[k : k + 3] for k in range(0, 12, 3))
+            close = (own[0] == lo[0]) & (own[1] - lo[1] < least)
+            head = (own[0] == lo[0]) & (own[1] == lo[1])
+            kin = [np.where(close, x, y) for x, y in zip(hi, lo, strict=True)]
+            parts = []
+            for x, y, some in ((own, kin, np.ones(len(key), bool)), (lo, pivot, head)):
+                some &= (x[0] != y[0]) | (x[1] != y[1]) | (x[2] != y[2])
+                x, y, i = [v[some] for v in x], [v[some] for v in y], (key[some] & 15).astype(np.int32)
+                swap = (x[0] > y[0]) | (x[0] == y[0]) & ((x[1] > y[1]) | (x[1] == y[1]) & (x[2] > y[2]))
+                (a, ca, sa), (b, cb, sb) = ([np.where(swap, v, u) for u, v in zip(*two, strict=True)] for two in ((x, y), (y, x)))
+                left, right = np.minimum(sa >> 16, sb >> 16), np.minimum(sa & 65535, sb & 65535)
+                fine = (left + right + 1 >= least) & ((a != b) | (cb - ca >= least))
+                parts.append([v[fine] for v in (a, b, i, ca, cb, left << 16 | right)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["a", "b", "i", "ca", "cb", "span"])
+
+    return run
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, verify) -> DataFrame:
@@ -523,14 +647,17 @@ def _verify_all(words: int, least: int, percent: int):
         import pyarrow as pa
 
         for batch in small_batches(batches, 1 << 20):
-            a, b = (batch.column(k).to_numpy() for k in (0, 1))
-            lists = []
-            for k in (2, 3):
-                h, where = shingles(*batch_bytes(batch.column(k)), words)
-                lists.append(np.split(h, np.searchsorted(where, np.arange(1, len(a)))))
+            n = batch.num_rows
+            names = np.concatenate([batch.column(k).to_numpy() for k in (0, 1)])
+            _, one, of = np.unique(names, return_index=True, return_inverse=True)
+            texts = pa.concat_arrays([batch.column(k).cast(pa.large_string()) for k in (2, 3)]).take(pa.array(one))
+            h, where = shingles(*batch_bytes(texts), words)
+            kinds, code = np.unique(h, return_inverse=True)
+            kinds, at = mixed(kinds), np.full(len(kinds), -1)
+            lists = [Stretches(x, kinds, least) for x in np.split(code, np.searchsorted(where, np.arange(1, len(one))))]
             parts = [(np.zeros(0, np.int64),) * 4]
-            for p, (x, y) in enumerate(zip(*lists, strict=True)):
-                for own, other, starts in zip((a[p], b[p]), (b[p], a[p]), alike(x, y, least, percent, least if a[p] == b[p] else 0), strict=True):
+            for p, (a, b) in enumerate(zip(of[:n].tolist(), of[n:].tolist(), strict=True)):
+                for own, other, starts in zip((names[p], names[p + n]), (names[p + n], names[p]), alike(lists[a], lists[b], percent, at, least if a == b else 0), strict=True):
                     _, start, stop = merged(np.zeros(len(starts), np.int64), starts, starts + least)
                     parts.append((np.full(len(start), own), np.full(len(start), other), start, stop + words - 1))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*parts, strict=True)], ["t", "u", "start", "stop"])
@@ -538,39 +665,60 @@ def _verify_all(words: int, least: int, percent: int):
     return run
 
 
+def _gathered(batches):
+    """Arrow batches (a, b, i, ca, cb, span) to (a, b, anchors), a row for each pair, or some for one with very many anchors."""
+    import pyarrow as pa
+
+    def rows(parts):
+        a, b, *anchor = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((*anchor[::-1], b, a))
+        a, b, *anchor = (x[order] for x in (a, b, *anchor))
+        new = (np.diff(a, prepend=~a[:1]) != 0) | (np.diff(b, prepend=~b[:1]) != 0)
+        keep = np.flatnonzero(new | np.logical_or.reduce([np.diff(x, prepend=x[:1]) != 0 for x in anchor]))
+        first = np.flatnonzero(new[keep])
+        structs = pa.StructArray.from_arrays([pa.array(x[keep]) for x in anchor], ["i", "ca", "cb", "span"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(keep)).astype(np.int32)), structs)
+        return pa.RecordBatch.from_arrays([pa.array(a[keep[first]]), pa.array(b[keep[first]]), lists], ["a", "b", "anchors"])
+
+    parts, held = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            parts.append([batch.column(k).to_numpy() for k in range(6)])
+            held += batch.num_rows
+        if held >= 1 << 22:
+            yield from small_batches([rows(parts)])
+            parts, held = [], 0
+    if parts:
+        yield from small_batches([rows(parts)])
+
+
 def _first(near: DataFrame, least: int) -> DataFrame:
-    """Anchors (see _met) of each window with one of its kind, and of each kind with the pivot of its value."""
-    own = F.struct("t", "c", "span")
-    close = (F.col("t") == F.col("lo.t")) & (F.col("c") - F.col("lo.c") < least)
-    kin = near.select("key", own.alias("x"), F.when(close, F.col("hi")).otherwise(F.col("lo")).alias("y")).where("x <> y")
-    heads = near.where((F.col("t") == F.col("lo.t")) & (F.col("c") == F.col("lo.c")) & (F.col("lo") != F.col("pivot"))).select("key", F.col("lo").alias("x"), F.col("pivot").alias("y"))
-    met = _met(kin.unionByName(heads), "x", "y", least)
-    return met.groupBy("a", "b").agg(F.collect_set(F.struct("i", "ca", "cb", "span")).alias("anchors"))
+    """(a, b, anchors): the anchors (see _met) of pairs of texts."""
+    places = near.select("key", "t", "c", "span", *(F.col(f"{x}.{f}").alias(f"{x}_{f}") for x in ("lo", "hi", "pivot") for f in ("t", "c", "span")))
+    met = places.mapInArrow(_met(least), "a long, b long, i int, ca int, cb int, span int")
+    return met.repartition("a", "b").mapInArrow(_gathered, "a long, b long, anchors array<struct<i:int,ca:int,cb:int,span:int>>")
 
 
 def _rest(every: DataFrame, spans: DataFrame, words: int) -> DataFrame:
     """(a, b): all pairs of texts with a first shingle of a stretch in common, but those that can bring nothing new.
 
-    Nothing new: all stretches with that shingle lie in verified passages of both, and links join them already; or those of one do, none is odd, and it isn't the first or last text of their kind, which stand for it.
+    Nothing new: all stretches where that shingle is among the first lie in verified passages of both, and links join them already. Of texts in which those stretches are of one kind, none odd, and
+    lie in verified passages that links join, the first and the last stand for all.
     """
-    lone = ~F.col("odd") & (F.col("weight") == 1)
-    kind = F.when(lone, F.col("kind")).otherwise(F.xxhash64("t"))
-    kinds = written(every.groupBy("key", kind.alias("kind")).agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("*").alias("n"), F.max("weight").alias("m")), "kinds")
-    keys = written(kinds.groupBy("key").agg(F.sum("n").alias("n"), F.max("m").alias("m")).where("n > 1 or m > 1").select("key"), "keys")
-    kinds_ = written(kinds.select("key", "kind", "lo", "hi").join(keys, "key", "left_semi"), "kinds")
+    keys = written(every.groupBy("key").agg(F.count("*").alias("n"), F.max("weight").alias("m")).where("n > 1 or m > 1").select("key"), "keys")
     cover = _lists(spans).join(components(spans.select(F.col("t").alias("a"), F.col("u").alias("b"))).withColumnRenamed("node", "t"), "t", "left")
-    near = every.select("key", "t", "c", "far", "span", "weight", "odd", kind.alias("kind")).join(kinds_, ["key", "kind"]).withColumn("lone", lone)
     inside = F.coalesce(F.exists("own", lambda x: (x["start"] <= F.col("c") - F.shiftright("span", 16)) & (F.col("far") + words <= x["stop"])), F.lit(False))
     # a text that no link joins with another has no root
-    label = F.when(inside, F.coalesce("root", "t"))
-    rows = near.join(cover, "t", "left").withColumn("label", label).where("not lone or t in (lo, hi) or label is null").select("key", "t", "label", (F.col("weight") > 1).alias("again"))
-    rows = written(rows, "rest")
+    near = every.join(keys, "key", "left_semi").join(cover, "t", "left").withColumn("label", F.when(inside, F.coalesce("root", "t")))
+    kind = F.when(~F.col("odd") & (F.col("weight") == 1) & F.col("label").isNotNull(), F.col("kind")).otherwise(F.xxhash64("t"))
+    kinds = near.groupBy("key", kind.alias("kind"), "label").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.max(F.col("weight") > 1).alias("again"))
+    rows = written(kinds.select("key", "label", "again", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("t")), "rest")
     open_ = written(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("l"), F.max("label").alias("m"), F.count("label").alias("k"), F.max("again").alias("again")).where("(n > 1 or again) and (k < n or l <> m)").select("key"), "open")
     left = written(rows.join(open_, "key", "left_semi"), "left")
     other = left.select("key", F.col("t").alias("b"), F.col("label").alias("other"))
     met = left.withColumnRenamed("t", "a").join(other, "key").where("(a < b or a = b and again) and not coalesce(label = other, false)")
     met = written(met.select("a", "b").distinct(), "met")
-    for table in (kinds, keys, kinds_, rows, open_, left):
+    for table in (keys, rows, open_, left):
         discard(table)
     return met
 
