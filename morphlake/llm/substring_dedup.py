@@ -181,7 +181,45 @@ def _facing(x: Stretches, y: Stretches, s: np.ndarray, hit: np.ndarray, met: np.
         hit[k] = met[k + d] = True
 
 
-def alike(x: Stretches, y: Stretches, percent: int, at: np.ndarray, apart: int = 0, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+def _meetings(x: Stretches, y: Stretches, own: np.ndarray, one: np.ndarray, two: np.ndarray, held: np.ndarray, fewest: int, percent: int, at: np.ndarray, block: int):
+    """Blocks (k, m, near): which stretches of x, that begin at one[k], are near those of y that begin at two[m]; own: the k to look at. Left out are m that none of a block's can be near.
+
+    A stretch that repeats no token and has held[...] of them in y shares one of any held - need + 1 of those with what it is near; need follows from the fewest tokens of a stretch of y.
+    """
+    least = x.least
+    own = own[np.argsort(one[own])]
+    for i in range(0, len(own), block):
+        k = own[i : i + block]
+        left_rows = x.code[one[k][:, None] + np.arange(least)]
+        at[y.code] = 0
+        some = at[left_rows] == 0
+        at[y.code] = -1
+        plain = x.size[one[k]] == least
+        enough = held[one[k]] + 1 + -percent * (least + fewest) // (100 + percent)
+        lead = some & (~plain[:, None] | (np.cumsum(some, axis=1) <= enough[:, None]))
+        at[left_rows[lead]] = 0
+        total = np.concatenate([[0], np.cumsum(at[y.code] == 0)])
+        at[left_rows[lead]] = -1
+        met = np.flatnonzero(total[two + least] > total[two])
+        met = met[np.argsort(two[met])]
+        for j in range(0, len(met), block):
+            m = met[j : j + block]
+            rows = y.code[two[m][:, None] + np.arange(least)]
+            at[left_rows] = 0
+            names = np.unique(rows[at[rows] == 0])
+            at[left_rows] = -1
+            if not len(names):
+                continue
+            at[names] = np.arange(len(names))
+            left, right = np.zeros((len(k), len(names) + 1), np.float32), np.zeros((len(m), len(names) + 1), np.float32)
+            left[np.arange(len(k))[:, None], at[left_rows]] = 1
+            right[np.arange(len(m))[:, None], at[rows]] = 1
+            at[names] = -1
+            both = left[:, :-1] @ right[:, :-1].T
+            yield k, m, 100 * both >= percent * (x.size[one[k]][:, None] + y.size[two[m]][None] - both)
+
+
+def alike(x: Stretches, y: Stretches, percent: int, at: np.ndarray, apart: int = 0, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """The starts of all stretches of x, and of y, that have a near-duplicate in the other list; with apart only at least so far from it (x and y being one list).
 
     at has -1 for every code, and has so again afterwards. Stretches of one set are one, in which its first and last places count. Stretches that are found by equal sets or
@@ -225,31 +263,13 @@ def alike(x: Stretches, y: Stretches, percent: int, at: np.ndarray, apart: int =
     one, two = s[one], u[two]
     least_at, most_at = np.full(len(a), 1 << 60), np.full(len(a), -1)
     back = np.zeros(len(b), bool)
-    sides = [(np.flatnonzero(lack), np.arange(len(b)))]
+    for k, m, near in _meetings(x, y, np.flatnonzero(lack), one, two, held, int(y.size[two].min()), percent, at, block):
+        most_at[k] = np.maximum(most_at[k], np.where(near, high[m], -1).max(1))
+        least_at[k] = np.minimum(least_at[k], np.where(near, low[m], 1 << 60).min(1))
+        back[m] |= near.any(0)
     if not apart:
-        sides.append((np.flatnonzero(~lack), np.flatnonzero(want)))
-    for own, other in sides:
-        for i in range(0, len(own), block):
-            k = own[i : i + block]
-            left_rows = x.code[one[k][:, None] + np.arange(least)]
-            for j in range(0, len(other), block):
-                m = other[j : j + block]
-                rows = y.code[two[m][:, None] + np.arange(least)]
-                at[left_rows] = 0
-                names = np.unique(rows[at[rows] == 0])
-                at[left_rows] = -1
-                if not len(names):
-                    continue
-                at[names] = np.arange(len(names))
-                left, right = np.zeros((len(k), len(names) + 1), np.float32), np.zeros((len(m), len(names) + 1), np.float32)
-                left[np.arange(len(k))[:, None], at[left_rows]] = 1
-                right[np.arange(len(m))[:, None], at[rows]] = 1
-                at[names] = -1
-                both = left[:, :-1] @ right[:, :-1].T
-                near = 100 * both >= percent * (x.size[one[k]][:, None] + y.size[two[m]][None] - both)
-                most_at[k] = np.maximum(most_at[k], np.where(near, high[m], -1).max(1))
-                least_at[k] = np.minimum(least_at[k], np.where(near, low[m], 1 << 60).min(1))
-                back[m] |= near.any(0)
+        for k, _, near in _meetings(y, x, np.flatnonzero(want & ~back), two, one, kept, int(x.size[one].min()), percent, at, block):
+            back[k] |= near.any(1)
     hit[s] |= (most_at[of] >= 0) & ((most_at[of] - s >= apart) | (s - least_at[of] >= apart)) if apart else most_at[of] >= 0
     if not apart:
         met[u] |= back[by]

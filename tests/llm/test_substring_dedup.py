@@ -3,7 +3,8 @@ import random
 import numpy as np
 from helpers import docs, empty, odd
 
-from morphlake.llm.substring_dedup import compact_windows, matched, merged, passages, promising, repeats_within, supported
+from morphlake.llm.common import mixed
+from morphlake.llm.substring_dedup import Stretches, alike, compact_windows, leading, matched, merged, passages, promising, repeats_within, supported
 
 
 def test_windows_cover_every_stretch_once():
@@ -266,3 +267,27 @@ def test_runs_of_one_word_are_compared_as_sets_at_every_distance(spark):
     assert len(words) > 15
     assert {d: {k for r in rows for k in range(r["start_word"], r["end_word"])} for d, rows in got.items()} == words
     assert {d: {r["class_id"] for r in rows} for d, rows in got.items()} == {d: {root[d]} for d in words}
+
+
+def test_near_stretches_of_two_lists_are_those_of_plain_comparison():
+    rng, least, percent, some = np.random.default_rng(12), 10, 70, 0
+    for _ in range(60):
+        lists = _lists(rng)[1:]
+        lists[1], lists[2] = np.tile(lists[1][:7], 9), np.concatenate([lists[2], lists[3][:60], lists[2][40:]])
+        begin = np.cumsum([0, *map(len, lists)])
+        kinds, code = np.unique(np.concatenate(lists), return_inverse=True)
+        at, stretches = np.full(len(kinds), -1), [Stretches(code[a:b], mixed(kinds.astype(np.uint64) + np.uint64(1)), least) for a, b in zip(begin[:-1], begin[1:], strict=True)]
+        for a, b in ((0, 2), (2, 3), (3, 2), (1, 2), (1, 1), (2, 2), (3, 3)):
+            sets = [[{*x[s : s + least].tolist()} for s in range(len(x) - least + 1)] for x in (lists[a], lists[b])]
+            near = np.array([[100 * len(x & y) >= percent * len(x | y) and (a != b or abs(s - u) >= least) for u, y in enumerate(sets[1])] for s, x in enumerate(sets[0])]).reshape(len(sets[0]), len(sets[1]))
+            got = alike(stretches[a], stretches[b], percent, at, least if a == b else 0, block=16)
+            assert [x.tolist() for x in got] == [np.flatnonzero(near.any(1)).tolist(), np.flatnonzero(near.any(0)).tolist()] and (at == -1).all()
+            some += int(near.sum())
+    assert some > 1000
+
+
+def test_first_shingles_reach_over_their_own_stretches_alone():
+    g = np.full(60, 2**64 - 1, np.uint64)
+    g[10:40] = 1 + np.arange(30, dtype=np.uint64) * 16
+    place, low, high = leading(g, 10, 80, np.zeros(51, bool))
+    assert place.tolist() == high.tolist() == list(range(10, 32)) and low.tolist() == list(range(9, 31))
