@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import os
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -22,49 +24,134 @@ def _letters(w: str) -> bool:
     return c.isalpha() and c.lower().isalpha()
 
 
-class _Words(dict):
-    """white-space-free string -> its ids as little-endian bytes. Holds what this worker has met, up to `most` words."""
+class _Words:
+    """Strings without white space and their ids, of which it holds the `most` met last, side by side in arrays: some 40 bytes each."""
 
     def __init__(self, path: str, most: int):
-        from tokenizers import Tokenizer
+        import pyarrow as pa
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.model, self.bytes = self.tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.last[[k for token, k in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.turn, self.names, self.met = 0, pa.array([], pa.large_string()), np.zeros(0, np.int64)
+        self.flat, self.ends = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def find(self, names) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where in them those of each of names begin, how many they are). names: distinct, an Arrow array."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        at = pc.index_in(names, value_set=self.names)
+        new = at.is_null().to_numpy(zero_copy_only=False)
+        at = at.fill_null(0).to_numpy().astype(np.int64)
+        self.turn += 1
+        self.met[at[~new]] = self.turn
+        if new.any():
+            fresh = names.filter(pa.array(new))
+            ids = self.learn(fresh.to_numpy(zero_copy_only=False).tolist())
+            at[new] = len(self.names) + np.arange(len(fresh))
+            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            self.names, self.met = pa.concat_arrays([self.names, fresh]), np.append(self.met, np.full(len(fresh), self.turn))
+            self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(size))
+            self.flat = np.append(self.flat, np.frombuffer(b"".join(ids), "<u4"))
+        flat, start, size = self.flat, self.ends[at], self.ends[at + 1] - self.ends[at]
+        if len(self.names) > self.most:
+            self._forget(3 * self.most // 4)
+        return flat, start, size
+
+    def _forget(self, most: int) -> None:
+        """Keeps the `most` strings that were met last."""
+        keep = np.sort(np.argpartition(self.met, -most)[-most:]) if most else np.zeros(0, np.int64)
+        self.names, self.met, (self.flat, self.ends) = self.names.take(keep), self.met[keep], _gathered(self.flat, self.ends[keep], self.ends[keep + 1] - self.ends[keep])
 
     def ids(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        """Encodes words many at a time.
+    def _plain(self, w: str) -> bytes:
+        """The ids of letters up to U+00FF: they are composed and their small letters are plain, so the model takes them without the normalizer and the patterns."""
+        w = w.lower()
+        found = self.model.tokenize(w if w.isascii() else self.bytes.pre_tokenize_str(w)[0][0])
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+
+    def learn(self, words: list[str]) -> list[bytes]:
+        """The ids of each of words, which are distinct, by the tokenizer; all but plain words many at a time.
 
         A word of letters alone is one of the tokenizer's own words, whose last token is marked so, which tells
         where in a common encoding each word ends. A mark behind such a word is a word of its own. All others are encoded one by one.
         """
+        found: dict[str, bytes] = {}
         one, two, rest = set(), [], []
         for w in words:
             if _letters(w):
-                one.add(w)
+                if w.isascii() or max(w) < "\u0100":
+                    found[w] = self._plain(w)
+                else:
+                    one.add(w)
             elif w[-1] in ".," and _letters(w[:-1]):
                 two.append(w)
-                if w[:-1] not in self:
-                    one.add(w[:-1])
+                one.add(w[:-1])
             else:
                 rest.append(w)
         one = list(one)
         parts = [one[at : at + 1000] for at in range(0, len(one), 1000)]
-        for part, found in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
-            ids = np.asarray(found.ids, "<u4")
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.asarray(e.ids, "<u4")
             cuts = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
             if len(cuts) != len(part) or cuts[-1] != 4 * len(ids):
-                self.update((w, self.ids(w)) for w in part)
+                found.update((w, self.ids(w)) for w in part)
                 continue
             raw = ids.tobytes()
-            self.update(zip(part, map(raw.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
-        marks = {m: self.ids(m) for m in ".,"}
-        self.update((w, self[w[:-1]] + marks[w[-1]]) for w in two)
-        self.update(zip(rest, (np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
+            found.update(zip(part, map(raw.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
+        if two:
+            marks = {m: self.ids(m) for m in ".,"}
+            found.update((w, found[w[:-1]] + marks[w[-1]]) for w in two)
+        found.update(zip(rest, (np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
+        return list(map(found.__getitem__, words))
+
+
+def _gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the stretches of flat that begin at start, one behind the other; where they end, after a 0)."""
+    ends = np.concatenate([[0], np.cumsum(size)])
+    return flat[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])], ends
+
+
+@functools.lru_cache(maxsize=1)
+def _kept(path: str, stamp: tuple[int, int], most: int) -> _Words:
+    """The words of one tokenizer, as long as this worker lives: a task goes on with what those before it have learnt."""
+    return _Words(path, most)
+
+
+#: What a byte of UTF-8 is: 1 white space, 2 an ASCII letter, 3 an ASCII sign.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = 1
+_KIND[[*range(65, 91), *range(97, 123)]] = 2
+_KIND[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 3
+
+
+def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes without white space, where each piece starts in them and where the last ends, number of pieces before each text and in all).
+
+    A piece ends at white space, at the end of a text, and between a letter and an ASCII sign: there the tokenizer parts words
+    too, and nothing composes across. Letters are told up to U+00FF. Words that may hold a special token stay whole.
+    """
+    kind = _KIND[data]
+    space = kind == 1
+    letter = kind == 2
+    letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)  # two bytes from U+00C0 on, but for the two signs there
+    begin = np.ones(len(data), bool)
+    begin[1:] = space[:-1]
+    begin[offsets[offsets < len(data)]] = True
+    cut = np.flatnonzero((kind[1:] == 3) & letter[:-1]) + 1
+    special = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+    if len(special):
+        words = np.flatnonzero(begin)
+        cut = cut[~np.isin(np.searchsorted(words, cut, "right"), np.searchsorted(words, special, "right"))]
+    begin[cut] = True
+    begin &= ~space
+    return data[~space], np.append(np.flatnonzero(begin[~space]), len(data) - np.count_nonzero(space)), np.searchsorted(np.flatnonzero(begin), offsets)
 
 
 def _small(text: str) -> str:
@@ -78,37 +165,27 @@ def _small(text: str) -> str:
     return text.lower()
 
 
-def encoder(path: str, most: int = 1_000_000):
+def encoder(path: str, most: int = 500_000):
     """texts -> ids of each as little-endian unsigned 32-bit bytes.
 
     This tokenizer drops white space and never joins across it, so a text's ids are those of its
-    words in a row. The distinct words of a call are looked up; the tokenizer encodes each new one once.
+    words in a row. The distinct pieces of a call are looked up; the tokenizer encodes those that this worker hasn't met lately.
     """
     import pyarrow as pa
-    import pyarrow.compute as pc
 
-    words = _Words(path, most)
+    from morphlake.llm.common import batch_bytes
+
+    about = os.stat(path)
+    words = _kept(path, (about.st_mtime_ns, about.st_size), most)
 
     def encode(texts: list[str | None]) -> list[bytes]:
-        split = pc.ascii_split_whitespace(pa.array([_small(t) if t else "" for t in texts], pa.large_string()))
-        coded = split.values.dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        got = list(map(words.get, names))
-        gaps = [i for i, ids in enumerate(got) if ids is None]
-        if gaps:
-            if len(words) + len(gaps) > words.most:
-                words.clear()
-            words.learn({names[i] for i in gaps if names[i]})
-            words[""] = b""
-            for i in gaps:
-                got[i] = words[names[i]]
-        flat = np.frombuffer(b"".join(got), "<u4")
-        size = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        data, starts, of = _pieces(*batch_bytes(pa.array([_small(t) if t else "" for t in texts], pa.large_string())))
+        coded = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(data)).dictionary_encode()
+        flat, start, size = words.find(coded.dictionary)
         which = coded.indices.to_numpy()
-        each, start = size[which], np.cumsum(size) - size
-        ends = np.concatenate([[0], np.cumsum(each)])
-        raw = flat[np.repeat(start[which] - ends[:-1], each) + np.arange(ends[-1])].tobytes()
-        cuts = (4 * ends[split.offsets.to_numpy()]).tolist()
+        found, ends = _gathered(flat, start[which], size[which])
+        raw = found.tobytes()
+        cuts = (4 * ends[of]).tolist()
         return [raw[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
 
     return encode
@@ -251,5 +328,6 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                 yield rows()
         packer.finish()
         yield rows()
+        pa.default_memory_pool().release_unused()  # this worker lives on
 
     return docs.select(*cols).mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))

@@ -7,6 +7,7 @@ import public_tokenizers
 from helpers import docs, empty, odd
 from tokenizers import Tokenizer
 
+from morphlake.llm import packing
 from morphlake.llm.packing import Packer, encoder, pack
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -43,6 +44,37 @@ def test_ids_of_every_letter_with_a_sign_behind():
     assert [x for x, got, e in zip(texts, own(texts), want, strict=True) if np.frombuffer(got, "<u4").tolist() != e.ids] == []
 
 
+def test_a_worker_encodes_a_word_once_and_keeps_the_last_ones(monkeypatch):
+    """Tasks that run in one worker share what it has learnt; signs behind a word make no new word; at most `most` strings are held."""
+    learnt, held, learn = [], [], packing._Words.learn
+
+    def noted(self, words):
+        learnt.extend(words)
+        held.append(self)
+        return learn(self, words)
+
+    monkeypatch.setattr(packing._Words, "learn", noted)
+    texts = ["qnorth qsea, qnorth. qsea$$$ (qnorth", "qsea... Qété, qété! QÉTÉ$$$"]
+    first = encoder(PATH)(texts)
+    assert sorted(w for w in learnt if "q" in w) == ["(qnorth", "qnorth", "qsea", "qété"]
+    seen = len(learnt)
+    assert encoder(PATH)(texts) == first and len(learnt) == seen
+    own = encoder(PATH, most=200)
+    for k in range(40):
+        own(["often " + " ".join(f"w{'abcdefghij'[k % 10]}{'klmno'[k // 10]}{x}" for x in "abcdefghijklmnopqrstuvwxyz")])
+        assert len(held[-1].names) <= 200
+    assert learnt.count("often") == 1
+
+
+def test_ids_where_words_are_cut_at_signs():
+    rng, own, t = random.Random(4), encoder(PATH, most=3000), Tokenizer.from_file(PATH)
+    parts = ["a", "Z", "word", "é", "É", "ß", "ª", "×", "÷", "«", "»", "µ", "½", "7", ".", ",", "'", "'s", "'ll", "''", "$$$", "<", "|", "<|", "|>", "<|endoftext|>", "<|startoftext|>", "endoftext", "\xa0", "\x85", "\x1c", "\u0301", "\u0338", "\u0416", " ", "\n"]
+    for _ in range(400):
+        texts = ["".join(rng.choices(parts[: rng.choice([31, 36])] + [" "] * 3, k=rng.randint(0, 14))) for _ in range(12)]
+        for got, text in zip(own(texts), texts, strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def whole(pieces, want, gaps=False):
     """Pieces cover each document once, and each sequence without gaps (but where other documents' pieces are left out)."""
     by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
